@@ -13,3 +13,44 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g.i), 0)::BIGINT AS n_r
        sha256(array_to_string(list_filter(w, lambda x, k: NOT list_contains(coalesce(g.i, []), k)), ' ')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op4_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bs AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS t FROM bs),
+ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS t FROM ds),
+hit AS (SELECT doc_id, n, s, item_id FROM dw JOIN bw USING (n, t)),
+words AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS i FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def _secret_sql() -> str:
+    from .secret_scan import BASE, RULES
+
+    parts, kinds = [], []
+    for k, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, {k} AS k, '{r.name}' AS kind, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS g, regexp_split_to_array(t, '{pattern}') AS gap, {r.least} AS least FROM d")
+        if k < len(BASE):
+            kinds.append(f"count(*) FILTER (k = {k})::BIGINT AS n_{r.name}")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m WHERE len(m) > 0),
+s AS (SELECT doc_id, k, kind, list_sum(list_transform(gap[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(m[i]) AS n, length(g[i]) AS v, least FROM i),
+f AS (SELECT doc_id, k, kind, a, kind || ':' || a || ':' || (a + n) AS span FROM s WHERE v >= least),
+j AS (SELECT doc_id, {', '.join(kinds)}, string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{r.name}, 0) AS n_{r.name}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
+ORACLES["op6_secret_scan"] = _secret_sql()
