@@ -202,6 +202,8 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Workspace, window: int =
 
     contexts = work.write(runs.groupBy("c").agg(F.min("doc_id").alias("lowest"), F.min("h").alias("h")), "contexts")
     split = contexts.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
+    # written first: a join straight behind its aggregation can't be split where one anchor is hot
+    split = work.write(split, "split")
     settled = runs.join(contexts.select("c", "lowest"), "c")
     whole = settled.where("doc_id > lowest").select("doc_id", "tag", "s", (F.col("n") + window - 1).alias("len"))
     part = settled.where("doc_id = lowest").join(split, "h", "left_semi")
@@ -210,7 +212,8 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Workspace, window: int =
     windows = tagged.join(part, ["doc_id", "tag"]).mapInArrow(_window_rows(window), "w long, doc_id long, tag long, s int")
     windows = work.write(windows, "windows")
     lowest = windows.groupBy("w").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
-    single = windows.join(lowest.select("w", "lowest"), "w").where("doc_id > lowest").select("doc_id", "tag", "s", F.lit(window).alias("len"))
+    lowest = work.write(lowest.select("w", "lowest"), "lowest")
+    single = windows.join(lowest, "w").where("doc_id > lowest").select("doc_id", "tag", "s", F.lit(window).alias("len"))
     return work.write(whole.unionByName(single), "repeats")
 
 
@@ -223,7 +226,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wit
     spark = docs.sparkSession
     work = Workspace(spark, "substring-dedup")
     found = repeats(spark, docs, work, window, seed)
-    work.drop("shared", "runs", "contexts", "windows")
+    work.drop("shared", "runs", "contexts", "split", "windows", "lowest")
     spans = found.groupBy("doc_id", "tag").agg(F.collect_list(F.col("s").cast("long") * 256 + F.col("len")).alias("spans"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tagged = docs.withColumn("tag", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
