@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from .textkernel import as_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces kept by one executor process; the cache starts anew when it is full.
-CACHE_PIECES = 400_000
+#: Pieces kept by one executor process, in two generations: when the young one is
+#: full it becomes the old one, and pieces met again come back from there.
+CACHE_PIECES = 300_000
 _CACHE_BYTES = 64
 
 
@@ -46,8 +47,14 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
+        # lengths of the tokens that end in three given bytes, longest first
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) >= 3:
+                ends.setdefault(token[-3:], {1, 2}).add(len(token))
+        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -82,12 +89,13 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves these two tokens side by side."""
-        key = (left, right)
-        if key not in self._fits:
+        key = left << 32 | right
+        found = self._fits.get(key)
+        if found is None:
             if len(self._fits) > 1_000_000:
                 self._fits.clear()
-            self._fits[key] = self._stand(left, right)
-        return self._fits[key]
+            found = self._fits[key] = self.parts(right) is not None and self._stand(left, right)
+        return found
 
     def _stand(self, left: int, right: int) -> bool:
         """Undo merges, the latest first, and look for a pair at the boundary that would have gone first.
@@ -122,16 +130,18 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         v = self.vocabulary
-        ranks, longest, last = v.ranks, v.longest, self.last
+        rank, ends, fits, last = v.ranks.get, v.ends.get, v.fits, self.last
         begin = len(self.piece)
         self.piece += more
         piece = bytes(self.piece)
         for end in range(begin + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(piece[start:end])
-                if token is not None and last[start] != -2 and v.parts(token) is not None and (start == 0 or v.fits(last[start], token)):
-                    last.append(token)
-                    break
+            for n in ends(piece[end - 3 : end], (2, 1)) if end >= 3 else (2, 1):
+                before = last[end - n] if n <= end else -2
+                if before != -2:
+                    token = rank(piece[end - n : end])
+                    if token is not None and (fits(before, token) if before >= 0 else v.parts(token) is not None):
+                        last.append(token)
+                        break
             else:
                 last.append(-2)
 
@@ -145,10 +155,30 @@ class PrefixTable:
         return out[::-1]
 
 
+class PieceCache(dict):
+    """Decimal ids of pieces, joined by commas, in two generations of CACHE_PIECES each."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, piece: str) -> str:
+        found = self.old.get(piece)
+        if found is None:
+            found = ",".join(map(str, self.encoder.piece(piece.encode())))
+        if len(piece) <= _CACHE_BYTES:
+            if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self._cache: dict[str, tuple[str, int]] = {}
+        self.bytes_of_name = {str(r): b for r, b in vocabulary.bytes_of.items()}
+        self._cache = PieceCache(self)
 
     def piece(self, piece: bytes) -> list[int]:
         whole = self.vocabulary.ranks.get(piece)
@@ -161,20 +191,13 @@ class Encoder:
         of = self.vocabulary.bytes_of
         return b"".join([of[i] for i in ids])
 
-    def __missing(self, piece: str) -> tuple[str, int]:
-        ids = self.piece(piece.encode())
-        found = (",".join(map(str, ids)), len(ids))
-        if len(piece) <= _CACHE_BYTES:
-            if len(self._cache) >= CACHE_PIECES:
-                self._cache.clear()
-            self._cache[piece] = found
-        return found
-
     def encode_joined(self, text: str) -> tuple[str, int]:
         """Decimal ids joined by commas, and their number."""
-        get, miss = self._cache.get, self.__missing
-        found = [get(p) or miss(p) for p in self.pattern.findall(text)]
-        return ",".join([f[0] for f in found]), sum([f[1] for f in found])
+        joined = ",".join(map(self._cache.__getitem__, self.pattern.findall(text)))
+        return joined, joined.count(",") + 1 if joined else 0
+
+    def decode_joined(self, joined: str) -> bytes:
+        return b"".join(map(self.bytes_of_name.__getitem__, joined.split(","))) if joined else b""
 
 
 class EncodedText:
@@ -259,18 +282,16 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = T
 
     def work(batches):
         enc = encoder(vocabulary)
-        token_bytes = enc.vocabulary.bytes_of
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for lo in range(0, len(texts), 256):
                 n, shas, back, all_ids = [], [], [], []
                 for t in texts[lo : lo + 256]:
                     joined, count = enc.encode_joined(t.decode("utf-8"))
-                    ids = list(map(int, joined.split(","))) if joined else []
                     n.append(count)
                     shas.append(hashlib.sha256(joined.encode()).hexdigest())
-                    back.append(hashlib.sha256(b"".join([token_bytes[i] for i in ids])).hexdigest())
-                    all_ids.append(ids if with_ids else None)
+                    back.append(hashlib.sha256(enc.decode_joined(joined)).hexdigest())
+                    all_ids.append(list(map(int, joined.split(","))) if with_ids and joined else [] if with_ids else None)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string()), pa.array(all_ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, OUT)
