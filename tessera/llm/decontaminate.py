@@ -216,3 +216,23 @@ def _by_slabs(docs: DataFrame, items: DataFrame, window: int, slabs: int) -> Dat
 
     both = docs.alias("d").join(merged.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.tag = m.tag"), "left")
     return both.select("d.doc_id", "d.text", "m.at", "m.found").mapInArrow(count, OUT)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no test string."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slabs = int(size // max_item_bytes) + 1
+    for k in range(slabs):  # one unless the benchmark is large
+        slab = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(slabs)) == k)
+        tables = docs.sparkSession.sparkContext.broadcast(compile_items(slab.toLocalIterator(), window))
+
+        def work(batches, tables=tables):
+            _, searchers = tables.value
+            for batch in batches:
+                for lo, hi, block in blocks(as_bytes(batch.column("text")), ALNUM_FOLDED):
+                    hit, _, _ = scan(block, searchers)
+                    yield batch.slice(lo, hi - lo).filter(pa.array(per_doc(block, hit) == 0))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs

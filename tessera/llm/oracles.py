@@ -54,3 +54,19 @@ FROM d LEFT JOIN j USING (doc_id)
 
 
 ORACLES["op6_secret_scan"] = _secret_sql()
+
+
+def _license_sql() -> str:
+    from .license_scan import BOUNDARY, _pattern, known, sequences
+
+    ids = ", ".join(f"'{k}': '{v}'" for k, v in known().items())
+    rules = ", ".join(f"CASE WHEN regexp_matches(line, '{_pattern(q)}') THEN '{name}' END" for name, q in sequences())
+    return f"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{BOUNDARY}'), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
+m AS (SELECT doc_id, list_transform(s, lambda x: coalesce(MAP {{{ids}}}[x], '-')) AS m FROM s),
+l AS (SELECT doc_id, list_filter(m, lambda x: x <> '-') AS ids, '<' || array_to_string(m, '><') || '>' AS line FROM m)
+SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sequence, coalesce(array_to_string(list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))), ','), '') AS licenses FROM l
+"""
+
+
+ORACLES["op9_license_scan"] = _license_sql()

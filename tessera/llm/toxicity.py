@@ -189,3 +189,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_R
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     return chosen.mapInArrow(work, OUT)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def work(batches):
+        trained = model.value
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            for lo, hi, block in blocks(texts, ALNUM_FOLDED):
+                score = np.zeros(hi - lo) if trained is None else trained.score(block)
+                yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
