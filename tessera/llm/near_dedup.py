@@ -5,25 +5,31 @@ equal form a *class* and are linked by that; all further work is on classes.
 
 Sketch: the ``SKETCH`` smallest hashes of a set, its retained values.
 
-Inverted lists: the retained values are dealt by hash into ``PARTS`` parts and
+Inverted lists: the ``LISTED`` smallest values are dealt by hash into ``PARTS`` parts and
 a class stands in one list for each part, under the values that the part
-retains. A single value makes too common a list - one frequent word pair would
-list a third of a corpus - while a part holds about two or three values, which
-only similar sets retain alike. With a similarity of 0.8, 72 values and 32
-parts the chance that two sets agree in fewer than two parts is below 1e-8;
-sets of up to 9 shingles also stand under each of their subsets that lacks one
-shingle, which finds all links among them for certain.
-
-Overlaps: (1) in every list each class meets the list's two ends, and takes
-the one it shares most lists with; this links groups of any size with a number
-of comparisons in proportion to the classes. (2) All pairs that share two
-lists and are not yet in one component are compared, so no link between
-components is lost. Lists where those pairs are many are first split by a
-second part (two sets that agree in a list must agree in another one too).
+retains; a part with one value takes those of the next part that has any. A
+single value makes too common a list - one frequent word pair would list a
+third of a corpus - while several are retained alike by similar sets only. At
+a similarity of 0.8, with 128 values in 40 parts, the chance that two sets agree
+in fewer than two lists is below 1e-9; in small sets a shingle that differs
+spoils two lists at most, so enough are left for certain, and sets of up to 9
+shingles also stand under each of their subsets that lacks one shingle, which
+finds all links among them.
+
+Overlaps: (1) in every list each class meets two members, the first one and the
+*hub*, which has most company over all its lists, as the origin of a group of
+copies does. Of each kind it is compared with the one it meets most often; this
+links groups of any size with comparisons in proportion to the classes. (2) The
+same with a few members of each list drawn by hash, for what is not connected
+to them yet and agrees with them in a second list. (3) All pairs that share two
+lists and are still not connected, so that no link between components is lost:
+short lists by a join, long ones in blocks of bounded size that meet block by
+block, where only pairs that pass the filter become rows.
 
 Filter: the similarity is estimated from the union's sketch; pairs five
-standard deviations below the threshold go. Exact: the Jaccard similarity of
-the others is computed on full sets, and it alone makes a link.
+standard deviations (of a draw without replacement) below the threshold go.
+Exact: the Jaccard similarity of the others is computed on full sets, and it
+alone makes a link.
 
 Defined results: null or empty texts have no shingles and are linked with
 nothing; a text of fewer words than a shingle is one shingle; rows that repeat
@@ -45,11 +51,16 @@ from .textkernel import PLAIN_FOLDED, Block, U, as_bytes, blocks, mix
 
 SHINGLE = 2
 THRESHOLD = (80, 100)
-SKETCH = 72
-PARTS = 32
+SKETCH = 256
+#: Those of them, the smallest, that are dealt into parts.
+LISTED = 128
+PARTS = 40
 SMALL = 9
-#: A list with more pairs between components than so many for each member is split by a second part.
-PAIRS_PER_MEMBER = 64
+#: Members drawn from each list for the second round.
+DRAWS = 4
+#: Lists up to this length are joined with themselves; longer ones meet in blocks of BLOCK members.
+SHORT_LIST = 32
+BLOCK = 1024
 
 _TOP = np.uint64(2**64 - 1)
 
@@ -99,27 +110,39 @@ def _describe(shingle: int, sketch: int):
     return work
 
 
-def _listed(sketch: int, parts: int):
+def _keys(batch: pa.RecordBatch, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, part, key) of each list that the classes of a batch stand in."""
+    packed = [p[: 8 * LISTED] for p in batch.column("sketch").to_pylist()]
+    counts = np.array([len(p) // 8 for p in packed], np.int64)
+    values = np.frombuffer(b"".join(packed), U)
+    if not len(values):
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(U)
+    row = np.repeat(np.arange(len(packed)), counts)
+    slot = row * parts + (mix(values ^ U(0xDA3E39CB94B95BDB)) % U(parts)).astype(np.int64)
+    # wrapping sums of mixed values: the hash of what a part retains
+    order = np.argsort(slot, kind="stable")
+    slot, mixed = slot[order], mix(values ^ U(0x2545F4914F6CDD1D))[order]
+    begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    end = np.r_[begin[1:], len(slot)]
+    total = np.concatenate([np.zeros(1, U), np.cumsum(mixed)])
+    value, row, part = total[end] - total[begin], slot[begin] // parts, slot[begin] % parts
+    # the next part of the same class, after its last one the first
+    after = np.where(np.append(row[1:] != row[:-1], True), np.searchsorted(row, row, "left"), np.arange(1, len(row) + 1))
+    lone = (end - begin == 1) & (after != np.arange(len(row)))
+    value = np.where(lone, value * U(3) + value[after % len(row)], value)
+    return row, part, mix(value + part.astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def _listed(parts: int):
     """(key, c, small) for each list that a class stands in."""
 
     def work(batches):
         for batch in batches:
             c, n = batch.column("c").to_numpy(), batch.column("n").to_numpy()
-            packed = batch.column("sketch").to_pylist()
-            counts = np.array([len(p) // 8 for p in packed], np.int64)
-            values = np.frombuffer(b"".join(packed), U)
-            row = np.repeat(np.arange(len(c)), counts)
-            part = (mix(values ^ U(0xDA3E39CB94B95BDB)) % U(parts)).astype(np.int64)
-            slot = row * parts + part
-            # wrapping sums of mixed values: the hash of what a part retains
-            order = np.argsort(slot, kind="stable")
-            slot, mixed = slot[order], mix(values ^ U(0x2545F4914F6CDD1D))[order]
-            begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
-            total = np.concatenate([np.zeros(1, U), np.cumsum(mixed)])
-            end = np.r_[begin[1:], len(slot)].astype(np.int64)
-            key = mix(total[end] - total[begin] + (slot[begin] % parts).astype(U) * U(0x9E3779B97F4A7C15))
-            yield _lists(key, c[slot[begin] // parts], False)
-            keys, of = [], []
+            row, _, key = _keys(batch, parts)
+            yield _lists(key, c[row], False)
+            packed, keys, of = batch.column("sketch").to_pylist(), [], []
             for r in np.flatnonzero(n <= SMALL):
                 own = mix(np.frombuffer(packed[r], U) ^ U(0x6C62272E07BB0142))
                 whole = own.sum(dtype=U)
@@ -131,12 +154,39 @@ def _listed(sketch: int, parts: int):
     return work
 
 
+def _agree(parts: int):
+    """Pairs of a list that agree in another list too, told by a byte for each part."""
+
+    def work(batches):
+        for batch in batches:
+            both = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(batch.num_rows, parts) for x in ("ga", "gb")]
+            keep = ((both[0] == both[1]) & (both[0] != 0)).sum(axis=1) + batch.column("small").to_numpy(zero_copy_only=False) >= 2
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return work
+
+
+def _signed(parts: int):
+    """c and a byte for each part, which differs for different lists mostly; 0 where the part is empty."""
+
+    def work(batches):
+        for batch in batches:
+            c = batch.column("c").to_numpy()
+            out = np.zeros((len(c), parts), np.uint8)
+            row, part, key = _keys(batch, parts)
+            out[row, part] = (key % U(255)).astype(np.uint8) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([r.tobytes() for r in out], pa.binary())], names=["c", "sig"])
+
+    return work
+
+
 def _lists(key: np.ndarray, c: np.ndarray, small: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c), pa.array(np.full(len(c), small))], names=["key", "c", "small"])
 
 
 def _sets(shingle: int):
-    """c, n and the sorted shingles of documents; a row that repeats a doc_id with another text goes."""
+    """c, doc_id and the sorted shingles of documents; a row that repeats a doc_id with another text goes."""
 
     def work(batches):
         for batch in batches:
@@ -145,7 +195,8 @@ def _sets(shingle: int):
                 grams, at = shingles(block, shingle)
                 c = _class_ids(grams, at).view(np.int64)
                 keep = np.flatnonzero(c == wanted[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array([grams[at[d] : at[d + 1]].tobytes() for d in keep], pa.binary())], names=["c", "grams"])
+                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]), ids, pa.array([grams[at[d] : at[d + 1]].tobytes() for d in keep], pa.binary())], names=["c", "rep", "grams"])
 
     return work
 
@@ -164,6 +215,26 @@ def estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return (same & (rank <= k)).sum(axis=1) / np.maximum(size, 1), size
 
 
+def _matrix(packed: list[bytes], width: int) -> np.ndarray:
+    out = np.full((len(packed), width), _TOP)
+    for i, v in enumerate(packed):
+        got = np.frombuffer(v, U)
+        out[i, : len(got)] = got
+    return out
+
+
+def _passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, sketch: int, threshold: float) -> np.ndarray:
+    """Whether the estimate of pairs of sketches leaves the threshold possible."""
+    keep = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1024):
+        part = slice(lo, lo + 1024)
+        got, size = estimate(a[part], b[part], sketch)
+        union = (na[part] + nb[part]) / (1 + threshold)
+        spread = np.sqrt(threshold * (1 - threshold) / np.maximum(size, 1) * np.clip(1 - size / union, 0.02, 1))
+        keep[part] = got + 1e-9 >= threshold - np.where(size < sketch, 0.0, 5 * spread)
+    return keep
+
+
 def _likely(sketch: int, threshold: float):
     """Pairs whose estimate does not rule the threshold out."""
 
@@ -171,18 +242,57 @@ def _likely(sketch: int, threshold: float):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
+                a, b = (_matrix(part.column(x).to_pylist(), sketch) for x in ("sa", "sb"))
+                keep = pa.array(_passes(a, b, part.column("na").to_numpy(), part.column("nb").to_numpy(), sketch, threshold))
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
 
-                def matrix(name, part=part):
-                    out = np.full((part.num_rows, sketch), _TOP)
-                    for i, v in enumerate(part.column(name).to_pylist()):
-                        got = np.frombuffer(v, U)
-                        out[i, : len(got)] = got
-                    return out
+    return work
 
-                got, size = estimate(matrix("sa"), matrix("sb"), sketch)
-                slack = np.where(size < sketch, 0.0, 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(size, 1)))
-                keep = pa.array(got + 1e-9 >= threshold - slack)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
+
+def _meet(parts: int, sketch: int, threshold: float):
+    """Likely pairs of two blocks of a list, or of one block with itself, between different components.
+
+    A pair is given by the first list that it shares, if it shares another one.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        key, i, j = (table.column(x)[0].as_py() for x in ("key", "i", "j"))
+        table = table.combine_chunks()
+        own, comp, c, n = (table.column(x).to_numpy() for x in ("own", "comp", "c", "n"))
+        small = table.column("small").to_numpy().astype(bool)
+        packed = table.column("sketch").to_pylist()
+        values = _matrix(packed, sketch)
+        row, part, keys = _keys(table.to_batches()[0], parts)
+        grid = np.zeros((len(c), parts), U)
+        grid[row, part] = keys
+        here = grid == np.int64(key).view(U)
+        number = np.where(here.any(axis=1), here.argmax(axis=1), -1).max()  # the part of this list
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out_a, out_b = [], []
+        for lo in range(0, len(left), 64):
+            l = left[lo : lo + 64]
+            same = np.zeros((len(l), len(right)), np.int16)
+            earlier = np.zeros(same.shape, bool)
+            for p in range(parts):
+                agree = (grid[l, p][:, None] == grid[right, p][None]) & (grid[l, p] != 0)[:, None]
+                same += agree
+                if p < number:
+                    earlier |= agree
+            wanted = (comp[l][:, None] != comp[right][None]) & ((same >= 2) & ~earlier | small[l][:, None])
+            if i == j:
+                wanted &= c[l][:, None] < c[right][None]
+            x, y = np.nonzero(wanted)
+            x, y = l[x], right[y]
+            fits = 1.0 * np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+            x, y = x[fits], y[fits]
+            keep = np.zeros(len(x), bool)
+            for at in range(0, len(x), 4096):
+                k = slice(at, at + 4096)
+                keep[k] = _passes(values[x[k]], values[y[k]], n[x[k]], n[y[k]], sketch, threshold)
+            out_a.append(c[x[keep]])
+            out_b.append(c[y[keep]])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([none, *out_a])), "b": pa.array(np.concatenate([none, *out_b]))})
 
     return work
 
@@ -207,17 +317,21 @@ def _confirmed(threshold: tuple[int, int]):
     return work
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, sketch: int, threshold: tuple[int, int]) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspace, name: str, shingle: int, sketch: int, threshold: tuple[int, int]) -> DataFrame:
     """pairs (a, b) of classes -> links (u, v) between the documents that stand for them."""
     part, of = threshold
-    short = classes.select("c", "rep", "n", "sketch")
-    a = short.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = short.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    a = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     sized = pairs.join(a, "a").join(b, "b").where(f"{of} * least(na, nb) >= {part} * greatest(na, nb)")
-    likely = sized.select("a", "b", "sa", "sb").mapInArrow(_likely(sketch, part / of), "a long, b long")
+    likely = work.write(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(sketch, part / of), "a long, b long"), f"{name}-likely")
+    # full sets of the classes in these pairs only
+    needed = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct().join(classes.select("c", F.col("rep").alias("doc_id")), "c")
+    sets = work.write(docs.join(needed, "doc_id").select("doc_id", "c", "text").mapInArrow(_sets(shingle), "c long, rep long, grams binary"), f"{name}-sets")
     a = sets.select(F.col("c").alias("a"), F.col("rep").alias("ra"), F.col("grams").alias("ga"))
     b = sets.select(F.col("c").alias("b"), F.col("rep").alias("rb"), F.col("grams").alias("gb"))
-    return likely.join(a, "a").join(b, "b").select("ra", "rb", "ga", "gb").mapInArrow(_confirmed(threshold), "u long, v long")
+    links = work.write(likely.join(a, "a").join(b, "b").select("ra", "rb", "ga", "gb").mapInArrow(_confirmed(threshold), "u long, v long"), f"{name}-links")
+    work.drop(f"{name}-likely", f"{name}-sets")
+    return links
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, sketch: int = SKETCH, parts: int = PARTS) -> DataFrame:
@@ -229,42 +343,75 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     spark = docs.sparkSession
     work = Workspace(spark, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = work.write(docs.mapInArrow(_describe(shingle, sketch), "doc_id long, n long, c long, sketch binary"), "described")
-    classes = described.where("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
+    sketched = docs.mapInArrow(_describe(shingle, sketch), "doc_id long, n long, c long, sketch binary")
+    described = work.write(docs.mapInArrow(_describe(shingle, 0), "doc_id long, n long, c long, sketch binary").drop("sketch"), "described")
+    classes = sketched.where("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
     classes = work.write(classes.select("c", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch"), "classes")
 
-    listed = work.write(classes.select("c", "n", "sketch").mapInArrow(_listed(sketch, parts), "key long, c long, small boolean"), "listed")
-    ends = work.write(listed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high"), "ends")
-    listed = work.write(listed.join(ends, "key"), "lists")
-    near = work.write(listed.select("c").distinct().join(classes.select("c", "rep"), "c"), "near")
-    sets = docs.join(near.select("c", F.col("rep").alias("doc_id")), "doc_id").select("c", "text").mapInArrow(_sets(shingle), "c long, grams binary")
-    sets = work.write(sets.dropDuplicates(["c"]).join(near, "c"), "sets")
-
-    # (1) each class and the ends of its lists
+    listed = work.write(classes.select("c", "n", "sketch").mapInArrow(_listed(parts), "key long, c long, small boolean"), "listed")
+    sizes = work.write(listed.groupBy("key").agg(F.min("c").alias("low"), F.count("*").alias("members"), F.max("c").alias("high")).where("low < high").drop("high"), "sizes")
+    listed = work.write(listed.join(sizes, "key"), "lists")
+    # what many lists have in common with others is the origin of a group of copies, if any is
+    degree = listed.groupBy("c").agg(F.sum("members").alias("degree"))
+    ranked = work.write(listed.join(degree, "c"), "ranked")
+    hubs = work.write(ranked.groupBy("key").agg(F.max(F.struct("degree", "c")).alias("x")).select("key", F.col("x.c").alias("hub")), "hubs")
+    listed = work.write(ranked.select("key", "c", "small", "low").join(hubs, "key"), "met")
+    work.drop("listed", "sizes", "lists", "ranked", "hubs")
+
+    # (1) each class and two members of each of its lists
     def best(end: str) -> DataFrame:
-        met = listed.where(f"c <> {end}").groupBy("c", F.col(end).alias("b")).agg(F.count("*").alias("n"))
+        met = listed.where(f"c <> {end}").groupBy("c", F.col(end).alias("b")).agg((F.count("*") + F.max(F.col("small").cast("int"))).alias("n")).where("n >= 2")
         return met.groupBy("c").agg(F.max(F.struct("n", "b")).alias("x")).select(F.col("c").alias("a"), F.col("x.b").alias("b"))
 
-    stars = best("low").unionByName(best("high")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verify(stars, classes, sets, sketch, threshold)
+    stars = best("low").unionByName(best("hub")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _verify(stars, docs, classes, work, "stars", shingle, sketch, threshold)
     # rows that repeat a doc_id with different sets are one node
     stands = described.where("c IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "c").join(classes.select("c", "rep"), "c")
     again = stands.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     repeated = stands.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select(F.col("doc_id").alias("u"))
-    links = work.write(links.unionByName(again.join(repeated, "u", "left_semi")), "links-1")
+    links = work.write(links.unionByName(again.join(repeated, "u", "left_semi")), "links")
     comp = components(links, work, "round-1")
 
-    # (2) what shares two lists and is not connected yet
-    member = listed.select("key", "c", "small").join(near, "c").join(comp.withColumnRenamed("u", "rep"), "rep", "left")
-    member = work.write(member.select("key", "c", "small", F.coalesce("m", "rep").alias("comp")), "members")
-    open_ = member.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a < b")
-    left = work.write(member.join(open_.select("key", "members"), "key"), "open")
-    a, b = left.select("key", F.col("c").alias("a"), F.col("comp").alias("ca"), "small"), left.select("key", F.col("c").alias("b"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "key").where("ca < cb").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("small").alias("small")).where("n >= 2 OR small").select("a", "b")
-    more = work.write(_verify(pairs, classes, sets, sketch, threshold), "links-2")
-    comp = components(links.unionByName(more), work, "round-2")
+    # (2) each class and some members of its lists that it is not connected with yet
+    def opened(comp: DataFrame, name: str) -> DataFrame:
+        member = listed.select("key", "c", "small").join(classes.select("c", "rep"), "c").join(comp.withColumnRenamed("u", "rep"), "rep", "left")
+        member = work.write(member.select("key", "c", "small", F.coalesce("m", "rep").alias("comp")), f"{name}-members")
+        keys = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        return work.write(member.join(work.write(keys, f"{name}-keys"), "key"), name)
+
+    left = opened(comp, "open-1")
+    sigs = work.write(classes.select("c", "sketch").mapInArrow(_signed(parts), "c long, sig binary").join(left.select("c").distinct(), "c"), "sigs")
+    draws = [F.min(F.struct(F.xxhash64("c", "key", F.lit(r)).alias("h"), "c", "comp")).alias(f"x{r}") for r in range(DRAWS)]
+    drawn = left.groupBy("key").agg(*draws).select("key", F.explode(F.array(*[f"x{r}" for r in range(DRAWS)])).alias("x")).select("key", "x.c", "x.comp").distinct()
+    drawn = work.write(drawn.join(sigs, "c").select("key", F.col("c").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("gb")), "drawn")
+    some = left.join(sigs, "c").withColumnsRenamed({"c": "a", "sig": "ga"}).join(drawn, "key").where("comp <> cb")
+    some = some.select("a", "b", "ga", "gb", "small").mapInArrow(_agree(parts), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionByName(_verify(some, docs, classes, work, "drawn", shingle, sketch, threshold))
+    comp = components(links, work, "round-2")
+
+    # (3) all pairs that share two lists and are not connected yet
+    left = opened(comp, "open-2")
+    lengths = work.write(left.groupBy("key").agg(F.count("*").alias("members")), "lengths")
+    left = work.write(left.join(lengths, "key"), "sized")
+    short = left.where(F.col("members") <= SHORT_LIST).join(sigs, "c")
+    a = short.select("key", F.col("c").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("ga"), "small")
+    b = short.select("key", F.col("c").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("gb"))
+    few = a.join(b, "key").where("ca < cb").select("a", "b", "ga", "gb", "small").mapInArrow(_agree(parts), "a long, b long")
+    blocks_ = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("c"), blocks_).cast("int")
+    long_ = left.where(F.col("members") > SHORT_LIST).select("key", "c", "comp", "small", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("other"))
+    long_ = long_.select("key", "c", "comp", "small", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(classes.select("c", "n", "sketch"), "c")
+    many = long_.groupBy("key", "i", "j").applyInArrow(_meet(parts, sketch, threshold[0] / threshold[1]), "a long, b long")
+    pairs = few.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    comp = components(links.unionByName(_verify(pairs, docs, classes, work, "rest", shingle, sketch, threshold)), work, "round-3")
 
     reach = classes.select("c", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("c", F.coalesce("m", "rep").alias("component_id"))
     out = described.select("doc_id", "n", "c").join(reach, "c", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group; rows with a null doc_id stay."""
+    gone = near_dedup(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
