@@ -119,7 +119,7 @@ def anchors() -> list[str]:
 
 
 def _pattern(sequence: list[str]) -> str:
-    return ("<->" + "{0," + str(GAP) + "}").join("<" + re.sub(r"([.+*?^$()\[\]{}|\\])", r"\\\1", i) + ">" for i in sequence)
+    return ("(?:<->){0," + str(GAP) + "}").join("<" + re.sub(r"([.+*?^$()\[\]{}|\\])", r"\\\1", i) + ">" for i in sequence)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ def _collect(docs: DataFrame) -> Matrix:
     rows, seen = [], set()
     for s, v in zip(got["slots"].to_pylist(), got["shares"].to_pylist()):
         slot = np.frombuffer(s, np.int32)
-        mark = tuple(int(mix(slot.astype(U) ^ U(salt)).min()) for salt in (0x3C6EF372, 0xA54FF53A)) if len(slot) else ()
-        if mark not in seen:  # near copies mostly share the two least hashes
+        mark = tuple(int(mix(slot.astype(U) ^ U(salt)).min()) for salt in range(1, 9)) if len(slot) else ()
+        if mark not in seen:  # near copies mostly share the least of eight hashes each
             seen.add(mark)
             rows.append((slot, np.frombuffer(v, np.float32)))
     return Matrix.of(rows, 1 << BITS)
