@@ -13,7 +13,8 @@ from the table's end, and an edit in a text re-encodes the pieces near it.
 
 A text is split by the vocabulary's pattern first and each piece is encoded
 alone, as the vocabulary asks; a piece that is a token as a whole is that
-token. Pieces recur, so each executor process keeps a bounded cache of them.
+token. Pieces recur, so each task keeps a bounded cache of them, and new ones
+are encoded in sorted order on one table, so that common prefixes are done once.
 
 Defined results: null text is empty; an empty text has no tokens; documents of
 any length are encoded whole; repeated rows are encoded each; an empty table
@@ -31,13 +32,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import as_bytes
+from .common import map_texts
+
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces kept by one executor process, in two generations: when the young one is
-#: full it becomes the old one, and pieces met again come back from there.
-CACHE_PIECES = 300_000
-_CACHE_BYTES = 64
+#: Pieces that one task keeps; when they are more it starts anew.
+CACHE_PIECES = 600_000
+#: Texts whose pieces are encoded together, up to so many characters.
+TOGETHER = 4 << 20
+
+
+_SHORT = (3, 2, 1)
 
 
 class Vocabulary:
@@ -46,13 +51,13 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.longest = max(map(len, ranks))
-        # lengths of the tokens that end in three given bytes, longest first
+        self.size_of = {r: len(b) for b, r in ranks.items()}
+        # lengths of the tokens that end in four given bytes, longest first
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
-            if len(token) >= 3:
-                ends.setdefault(token[-3:], {1, 2}).add(len(token))
-        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+            if len(token) >= 4:
+                ends.setdefault(token[-4:], {1, 2, 3}).add(len(token))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
 
@@ -92,11 +97,45 @@ class Vocabulary:
         key = left << 32 | right
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 600_000:
                 self._fits.clear()
             found = self._fits[key] = self.parts(right) is not None and self._stand(left, right)
         return found
 
+    def extend(self, piece: bytes, last: list[int], begin: int = 0) -> None:
+        """Go on with the table of last tokens from the prefix of ``begin`` bytes; -2 where a prefix has none."""
+        rank, ends, known, fits = self.ranks.get, self.ends.get, self._fits.get, self.fits
+        add = last.append
+        for end in range(begin + 1, len(piece) + 1):
+            for n in ends(piece[end - 4 : end], _SHORT) if end > 3 else _SHORT[3 - end :]:
+                if n > end:
+                    continue
+                token = rank(piece[end - n : end])
+                if token is None:
+                    continue
+                before = last[end - n]
+                if before >= 0:
+                    stands = known(before << 32 | token)
+                    if stands or stands is None and fits(before, token):
+                        add(token)
+                        break
+                elif before == -1 and self.parts(token) is not None:
+                    add(token)
+                    break
+            else:
+                add(-2)
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        last = [-1]
+        self.extend(piece, last)
+        sizes, out, at = self.size_of, [], len(piece)
+        while at:
+            token = last[at]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
+
     def _stand(self, left: int, right: int) -> bool:
         """Undo merges, the latest first, and look for a pair at the boundary that would have gone first.
 
@@ -129,21 +168,9 @@ class PrefixTable:
         self.append(piece)
 
     def append(self, more: bytes) -> None:
-        v = self.vocabulary
-        rank, ends, fits, last = v.ranks.get, v.ends.get, v.fits, self.last
         begin = len(self.piece)
         self.piece += more
-        piece = bytes(self.piece)
-        for end in range(begin + 1, len(piece) + 1):
-            for n in ends(piece[end - 3 : end], (2, 1)) if end >= 3 else (2, 1):
-                before = last[end - n] if n <= end else -2
-                if before != -2:
-                    token = rank(piece[end - n : end])
-                    if token is not None and (fits(before, token) if before >= 0 else v.parts(token) is not None):
-                        last.append(token)
-                        break
-            else:
-                last.append(-2)
+        self.vocabulary.extend(bytes(self.piece), self.last, begin)
 
     def tokens(self, end: int | None = None) -> list[int]:
         """Tokens of the first ``end`` bytes, by default of all."""
@@ -155,34 +182,15 @@ class PrefixTable:
         return out[::-1]
 
 
-class PieceCache(dict):
-    """Decimal ids of pieces, joined by commas, in two generations of CACHE_PIECES each."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder, self.old = encoder, {}
-
-    def __missing__(self, piece: str) -> str:
-        found = self.old.get(piece)
-        if found is None:
-            found = ",".join(map(str, self.encoder.piece(piece.encode())))
-        if len(piece) <= _CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.bytes_of_name = {str(r): b for r, b in vocabulary.bytes_of.items()}
-        self._cache = PieceCache(self)
+        self._cache: dict[str, str] = {}
 
     def piece(self, piece: bytes) -> list[int]:
         whole = self.vocabulary.ranks.get(piece)
-        return [whole] if whole is not None else PrefixTable(self.vocabulary, piece).tokens()
+        return [whole] if whole is not None else self.vocabulary.encode_piece(piece)
 
     def encode(self, text: str) -> list[int]:
         return [t for p in self.pattern.findall(text) for t in self.piece(p.encode())]
@@ -191,10 +199,45 @@ class Encoder:
         of = self.vocabulary.bytes_of
         return b"".join([of[i] for i in ids])
 
-    def encode_joined(self, text: str) -> tuple[str, int]:
-        """Decimal ids joined by commas, and their number."""
-        joined = ",".join(map(self._cache.__getitem__, self.pattern.findall(text)))
-        return joined, joined.count(",") + 1 if joined else 0
+    def encode_joined(self, texts: list[str]) -> list[str]:
+        """Decimal ids of each text, joined by commas.
+
+        New pieces are encoded in sorted order on one table: each keeps the
+        entries of the prefix that it has in common with the one before.
+        """
+        split = [self.pattern.findall(t) for t in texts]
+        if len(self._cache) > CACHE_PIECES:
+            self._cache = {}
+        cache = self._cache
+        fresh = sorted({p for pieces in split for p in pieces if p not in cache})
+        v = self.vocabulary
+        ranks, extend, sizes = v.ranks, v.extend, v.size_of
+        before, last = b"", [-1]
+        for piece in fresh:
+            b = piece.encode()
+            whole = ranks.get(b)
+            if whole is not None:
+                cache[piece] = str(whole)
+                continue
+            n = 0
+            for x, y in zip(before, b):
+                if x != y:
+                    break
+                n += 1
+            del last[n + 1 :]
+            extend(b, last, n)
+            before, at, out = b, len(b), []
+            while at:
+                token = last[at]
+                out.append(token)
+                at -= sizes[token]
+            out.reverse()
+            cache[piece] = ",".join(map(str, out))
+        return [",".join(map(cache.__getitem__, p)) for p in split]
+
+    def forget(self) -> None:
+        """Free the cache; executors keep their Python processes for other work."""
+        self._cache = {}
 
     def decode_joined(self, joined: str) -> bytes:
         return b"".join(map(self.bytes_of_name.__getitem__, joined.split(","))) if joined else b""
@@ -283,18 +326,23 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = T
     def work(batches):
         enc = encoder(vocabulary)
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for lo in range(0, len(texts), 256):
-                n, shas, back, all_ids = [], [], [], []
-                for t in texts[lo : lo + 256]:
-                    joined, count = enc.encode_joined(t.decode("utf-8"))
-                    n.append(count)
-                    shas.append(hashlib.sha256(joined.encode()).hexdigest())
-                    back.append(hashlib.sha256(enc.decode_joined(joined)).hexdigest())
-                    all_ids.append(list(map(int, joined.split(","))) if with_ids and joined else [] if with_ids else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string()), pa.array(all_ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, OUT)
+            texts = batch.column("text").to_pylist()
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= TOGETHER):
+                    size += len(texts[hi] or "")
+                    hi += 1
+                joined = enc.encode_joined([t or "" for t in texts[lo:hi]])
+                n = [j.count(",") + 1 if j else 0 for j in joined]
+                shas = [hashlib.sha256(j.encode()).hexdigest() for j in joined]
+                back = [hashlib.sha256(enc.decode_joined(j)).hexdigest() for j in joined]
+                ids = [list(map(int, j.split(","))) if j else [] for j in joined] if with_ids else [None] * len(joined)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                lo = hi
+        enc.forget()
+
+    out = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, OUT)
     return out if with_ids else out.drop("ids")
 
 
@@ -307,4 +355,4 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             texts = [enc.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
+    return map_texts(encoded.select("doc_id", "ids"), work, "doc_id long, text string")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .linear import Matrix, bounded_sample, collect_features, logistic, means, platt, sigmoid
 from .textkernel import PLAIN_FOLDED, as_bytes, blocks
 
@@ -160,4 +161,4 @@ def quality(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
                     columns = sigmoid(t), sigmoid(p), trained.combine(t, p)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *map(pa.array, columns), pa.array(columns[2] >= threshold)], names=["doc_id", "text_score", "page_score", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _meta().alias("_meta")).mapInArrow(work, OUT)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _meta().alias("_meta")), work, OUT)

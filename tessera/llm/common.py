@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows of an Arrow batch of texts. Spark's default of 10,000 makes a Python
+#: worker hold tens of MB of text several times over.
+BATCH_ROWS = 1000
+
+
+def map_texts(df: DataFrame, work: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow(work) in batches of at most BATCH_ROWS rows; the session keeps a smaller setting."""
+    spark = df.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(work, schema)
+
+
 class Workspace:
     """Tables written in the shared folder between the phases of one operator."""
 

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .textkernel import ALNUM_FOLDED, WORD_BASE, Block, U, as_bytes, blocks, covered, mix, per_doc
 
 WINDOW = 10
@@ -179,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                     hit, doc, item = scan(block, searchers)
                     yield _report(batch.column("doc_id").slice(lo, hi - lo), block.counts, per_doc(block, hit), _named(hi - lo, doc, item, names))
 
-        return docs.mapInArrow(work, OUT)
+        return map_texts(docs, work, OUT)
     return _by_slabs(docs, items, window, int(size // max_item_bytes) + 1)
 
 
@@ -203,7 +204,7 @@ def _by_slabs(docs: DataFrame, items: DataFrame, window: int, slabs: int) -> Dat
                     take = pa.array(some + lo)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array([at[i] for i in some], pa.list_(pa.int64())), pa.array([listed[i] for i in some], pa.list_(pa.string()))], names=["doc_id", "tag", "at", "found"])
 
-        part = docs.mapInArrow(work, "doc_id long, tag long, at array<long>, found array<string>")
+        part = map_texts(docs, work, "doc_id long, tag long, at array<long>, found array<string>")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("doc_id", "tag").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
 
@@ -215,7 +216,7 @@ def _by_slabs(docs: DataFrame, items: DataFrame, window: int, slabs: int) -> Dat
                 yield _report(batch.column("doc_id").slice(lo, hi - lo), block.counts, hits, [x or [] for x in batch.column("found").slice(lo, hi - lo).to_pylist()])
 
     both = docs.alias("d").join(merged.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.tag = m.tag"), "left")
-    return both.select("d.doc_id", "d.text", "m.at", "m.found").mapInArrow(count, OUT)
+    return map_texts(both.select("d.doc_id", "d.text", "m.at", "m.found"), count, OUT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -234,5 +235,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     hit, _, _ = scan(block, searchers)
                     yield batch.slice(lo, hi - lo).filter(pa.array(per_doc(block, hit) == 0))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = map_texts(docs, work, docs.schema)
     return docs

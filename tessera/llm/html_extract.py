@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 WINDOW = 3
 #: A stretch's window sum has to pass this share of the page's largest.
 SURGE_SHARE = 0.2
@@ -175,4 +177,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(p or "") for p in pages[lo : lo + 256]]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(lo, len(texts)), batch.column("url").slice(lo, len(texts)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(work, OUT)
+    return map_texts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), work, OUT)

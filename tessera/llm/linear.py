@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .textkernel import PLAIN_FOLDED, Block, U, as_bytes, blocks
 
 #: Bits of a slot; words take the first half of the slots, characters the second.
@@ -161,7 +162,7 @@ def collect_features(docs: DataFrame, sample: DataFrame, extra: str | None = Non
                 rows = sparse(block)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), batch.column("extra").slice(lo, hi - lo), pa.array([s.tobytes() for s, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["doc_id", "label", "extra", "slots", "shares"])
 
-    got = picked.mapInArrow(work, "doc_id long, label int, extra string, slots binary, shares binary").toArrow()
+    got = map_texts(picked, work, "doc_id long, label int, extra string, slots binary, shares binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("slots", "ascending")])
     ids, labels = got["doc_id"].to_numpy(), got["label"].to_numpy()
     rows = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(got["slots"].to_pylist(), got["shares"].to_pylist())]

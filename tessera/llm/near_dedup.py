@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, map_texts
 from .components import components
 from .textkernel import PLAIN_FOLDED, Block, U, as_bytes, blocks, mix
 
@@ -323,13 +323,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspa
     a = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     sized = pairs.join(a, "a").join(b, "b").where(f"{of} * least(na, nb) >= {part} * greatest(na, nb)")
-    likely = work.write(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(sketch, part / of), "a long, b long"), f"{name}-likely")
+    likely = work.write(map_texts(sized.select("a", "b", "na", "nb", "sa", "sb"), _likely(sketch, part / of), "a long, b long"), f"{name}-likely")
     # full sets of the classes in these pairs only
     needed = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct().join(classes.select("c", F.col("rep").alias("doc_id")), "c")
-    sets = work.write(docs.join(needed, "doc_id").select("doc_id", "c", "text").mapInArrow(_sets(shingle), "c long, rep long, grams binary"), f"{name}-sets")
+    sets = work.write(map_texts(docs.join(needed, "doc_id").select("doc_id", "c", "text"), _sets(shingle), "c long, rep long, grams binary"), f"{name}-sets")
     a = sets.select(F.col("c").alias("a"), F.col("rep").alias("ra"), F.col("grams").alias("ga"))
     b = sets.select(F.col("c").alias("b"), F.col("rep").alias("rb"), F.col("grams").alias("gb"))
-    links = work.write(likely.join(a, "a").join(b, "b").select("ra", "rb", "ga", "gb").mapInArrow(_confirmed(threshold), "u long, v long"), f"{name}-links")
+    links = work.write(map_texts(likely.join(a, "a").join(b, "b").select("ra", "rb", "ga", "gb"), _confirmed(threshold), "u long, v long"), f"{name}-links")
     work.drop(f"{name}-likely", f"{name}-sets")
     return links
 
@@ -343,12 +343,12 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     spark = docs.sparkSession
     work = Workspace(spark, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = docs.mapInArrow(_describe(shingle, sketch), "doc_id long, n long, c long, sketch binary")
-    described = work.write(docs.mapInArrow(_describe(shingle, 0), "doc_id long, n long, c long, sketch binary").drop("sketch"), "described")
+    sketched = map_texts(docs, _describe(shingle, sketch), "doc_id long, n long, c long, sketch binary")
+    described = work.write(map_texts(docs, _describe(shingle, 0), "doc_id long, n long, c long, sketch binary").drop("sketch"), "described")
     classes = sketched.where("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
     classes = work.write(classes.select("c", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch"), "classes")
 
-    listed = work.write(classes.select("c", "n", "sketch").mapInArrow(_listed(parts), "key long, c long, small boolean"), "listed")
+    listed = work.write(map_texts(classes.select("c", "n", "sketch"), _listed(parts), "key long, c long, small boolean"), "listed")
     sizes = work.write(listed.groupBy("key").agg(F.min("c").alias("low"), F.count("*").alias("members"), F.max("c").alias("high")).where("low < high").drop("high"), "sizes")
     listed = work.write(listed.join(sizes, "key"), "lists")
     # what many lists have in common with others is the origin of a group of copies, if any is
@@ -380,12 +380,12 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
         return work.write(member.join(work.write(keys, f"{name}-keys"), "key"), name)
 
     left = opened(comp, "open-1")
-    sigs = work.write(classes.select("c", "sketch").mapInArrow(_signed(parts), "c long, sig binary").join(left.select("c").distinct(), "c"), "sigs")
+    sigs = work.write(map_texts(classes.select("c", "sketch"), _signed(parts), "c long, sig binary").join(left.select("c").distinct(), "c"), "sigs")
     draws = [F.min(F.struct(F.xxhash64("c", "key", F.lit(r)).alias("h"), "c", "comp")).alias(f"x{r}") for r in range(DRAWS)]
     drawn = left.groupBy("key").agg(*draws).select("key", F.explode(F.array(*[f"x{r}" for r in range(DRAWS)])).alias("x")).select("key", "x.c", "x.comp").distinct()
     drawn = work.write(drawn.join(sigs, "c").select("key", F.col("c").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("gb")), "drawn")
     some = left.join(sigs, "c").withColumnsRenamed({"c": "a", "sig": "ga"}).join(drawn, "key").where("comp <> cb")
-    some = some.select("a", "b", "ga", "gb", "small").mapInArrow(_agree(parts), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    some = map_texts(some.select("a", "b", "ga", "gb", "small"), _agree(parts), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(_verify(some, docs, classes, work, "drawn", shingle, sketch, threshold))
     comp = components(links, work, "round-2")
 
@@ -396,7 +396,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     short = left.where(F.col("members") <= SHORT_LIST).join(sigs, "c")
     a = short.select("key", F.col("c").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("ga"), "small")
     b = short.select("key", F.col("c").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("gb"))
-    few = a.join(b, "key").where("ca < cb").select("a", "b", "ga", "gb", "small").mapInArrow(_agree(parts), "a long, b long")
+    few = map_texts(a.join(b, "key").where("ca < cb").select("a", "b", "ga", "gb", "small"), _agree(parts), "a long, b long")
     blocks_ = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("c"), blocks_).cast("int")
     long_ = left.where(F.col("members") > SHORT_LIST).select("key", "c", "comp", "small", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("other"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .linear import bounded_sample, collect_features, logistic, means, platt, sigmoid
 from .textkernel import PLAIN, PLAIN_FOLDED, Block, as_bytes, blocks, covered, mix, per_doc, powers, BASE, U
 
@@ -126,4 +127,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
                 p = np.ones(hi - lo) if trained is None else trained.probability(Block(block.texts, PLAIN_FOLDED))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *[pa.array(v, pa.int64()) for v in got.values()], pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)], names=["doc_id", *got, "base_failed", "kept", "quality"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, OUT)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, OUT)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, map_texts
 from .textkernel import PLAIN, WORD_BASE, Block, U, as_bytes, blocks, covered, mix, per_doc, range_hash
 
 WINDOW = 13
@@ -193,11 +193,11 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Workspace, window: int =
     tag is the CRC-32 of the text, which tells apart rows that repeat a doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = docs.mapInArrow(_seen(window, seed), "h long, doc_id long")
+    seen = map_texts(docs, _seen(window, seed), "h long, doc_id long")
     shared = seen.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     shared = work.write(shared, "shared")
 
-    runs = docs.mapInArrow(_run_rows(window, seed), "h long, c long, doc_id long, tag long, s int, n int")
+    runs = map_texts(docs, _run_rows(window, seed), "h long, c long, doc_id long, tag long, s int, n int")
     runs = work.write(runs.join(shared, "h", "left_semi"), "runs")
 
     contexts = work.write(runs.groupBy("c").agg(F.min("doc_id").alias("lowest"), F.min("h").alias("h")), "contexts")
@@ -209,7 +209,7 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Workspace, window: int =
     part = settled.where("doc_id = lowest").join(split, "h", "left_semi")
     part = part.groupBy("doc_id", "tag").agg(F.collect_set(F.col("s").cast("long") * 256 + F.col("n")).alias("runs"))
     tagged = docs.withColumn("tag", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    windows = tagged.join(part, ["doc_id", "tag"]).mapInArrow(_window_rows(window), "w long, doc_id long, tag long, s int")
+    windows = map_texts(tagged.join(part, ["doc_id", "tag"]), _window_rows(window), "w long, doc_id long, tag long, s int")
     windows = work.write(windows, "windows")
     lowest = windows.groupBy("w").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
     lowest = work.write(lowest.select("w", "lowest"), "lowest")
@@ -231,5 +231,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wit
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tagged = docs.withColumn("tag", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     joined = tagged.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
-    out = joined.mapInArrow(_apply(with_text), _LONG2)
+    out = map_texts(joined, _apply(with_text), _LONG2)
     return out if with_text else out.drop("kept_text")

@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text in a block. A document is never cut: a longer one is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(0x7E55E2A))

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .linear import Matrix, adam, bounded_sample, sigmoid
 from .textkernel import ALNUM_FOLDED, BASE, Block, U, as_bytes, blocks, mix, powers
 
@@ -101,7 +102,7 @@ def _present(batches):
 
 
 def _collect(docs: DataFrame) -> Matrix:
-    got = docs.select("doc_id", "text").mapInArrow(_present, "doc_id long, slots binary, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("slots", "ascending")])
+    got = map_texts(docs.select("doc_id", "text"), _present, "doc_id long, slots binary, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("slots", "ascending")])
     rows, seen = [], set()
     for s, v in zip(got["slots"].to_pylist(), got["shares"].to_pylist()):
         slot = np.frombuffer(s, np.int32)
@@ -188,7 +189,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_R
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return chosen.mapInArrow(work, OUT)
+    return map_texts(chosen, work, OUT)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -203,4 +204,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 score = np.zeros(hi - lo) if trained is None else trained.score(block)
                 yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_texts(docs, work, docs.schema)
