@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Share of the query's trigrams that a content must reach.
 WORD_THRESHOLD = 0.6
@@ -90,11 +91,10 @@ def _sweep(wanted: set[str], grams: list[str]) -> float:
     return best
 
 
-@F.pandas_udf("double")
-def word_similarity_udf(query: pd.Series, content: pd.Series) -> pd.Series:
-    sets: dict[str, set[str]] = {}
-    out = []
-    for q, c in zip(query, content):
-        wanted = sets.setdefault(q or "", set(trigram_list(q or "")))
-        out.append(_sweep(wanted, trigram_list(c or "")) if wanted else 0.0)
-    return pd.Series(out, dtype="float64")
+@F.pandas_udf(T.DoubleType())
+def similarity_udf(query: pd.Series, content: pd.Series) -> pd.Series:
+    """word_similarity over columns; a text's trigrams are taken once for each batch."""
+    query, content = query.fillna(""), content.fillna("")
+    queries = {q: set(trigram_list(q)) for q in query.unique()}
+    contents = {c: trigram_list(c) for c in content.unique()}
+    return pd.Series([_sweep(queries[q], contents[c]) if queries[q] else 0.0 for q, c in zip(query, content)], dtype="float64")

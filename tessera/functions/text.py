@@ -124,7 +124,7 @@ def principal_key(sub: Column, uid: Column, api_key: Column, forwarded: Column,
 
 def pipe_row(cells: Column) -> Column:
     """One row of a pipe table: bars escaped, line breaks to spaces, nulls empty."""
-    clean = F.transform(cells, lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\\\|"), r"\r\n|\r|\n", " "))
+    clean = F.transform(cells, lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\|"), r"\r\n|\r|\n", " "))
     return F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))
 
 

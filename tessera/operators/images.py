@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import strip
 
@@ -83,7 +84,7 @@ def place(markdown: str, refs: list[Ref]) -> list[Ref]:
     return out
 
 
-_PLACED = "array<struct<name:string,position:int,alt:string,context:string,section_title:string>>"
+_PLACED = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("alt", "context", "section_title")]]))
 
 
 @F.pandas_udf(_PLACED)

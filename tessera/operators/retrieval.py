@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.similarity import WORD_THRESHOLD, cosine, norm, trigrams, word_similarity_udf
+from tessera.functions.similarity import WORD_THRESHOLD, cosine, norm, similarity_udf, trigrams
 
 RRF_K, TOP_K, RERANK_INPUT = 60, 5, 20
 NO_RESULTS = "No relevant information found."
@@ -49,8 +51,10 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, thresh
     wanted = q.select("query_id", "kb_id", F.size("grams").alias("n"), F.explode("grams").alias("trigram"))
     held = index.join(wanted, ["kb_id", "trigram"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("held"), F.first("n").alias("n"))
     likely = held.where(F.col("held") >= F.lit(threshold) * F.col("n") - 1e-9).select("query_id", "chunk_id")
+    # few bytes but much work: as many tasks as a shuffle has, which AQE leaves as they are
+    likely = likely.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
     text = likely.join(chunks.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "query"), "query_id")
-    scored = text.select("query_id", "chunk_id", word_similarity_udf("query", "content").alias("score"))
+    scored = text.select("query_id", "chunk_id", similarity_udf("query", "content").alias("score"))
     return _top(scored.where(F.col("score") >= F.lit(threshold) - 1e-7), "score", k).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -101,11 +105,18 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, scorer: Callab
 
 
 def embed(text: Column, dim: int = 64) -> Column:
-    """A deterministic embedding for tests: signed hashed trigram counts. Stands in for an external model."""
-    grams = trigrams(text)
-    slots = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(2 * dim)).cast("int"))
-    count = lambda slot: F.size(F.filter(slots, lambda s: s == slot))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (count(2 * d) - count(2 * d + 1)).cast("float"))
+    """A deterministic embedding for tests, signed hashed byte trigrams. Stands in for an external model."""
+
+    @F.pandas_udf("array<float>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            raw = np.frombuffer(f"  {(t or '').lower()} ".encode(), np.uint8).astype(np.uint32)
+            h = (raw[:-2] * np.uint32(961) + raw[1:-1] * np.uint32(31) + raw[2:]) * np.uint32(2654435761) >> np.uint32(16)
+            out.append(np.bincount(h % dim, np.where(h >> 15 & 1, 1.0, -1.0), dim).astype(np.float32))
+        return pd.Series(out)
+
+    return hashed(text)
 
 
 def first_hits(ranked: DataFrame, chunks: DataFrame, phrases: DataFrame) -> DataFrame:
