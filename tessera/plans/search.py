@@ -344,3 +344,25 @@ def streamed_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = windows.event_stream(spark, sf_dir)
     counts = windows.windowed_ratio(events, F.col("event_type") == "error", "10 minutes", "5 minutes")
     return windows.run_to_end(counts, f"counts_{uuid.uuid4().hex}", "complete").select(micros("start"), "total", "bad")
+
+
+# Sites with rules of their own
+
+_SITE_PAGES = (
+    "CASE page_id % 4 WHEN 0 THEN 'xhs' WHEN 1 THEN 'baike' WHEN 2 THEN 'wechat' ELSE 'generic' END AS site, "
+    "CASE page_id % 4 WHEN 0 THEN '<title>N' || page_id || ' - 小红书</title><meta name=\"description\" content=\"body ' || page_id || '\"><img src=\"https://ci.xhscdn.com/' || page_id || '\"><img src=\"https://ci.xhscdn.com/avatar\">' "
+    "WHEN 1 THEN '<title>E' || page_id || '_百度百科</title><div class=\"para_x1\">' || repeat('text ', 60) || page_id || '</div><div class=\"paraTitle_1\">no</div>' "
+    "WHEN 2 THEN '<h1 id=\"activity-name\"> T' || page_id || ' </h1><div id=\"js_content\"><p>Hello  ' || page_id || '</p><img data-src=\"u' || page_id || '\"></div>' ELSE html END AS html"
+)
+
+
+@query("""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'xhs' WHEN 1 THEN 'baike' ELSE 'wechat' END AS site, CASE page_id % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'E' ELSE 'T' END || page_id AS title,
+ CASE page_id % 4 WHEN 0 THEN 'body ' || page_id WHEN 1 THEN repeat('text ', 60) || page_id ELSE 'Hello ' || page_id END AS body, CASE page_id % 4 WHEN 0 THEN 'https://ci.xhscdn.com/' || page_id WHEN 1 THEN '' ELSE 'u' || page_id END AS images FROM pages WHERE page_id % 4 < 3
+""")
+def site_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, bodies and images by the rules of single sites."""
+    from tessera.sources.sites import extract_sites
+
+    p = load(spark, sf_dir, "pages").selectExpr("page_id", *[_SITE_PAGES.rsplit(", CASE", 1)[0], "CASE" + _SITE_PAGES.rsplit(", CASE", 1)[1]])
+    return extract_sites(p).withColumn("images", F.array_join("images", " "))

@@ -42,11 +42,11 @@ def csv_tables(files: DataFrame) -> DataFrame:
     """(filename, markdown) of CSV contents: RFC 4180 cells as a pipe table."""
     import csv
 
-    @F.pandas_udf("array<array<string>>")
-    def cells(content: pd.Series) -> pd.Series:
-        return pd.Series([[r for r in csv.reader(io.StringIO(bytes(c).decode("utf-8-sig", "replace"))) if r] for c in content])
+    @F.pandas_udf("string")
+    def table(content: pd.Series) -> pd.Series:
+        return pd.Series([table_markdown([r for r in csv.reader(io.StringIO(bytes(c).decode("utf-8-sig", "replace"))) if r]) for c in content])
 
-    return files.select("filename", pipe_table(cells("content")).alias("markdown"))
+    return files.select("filename", table("content").alias("markdown"))
 
 
 def sheet_markdown(rows: DataFrame, max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS) -> DataFrame:

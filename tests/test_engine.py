@@ -276,3 +276,33 @@ def test_schema(spark):
     with pytest.raises(Exception, match="dimension"):
         schema.check_dimension(chunks, 3).collect()
     assert one(spark, schema.in_domain("tasks.status", F.lit("dead"))) and not one(spark, schema.in_domain("tasks.status", F.lit("zombie")))
+
+
+def test_sites():
+    from tessera.sources import sites
+
+    note = '<title>Note - 小红书</title><div class="author-desc-wrapper">no</div><div class="author-desc"><i class="author-desc-trigger">展开</i> the body</div><img data-src="https://a.xhscdn.com/1"><img src="https://a.xhscdn.com/1"><img src="https://a.xhscdn.com/Avatar/2"><img src="https://other.example/3">'
+    assert sites.xhs(note) == ("Note", "the body", ["https://a.xhscdn.com/1"])
+    assert sites.xhs('<meta property="og:title" content="OG"><div id="detail-desc">old</div>') == ("OG", "old", [])
+    assert sites.is_video_note("https://x/1?a=1&type=video#f") and not sites.is_video_note("https://x/1?xtype=video&type=video2")
+    post = '<div id="js_image_content"><h1 class="t">Pics</h1><div class="box"><img data-src="cover"></div></div><div id="js_image_desc">said <img data-src="in"></div>'
+    assert sites.wechat(post) == ("Pics", "said", ["cover", "in"])
+    assert sites.wechat("<p>nothing</p>") == ("", "", [])
+    entry = "<title>X_百度百科</title><script>var para_ = 1</script><p>目录 1 甲 2 乙 播报 short 编辑</p>"
+    assert sites.baike(entry)[:2] == ("X", "X_百度百科 short")
+    assert sites.baike_card('{"newLemmaId": 5, "abstract": " a ", "desc": "d", "image": "i"}', 5, "k") == ("k", "d\n\na", ["i"])
+    assert sites.baike_card('{"newLemmaId": 6, "abstract": "a"}', 5, "k") is None and sites.baike_card("junk", None, "k") is None
+    html = f'<img src="https://{sites.FEISHU_IMAGE_HOST}/a"><img src="https://x.feishucdn.com/b"><img src="data:z">'
+    assert sites.feishu_images(html) == [f"https://{sites.FEISHU_IMAGE_HOST}/a"]
+    assert sites.named_images("t ![](u1)", ["u1", "u2"], ["1.png", "2.png"]) == "t ![](1.png)\n\n![](2.png)"
+
+
+def test_object_store(spark, tmp_path):
+    from tessera.sources.store import ObjectStore
+
+    store = ObjectStore(spark, f"file://{tmp_path}")
+    store.put("a/b.bin", b"\x00\xff")
+    store.put("a/c.bin", b"")
+    assert store.get("a/b.bin") == b"\x00\xff" and store.exists("a/c.bin")
+    assert store.delete("a/c.bin") and not store.exists("a/c.bin")
+    assert store.delete_prefix("a") == 1 and store.delete_prefix("none") == 0
