@@ -37,9 +37,9 @@ from .common import map_texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that one task keeps; when they are more it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 #: Texts whose pieces are encoded together, up to so many characters.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 _SHORT = (3, 2, 1)
@@ -97,7 +97,7 @@ class Vocabulary:
         key = left << 32 | right
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 600_000:
+            if len(self._fits) > 250_000:
                 self._fits.clear()
             found = self._fits[key] = self.parts(right) is not None and self._stand(left, right)
         return found

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
-from .linear import Matrix, bounded_sample, collect_features, logistic, means, platt, sigmoid
+from .linear import Matrix, bounded_sample, collect_features, least_hashed, logistic, means, platt, sigmoid
 from .textkernel import PLAIN_FOLDED, as_bytes, blocks
 
 LABELLED_ROWS = 2000
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     docs = docs.withColumn("_meta", _meta())
     given = bounded_sample(labels, "quality", labelled_rows)
     free = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").join(F.broadcast(given), "doc_id", "left_anti")
-    free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled_rows).distinct().select("doc_id", F.lit(-1).alias("label"))
+    free = least_hashed(free, unlabelled_rows).distinct().select("doc_id", F.lit(-1).alias("label"))
     ids, y, x, metas = collect_features(docs, given.unionByName(free), "_meta")
     labelled = y >= 0
     if len(set(y[labelled])) < 2:

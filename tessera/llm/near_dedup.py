@@ -404,6 +404,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     many = long_.groupBy("key", "i", "j").applyInArrow(_meet(parts, sketch, threshold[0] / threshold[1]), "a long, b long")
     pairs = few.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     comp = components(links.unionByName(_verify(pairs, docs, classes, work, "rest", shingle, sketch, threshold)), work, "round-3")
+    work.drop("met", "links", *[f"{n}-links" for n in ("stars", "drawn", "rest")], *[f"open-{k}{t}" for k in (1, 2) for t in ("", "-members", "-keys")], "sigs", "drawn", "lengths", "sized")
 
     reach = classes.select("c", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("c", F.coalesce("m", "rep").alias("component_id"))
     out = described.select("doc_id", "n", "c").join(reach, "c", "left")

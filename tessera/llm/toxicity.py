@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
-from .linear import Matrix, adam, bounded_sample, sigmoid
+from .linear import Matrix, adam, bounded_sample, least_hashed, sigmoid
 from .textkernel import ALNUM_FOLDED, BASE, Block, U, as_bytes, blocks, mix, powers
 
 POSITIVE_ROWS = 3000
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
         return None
     picked = bounded_sample(own.where("toxic = 1"), "toxic", positive_rows)
     positive = _collect(docs.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id"))
-    rest = docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(unlabelled_rows)
+    rest = least_hashed(docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id"), unlabelled_rows)
     unlabelled = _collect(docs.join(F.broadcast(rest.distinct()), "doc_id"))
     if not len(positive) or not len(unlabelled):
         return None

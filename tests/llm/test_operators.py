@@ -417,3 +417,15 @@ def test_pipeline(spark, docs, rows, labels, tmp_path):
     ids = [w[0] for w in want]
     assert 2 not in ids and 9 not in ids  # contaminated
     assert 0 < len(want) < len(rows)
+
+
+def test_samples_are_the_least_hashed(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.linear import least_hashed
+
+    rows = spark.range(2000).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(7).collect()]
+    assert [r.doc_id for r in least_hashed(rows, 7).collect()] == want  # by way of the bound
+    copies = spark.range(2000).selectExpr("id % 2 AS doc_id")
+    assert least_hashed(copies, 7).count() == 7
