@@ -16,8 +16,8 @@ little. Those go into the model that are in clearly more positives than
 unlabelled texts; near copies in the samples count once.
 
 The model is fitted on the driver from bounded samples (``POSITIVE_ROWS``,
-``UNLABELLED_ROWS``; a row is at most 2**18 bits), the prior from all training
-labels. Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels
+``UNLABELLED_ROWS``), of which executors count the features and only the chosen
+ones are collected; the prior is that of all training labels. Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels
 are never read for training. All documents are scored in one pass over Arrow
 batches without a shuffle.
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Workspace, map_texts
 from .linear import Matrix, adam, bounded_sample, least_hashed, sigmoid
 from .textkernel import ALNUM_FOLDED, BASE, Block, U, as_bytes, blocks, mix, powers
 
@@ -90,7 +90,7 @@ class Model:
 
 
 def _present(batches):
-    """Slots of each document and their values, as bytes."""
+    """Slots of each sampled document and their values, as bytes, and a mark that near copies mostly share."""
     for batch in batches:
         for lo, hi, block in blocks(as_bytes(batch.column("text")), ALNUM_FOLDED):
             found = word_slots(block)
@@ -98,36 +98,56 @@ def _present(batches):
             value = np.minimum(100 * n / block.counts[pair >> BITS], MOST).astype(np.float32)
             at = np.searchsorted(pair >> BITS, np.arange(hi - lo + 1))
             slot = (pair & (1 << BITS) - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([slot[a:z].tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary()), pa.array([value[a:z].tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "slots", "shares"])
+            bounds = list(zip(at[:-1], at[1:]))
+            marks = np.array([_mark(slot[a:z]) for a, z in bounds], U)
+            ids, kind = (batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "positive"))
+            yield pa.RecordBatch.from_arrays([ids, kind, pa.array(marks.view(np.int64)), pa.array([slot[a:z].tobytes() for a, z in bounds], pa.binary()), pa.array([value[a:z].tobytes() for a, z in bounds], pa.binary())], names=["doc_id", "positive", "mark", "slots", "shares"])
 
 
-def _collect(docs: DataFrame) -> Matrix:
-    got = map_texts(docs.select("doc_id", "text"), _present, "doc_id long, slots binary, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("slots", "ascending")])
-    rows, seen = [], set()
-    for s, v in zip(got["slots"].to_pylist(), got["shares"].to_pylist()):
-        slot = np.frombuffer(s, np.int32)
-        mark = tuple(int(mix(slot.astype(U) ^ U(salt)).min()) for salt in range(1, 9)) if len(slot) else ()
-        if mark not in seen:  # near copies mostly share the least of eight hashes each
-            seen.add(mark)
-            rows.append((slot, np.frombuffer(v, np.float32)))
-    return Matrix.of(rows, 1 << BITS)
+def _mark(slot: np.ndarray) -> np.uint64:
+    """One number from the least of eight hashes each of a document's slots."""
+    out = np.zeros(1, U)
+    for salt in range(1, 9):
+        out = mix(out + (mix(slot.astype(U) ^ U(salt)).min() if len(slot) else U(0)))
+    return out[0]
 
 
-def fit(positive: Matrix, unlabelled: Matrix, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """The non-negative risk minimiser over the features that stand out among the positives."""
-    n_p, n_u = len(positive), len(unlabelled)
-    in_p = np.bincount(positive.slot, minlength=1 << BITS)
-    in_u = np.bincount(unlabelled.slot, minlength=1 << BITS)
-    chosen = np.flatnonzero((in_p >= LEAST_SUPPORT) & ((in_p / n_p) >= LEAST_LIFT * (in_u + 0.5) / (n_u + 1)) & (_evidence(in_p, n_p, in_u, n_u) >= LEAST_EVIDENCE))
-    index = np.full(1 << BITS, -1)
-    index[chosen] = np.arange(len(chosen))
+def _support(batches):
+    """(slot, positives, unlabelled): in how many documents of a batch each slot is."""
+    for batch in batches:
+        kind = np.asarray(batch.column("positive"))
+        many = [np.frombuffer(v, np.int32) for v in batch.column("slots").to_pylist()]
+        counts = [np.bincount(np.concatenate([np.zeros(0, np.int32), *[m for m, k in zip(many, kind) if k == side]]), minlength=1 << BITS) for side in (True, False)]
+        some = np.flatnonzero(counts[0] + counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["slot", "p", "u"])
+
+
+def _narrowed(chosen: np.ndarray):
+    """Rows with the chosen slots only, numbered by their place among the chosen."""
+    index = np.full(1 << BITS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen), dtype=np.int32)
+
+    def work(batches):
+        for batch in batches:
+            slots, shares = [], []
+            for s, v in zip(batch.column("slots").to_pylist(), batch.column("shares").to_pylist()):
+                place = index[np.frombuffer(s, np.int32)]
+                slots.append(place[place >= 0].tobytes())
+                shares.append(np.frombuffer(v, np.float32)[place >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(slots, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "positive", "slots", "shares"])
+
+    return work
+
+
+def choose(slot: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The slots that stand out among the positives."""
+    keep = (in_p >= LEAST_SUPPORT) & ((in_p / n_p) >= LEAST_LIFT * (in_u + 0.5) / (n_u + 1)) & (_evidence(in_p, n_p, in_u, n_u) >= LEAST_EVIDENCE)
+    return np.sort(slot[keep])
 
-    def narrowed(x: Matrix) -> Matrix:
-        keep = index[x.slot] >= 0
-        count = np.add.reduceat(np.append(keep, False), x.at[:-1]) * (np.diff(x.at) > 0) if len(x) else np.zeros(0, np.int64)
-        return Matrix(np.concatenate([[0], np.cumsum(count)]), index[x.slot[keep]], x.value[keep], len(chosen))
 
-    p, u = narrowed(positive), narrowed(unlabelled)
+def fit(p: Matrix, u: Matrix, chosen: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
+    """The non-negative risk minimiser over the chosen slots."""
+    n_p, n_u = len(p), len(u)
 
     def gradient(w: np.ndarray) -> np.ndarray:
         g_p, g_u = p.dot(w[:-1]) + w[-1], u.dot(w[:-1]) + w[-1]
@@ -141,8 +161,7 @@ def fit(positive: Matrix, unlabelled: Matrix, prior: float, steps: int = 400, ra
             rows_p, rows_u = -d_p, -d_u
         return np.append(p.back(rows_p) + u.back(rows_u) + decay * prior * w[:-1], rows_p.sum() + rows_u.sum())
 
-    start = np.append(np.zeros(len(chosen)), np.log(prior / (1 - prior)))
-    w = adam(start, gradient, steps, rate)
+    w = adam(np.append(np.zeros(len(chosen)), np.log(prior / (1 - prior))), gradient, steps, rate)
     weights = np.zeros(1 << BITS)
     weights[chosen] = w[:-1]
     return Model(weights, float(w[-1]))
@@ -165,13 +184,24 @@ def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
     prior = own.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not prior:
         return None
-    picked = bounded_sample(own.where("toxic = 1"), "toxic", positive_rows)
-    positive = _collect(docs.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id"))
-    rest = least_hashed(docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id"), unlabelled_rows)
-    unlabelled = _collect(docs.join(F.broadcast(rest.distinct()), "doc_id"))
-    if not len(positive) or not len(unlabelled):
+    picked = bounded_sample(own.where("toxic = 1"), "toxic", positive_rows).select("doc_id", F.lit(True).alias("positive"))
+    rest = least_hashed(docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id"), unlabelled_rows).select("doc_id", F.lit(False).alias("positive"))
+    sample = docs.join(F.broadcast(picked.unionByName(rest).distinct()), "doc_id").select("doc_id", "positive", "text")
+    work = Workspace(docs.sparkSession, "toxicity")
+    rows = work.write(map_texts(sample, _present, "doc_id long, positive boolean, mark long, slots binary, shares binary"), "sample")
+    rows = rows.join(rows.groupBy("positive", "mark").agg(F.min("doc_id").alias("doc_id")), ["positive", "mark", "doc_id"], "left_semi")
+    sizes = {r.positive: r.n for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return None
-    return fit(positive, unlabelled, min(prior, 0.95))
+    support = map_texts(rows.select("positive", "slots"), _support, "slot long, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    found = support.where(F.col("p") >= LEAST_SUPPORT).toArrow()
+    chosen = choose(*[found[c].to_numpy() for c in ("slot", "p", "u")], sizes[True], sizes[False])
+    got = map_texts(rows.select("doc_id", "positive", "slots", "shares"), _narrowed(chosen), "doc_id long, positive boolean, slots binary, shares binary").toArrow()
+    work.drop("sample")
+    got = got.sort_by([("doc_id", "ascending"), ("slots", "ascending"), ("shares", "ascending")])
+    kind, pairs = np.asarray(got["positive"]), list(zip(got["slots"].to_pylist(), got["shares"].to_pylist()))
+    sides = [Matrix.of([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for (s, v), k in zip(pairs, kind) if k == side], len(chosen)) for side in (True, False)]
+    return fit(*sides, chosen, min(prior, 0.95))
 
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
