@@ -140,3 +140,16 @@ def near_images(images: DataFrame, most: int = 5) -> DataFrame:
     from tessera.functions.media import hamming
 
     return left.join(right, ["band", "value"]).where("a < b").withColumn("bits", hamming(F.col("pa"), F.col("pb"))).where(F.col("bits") <= most).select("a", "b", "bits").distinct()
+
+
+def near_image_classes(images: DataFrame, most: int = 5) -> DataFrame:
+    """near_images without its copies expanded: pairs (a, b, bits) that state every near pair once.
+
+    Images with equal hashes are a class, which its smallest id represents. Rows
+    are pairs of representatives, and with 0 bits each other member b beside its
+    representative a. Two images are near if their representatives are one or a pair.
+    """
+    rows = images.where("phash IS NOT NULL").select("id", "phash")
+    classes = rows.groupBy("phash").agg(F.min("id").alias("rep"))
+    members = rows.join(classes, "phash").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("bits")).distinct()
+    return near_images(classes.select(F.col("rep").alias("id"), "phash"), most).unionByName(members)

@@ -221,8 +221,17 @@ _HASH = "SELECT event_id AS id, left(md5(CAST(event_id % 300 AS VARCHAR)), 15) |
 @query(f"WITH h AS ({_HASH}) SELECT a.id AS a, b.id AS b, bit_count(xor(('0x' || left(a.phash, 8))::BIGINT, ('0x' || left(b.phash, 8))::BIGINT))::INT + bit_count(xor(('0x' || right(a.phash, 8))::BIGINT, ('0x' || right(b.phash, 8))::BIGINT))::INT AS bits FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(('0x' || left(a.phash, 8))::BIGINT, ('0x' || left(b.phash, 8))::BIGINT)) + bit_count(xor(('0x' || right(a.phash, 8))::BIGINT, ('0x' || right(b.phash, 8))::BIGINT)) <= 5")
 def near_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images whose perceptual hashes differ in five bits at most, found by bands of bits."""
-    h = load(spark, sf_dir, "events").where("event_id < 1200").selectExpr("event_id AS id", "left(md5(encode(cast(event_id % 300 AS string), 'UTF-8')), 15) || substr('0123456789abcdef', cast(event_id % 16 AS int) + 1, 1) AS phash")
-    return images.near_images(h)
+    return images.near_images(_hashes(spark, sf_dir).where("id < 1200"))
+
+
+@query()
+def near_images_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T23 over all images, equal hashes as one class: pairs of representatives, and the members of each."""
+    return images.near_image_classes(_hashes(spark, sf_dir))
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").selectExpr("event_id AS id", "left(md5(encode(cast(event_id % 300 AS string), 'UTF-8')), 15) || substr('0123456789abcdef', cast(event_id % 16 AS int) + 1, 1) AS phash")
 
 
 @query()

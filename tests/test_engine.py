@@ -306,3 +306,19 @@ def test_object_store(spark, tmp_path):
     assert store.get("a/b.bin") == b"\x00\xff" and store.exists("a/c.bin")
     assert store.delete("a/c.bin") and not store.exists("a/c.bin")
     assert store.delete_prefix("a") == 1 and store.delete_prefix("none") == 0
+
+
+def test_near_images_of_all_rows(spark, tmp_path):
+    """Every near pair, ids from 1200 on included, follows from classes and pairs of representatives."""
+    from tessera.plans import search
+
+    ids = [*range(0, 1300, 13), *range(1200, 1260), *range(5000, 5040), 2400, 4801]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    hashes = {r.id: int(r.phash, 16) for r in search._hashes(spark, str(tmp_path)).collect()}
+    want = {(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in hashes for b in hashes if a < b and (hashes[a] ^ hashes[b]).bit_count() <= 5}
+    rows = [tuple(r) for r in search.near_images_all(spark, str(tmp_path)).collect()]
+    rep = {i: i for i in hashes} | {b: a for a, b, bits in rows if bits == 0}
+    bits = {(a, b): n for a, b, n in rows if n}
+    apart = lambda a, b: 0 if rep[a] == rep[b] else bits.get((min(rep[a], rep[b]), max(rep[a], rep[b])))
+    assert {(a, b, apart(a, b)) for a in hashes for b in hashes if a < b and apart(a, b) is not None} == want
+    assert any(a >= 1200 for a, _, _ in want) and len(rows) < len(want)
