@@ -16,10 +16,14 @@ from .base import micros, query
 # Vectors
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+#: The queries of SQL, and those of the queries named _due, which have none.
+FIRST, DUE = "vec_id < 10", "vec_id % 50 = 0"
+
+
+def _vectors(spark: SparkSession, sf_dir: str, which: str = FIRST) -> tuple[DataFrame, DataFrame]:
     e = load(spark, sf_dir, "embeddings")
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("kb_id"), "embedding")
-    queries = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("kb_id"), "embedding")
+    queries = e.where(which).select(F.col("vec_id").alias("query_id"), F.col("label").alias("kb_id"), "embedding")
     return queries, chunks
 
 
@@ -37,9 +41,30 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SCORED} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM v WHERE rank < 5 + query_id % 3")
 def vector_topk_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1, K1 for many queries, each with its own k."""
-    queries, chunks = _vectors(spark, sf_dir)
+    return _batched(spark, sf_dir, FIRST)
+
+
+@query()
+def vector_topk_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest chunks of every due query in its knowledge base."""
+    queries, chunks = _vectors(spark, sf_dir, DUE)
+    return _rounded(retrieval.vector_search(queries, chunks, 10), 6)
+
+
+@query()
+def vector_topk_batched_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_topk_batched for every due query."""
+    return _batched(spark, sf_dir, DUE)
+
+
+def _rounded(ranked: DataFrame, digits: int) -> DataFrame:
+    return ranked.select("query_id", "chunk_id", F.round("score", digits).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _batched(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    queries, chunks = _vectors(spark, sf_dir, which)
     found = retrieval.vector_search(queries.withColumn("k", 5 + F.col("query_id") % 3), chunks, "k")
-    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _rounded(found, 6)
 
 
 _KEYWORD = "SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, (c.vec_id * 7 + q.vec_id * 3) % 500 AS rank FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < 10 AND (c.vec_id * 7 + q.vec_id * 3) % 500 < 100"
@@ -51,12 +76,17 @@ o AS (SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PA
 @query(f"WITH {_FUSED} SELECT * FROM o")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings fused, repeats within one list included."""
-    vector, keyword = _two_lists(spark, sf_dir)
-    return retrieval.fuse(vector, keyword).select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _rounded(retrieval.fuse(*_two_lists(spark, sf_dir)), 9)
 
 
-def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    queries, chunks = _vectors(spark, sf_dir)
+@query()
+def rrf_fusion_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rrf_fusion for every due query."""
+    return _rounded(retrieval.fuse(*_two_lists(spark, sf_dir, DUE)), 9)
+
+
+def _two_lists(spark: SparkSession, sf_dir: str, which: str = FIRST) -> tuple[DataFrame, DataFrame]:
+    queries, chunks = _vectors(spark, sf_dir, which)
     vector = retrieval.vector_search(queries, chunks, 10)
     vector = vector.unionByName(vector.where("rank < 2"))
     met = chunks.join(queries.select("query_id", "kb_id"), "kb_id")
@@ -67,20 +97,40 @@ def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_FUSED}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id % 17 DESC, rank) - 1 AS r FROM o WHERE rank < 20) SELECT query_id, chunk_id, score, r AS rank FROM h WHERE r < 5")
 def rerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty in another order, fused scores kept."""
-    vector, keyword = _two_lists(spark, sf_dir)
-    queries, chunks = _vectors(spark, sf_dir)
+    return _reranked(spark, sf_dir, FIRST)
+
+
+@query()
+def rerank_top_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rerank_top for every due query."""
+    return _reranked(spark, sf_dir, DUE)
+
+
+def _reranked(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    vector, keyword = _two_lists(spark, sf_dir, which)
+    queries, chunks = _vectors(spark, sf_dir, which)
     scorer = lambda _, content: content.cast("long") % 17
     out = retrieval.rerank(retrieval.fuse(vector, keyword), chunks.withColumn("content", F.col("chunk_id").cast("string")), queries.withColumn("query", F.lit("q")), scorer)
-    return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _rounded(out, 9)
 
 
 @query(f"WITH {_FUSED}, t AS (SELECT query_id, string_agg('[' || (rank + 1) || '] chunk ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS sources FROM o WHERE rank < 5 GROUP BY 1), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 12) SELECT query_id, coalesce(context, '') AS context, coalesce(sources, 0) AS sources, CASE WHEN context IS NULL THEN 'No relevant information found.' ELSE '' END AS answer FROM q LEFT JOIN t USING (query_id)")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context, sources and answer; two of the queries have no results."""
-    ranked = retrieval.fuse(*_two_lists(spark, sf_dir)).where("rank < 5")
+    return _assembled(spark, sf_dir, FIRST, "vec_id < 12")
+
+
+@query()
+def context_assembly_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """context_assembly for every due query."""
+    return _assembled(spark, sf_dir, DUE, DUE)
+
+
+def _assembled(spark: SparkSession, sf_dir: str, which: str, asked: str) -> DataFrame:
+    ranked = retrieval.fuse(*_two_lists(spark, sf_dir, which)).where("rank < 5")
     e = load(spark, sf_dir, "embeddings")
     chunks = e.selectExpr("vec_id AS chunk_id", "label AS doc_id", "'chunk ' || vec_id AS content")
-    queries = e.where("vec_id < 12").selectExpr("vec_id AS query_id", "'q' AS query")
+    queries = e.where(asked).selectExpr("vec_id AS query_id", "'q' AS query")
     out = retrieval.assemble(queries, ranked, chunks)
     return out.select("query_id", "context", F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("sources"), "answer").withColumn("sources", F.greatest("sources", F.lit(0)))
 

@@ -322,3 +322,25 @@ def test_near_images_of_all_rows(spark, tmp_path):
     apart = lambda a, b: 0 if rep[a] == rep[b] else bits.get((min(rep[a], rep[b]), max(rep[a], rep[b])))
     assert {(a, b, apart(a, b)) for a in hashes for b in hashes if a < b and apart(a, b) is not None} == want
     assert any(a >= 1200 for a, _, _ in want) and len(rows) < len(want)
+
+
+def test_due_queries(spark, tmp_path):
+    """Every row whose id is divisible by 50 is a query."""
+    import math
+
+    from tessera.plans import search
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(4)] if i % 9 else [1.0, 0.0, 0.0, 0.0], i % 2) for i in range(0, 400, 10)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    want = []
+    for q, e, kb in rows:
+        if q % 50 == 0:
+            near = sorted((-round(cos(e, c), 6), i) for i, c, k in rows if k == kb and any(c) and any(e))[:10]
+            want += [(q, -s, r) for r, (s, _) in enumerate(near)]
+    got = search.vector_topk_due(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, round(r.score, 6), r["rank"]) for r in got) == sorted(want)
+    due = {0, 50, 100, 150, 200, 250, 300, 350}
+    for q in (search.vector_topk_batched_due, search.rrf_fusion_due, search.rerank_top_due, search.context_assembly_due):
+        assert {r.query_id for r in q(spark, str(tmp_path)).collect()} == due
