@@ -173,9 +173,10 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "source AS kb_id", "text AS content")
+    """Benchmark items as queries, and the chunks of all documents as one knowledge base."""
+    docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "'all' AS kb_id", "text AS content")
     chunks = chunking.chunk_documents(docs)
-    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("kb_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("kb_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
     return items.withColumn("embedding", retrieval.embed(F.col("query"))), chunks
 
 

@@ -344,3 +344,18 @@ def test_due_queries(spark, tmp_path):
     due = {0, 50, 100, 150, 200, 250, 300, 350}
     for q in (search.vector_topk_batched_due, search.rrf_fusion_due, search.rerank_top_due, search.context_assembly_due):
         assert {r.query_id for r in q(spark, str(tmp_path)).collect()} == due
+
+
+def test_searches_read_all_documents(spark, tmp_path):
+    """Documents of any source, language and none are found."""
+    from tessera.plans import search
+
+    docs = [(0, "alpha beta gamma here", "src0", "en"), (1, "so alpha beta gamma", "elsewhere", "de"), (2, "alpha beta gamma too", None, None), (3, "nothing of it", "src1", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha beta gamma delta"), (7, "nothing of it all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    queries, chunks = search._corpus(spark, str(tmp_path))
+    made, asked = chunks.collect(), queries.collect()
+    want = {(q.query_id, c.chunk_id) for q in asked for c in made if word_similarity(q.query, c.content) >= 0.6}
+    assert len(want) == 4
+    assert {(r.query_id, r.chunk_id) for r in search.keyword_search(spark, str(tmp_path)).collect()} == want
+    assert {(r.query_id, r.chunk_id) for r in search.hybrid_search(spark, str(tmp_path)).collect()} == {(q.query_id, c.chunk_id) for q in asked for c in made}
