@@ -5,7 +5,7 @@ written as Parquet and read again as the next stage's docs; every stage works
 on all its predecessor kept. All but the last return the columns of documents.
 
 * toxicity: documents predicted toxic go.
-* near_dedup: of each group of near copies the smallest doc_id stays.
+* near_dedup: of each group of near copies, by five-word shingles, the smallest doc_id stays.
 * decontaminate: documents with an occurrence of a benchmark window go.
 * secret_scan: secrets in texts are replaced by a mark; n_chars follows.
 * bpe: the tokens of each text, with digests of them and of what they decode to.
@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, near_dedup, secret_scan, toxicity
 from tessera.llm.common import Workspace, table
 
+#: Words of a shingle in the near_dedup stage; op5_near_dedup takes pairs.
+SHINGLE = 5
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, SHINGLE)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

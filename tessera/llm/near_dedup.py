@@ -412,7 +412,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their group; rows with a null doc_id stay."""
-    gone = near_dedup(docs).where("NOT kept").select("doc_id").distinct()
+    gone = near_dedup(docs, shingle).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -429,3 +429,33 @@ def test_samples_are_the_least_hashed(spark):
     assert [r.doc_id for r in least_hashed(rows, 7).collect()] == want  # by way of the bound
     copies = spark.range(2000).selectExpr("id % 2 AS doc_id")
     assert least_hashed(copies, 7).count() == 7
+
+
+def test_pipeline_dedups_by_five_words(spark):
+    """Documents alike in word pairs but not in five-word shingles stay; brute force over all pairs."""
+    import corpus_pipeline
+
+    draw = random.Random(8)
+    rows = []
+    for g in range(8):
+        base = [f"w{g}-{i}" for i in range(200)]
+        rows.append((10 * g, " ".join(base)))
+        for k, edits in enumerate((2, 4, 8, 12, 16)):
+            copy = list(base)
+            for at in draw.sample(range(0, 200, 6), edits):
+                copy[at] = f"x{g}-{k}-{at}"
+            rows.append((10 * g + k + 1, " ".join(copy)))
+    rows += [(900, "one two three"), (901, "one two three"), (902, None), (None, "one two three")]
+
+    def kept(size):
+        sets = {i: {tuple(w[j : j + size]) for j in range(max(len(w) - size + 1, 1))} for i, t in rows if i is not None and t for w in [t.split()]}
+        links = [(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        low = {i: i for i in sets}
+        for _ in range(len(sets)):
+            for a, b in links:
+                low[a] = min(low[a], low[b])
+        return {i for i, _ in rows if i not in sets or low[i] == i}
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
+    assert got == kept(5) and got > kept(2)
