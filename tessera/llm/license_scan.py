@@ -1,6 +1,7 @@
 """Licence scan by sentence rules, in DataFrame operations only.
 
-Texts are cut into sentences; each is normalised (lower case, letters and
+Texts are cut into sentences, at line ends too but not where a known sentence is
+wrapped over lines, with or without comment marks; each is normalised (lower case, letters and
 digits only) and looked up in a table of known licence sentences, which gives
 its identifier. The identifiers of a document, in order, with a mark for
 unknown sentences between them, are matched against ordered rules: a licence is
@@ -122,6 +123,24 @@ def _pattern(sequence: list[str]) -> str:
     return ("(?:<->){0," + str(GAP) + "}").join("<" + re.sub(r"([.+*?^$()\[\]{}|\\])", r"\\\1", i) + ">" for i in sequence)
 
 
+#: What may stand between two words of a sentence: no sentence mark and no empty line, comment marks aside.
+_WITHIN = r"(?:(?![.!?;:]+(?:\s|$))(?!\n[^a-z0-9\n]*\n)[^a-z0-9])+"
+#: The same before an address, which notices set off by an empty line.
+_BEFORE_ADDRESS = r"(?:(?![.!?;:]+(?:\s|$))[^a-z0-9])+"
+
+
+def unwrapped(low: Column) -> Column:
+    """Lower-case text with each known sentence that is wrapped over lines on one line; other line ends stay.
+
+    Longer sentences first, as one can begin with another.
+    """
+    for sentence in sorted(known(), key=lambda s: (-len(s), s)):
+        first, *words = sentence.split()
+        body = first + "".join((_BEFORE_ADDRESS if w == "http" else _WITHIN) + w for w in words)
+        low = F.regexp_replace(low, r"(^|\n|[.!?;:][\x20\t\r]+)[^a-z0-9\n]*" + body + r"(?=[^a-z0-9\n]*(?:\n|$)|[^a-z0-9\n]*?[.!?;:](?:[\x20\t\r]|$))", "$1" + sentence)
+    return low
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_known (known sentences), sequence (their identifiers in order) and licenses, sorted and joined."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -130,7 +149,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     candidate = F.lit(False)
     for word in anchors():
         candidate = candidate | F.contains(low, F.lit(word))
-    sentences = F.transform(F.split(low, BOUNDARY, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    sentences = F.transform(F.split(unwrapped(low), BOUNDARY, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     marked = F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("-")))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(candidate, marked).otherwise(F.array().cast("array<string>")).alias("marks"))
     found = found.select("doc_id", F.filter("marks", lambda m: m != "-").alias("ids"), F.concat(F.lit("<"), F.array_join("marks", "><"), F.lit(">")).alias("line"))

@@ -459,3 +459,19 @@ def test_pipeline_dedups_by_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
     assert got == kept(5) and got > kept(2)
+
+
+def test_wrapped_licenses(spark):
+    """Headers as files have them: wrapped, indented, in comments; an empty line ends a sentence."""
+    import textwrap
+
+    S = license_scan.SENTENCES
+    wrap = lambda name, mark="", width=60: "\n".join(mark + line for line in textwrap.wrap(S[name], width))
+    mit = "MIT License\n\nCopyright (c) 2020 X\n\n" + wrap("mit/grant") + "\n\n" + wrap("mit/condition") + "\n\nTHE SOFTWARE IS PROVIDED AS IS"
+    bsd = "\n".join([wrap("bsd/grant", " * "), " *", wrap("bsd/source", " * ").replace("Redist", "1. Redist", 1), wrap("bsd/binary", " * ").replace("Redist", "2. Redist", 1), " *"])
+    apache = wrap("apache-2.0/header-1", "# ") + "\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n" + wrap("apache-2.0/header-3", "# ")
+    gpl = wrap("gpl/grant-3", "// ") + "\n//\n" + wrap("gpl/hope", "// ")
+    rows = [(1, mit, "MIT"), (2, "/*\n" + bsd + "\n */", "BSD-2-Clause"), (3, apache, "Apache-2.0"), (4, gpl, "GPL-3.0-or-later"), (5, wrap("isc/grant", "", 40).replace("\n", "\r\n"), "ISC"),
+            (6, "Released under\n\nthe MIT License.", ""), (7, "Not released under\nthe MIT License.", ""), (8, "Released under\nthe MIT License here", "")]
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: e for i, _, e in rows}
