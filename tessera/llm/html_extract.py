@@ -6,8 +6,10 @@ length of its text, in an unmarked page of that outside links; lines of menus, h
 notices, adverts, forms and reader comments weigh nothing, and where a page
 marks its article, so do lines outside it. Weights are summed over sliding
 windows of ``WINDOW`` lines. The text begins where the sum surges from nothing
-past the threshold and ends where it dives back to nothing; of several such
-stretches a page without a marked article gives the heaviest, one with it all.
+past the threshold and ends where it dives back to nothing; every such stretch
+is kept. Boilerplate lines are not counted as lines of a window, so that a menu
+inside a text does not end it. In a page that marks its article there is no
+threshold: tag, class and id names alone select the text.
 Between surge and dive every line that is no boilerplate is kept, whole.
 
 One pass of Arrow batches without a shuffle; a page is handled by itself.
@@ -155,13 +157,11 @@ def stretches(weights: list[int], window: int = WINDOW, share: float = SURGE_SHA
 
 
 def main_text(page: str) -> str:
-    found = lines(page)
+    found = [line for line in lines(page) if not line[3]]
     marked = any(a and w for _, w, a, _ in found)
     weights = [w if a or not marked else 0 for _, w, a, _ in found]
     parts = stretches(weights, share=0.0 if marked else SURGE_SHARE)
-    if not marked and len(parts) > 1:
-        parts = [max(parts, key=lambda p: (sum(weights[p[0] : p[1]]), -p[0]))]
-    return " ".join(found[i][0] for a, z in parts for i in range(a, z) if not found[i][3] and (found[i][2] or not marked))
+    return " ".join(found[i][0] for a, z in parts for i in range(a, z) if found[i][2] or not marked)
 
 
 OUT = "page_id long, url string, text string, n_chars long"

@@ -475,3 +475,17 @@ def test_wrapped_licenses(spark):
             (6, "Released under\n\nthe MIT License.", ""), (7, "Not released under\nthe MIT License.", ""), (8, "Released under\nthe MIT License here", "")]
     got = {r.doc_id: r.licenses for r in license_scan.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert got == {i: e for i, _, e in rows}
+
+
+def paragraphs(*lengths):
+    return [str(k) * n for k, n in enumerate(lengths)]
+
+
+@pytest.mark.parametrize(
+    "between",
+    ["<div class='menu'><ul><li>One<li>Two<li>Three<li>Four</ul></div>", "<div class='related'><p>More of it</p><p>And more</p><p>And more yet</p></div>", "".join(f"<p><a href=/{i}>Link number {i}</a></p>" for i in range(3))],
+)
+def test_html_text_goes_on_after_a_break(between):
+    """Menus, lists and blocks of links inside an unmarked page's text lose nothing behind them."""
+    a, b, c, d = paragraphs(100, 120, 90, 110)
+    assert html_extract.main_text(PAGE % f"<div><p>{a}</p><p>{b}</p>{between}<p>{c}</p><p>{d}</p></div>") == " ".join([a, b, c, d])
