@@ -163,6 +163,28 @@ def eval_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.scores(_hits(spark, sf_dir).withColumn("tier", F.col("query_id") % 3), "tier")
 
 
+def _hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_hits with ranks over all documents: places are modulo the table's own count."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    items = load(spark, sf_dir, "benchmark")
+    start = items.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")).where("n > 0"))).select(F.col("item_id").alias("query_id"), "n", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("rank"))
+    ranked = start.where("rank < n").select("query_id", ((F.col("query_id") * 25 + F.col("rank")) % F.col("n")).alias("chunk_id"), "rank")
+    phrases = items.select(F.col("item_id").alias("query_id"), F.array(F.lit(""), F.concat(F.get(F.split("text", " "), F.lit(0)), F.lit(" "))).alias("phrases"))
+    return retrieval.first_hits(ranked, docs, phrases)
+
+
+@query()
+def eval_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eval_hits with ranks over all documents."""
+    return retrieval.scores(_hits_all(spark, sf_dir))
+
+
+@query()
+def eval_by_tier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eval_by_tier with ranks over all documents."""
+    return retrieval.scores(_hits_all(spark, sf_dir).withColumn("tier", F.col("query_id") % 3), "tier")
+
+
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(median(value), 6) AS p50, round(max(value) FILTER (i = round_even(0.95 * (n - 1), 0)), 6) AS p95 FROM r GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and nearest-rank 95 % value."""
@@ -237,7 +259,7 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def image_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image references placed in markdown, orphans by page."""
-    made = "'# Top' || char(10) || left(text, 300) || char(10) || '![first](imgs/a.png)' || char(10) || '## Two' || char(10) || right(text, 150) || ' ![second](b.png) tail'"
+    made = "'# Top' || char(10) || left(text, length(text) div 2) || char(10) || '![first](imgs/a.png)' || char(10) || '## Two' || char(10) || substring(text, length(text) div 2 + 1) || ' ![second](b.png) tail'"
     refs = "array(named_struct('name', 'a.png', 'width', 300, 'height', 200, 'page', 1), named_struct('name', 'b.png', 'width', cast(null as int), 'height', cast(null as int), 'page', 3), named_struct('name', 'c.png', 'width', 400, 'height', 400, 'page', 2), named_struct('name', 'small.png', 'width', 50, 'height', 400, 'page', 2))"
     d = load(spark, sf_dir, "documents").selectExpr("doc_id", f"{made} AS md", f"{refs} AS refs")
     return d.select("doc_id", F.posexplode(images.place_udf("md", "refs")).alias("at", "x")).select("doc_id", "at", "x.*")

@@ -359,3 +359,19 @@ def test_searches_read_all_documents(spark, tmp_path):
     assert len(want) == 4
     assert {(r.query_id, r.chunk_id) for r in search.keyword_search(spark, str(tmp_path)).collect()} == want
     assert {(r.query_id, r.chunk_id) for r in search.hybrid_search(spark, str(tmp_path)).collect()} == {(q.query_id, c.chunk_id) for q in asked for c in made}
+
+
+def test_evaluation_and_image_context_read_all(spark, tmp_path):
+    """Documents from 1000 on can be hits; images stand in the whole text."""
+    from tessera.plans import search
+
+    n = 1500
+    rows = [(i, f"hit {i}" if i in (1003, 1254) else f"no {i}") for i in range(n - 1)] + [(n - 1, "x" * 700 + "y" * 901)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(40, "hit me"), (50, "hit me"), (61, "hit me")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.query_id: r.hit_rank for r in search._hits_all(spark, str(tmp_path)).collect()} == {40: 4, 50: 5, 61: None}
+    row = search.eval_hits_all(spark, str(tmp_path)).first()
+    assert (row.queries, row.hit_5, row.mrr) == (3, round(2 / 3, 6), round((1 / 4 + 1 / 5) / 3, 6))
+    assert sorted((r.tier, r.hit_5) for r in search.eval_by_tier_all(spark, str(tmp_path)).collect()) == [(1, 0.5), (2, 1.0)]
+    at = {r.name: r.position for r in search.image_context(spark, str(tmp_path)).where(f"doc_id = {n - 1}").collect()}
+    assert at["a.png"] == len("# Top\n") + 800 + 1 and at["b.png"] > 1600
