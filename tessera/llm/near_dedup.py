@@ -9,9 +9,11 @@ Inverted lists: the ``LISTED`` smallest values are dealt by hash into ``PARTS``
 a class stands in one list for each part, under the values that the part
 retains; a part with one value takes those of the next part that has any. A
 single value makes too common a list - one frequent word pair would list a
-third of a corpus - while several are retained alike by similar sets only. At
-a similarity of 0.8, with 128 values in 40 parts, the chance that two sets agree
-in fewer than two lists is below 1e-9; in small sets a shingle that differs
+third of a corpus - while several are retained alike by similar sets only. Two
+sets of similarity 0.8 can agree in fewer than two lists, and then only a third
+document links them: where one holds the other, simulated pairs of 160 and 200
+shingles did so in 83 of 151,500 cases, of 400 and 500 in 221 of 152,500, of
+2,000 and 2,500 in 190 of 83,000. This is open. In small sets a shingle that differs
 spoils two lists at most, so enough are left for certain, and sets of up to 9
 shingles also stand under each of their subsets that lacks one shingle, which
 finds all links among them.
@@ -22,8 +24,8 @@ copies does. Of each kind it is compared with the one it meets most often; this
 links groups of any size with comparisons in proportion to the classes. (2) The
 same with a few members of each list drawn by hash, for what is not connected
 to them yet and agrees with them in a second list. (3) All pairs that share two
-lists and are still not connected, so that no link between components is lost:
-short lists by a join, long ones in blocks of bounded size that meet block by
+lists and are still not connected, so that no link between those is lost: short
+lists by a join, long ones in blocks of bounded size that meet block by
 block, where only pairs that pass the filter become rows.
 
 Filter: the similarity is estimated from the union's sketch; pairs five
