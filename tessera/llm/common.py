@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is set.
+    Only where it is unset and the session runs on one machine, as in tests, a
+    temporary folder is set; a cluster without a shared folder is refused.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -24,17 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch of texts. Spark's default of 10,000 makes a Python
-#: worker hold tens of MB of text several times over.
+#: worker hold tens of MB of text several times over. tessera.session sets it.
 BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside deal texts in batches of at most BATCH_ROWS rows; the setting is put back."""
+    before = spark.conf.get(_BATCH)
+    if int(before) <= 0 or int(before) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def map_texts(df: DataFrame, work: Callable[[Iterator], Iterator], schema) -> DataFrame:
-    """df.mapInArrow(work) in batches of at most BATCH_ROWS rows; the session keeps a smaller setting."""
-    spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """df.mapInArrow(work). The caller's session decides the batches of a lazy result; see text_batches."""
     return df.mapInArrow(work, schema)
 
 
@@ -47,7 +58,7 @@ class Workspace:
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Write df as a table and return it as read back: its lineage ends here, its shuffle files go."""
         path = f"{self.root}/{table}"
-        with cleanup_after(self.spark):
+        with cleanup_after(self.spark), text_batches(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

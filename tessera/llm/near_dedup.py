@@ -5,33 +5,38 @@ equal form a *class* and are linked by that; all further work is on classes.
 
 Sketch: the ``SKETCH`` smallest hashes of a set, its retained values.
 
-Inverted lists: the ``LISTED`` smallest values are dealt by hash into ``PARTS`` parts and
-a class stands in one list for each part, under the values that the part
-retains; a part with one value takes those of the next part that has any. A
-single value makes too common a list - one frequent word pair would list a
-third of a corpus - while several are retained alike by similar sets only. Two
-sets of similarity 0.8 can agree in fewer than two lists, and then only a third
-document links them: where one holds the other, simulated pairs of 160 and 200
-shingles did so in 83 of 151,500 cases, of 400 and 500 in 221 of 152,500, of
-2,000 and 2,500 in 190 of 83,000. This is open. In small sets a shingle that differs
-spoils two lists at most, so enough are left for certain, and sets of up to 9
-shingles also stand under each of their subsets that lacks one shingle, which
-finds all links among them.
-
-Overlaps: (1) in every list each class meets two members, the first one and the
-*hub*, which has most company over all its lists, as the origin of a group of
-copies does. Of each kind it is compared with the one it meets most often; this
-links groups of any size with comparisons in proportion to the classes. (2) The
-same with a few members of each list drawn by hash, for what is not connected
-to them yet and agrees with them in a second list. (3) All pairs that share two
-lists and are still not connected, so that no link between those is lost: short
-lists by a join, long ones in blocks of bounded size that meet block by
-block, where only pairs that pass the filter become rows.
+Inverted lists, without a lost link. Let r = (1 - t) / (1 + t) for threshold
+t, a ninth at 0.8. Two sets of a and b shingles with similarity >= t differ in
+at most (a + b) * r shingles. The range of the hash is cut into P equal parts;
+a part's list is named by the values that a set retains in it, all of them, and
+a shingle that differs spoils one part only. A set that differs from any
+partner in at most H shingles stands in the H + ``SPARE`` lists that come first
+in one global order, those with most values first: of the lists that two
+similar sets share, the first ``SPARE`` are among these in both sets, since at
+most H other lists can come before them. So every pair shares at least
+``SPARE`` = 2 lists, by counting and not by chance. P goes by *levels* of
+set size, a factor of two wide; a set also visits the level below where it can
+have a partner there. Sets so small that similar ones differ in one shingle
+stand under the whole set and under each subset that lacks one shingle.
+(Lists of single retained values would be exact too, but one frequent word pair
+would list a third of a corpus; a list of several values holds sets that agree
+in all of them and lack all others of the part.)
+
+Overlaps: (1) each class meets the lowest member of its lists, of these the
+one that it meets most often. (2) In lists that still hold classes of different
+components, each class meets the *hub*, which has most company over all its
+lists, as the origin of a group of copies does. (3) In lists that are still not
+of one component, all pairs of different components meet, so that no link
+between those is lost: short lists by a join; of long ones a pair shares two,
+or a short one besides, so long lists are refined by a second long list of the
+same class, and what is still long meets in blocks of bounded size, where only
+pairs that pass the filter become rows.
 
 Filter: the similarity is estimated from the union's sketch; pairs five
 standard deviations (of a draw without replacement) below the threshold go.
 Exact: the Jaccard similarity of the others is computed on full sets, and it
-alone makes a link.
+alone makes a link. Equal sets are told by two independent 64-bit sums and the
+number of shingles.
 
 Defined results: null or empty texts have no shingles and are linked with
 nothing; a text of fewer words than a shingle is one shingle; rows that repeat
@@ -53,14 +58,10 @@ from .textkernel import PLAIN_FOLDED, Block, U, as_bytes, blocks, mix
 
 SHINGLE = 2
 THRESHOLD = (80, 100)
-SKETCH = 256
-#: Those of them, the smallest, that are dealt into parts.
-LISTED = 128
-PARTS = 40
-SMALL = 9
-#: Members drawn from each list for the second round.
-DRAWS = 4
-#: Lists up to this length are joined with themselves; longer ones meet in blocks of BLOCK members.
+SKETCH = 128
+#: Lists that similar sets share at least.
+SPARE = 2
+#: Lists up to this length are joined with themselves; longer ones are refined, then meet in blocks of BLOCK members.
 SHORT_LIST = 32
 BLOCK = 1024
 
@@ -91,114 +92,156 @@ def _sequence(words: np.ndarray) -> int:
     return int(mix(h + U(len(words)))[0])
 
 
-def _class_ids(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One number for each set."""
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(grams ^ U(0x5851F42D4C957F2D)))])
-    return mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(U) * U(0x14057B7EF767814F))
+def _class_ids(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent numbers for each set."""
+    out = []
+    for salt, step in ((0x5851F42D4C957F2D, 0x14057B7EF767814F), (0x2B7E151628AED2A7, 0x9E6C63D0676A9A99)):
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(grams * U(salt) ^ U(step)))])
+        out.append(mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(U) * U(step)).view(np.int64))
+    return out[0], out[1]
 
 
-def _describe(shingle: int, sketch: int):
-    """n, class and sketch of each document."""
+def _describe(shingle: int):
+    """tag, n and class of each document."""
 
     def work(batches):
         for batch in batches:
             for lo, hi, block in blocks(as_bytes(batch.column("text")), PLAIN_FOLDED):
                 grams, at = shingles(block, shingle)
                 n = np.diff(at)
-                packed = [grams[a : min(z, a + sketch)].tobytes() if z > a else None for a, z in zip(at[:-1], at[1:])]
-                c = pa.array(_class_ids(grams, at).view(np.int64), pa.int64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), c, pa.array(packed, pa.binary())], names=["doc_id", "n", "c", "sketch"])
+                c, d = (pa.array(x, pa.int64(), mask=n == 0) for x in _class_ids(grams, at))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "tag")), pa.array(n, pa.int64()), c, d], names=["doc_id", "tag", "n", "c", "d"])
 
     return work
 
 
-def _keys(batch: pa.RecordBatch, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, part, key) of each list that the classes of a batch stand in."""
-    packed = [p[: 8 * LISTED] for p in batch.column("sketch").to_pylist()]
-    counts = np.array([len(p) // 8 for p in packed], np.int64)
-    values = np.frombuffer(b"".join(packed), U)
-    if not len(values):
-        none = np.zeros(0, np.int64)
-        return none, none, none.view(U)
-    row = np.repeat(np.arange(len(packed)), counts)
-    slot = row * parts + (mix(values ^ U(0xDA3E39CB94B95BDB)) % U(parts)).astype(np.int64)
-    # wrapping sums of mixed values: the hash of what a part retains
-    order = np.argsort(slot, kind="stable")
-    slot, mixed = slot[order], mix(values ^ U(0x2545F4914F6CDD1D))[order]
-    begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-    end = np.r_[begin[1:], len(slot)]
+def small_size(threshold: tuple[int, int]) -> int:
+    """The largest size up to which similar sets differ in one shingle at most."""
+    part, of = threshold
+    return (of + part - 1) // (of - part) if of > part else 0
+
+
+class Levels:
+    """The levels of set size: which lists a set of n shingles stands in."""
+
+    def __init__(self, threshold: tuple[int, int]):
+        self.part, self.of = threshold
+        self.small = small_size(threshold)
+
+    def begin(self, level):
+        """Smallest home size of a level."""
+        return max(self.small, 1) << level
+
+    def home(self, n: np.ndarray) -> np.ndarray:
+        """Level of each size >= begin(0)."""
+        return np.floor(np.log2(n / self.begin(0)) + 1e-12).astype(np.int64)
+
+    def largest_partner(self, n):
+        return n * self.of // self.part
+
+    def differ(self, both):
+        """How many shingles similar sets of this total size can differ in."""
+        return both * (self.of - self.part) // (self.of + self.part)
+
+    def parts(self, level: np.ndarray) -> np.ndarray:
+        """Parts of the hash range: some more than any set of the level needs lists."""
+        top = (self.begin(0) << (level + 1)) - 1
+        most = self.differ(top + self.largest_partner(top)) + SPARE
+        return most + np.maximum(3, most // 5)
+
+    def stands(self, n: np.ndarray):
+        """(row, level, lists) for each level that sets of these sizes stand in."""
+        row = np.flatnonzero(n >= self.begin(0))
+        level = self.home(n[row])
+        yield row, level, self.differ(n[row] + self.largest_partner(n[row])) + SPARE
+        below = (self.begin(0) << level) - 1  # the largest home size of the level below
+        visits = (level > 0) & (n[row] <= self.largest_partner(below))
+        row, level, below = row[visits], level[visits], below[visits]
+        yield row, level - 1, self.differ(n[row] + below) + SPARE
+
+
+def list_keys(grams: np.ndarray, at: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the lists that sets stand in; grams sorted within each set."""
+    n = np.diff(at)
+    levels = Levels(threshold)
+    rows, keys = [], []
+    if levels.of == levels.part:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    mixed = mix(grams ^ U(0x2545F4914F6CDD1D))
     total = np.concatenate([np.zeros(1, U), np.cumsum(mixed)])
-    value, row, part = total[end] - total[begin], slot[begin] // parts, slot[begin] % parts
-    # the next part of the same class, after its last one the first
-    after = np.where(np.append(row[1:] != row[:-1], True), np.searchsorted(row, row, "left"), np.arange(1, len(row) + 1))
-    lone = (end - begin == 1) & (after != np.arange(len(row)))
-    value = np.where(lone, value * U(3) + value[after % len(row)], value)
-    return row, part, mix(value + part.astype(U) * U(0x9E3779B97F4A7C15))
-
-
-def _listed(parts: int):
-    """(key, c, small) for each list that a class stands in."""
-
-    def work(batches):
-        for batch in batches:
-            c, n = batch.column("c").to_numpy(), batch.column("n").to_numpy()
-            row, _, key = _keys(batch, parts)
-            yield _lists(key, c[row], False)
-            packed, keys, of = batch.column("sketch").to_pylist(), [], []
-            for r in np.flatnonzero(n <= SMALL):
-                own = mix(np.frombuffer(packed[r], U) ^ U(0x6C62272E07BB0142))
-                whole = own.sum(dtype=U)
-                keys.append(mix(np.append(whole - own, whole) ^ U(0x27D4EB2F165667C5)) if len(own) > 1 else mix(own ^ U(0x27D4EB2F165667C5)))
-                of.append(np.full(len(keys[-1]), c[r]))
-            if keys:
-                yield _lists(np.concatenate(keys), np.concatenate(of), True)
-
-    return work
-
-
-def _agree(parts: int):
-    """Pairs of a list that agree in another list too, told by a byte for each part."""
-
-    def work(batches):
-        for batch in batches:
-            both = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(batch.num_rows, parts) for x in ("ga", "gb")]
-            keep = ((both[0] == both[1]) & (both[0] != 0)).sum(axis=1) + batch.column("small").to_numpy(zero_copy_only=False) >= 2
-            keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return work
-
-
-def _signed(parts: int):
-    """c and a byte for each part, which differs for different lists mostly; 0 where the part is empty."""
+    high = grams >> U(32)
+    for row, level, lists in levels.stands(n):
+        if not len(row):
+            continue
+        parts = levels.parts(level)
+        size = n[row]
+        own = np.repeat(np.arange(len(row)), size)
+        value = np.arange(len(own)) + np.repeat(at[row] - (np.cumsum(size) - size), size)
+        part = ((high[value] * parts.astype(U)[own]) >> U(32)).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (part[1:] != part[:-1])])
+        end = np.r_[begin[1:], len(own)]
+        held, own, part = end - begin, own[begin], part[begin]
+        name = total[value[end - 1] + 1] - total[value[begin]]
+        key = _name(name, part, level[own])
+        used = np.bincount(own, minlength=len(row))
+        lacks = np.flatnonzero(used < lists)
+        if len(lacks):  # so few parts with values that empty ones have to be listed
+            first, more = np.searchsorted(own, lacks), []
+            for r, f in zip(lacks, first):
+                empty = np.setdiff1d(np.arange(parts[r]), part[f : f + used[r]])
+                more.append(np.sort(_name(np.zeros(len(empty), U), empty, np.full(len(empty), level[r])))[: lists[r] - used[r]])
+            own, key = np.concatenate([own, np.repeat(lacks, [len(m) for m in more])]), np.concatenate([key, *more])
+            held = np.concatenate([held, np.zeros(len(own) - len(held), held.dtype)])
+        order = np.lexsort((key, -held, own))
+        own, key = own[order], key[order]
+        rank = np.arange(len(own)) - np.searchsorted(own, own, "left")
+        keep = rank < lists[own]
+        rows.append(row[own[keep]])
+        keys.append(key[keep])
+    whole = total[at[1:]] - total[at[:-1]]
+    few = np.flatnonzero((n > 0) & (n < levels.small) & (levels.largest_partner(n) > n))
+    rows.append(few)
+    keys.append(mix(whole[few] ^ U(0x27D4EB2F165667C5)))
+    few = np.flatnonzero((n > 1) & (n <= levels.small) & (levels.largest_partner(n - 1) >= n))
+    size = n[few]
+    own = np.repeat(few, size)
+    value = np.arange(len(own)) + np.repeat(at[few] - (np.cumsum(size) - size), size)
+    rows.append(own)
+    keys.append(mix((whole[own] - mixed[value]) ^ U(0x27D4EB2F165667C5)))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _name(values: np.ndarray, part: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return mix(values + part.astype(U) * U(0x9E3779B97F4A7C15) + level.astype(U) * U(0xD1342543DE82EF95))
+
+
+def _listed(shingle: int, threshold: tuple[int, int]):
+    """(key, c) for each list of each different set of a block."""
 
     def work(batches):
         for batch in batches:
-            c = batch.column("c").to_numpy()
-            out = np.zeros((len(c), parts), np.uint8)
-            row, part, key = _keys(batch, parts)
-            out[row, part] = (key % U(255)).astype(np.uint8) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([r.tobytes() for r in out], pa.binary())], names=["c", "sig"])
+            for _, _, block in blocks(as_bytes(batch.column("text")), PLAIN_FOLDED):
+                grams, at = shingles(block, shingle)
+                c, _ = _class_ids(grams, at)
+                row, key = list_keys(grams, at, threshold)
+                first = np.zeros(len(c), bool)
+                first[np.unique(c, return_index=True)[1]] = True
+                keep = first[row]
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(c[row[keep]])], names=["key", "c"])
 
     return work
 
 
-def _lists(key: np.ndarray, c: np.ndarray, small: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c), pa.array(np.full(len(c), small))], names=["key", "c", "small"])
-
-
-def _sets(shingle: int):
-    """c, doc_id and the sorted shingles of documents; a row that repeats a doc_id with another text goes."""
+def _sets(shingle: int, sketch: int):
+    """c, rep, the retained values and the other shingles of the documents that stand for classes."""
 
     def work(batches):
         for batch in batches:
-            wanted = batch.column("c").to_numpy()
             for lo, hi, block in blocks(as_bytes(batch.column("text")), PLAIN_FOLDED):
                 grams, at = shingles(block, shingle)
-                c = _class_ids(grams, at).view(np.int64)
-                keep = np.flatnonzero(c == wanted[lo:hi])
-                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]), ids, pa.array([grams[at[d] : at[d + 1]].tobytes() for d in keep], pa.binary())], names=["c", "rep", "grams"])
+                middle = np.minimum(at[:-1] + sketch, at[1:])
+                packed = [pa.array([grams[a:z].tobytes() for a, z in zip(x, y)], pa.binary()) for x, y in ((at[:-1], middle), (middle, at[1:]))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in ("c", "doc_id")), *packed], names=["c", "rep", "sketch", "rest"])
 
     return work
 
@@ -251,42 +294,24 @@ def _likely(sketch: int, threshold: float):
     return work
 
 
-def _meet(parts: int, sketch: int, threshold: float):
-    """Likely pairs of two blocks of a list, or of one block with itself, between different components.
-
-    A pair is given by the first list that it shares, if it shares another one.
-    """
+def _meet(sketch: int, threshold: float):
+    """Likely pairs of two blocks of a list, or of one block with itself, between different components."""
 
     def work(table: pa.Table) -> pa.Table:
-        key, i, j = (table.column(x)[0].as_py() for x in ("key", "i", "j"))
+        i, j = (table.column(x)[0].as_py() for x in ("i", "j"))
         table = table.combine_chunks()
         own, comp, c, n = (table.column(x).to_numpy() for x in ("own", "comp", "c", "n"))
-        small = table.column("small").to_numpy().astype(bool)
-        packed = table.column("sketch").to_pylist()
-        values = _matrix(packed, sketch)
-        row, part, keys = _keys(table.to_batches()[0], parts)
-        grid = np.zeros((len(c), parts), U)
-        grid[row, part] = keys
-        here = grid == np.int64(key).view(U)
-        number = np.where(here.any(axis=1), here.argmax(axis=1), -1).max()  # the part of this list
+        values = _matrix(table.column("sketch").to_pylist(), sketch)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out_a, out_b = [], []
         for lo in range(0, len(left), 64):
             l = left[lo : lo + 64]
-            same = np.zeros((len(l), len(right)), np.int16)
-            earlier = np.zeros(same.shape, bool)
-            for p in range(parts):
-                agree = (grid[l, p][:, None] == grid[right, p][None]) & (grid[l, p] != 0)[:, None]
-                same += agree
-                if p < number:
-                    earlier |= agree
-            wanted = (comp[l][:, None] != comp[right][None]) & ((same >= 2) & ~earlier | small[l][:, None])
+            small, large = np.minimum(n[l][:, None], n[right][None]), np.maximum(n[l][:, None], n[right][None])
+            wanted = (comp[l][:, None] != comp[right][None]) & (small >= threshold * large - 1e-9)
             if i == j:
                 wanted &= c[l][:, None] < c[right][None]
             x, y = np.nonzero(wanted)
             x, y = l[x], right[y]
-            fits = 1.0 * np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
-            x, y = x[fits], y[fits]
             keep = np.zeros(len(x), bool)
             for at in range(0, len(x), 4096):
                 k = slice(at, at + 4096)
@@ -322,21 +347,34 @@ def _confirmed(threshold: tuple[int, int]):
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspace, name: str, shingle: int, sketch: int, threshold: tuple[int, int]) -> DataFrame:
     """pairs (a, b) of classes -> links (u, v) between the documents that stand for them."""
     part, of = threshold
-    a = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    sized = pairs.join(a, "a").join(b, "b").where(f"{of} * least(na, nb) >= {part} * greatest(na, nb)")
-    likely = work.write(map_texts(sized.select("a", "b", "na", "nb", "sa", "sb"), _likely(sketch, part / of), "a long, b long"), f"{name}-likely")
-    # full sets of the classes in these pairs only
-    needed = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct().join(classes.select("c", F.col("rep").alias("doc_id")), "c")
-    sets = work.write(map_texts(docs.join(needed, "doc_id").select("doc_id", "c", "text"), _sets(shingle), "c long, rep long, grams binary"), f"{name}-sets")
-    a = sets.select(F.col("c").alias("a"), F.col("rep").alias("ra"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("c").alias("b"), F.col("rep").alias("rb"), F.col("grams").alias("gb"))
+    a = classes.select(F.col("c").alias("a"), F.col("n").alias("na"))
+    b = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"))
+    sized = work.write(pairs.join(a, "a").join(b, "b").where(f"{of} * least(na, nb) >= {part} * greatest(na, nb)").distinct(), f"{name}-sized")
+    # sets of the classes in these pairs only, one text for each
+    needed = sized.select(F.col("a").alias("c")).union(sized.select("b")).distinct().join(classes.select("c", F.col("rep").alias("doc_id"), "tag"), "c")
+    texts = docs.join(needed, ["doc_id", "tag"]).groupBy("doc_id", "tag", "c").agg(F.first("text").alias("text"))
+    sets = work.write(map_texts(texts.select("doc_id", "c", "text"), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary"), f"{name}-sets")
+    a = sets.select(F.col("c").alias("a"), F.col("sketch").alias("sa"))
+    b = sets.select(F.col("c").alias("b"), F.col("sketch").alias("sb"))
+    likely = work.write(map_texts(sized.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb"), _likely(sketch, part / of), "a long, b long"), f"{name}-likely")
+    whole = F.concat("sketch", "rest")
+    a = sets.select(F.col("c").alias("a"), F.col("rep").alias("ra"), whole.alias("ga"))
+    b = sets.select(F.col("c").alias("b"), F.col("rep").alias("rb"), whole.alias("gb"))
     links = work.write(map_texts(likely.join(a, "a").join(b, "b").select("ra", "rb", "ga", "gb"), _confirmed(threshold), "u long, v long"), f"{name}-links")
-    work.drop(f"{name}-likely", f"{name}-sets")
+    work.drop(f"{name}-sized", f"{name}-likely", f"{name}-sets")
     return links
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, sketch: int = SKETCH, parts: int = PARTS) -> DataFrame:
+def candidates(docs: DataFrame, work: Workspace, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The inverted lists with two classes or more: (key, c, low), low the lowest class of the list."""
+    listed = map_texts(docs.select("text"), _listed(shingle, threshold), "key long, c long")
+    shared = work.write(listed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").drop("high"), "shared")
+    lists = work.write(listed.join(shared, "key").groupBy("key", "c").agg(F.first("low").alias("low")), "lists")
+    work.drop("shared")
+    return lists
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, sketch: int = SKETCH) -> DataFrame:
     """Groups of documents that links of similarity >= threshold connect.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links
@@ -344,72 +382,78 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = map_texts(docs, _describe(shingle, sketch), "doc_id long, n long, c long, sketch binary")
-    described = work.write(map_texts(docs, _describe(shingle, 0), "doc_id long, n long, c long, sketch binary").drop("sketch"), "described")
-    classes = sketched.where("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
-    classes = work.write(classes.select("c", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch"), "classes")
-
-    listed = work.write(map_texts(classes.select("c", "n", "sketch"), _listed(parts), "key long, c long, small boolean"), "listed")
-    sizes = work.write(listed.groupBy("key").agg(F.min("c").alias("low"), F.count("*").alias("members"), F.max("c").alias("high")).where("low < high").drop("high"), "sizes")
-    listed = work.write(listed.join(sizes, "key"), "lists")
-    # what many lists have in common with others is the origin of a group of copies, if any is
-    degree = listed.groupBy("c").agg(F.sum("members").alias("degree"))
-    ranked = work.write(listed.join(degree, "c"), "ranked")
-    hubs = work.write(ranked.groupBy("key").agg(F.max(F.struct("degree", "c")).alias("x")).select("key", F.col("x.c").alias("hub")), "hubs")
-    listed = work.write(ranked.select("key", "c", "small", "low").join(hubs, "key"), "met")
-    work.drop("listed", "sizes", "lists", "ranked", "hubs")
-
-    # (1) each class and two members of each of its lists
-    def best(end: str) -> DataFrame:
-        met = listed.where(f"c <> {end}").groupBy("c", F.col(end).alias("b")).agg((F.count("*") + F.max(F.col("small").cast("int"))).alias("n")).where("n >= 2")
-        return met.groupBy("c").agg(F.max(F.struct("n", "b")).alias("x")).select(F.col("c").alias("a"), F.col("x.b").alias("b"))
-
-    stars = best("low").unionByName(best("hub")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verify(stars, docs, classes, work, "stars", shingle, sketch, threshold)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
+    described = work.write(map_texts(docs.select("doc_id", "tag", "text"), _describe(shingle), "doc_id long, tag long, n long, c long, d long"), "described")
+    known = described.where("c IS NOT NULL AND doc_id IS NOT NULL")
+    classes = known.groupBy("c", "d", "n").agg(F.min(F.struct("doc_id", "tag")).alias("x"))
+    classes = work.write(classes.select("c", "d", "n", F.col("x.doc_id").alias("rep"), "x.tag"), "classes")
+    docs = docs.where("doc_id IS NOT NULL")
+
+    lists = candidates(docs, work, shingle, threshold)
+
+    # (1) each class and the lowest member of its lists that it meets most often
+    def best(met: DataFrame) -> DataFrame:
+        met = met.where("c <> b").groupBy("c", "b").agg(F.count("*").alias("n"))
+        met = met.groupBy("c").agg(F.max(F.struct("n", "b")).alias("x"))
+        return met.select(F.least("c", "x.b").alias("a"), F.greatest("c", "x.b").alias("b")).distinct()
+
+    links = _verify(best(lists.withColumnRenamed("low", "b")), docs, classes, work, "stars", shingle, sketch, threshold)
+    stands = known.join(classes.select("c", "d", "n", "rep"), ["c", "d", "n"])
+    same = stands.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     # rows that repeat a doc_id with different sets are one node
-    stands = described.where("c IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "c").join(classes.select("c", "rep"), "c")
-    again = stands.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     repeated = stands.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select(F.col("doc_id").alias("u"))
-    links = work.write(links.unionByName(again.join(repeated, "u", "left_semi")), "links")
+    links = work.write(links.unionByName(same.join(repeated, "u", "left_semi")), "links")
     comp = components(links, work, "round-1")
 
-    # (2) each class and some members of its lists that it is not connected with yet
-    def opened(comp: DataFrame, name: str) -> DataFrame:
-        member = listed.select("key", "c", "small").join(classes.select("c", "rep"), "c").join(comp.withColumnRenamed("u", "rep"), "rep", "left")
-        member = work.write(member.select("key", "c", "small", F.coalesce("m", "rep").alias("comp")), f"{name}-members")
-        keys = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        return work.write(member.join(work.write(keys, f"{name}-keys"), "key"), name)
-
-    left = opened(comp, "open-1")
-    sigs = work.write(map_texts(classes.select("c", "sketch"), _signed(parts), "c long, sig binary").join(left.select("c").distinct(), "c"), "sigs")
-    draws = [F.min(F.struct(F.xxhash64("c", "key", F.lit(r)).alias("h"), "c", "comp")).alias(f"x{r}") for r in range(DRAWS)]
-    drawn = left.groupBy("key").agg(*draws).select("key", F.explode(F.array(*[f"x{r}" for r in range(DRAWS)])).alias("x")).select("key", "x.c", "x.comp").distinct()
-    drawn = work.write(drawn.join(sigs, "c").select("key", F.col("c").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("gb")), "drawn")
-    some = left.join(sigs, "c").withColumnsRenamed({"c": "a", "sig": "ga"}).join(drawn, "key").where("comp <> cb")
-    some = map_texts(some.select("a", "b", "ga", "gb", "small"), _agree(parts), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(_verify(some, docs, classes, work, "drawn", shingle, sketch, threshold))
+    def opened(lists: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+        """(key, c, comp) of the lists that hold several components."""
+        of = classes.select("c", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("c", F.coalesce("m", "rep").alias("comp"))
+        member = work.write(lists.select("key", "c").join(work.write(of, f"{name}-of"), "c"), f"{name}-members")
+        keys = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high")
+        out = work.write(member.join(work.write(keys.select("key", "members"), f"{name}-keys"), "key"), name)
+        work.drop(f"{name}-of", f"{name}-members", f"{name}-keys")
+        return out
+
+    # (2) each class and the hubs of its open lists
+    left = opened(lists, comp, "open-1")
+    work.drop("lists")
+    degree = work.write(left.groupBy("c").agg(F.sum("members").alias("degree")), "degree")
+    ranked = work.write(left.join(degree, "c"), "ranked")
+    hubs = work.write(ranked.groupBy("key").agg(F.max(F.struct("degree", "c", "comp")).alias("x")).select("key", F.col("x.c").alias("b"), F.col("x.comp").alias("other")), "hubs")
+    met = left.join(hubs, "key").where("comp <> other")
+    links = links.unionByName(_verify(best(met), docs, classes, work, "hub", shingle, sketch, threshold))
+    work.drop("degree", "ranked", "hubs")
     comp = components(links, work, "round-2")
 
-    # (3) all pairs that share two lists and are not connected yet
-    left = opened(comp, "open-2")
-    lengths = work.write(left.groupBy("key").agg(F.count("*").alias("members")), "lengths")
-    left = work.write(left.join(lengths, "key"), "sized")
-    short = left.where(F.col("members") <= SHORT_LIST).join(sigs, "c")
-    a = short.select("key", F.col("c").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("ga"), "small")
-    b = short.select("key", F.col("c").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("gb"))
-    few = map_texts(a.join(b, "key").where("ca < cb").select("a", "b", "ga", "gb", "small"), _agree(parts), "a long, b long")
-    blocks_ = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("c"), blocks_).cast("int")
-    long_ = left.where(F.col("members") > SHORT_LIST).select("key", "c", "comp", "small", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("other"))
-    long_ = long_.select("key", "c", "comp", "small", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(classes.select("c", "n", "sketch"), "c")
-    many = long_.groupBy("key", "i", "j").applyInArrow(_meet(parts, sketch, threshold[0] / threshold[1]), "a long, b long")
-    pairs = few.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comp = components(links.unionByName(_verify(pairs, docs, classes, work, "rest", shingle, sketch, threshold)), work, "round-3")
-    work.drop("met", "links", *[f"{n}-links" for n in ("stars", "drawn", "rest")], *[f"open-{k}{t}" for k in (1, 2) for t in ("", "-members", "-keys")], "sigs", "drawn", "lengths", "sized")
-
-    reach = classes.select("c", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("c", F.coalesce("m", "rep").alias("component_id"))
-    out = described.select("doc_id", "n", "c").join(reach, "c", "left")
+    # (3) all pairs of different components that share a list
+    left = opened(left, comp, "open-2")
+
+    def pairs(lists: DataFrame) -> DataFrame:
+        a = lists.select("key", F.col("c").alias("a"), F.col("comp").alias("ca"))
+        b = lists.select("key", F.col("c").alias("b"), F.col("comp").alias("cb"))
+        return a.join(b, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    few = pairs(left.where(F.col("members") <= SHORT_LIST))
+    long_ = left.where(F.col("members") > SHORT_LIST)
+    twice = long_.select("c", "comp", "key").join(long_.select("c", F.col("key").alias("other")), "c").where("key < other")
+    twice = work.write(twice.select(F.xxhash64("key", "other").alias("key"), "c", "comp"), "twice")
+    lengths = twice.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high")
+    refined = work.write(twice.join(work.write(lengths.select("key", "members"), "lengths"), "key"), "refined")
+    some = pairs(refined.where(F.col("members") <= SHORT_LIST))
+    hot = refined.where(F.col("members") > SHORT_LIST)
+    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    hot = hot.select("key", "c", "comp", F.pmod(F.xxhash64("c"), count).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    hot = hot.select("key", "c", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    needed = hot.select("c").distinct().join(classes.select("c", "n", F.col("rep").alias("doc_id"), "tag"), "c")
+    texts = docs.join(needed, ["doc_id", "tag"]).groupBy("doc_id", "tag", "c", "n").agg(F.first("text").alias("text"))
+    sketches = work.write(map_texts(texts.select("doc_id", "c", "text"), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary").select("c", "sketch").join(classes.select("c", "n"), "c"), "hot-sets")
+    many = hot.join(sketches, "c").groupBy("key", "i", "j").applyInArrow(_meet(sketch, threshold[0] / threshold[1]), "a long, b long")
+    rest = work.write(few.unionByName(some).unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "rest")
+    comp = components(links.unionByName(_verify(rest, docs, classes, work, "rest", shingle, sketch, threshold)), work, "round-3")
+    work.drop("links", "stars-links", "hub-links", "rest-links", "open-1", "open-2", "twice", "lengths", "refined", "hot-sets", "rest", "round-1", "round-2")
+
+    reach = classes.select("c", "d", "n", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("c", "d", "n", F.coalesce("m", "rep").alias("component_id"))
+    out = described.select("doc_id", "n", "c", "d").join(reach, ["c", "d", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
