@@ -10,11 +10,11 @@ t, a ninth at 0.8. Two sets of a and b shingles with similarity >= t differ in
 at most (a + b) * r shingles. The range of the hash is cut into P equal parts;
 a part's list is named by the values that a set retains in it, all of them, and
 a shingle that differs spoils one part only. A set that differs from any
-partner in at most H shingles stands in the H + ``SPARE`` lists that come first
+partner in at most H shingles stands in the H + s lists that come first
 in one global order, those with most values first: of the lists that two
-similar sets share, the first ``SPARE`` are among these in both sets, since at
-most H other lists can come before them. So every pair shares at least
-``SPARE`` = 2 lists, by counting and not by chance. P goes by *levels* of
+similar sets share, the first s are among these in both sets, since at
+most H other lists can come before them. So every pair shares s lists or more,
+2 at least, by counting and not by chance. P goes by *levels* of
 set size, a factor of two wide; a set also visits the level below where it can
 have a partner there. Sets so small that similar ones differ in one shingle
 stand under the whole set and under each subset that lacks one shingle.
@@ -27,9 +27,11 @@ one that it meets most often. (2) In lists that still hold classes of different
 components, each class meets the *hub*, which has most company over all its
 lists, as the origin of a group of copies does. (3) In lists that are still not
 of one component, all pairs of different components meet, so that no link
-between those is lost: short lists by a join; of long ones a pair shares two,
-or a short one besides, so long lists are refined by a second long list of the
-same class, and what is still long meets in blocks of bounded size, where only
+between those is lost. Before that each class leaves the s - 1 longest of its
+lists, s that of its smallest partner: the shortest list that a pair shares is
+not among them. So a passage that is common to many different texts makes no
+pairs of them. Short lists are joined with themselves; what is still long is a
+crowd near the threshold and meets in blocks of bounded size, where only
 pairs that pass the filter become rows.
 
 Filter: the similarity is estimated from the union's sketch; pairs five
@@ -49,7 +51,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, map_texts
@@ -59,11 +61,13 @@ from .textkernel import PLAIN_FOLDED, Block, U, as_bytes, blocks, mix
 SHINGLE = 2
 THRESHOLD = (80, 100)
 SKETCH = 128
-#: Lists that similar sets share at least.
-SPARE = 2
-#: Lists up to this length are joined with themselves; longer ones are refined, then meet in blocks of BLOCK members.
+#: Lists that a set stands in beyond the shingles in which it can differ: two, and this share of them.
+SPARE = 0.3
+#: Lists up to this length are joined with themselves; longer ones meet in blocks of BLOCK members.
 SHORT_LIST = 32
 BLOCK = 1024
+#: Buckets of retained values where blocks meet.
+BUCKETS = 2048
 
 _TOP = np.uint64(2**64 - 1)
 
@@ -143,21 +147,30 @@ class Levels:
         """How many shingles similar sets of this total size can differ in."""
         return both * (self.of - self.part) // (self.of + self.part)
 
+    def spare(self, n: np.ndarray) -> np.ndarray:
+        """Lists beyond the shingles in which sets can differ: similar sets share the smaller one's number at least."""
+        return 2 + (SPARE * self.differ(n + self.largest_partner(n))).astype(np.int64)
+
+    def may_leave(self, n: np.ndarray) -> np.ndarray:
+        """How many of its lists a set may leave and still share one with each partner."""
+        smallest = -(-n * self.part // self.of)
+        return np.where(n > self.small, self.spare(smallest) - 1, 0)
+
     def parts(self, level: np.ndarray) -> np.ndarray:
         """Parts of the hash range: some more than any set of the level needs lists."""
         top = (self.begin(0) << (level + 1)) - 1
-        most = self.differ(top + self.largest_partner(top)) + SPARE
-        return most + np.maximum(3, most // 5)
+        most = self.differ(top + self.largest_partner(top)) + self.spare(top)
+        return most + np.maximum(3, most // 7)
 
     def stands(self, n: np.ndarray):
         """(row, level, lists) for each level that sets of these sizes stand in."""
         row = np.flatnonzero(n >= self.begin(0))
         level = self.home(n[row])
-        yield row, level, self.differ(n[row] + self.largest_partner(n[row])) + SPARE
+        yield row, level, self.differ(n[row] + self.largest_partner(n[row])) + self.spare(n[row])
         below = (self.begin(0) << level) - 1  # the largest home size of the level below
         visits = (level > 0) & (n[row] <= self.largest_partner(below))
         row, level, below = row[visits], level[visits], below[visits]
-        yield row, level - 1, self.differ(n[row] + below) + SPARE
+        yield row, level - 1, self.differ(n[row] + below) + self.spare(n[row])
 
 
 def list_keys(grams: np.ndarray, at: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +245,15 @@ def _listed(shingle: int, threshold: tuple[int, int]):
     return work
 
 
+def _may_leave(threshold: tuple[int, int]):
+    def work(batches):
+        for batch in batches:
+            may = Levels(threshold).may_leave(batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(may, pa.int64())], names=["c", "may"])
+
+    return work
+
+
 def _sets(shingle: int, sketch: int):
     """c, rep, the retained values and the other shingles of the documents that stand for classes."""
 
@@ -303,11 +325,18 @@ def _meet(sketch: int, threshold: float):
         own, comp, c, n = (table.column(x).to_numpy() for x in ("own", "comp", "c", "n"))
         values = _matrix(table.column("sketch").to_pylist(), sketch)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        # values counted in buckets: the product of two rows is no less than the number of values that both retain
+        held = (values != _TOP).sum(axis=1)
+        counts = np.zeros((len(c), BUCKETS), np.float32)
+        np.add.at(counts, (np.repeat(np.arange(len(c)), held), (mix(values[values != _TOP]) % U(BUCKETS)).astype(np.int64)), 1)
         out_a, out_b = [], []
         for lo in range(0, len(left), 64):
             l = left[lo : lo + 64]
+            common = np.minimum(counts[l] @ counts[right].T, np.minimum(held[l][:, None], held[right][None]))
+            union = held[l][:, None] + held[right][None] - common
             small, large = np.minimum(n[l][:, None], n[right][None]), np.maximum(n[l][:, None], n[right][None])
             wanted = (comp[l][:, None] != comp[right][None]) & (small >= threshold * large - 1e-9)
+            wanted &= common >= (threshold - 5 * np.sqrt(threshold * (1 - threshold) / sketch) * (union >= sketch)) * np.minimum(union, sketch) - 1e-3
             if i == j:
                 wanted &= c[l][:, None] < c[right][None]
             x, y = np.nonzero(wanted)
@@ -421,26 +450,42 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     ranked = work.write(left.join(degree, "c"), "ranked")
     hubs = work.write(ranked.groupBy("key").agg(F.max(F.struct("degree", "c", "comp")).alias("x")).select("key", F.col("x.c").alias("b"), F.col("x.comp").alias("other")), "hubs")
     met = left.join(hubs, "key").where("comp <> other")
-    links = links.unionByName(_verify(best(met), docs, classes, work, "hub", shingle, sketch, threshold))
+    def joined(comp: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Components with more links; a component stands for the links that made it."""
+        if links.isEmpty():
+            return comp
+        return components(links.unionByName(comp.withColumnRenamed("m", "v")), work, name)
+
+    comp = joined(comp, _verify(best(met), docs, classes, work, "hub", shingle, sketch, threshold), "round-2")
     work.drop("degree", "ranked", "hubs")
-    comp = components(links, work, "round-2")
 
-    # (3) all pairs of different components that share a list
+    # (3) all pairs of different components that share a list; of lists with the same members one is enough
     left = opened(left, comp, "open-2")
 
+    def once(keys: DataFrame, name: str) -> DataFrame:
+        alike = keys.groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members")
+        return work.write(alike, name)
+
+    def alike(lists: DataFrame) -> DataFrame:
+        of = [F.bit_xor(F.xxhash64("c", F.lit(salt))).alias(name) for salt, name in ((1, "x"), (2, "y"))]
+        return lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"), *of).where("low < high")
+
+    def leave(lists: DataFrame) -> DataFrame:
+        """lists without the longest ones that a class may leave."""
+        sizes = work.write(map_texts(classes.select("c", "n"), _may_leave(threshold), "c long, may long"), "may")
+        ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("members"), F.desc("key"))))
+        return ranked.join(sizes, "c").where("rank > may").select("key", "c", "comp", "members")
+
     def pairs(lists: DataFrame) -> DataFrame:
         a = lists.select("key", F.col("c").alias("a"), F.col("comp").alias("ca"))
         b = lists.select("key", F.col("c").alias("b"), F.col("comp").alias("cb"))
         return a.join(b, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    few = pairs(left.where(F.col("members") <= SHORT_LIST))
-    long_ = left.where(F.col("members") > SHORT_LIST)
-    twice = long_.select("c", "comp", "key").join(long_.select("c", F.col("key").alias("other")), "c").where("key < other")
-    twice = work.write(twice.select(F.xxhash64("key", "other").alias("key"), "c", "comp"), "twice")
-    lengths = twice.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high")
-    refined = work.write(twice.join(work.write(lengths.select("key", "members"), "lengths"), "key"), "refined")
-    some = pairs(refined.where(F.col("members") <= SHORT_LIST))
-    hot = refined.where(F.col("members") > SHORT_LIST)
+    left = work.write(leave(left), "left")
+    short = left.where(F.col("members") <= SHORT_LIST).drop("members")
+    few = pairs(short.join(once(alike(short), "short"), "key"))
+    long_ = left.where(F.col("members") > SHORT_LIST).drop("members")
+    hot = work.write(long_.join(once(alike(long_), "long"), "key"), "hot")
     count = F.ceil(F.col("members") / BLOCK).cast("int")
     hot = hot.select("key", "c", "comp", F.pmod(F.xxhash64("c"), count).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     hot = hot.select("key", "c", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -448,9 +493,9 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     texts = docs.join(needed, ["doc_id", "tag"]).groupBy("doc_id", "tag", "c", "n").agg(F.first("text").alias("text"))
     sketches = work.write(map_texts(texts.select("doc_id", "c", "text"), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary").select("c", "sketch").join(classes.select("c", "n"), "c"), "hot-sets")
     many = hot.join(sketches, "c").groupBy("key", "i", "j").applyInArrow(_meet(sketch, threshold[0] / threshold[1]), "a long, b long")
-    rest = work.write(few.unionByName(some).unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "rest")
-    comp = components(links.unionByName(_verify(rest, docs, classes, work, "rest", shingle, sketch, threshold)), work, "round-3")
-    work.drop("links", "stars-links", "hub-links", "rest-links", "open-1", "open-2", "twice", "lengths", "refined", "hot-sets", "rest", "round-1", "round-2")
+    rest = work.write(few.unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "rest")
+    comp = joined(comp, _verify(rest, docs, classes, work, "rest", shingle, sketch, threshold), "round-3")
+    work.drop("links", "stars-links", "hub-links", "rest-links", "open-1", "open-2", "left", "may", "short", "long", "hot", "hot-sets", "rest")
 
     reach = classes.select("c", "d", "n", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("c", "d", "n", F.coalesce("m", "rep").alias("component_id"))
     out = described.select("doc_id", "n", "c", "d").join(reach, ["c", "d", "n"], "left")

@@ -250,6 +250,50 @@ def test_near_dedup_chains_and_small_sets(spark, monkeypatch):
     assert multiset(near_dedup.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_components(rows), key=repr)
 
 
+def test_near_dedup_keys_miss_no_pair():
+    """Over 100,000 random pairs at the threshold or little above, from 4 shingles on: each shares a list, and as many as stated."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    levels = near_dedup.Levels((80, 100))
+    for pairs, least, most in ((90_000, 4, 41), (12_000, 40, 300), (300, 1000, 3000)):
+        sets = []
+        for _ in range(pairs):
+            a = int(draw.integers(least, most))
+            b = int(draw.integers(a, a * 5 // 4 + 1))
+            differ = (a + b) // 9
+            if differ < b - a:
+                continue
+            differ -= (differ - (b - a)) % 2  # as different as the threshold allows
+            common = (a + b - differ) // 2
+            assert 100 * common >= 80 * (a + b - common)
+            v = draw.integers(0, 2**64 - 1, a + b - common, dtype=np.uint64)
+            sets += [np.sort(v[:a]), np.sort(np.concatenate([v[:common], v[a:]]))]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        row, key = near_dedup.list_keys(np.concatenate(sets), at, (80, 100))
+        lists = [frozenset() for _ in sets]
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(len(sets) + 1))
+        lists = [frozenset(key[order[x:y]].tolist()) for x, y in zip(ends[:-1], ends[1:])]
+        n = np.diff(at)
+        stated = np.maximum(levels.may_leave(n) + 1, 1)
+        for i in range(0, len(sets), 2):
+            assert len(lists[i] & lists[i + 1]) >= (max(stated[i], stated[i + 1]) if n[i] >= levels.begin(0) else 1)
+
+
+def test_near_dedup_links_that_share_few_values(spark):
+    """A text of nine words and the same with two more: eight of ten shingles, exactly 80 %."""
+    nine = "w682723738 w761480777 w128947174 w121937228 w326721004 w669236031 w483157336 w429521198 w837878501"
+    rows = [(11, nine), (12, nine + " w159850522 w158372040"), (13, "z0 z1 z2 z3"), (14, " ".join(f"z{i}" for i in range(9))), (15, " ".join(f"z{i}" for i in range(11)))]
+    for i in range(150):  # containment at the threshold, of 4 to 60 words
+        base = [f"p{i}-{j}" for j in range(rng.randrange(6, 60))]
+        rows += [(100 + 2 * i, " ".join(base)), (101 + 2 * i, " ".join(base + [f"q{i}-{j}" for j in range((len(base) - 1) // 4)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = multiset(near_dedup.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute_components(rows), key=repr)
+    assert {c for i, _, c, _ in got if i in (11, 12)} == {11} and sum(not k for *_, k in got) >= 150
+
+
 def brute_spans(text):
     out = []
     for kind, rule in enumerate(secret_scan.RULES):
