@@ -12,7 +12,8 @@ For each length L the search uses blocks of B = 2 words (1 where L is 1):
 * HASH: where a block does occur, the window ends that it allows are tried:
   their last block must have SHIFT 0, and the bucket of last and first block
   (suffix and prefix hash) names the test strings to try.
-* Comparison: those are compared with the text word by word.
+* Comparison: those are compared with the text, first by word hashes and what
+  agrees then byte by byte, so that no two words pass for one another.
 
 All steps run for a whole block of documents at once in numpy. The strings are
 broadcast only up to ``MAX_ITEM_BYTES`` of benchmark text; beyond it the
@@ -41,7 +42,8 @@ from .textkernel import ALNUM_FOLDED, WORD_BASE, Block, U, as_bytes, blocks, cov
 WINDOW = 10
 #: Benchmark text that is searched for at once, in bytes.
 MAX_ITEM_BYTES = 8 << 20
-_TABLE_BITS = 20
+#: Slots of a shift table for each block that the strings hold, so that most slots stay empty at any size.
+_SLOTS = 8
 
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
 _ARROW_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string()))])
@@ -50,11 +52,11 @@ _ARROW_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit
 class Searcher:
     """Tables of all test strings of one length."""
 
-    def __init__(self, length: int, words: np.ndarray, start: np.ndarray, item: np.ndarray):
-        """words: hashes; start: where each string begins in it; item: the item it is from."""
+    def __init__(self, length: int, source: Block, start: np.ndarray, item: np.ndarray):
+        """source: the items' words; start: where each string begins in it; item: the item it is from."""
         self.length, self.size = length, min(2, length)
         self.step = length - self.size + 1
-        self.words = words
+        words = source.words
         rows = words[start[:, None] + np.arange(length)]
         order = np.lexsort(rows.T[::-1])
         rows, start, item = rows[order], start[order], item[order]
@@ -63,10 +65,12 @@ class Searcher:
         # one string may be from several items
         pattern = np.cumsum(fresh) - 1
         self.strings = rows[fresh]
+        self.text = [source.joined(a, a + length) for a in start[fresh].tolist()]
+        self.bits = int(np.clip(np.ceil(np.log2(_SLOTS * self.step * max(len(self.strings), 1))), 16, 26))
         pairs = np.unique(np.stack([pattern, item]), axis=1)
         self.items = pairs[1]
         self.items_at = np.searchsorted(pairs[0], np.arange(len(self.strings) + 1))
-        self.shift = np.full(1 << _TABLE_BITS, self.step, np.int16)
+        self.shift = np.full(1 << self.bits, self.step, np.int16)
         for j in range(self.step):  # from the far end, so that the least shift stays
             at = self._slot(self._block(self.strings, j))
             self.shift[at] = np.minimum(self.shift[at], self.step - 1 - j)
@@ -78,9 +82,8 @@ class Searcher:
         h = rows[:, j]
         return mix(h * U(WORD_BASE) + rows[:, j + 1]) if self.size == 2 else mix(h)
 
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return (h >> U(64 - _TABLE_BITS)).astype(np.int64)
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> U(64 - self.bits)).astype(np.int64)
 
     def _bucket(self, rows: np.ndarray) -> np.ndarray:
         return mix(self._block(rows, self.step - 1) + self._block(rows, 0) * U(WORD_BASE))
@@ -108,7 +111,9 @@ class Searcher:
         each = np.repeat(np.arange(len(start)), many)
         string = self.strings_of[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
         same = (rows[each] == self.strings[string]).all(axis=1)
-        return start[each[same]], string[same]
+        start, string = start[each[same]], string[same]
+        same = np.fromiter((block.joined(a, a + self.length) == self.text[k] for a, k in zip(start.tolist(), string.tolist())), bool, len(start))
+        return start[same], string[same]
 
     def _ends(self, w: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(w[end - 1] * U(WORD_BASE) + w[end]) if self.size == 2 else mix(w[end])
@@ -127,7 +132,7 @@ def compile_items(items: Iterable[tuple[object, str | None]], window: int = WIND
             length = min(n, window)
             start = block.first[d] + np.arange(n - length + 1)
             by.setdefault(length, []).append((start, np.full(len(start), number[i])))
-    return names, [Searcher(n, block.words, np.concatenate([s for s, _ in v]), np.concatenate([k for _, k in v])) for n, v in sorted(by.items())]
+    return names, [Searcher(n, block, np.concatenate([s for s, _ in v]), np.concatenate([k for _, k in v])) for n, v in sorted(by.items())]
 
 
 def scan(block: Block, searchers: list[Searcher]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

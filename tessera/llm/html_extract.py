@@ -1,16 +1,19 @@
 """HTML main-text extraction by line-block distribution.
 
 Markup is stripped into *lines*, one for each block element, with inline
-elements joined and character references decoded. A line's weight is the
-length of its text, in an unmarked page of that outside links; lines of menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments weigh nothing, and where a page
-marks its article, so do lines outside it. Weights are summed over sliding
-windows of ``WINDOW`` lines. The text begins where the sum surges from nothing
-past the threshold and ends where it dives back to nothing; every such stretch
-is kept. Boilerplate lines are not counted as lines of a window, so that a menu
-inside a text does not end it. In a page that marks its article there is no
-threshold: tag, class and id names alone select the text.
-Between surge and dive every line that is no boilerplate is kept, whole.
+elements joined and character references decoded. Lines of menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments, told by tag,
+class, id and role, are taken out first: text lengths alone can't tell an
+advert beside an article from a paragraph of it. A line's weight is the length
+of its text outside links. Where a page marks its article, the mark is the
+weight: inside it links count too, and lines outside weigh nothing.
+
+Weights are summed over sliding windows of ``WINDOW`` lines, on every page by
+the same rule. The sum *surges* where it passes ``SURGE_SHARE`` of the page's
+largest and *dives* where it falls to nothing; every stretch of lines that
+surges is kept up to its dive, whole. Before the surge, in a page without a
+mark, go lines that neither weigh a window's share of the threshold nor end as
+a sentence nor are headings: what stands above a text, such as a skip link.
 
 One pass of Arrow batches without a shuffle; a page is handled by itself.
 
@@ -43,6 +46,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that end where another of the same kind begins.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 BOILERPLATE = frozenset("nav footer aside form menu button dialog label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # Words in class and id names that mark boilerplate.
@@ -56,6 +60,7 @@ _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<raw>{_RAW})\b(?>[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][\w:.-]*)(?P<rest>(?>[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][\w:.-]*)[^>]*>?""",
     re.S | re.I,
 )
+_SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -75,9 +80,9 @@ def _boilerplate(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, weight, whether in a marked article, whether boilerplate) of each block of a page, in order."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, weight, whether in a marked article, whether boilerplate, whether a heading) of each block of a page, in order."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether inside boilerplate, article, link
     parts: list[str] = []
     linked = 0
@@ -88,7 +93,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, 0 if boiler else len(text) if article else max(len(text) - linked, 0), article, boiler))
+                out.append((text, 0 if boiler else len(text) if article else max(len(text) - linked, 0), article, boiler, any(s[0] in HEADINGS for s in stack)))
             parts.clear()
         linked = 0
 
@@ -139,7 +144,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 
 
 def stretches(weights: list[int], window: int = WINDOW, share: float = SURGE_SHARE) -> list[tuple[int, int]]:
-    """[from, to) of lines between each surge of the window sums past the threshold and the dive after it."""
+    """[from, to) of the stretches of lines with a surge of the window sums past the threshold, up to the dive after it."""
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     threshold = share * max(sums, default=0)
     out, i = [], 0
@@ -156,12 +161,16 @@ def stretches(weights: list[int], window: int = WINDOW, share: float = SURGE_SHA
     return out
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, window: int = WINDOW, share: float = SURGE_SHARE) -> str:
     found = [line for line in lines(page) if not line[3]]
-    marked = any(a and w for _, w, a, _ in found)
-    weights = [w if a or not marked else 0 for _, w, a, _ in found]
-    parts = stretches(weights, share=0.0 if marked else SURGE_SHARE)
-    return " ".join(found[i][0] for a, z in parts for i in range(a, z) if found[i][2] or not marked)
+    marked = any(a and w for _, w, a, _, _ in found)
+    weights = [w if a or not marked else 0 for _, w, a, _, _ in found]
+    least = share * max((sum(weights[i : i + window]) for i in range(len(weights))), default=0) / window
+    out: list[str] = []
+    for a, z in stretches(weights, window, share):
+        surge = a if marked else next(i for i in range(a, z) if weights[i] >= least)
+        out += [found[i][0] for i in range(a, z) if (found[i][2] or not marked) and (i >= surge or found[i][4] or _SENTENCE_END.search(found[i][0]))]
+    return " ".join(out)
 
 
 OUT = "page_id long, url string, text string, n_chars long"

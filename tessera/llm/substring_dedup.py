@@ -16,6 +16,9 @@ contexts share an anchor, the match ends inside the run: there one document
 for each context stands for the others, and its windows are compared singly.
 Runs and windows that adjoin are merged, which gives the maximal repeats.
 
+Equality of contexts and windows is that of two independent 64-bit hashes of
+their word sequences; an anchor's hash only brings candidates together.
+
 Data flow: two narrow shuffles over anchors (one with map-side combine to find
 those that are shared, one semi-join to keep them), then work that grows with
 the repeated text only. Hot passages are joined by sort-merge joins, which AQE
@@ -42,15 +45,16 @@ from .textkernel import PLAIN, WORD_BASE, Block, U, as_bytes, blocks, covered, m
 
 WINDOW = 13
 SEED = 7
+OTHER_BASE = 0xC2B2AE3D27D4EB4F | 1
 
 
 def _runs(block: Block, window: int, seed: int):
-    """Anchors of a block: hash, context hash, document, first window, number of windows."""
+    """Anchors of a block: hash, context's two hashes, document, first window, number of windows."""
     grams, _ = block.ngrams(seed)
     n = len(block) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none.view(U), none.view(U), none, none, none
+        return none.view(U), none.view(U), none.view(U), none, none, none
     choices = window - seed + 1
     least, at = grams[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, choices):
@@ -67,9 +71,15 @@ def _runs(block: Block, window: int, seed: int):
     last = valid.copy()
     last[:-1] &= ~valid[1:] | begins[1:]
     count = np.flatnonzero(last) - start + 1
-    body = range_hash(block.words, start, start + count + window - 1, WORD_BASE)
-    context = mix(mix(body) + (count * 64 + at[start] - start).astype(U))
-    return least[start], context, block.doc[start], start, count
+    shape = (count * 64 + at[start] - start).astype(U)
+    bodies = (range_hash(w, start, start + count + window - 1, base) for w, base in ((block.words, WORD_BASE), (_other(block.words), OTHER_BASE)))
+    context, check = (mix(mix(body) + shape) for body in bodies)
+    return least[start], context, check, block.doc[start], start, count
+
+
+def _other(words: np.ndarray) -> np.ndarray:
+    """Another number for each word, so that sequences get a second hash which is independent of the first."""
+    return mix(words ^ U(0x8A5CD789635D2DFF))
 
 
 def _tags(block: Block) -> np.ndarray:
@@ -96,15 +106,15 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 _SEEN = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
-_RUN = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
-_WINDOW = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("s", pa.int32())])
+_RUN = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+_WINDOW = pa.schema([("w", pa.int64()), ("x", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("s", pa.int32())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 def _seen(window: int, seed: int):
     def work(batches):
         for ids, _, block in _rows(batches, PLAIN):
-            h, _, doc, _, _ = _runs(block, window, seed)
+            h, _, _, doc, _, _ = _runs(block, window, seed)
             yield _batch(_SEEN, h.view(np.int64), ids[doc])
 
     return work
@@ -113,8 +123,8 @@ def _seen(window: int, seed: int):
 def _run_rows(window: int, seed: int):
     def work(batches):
         for ids, _, block in _rows(batches, PLAIN):
-            h, c, doc, s, n = _runs(block, window, seed)
-            yield _batch(_RUN, h.view(np.int64), c.view(np.int64), ids[doc], _tags(block)[doc], s - block.first[doc], n)
+            h, c, e, doc, s, n = _runs(block, window, seed)
+            yield _batch(_RUN, h.view(np.int64), c.view(np.int64), e.view(np.int64), ids[doc], _tags(block)[doc], s - block.first[doc], n)
 
     return work
 
@@ -136,7 +146,8 @@ def _window_rows(window: int):
                 s = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
                 grams, _ = block.ngrams(window)
                 at = s + block.first[doc[each]]
-                yield _batch(_WINDOW, grams[at].view(np.int64), ids[lo + doc[each]], tags[lo + doc[each]], s)
+                check = mix(range_hash(_other(block.words), at, at + window, OTHER_BASE))
+                yield _batch(_WINDOW, grams[at].view(np.int64), check.view(np.int64), ids[lo + doc[each]], tags[lo + doc[each]], s)
 
     return work
 
@@ -197,23 +208,23 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Workspace, window: int =
     shared = seen.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     shared = work.write(shared, "shared")
 
-    runs = map_texts(docs, _run_rows(window, seed), "h long, c long, doc_id long, tag long, s int, n int")
+    runs = map_texts(docs, _run_rows(window, seed), "h long, c long, e long, doc_id long, tag long, s int, n int")
     runs = work.write(runs.join(shared, "h", "left_semi"), "runs")
 
-    contexts = work.write(runs.groupBy("c").agg(F.min("doc_id").alias("lowest"), F.min("h").alias("h")), "contexts")
-    split = contexts.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
+    contexts = work.write(runs.groupBy("c", "e").agg(F.min("doc_id").alias("lowest"), F.min("h").alias("h")), "contexts")
+    split = contexts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     # written first: a join straight behind its aggregation can't be split where one anchor is hot
     split = work.write(split, "split")
-    settled = runs.join(contexts.select("c", "lowest"), "c")
+    settled = runs.join(contexts.select("c", "e", "lowest"), ["c", "e"])
     whole = settled.where("doc_id > lowest").select("doc_id", "tag", "s", (F.col("n") + window - 1).alias("len"))
     part = settled.where("doc_id = lowest").join(split, "h", "left_semi")
     part = part.groupBy("doc_id", "tag").agg(F.collect_set(F.col("s").cast("long") * 256 + F.col("n")).alias("runs"))
     tagged = docs.withColumn("tag", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    windows = map_texts(tagged.join(part, ["doc_id", "tag"]), _window_rows(window), "w long, doc_id long, tag long, s int")
+    windows = map_texts(tagged.join(part, ["doc_id", "tag"]), _window_rows(window), "w long, x long, doc_id long, tag long, s int")
     windows = work.write(windows, "windows")
-    lowest = windows.groupBy("w").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
-    lowest = work.write(lowest.select("w", "lowest"), "lowest")
-    single = windows.join(lowest, "w").where("doc_id > lowest").select("doc_id", "tag", "s", F.lit(window).alias("len"))
+    lowest = windows.groupBy("w", "x").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
+    lowest = work.write(lowest.select("w", "x", "lowest"), "lowest")
+    single = windows.join(lowest, ["w", "x"]).where("doc_id > lowest").select("doc_id", "tag", "s", F.lit(window).alias("len"))
     return work.write(whole.unionByName(single), "repeats")
 
 
@@ -230,6 +241,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wit
     spans = found.groupBy("doc_id", "tag").agg(F.collect_list(F.col("s").cast("long") * 256 + F.col("len")).alias("spans"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tagged = docs.withColumn("tag", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    joined = tagged.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
+    none = F.array().cast("array<long>")
+    joined = tagged.where("doc_id IS NOT NULL").join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    # rows without a doc_id have no spans and would all meet in one task of the join
+    joined = joined.unionByName(docs.where("doc_id IS NULL").withColumn("spans", none))
     out = map_texts(joined, _apply(with_text), _LONG2)
     return out if with_text else out.drop("kept_text")

@@ -112,6 +112,7 @@ class Block:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         self._hash: np.ndarray | None = None
+        self._folded: bytes | None = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -133,6 +134,12 @@ class Block:
             self._hash = mix(h + (self.end - self.start).astype(U) * U(0xA24BAED4963EE407))
         return self._hash
 
+    def joined(self, a: int, z: int) -> bytes:
+        """The words a:z, folded, joined by one space."""
+        if self._folded is None:
+            self._folded = self.buf.tobytes()
+        return b" ".join([self._folded[x:y] for x, y in zip(self.start[a:z].tolist(), self.end[a:z].tolist())])
+
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether one document has them all."""
         w, m = self.words, len(self) - n + 1

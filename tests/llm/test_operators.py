@@ -533,3 +533,29 @@ def test_html_text_goes_on_after_a_break(between):
     """Menus, lists and blocks of links inside an unmarked page's text lose nothing behind them."""
     a, b, c, d = paragraphs(100, 120, 90, 110)
     assert html_extract.main_text(PAGE % f"<div><p>{a}</p><p>{b}</p>{between}<p>{c}</p><p>{d}</p></div>") == " ".join([a, b, c, d])
+
+
+def test_html_thresholds_decide():
+    """Window and threshold change what is kept, also of a page that marks its articles."""
+    a, b, c = "long " * 60, "mid " * 12, "x y z."
+    gap = "<p><a href=/1>link</a></p>" * 3
+    for page in (f"<div><p>{a}</p>{gap}<p>{b}</p>{gap}<p>{c}</p></div>", f"<article><p>{a}</p></article>{gap}<article><p>{b}</p></article>{gap}<article><p>{c}</p></article>"):
+        kept = lambda **k: html_extract.main_text(page, **k).replace(" link", "")  # noqa: B023, E731
+        assert kept(share=0.0) == " ".join([a.strip(), b.strip(), c])
+        assert kept(share=0.1) == " ".join([a.strip(), b.strip()])
+        assert kept(share=0.5) == a.strip()
+        assert kept(window=4, share=0.5).startswith(f"{a.strip()} {b.strip()}")  # the gaps are shorter than a window
+
+
+def test_html_lines_above_the_text():
+    a, b = "A paragraph of text. " * 8, "More of it. " * 6
+    page = f"<div>Skip</div><div>Home page of X</div><h1>Heading</h1><p>Short one.</p><p>{a}</p><p>{b}</p><p>end</p>"
+    assert html_extract.main_text(page) == " ".join(["Heading", "Short one.", a.strip(), b.strip(), "end"])
+
+
+def test_html_long_and_deep():
+    """Very long text is kept whole, and elements may be nested deep or left open."""
+    body = "word " * 200_000
+    assert html_extract.main_text(f"<article><p>{body}</p></article>") == body.strip()
+    assert html_extract.main_text("<div>" * 3000 + f"<p>{body}</p>" + "</div>" * 2000) == body.strip()
+    assert html_extract.main_text("<b>" * 3000 + "text" + "<p>") == "text"
