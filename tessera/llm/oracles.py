@@ -32,30 +32,33 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-def _secret_sql() -> str:
-    from .secret_scan import BASE, RULES
-
-    parts, kinds = [], []
-    for k, r in enumerate(RULES):
-        pattern = r.pattern.replace("'", "''")
-        parts.append(f"SELECT doc_id, {k} AS k, '{r.name}' AS kind, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS g, regexp_split_to_array(t, '{pattern}') AS gap, {r.least} AS least FROM d")
-        if k < len(BASE):
-            kinds.append(f"count(*) FILTER (k = {k})::BIGINT AS n_{r.name}")
-    return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-m AS ({' UNION ALL '.join(parts)}),
+# The contract's three patterns and the five further formats, written out here apart from the operator.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''"), 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("jwt", "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}", 0, 0),
+)
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, r, {k} AS k, '{name}' AS kind, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS gap, {least} AS least FROM d"
+    for k, (name, p, group, least) in enumerate(_SECRETS)
+)
+ORACLES["op6_secret_scan"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_MATCHES}),
 i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m WHERE len(m) > 0),
-s AS (SELECT doc_id, k, kind, list_sum(list_transform(gap[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(m[i]) AS n, length(g[i]) AS v, least FROM i),
-f AS (SELECT doc_id, k, kind, a, kind || ':' || a || ':' || (a + n) AS span FROM s WHERE v >= least),
-j AS (SELECT doc_id, {', '.join(kinds)}, string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM f GROUP BY doc_id)
-SELECT doc_id, {', '.join(f'coalesce(n_{r.name}, 0) AS n_{r.name}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN j USING (doc_id)
+f AS (SELECT r, k, kind, list_sum(list_transform(gap[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(m[i]) AS n FROM i WHERE length(g[i]) >= least),
+j AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (r)
 """
 
 
-ORACLES["op6_secret_scan"] = _secret_sql()
-
-
 def _license_sql() -> str:
     from .license_scan import BOUNDARY, _pattern, known, sequences
 

@@ -1,14 +1,17 @@
-"""Secret scan by trigram index, in DataFrame operations only.
+"""Secret scan by trigram inverted index, in DataFrame operations only.
 
 From each rule's regular expression a Boolean query over trigrams is derived:
 text that matches must hold, in lower case, all trigrams of one of a few
-alternatives. The index covers the trigrams that any rule asks for. Its
-postings are bitmaps aligned with the rows: bit t of a document's word says
-that the document is in the list of trigram t, so lists are intersected and
-united in place by AND and OR of bits, without moving a text. ``postings`` and
-``candidates`` give the same lists as a table, to be written once and queried
-for many rule sets. Candidates are verified by the expression itself; a rule
-without mandatory trigrams reads every text.
+alternatives. The inverted index is a table written between phases: for each
+trigram that any rule asks for the postings, keys of the rows that hold it. A
+rule's candidates are the rows in the intersections and unions of postings that
+its query names; lists are intersected by bringing the postings of a row
+together, with map-side combine, as a row has a bit for each of its lists.
+Candidates meet the texts again by a join on the row's key and are verified by
+the expression itself. A rule without mandatory trigrams reads every text.
+
+A row's key is a 64-bit hash of doc_id and text. Rows that repeat both share
+it, and rightly so; where two others do, one more text is verified.
 
 Positions: ``split`` gives the text between matches and ``regexp_extract_all``
 the matches, both leftmost and non-overlapping; adding their lengths in turn
@@ -28,6 +31,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 #: Exact alternatives that are followed at once while a query is derived.
 MAX_ALTERNATIVES = 48
 
@@ -148,21 +153,27 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted({t for r in rules for group in trigram_query(r.pattern) for option in group for t in option})
 
 
-def bitmaps(text: Column, trigrams: list[str]) -> list[Column]:
-    """The row's bit in each posting list, 62 lists in each word."""
-    low = F.lower(text)
-    words = []
-    for lo in range(0, len(trigrams), 62):
-        word = F.lit(0).cast("long")
-        for k, t in enumerate(trigrams[lo : lo + 62]):
-            word = word + F.when(F.contains(low, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-        words.append(word)
-    return words
+_KEY = "_row_key"
+
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Names a row alike in the index and in the table."""
+    return F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit("")))
 
-def holds(query: Query, trigrams: list[str], words: list[Column]) -> Column:
-    """Whether a row is in the intersections of postings that the query asks for."""
-    at = {t: i for i, t in enumerate(trigrams)}
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The index: (trigram, row), trigram the number in ``vocabulary``, row the key of a row that holds it."""
+    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    held = F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(k)) for k, t in enumerate(vocabulary(rules))])
+    return docs.select(row_key().alias("row"), F.explode(F.array_compact(held)).alias("trigram")).select("trigram", "row")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(row, rules): the rows in the intersected postings of rules, a bit for each rule; only rules with mandatory trigrams."""
+    trigrams = vocabulary(rules)
+    at = {t: k for k, t in enumerate(trigrams)}
+    words = range(0, len(trigrams), 62)
+    bits = [F.bit_or(F.when(F.col("trigram").between(lo, lo + 61), F.expr(f"shiftleft(1L, trigram - {lo})")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k, lo in enumerate(words)]
 
     def option(needed: frozenset[str]) -> Column:
         masks: dict[int, int] = {}
@@ -170,39 +181,22 @@ def holds(query: Query, trigrams: list[str], words: list[Column]) -> Column:
             masks[at[t] // 62] = masks.get(at[t] // 62, 0) | 1 << at[t] % 62
         out = F.lit(True)
         for w, mask in sorted(masks.items()):
-            out = out & (words[w].bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
+            out = out & (F.col(f"w{w}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
         return out
 
-    out = F.lit(True)
-    for group in query:
-        some = F.lit(False)
-        for needed in sorted(group, key=sorted):
-            some = some | option(needed)
-        out = out & some
-    return out
-
-
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index as a table of (trigram, doc_id)."""
-    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = F.filter(F.array(*[F.lit(t) for t in vocabulary(rules)]), lambda t: F.contains(low, t))
-    return docs.select("doc_id", F.explode(found).alias("trigram")).select("trigram", "doc_id")
-
-
-def candidates(index: DataFrame, rule: Rule) -> DataFrame:
-    """doc_ids in the intersected postings of a rule that has mandatory trigrams."""
-    query = trigram_query(rule.pattern)
-    if not query:
-        raise ValueError(f"{rule.name} has no mandatory trigrams: every document is a candidate")
-    needed = sorted({t for group in query for option in group for t in option})
-    held = index.where(F.col("trigram").isin(needed)).groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-    keep = F.lit(True)
-    for group in query:
-        some = F.lit(False)
-        for option in sorted(group, key=sorted):
-            some = some | (F.size(F.array_intersect("held", F.array(*[F.lit(t) for t in sorted(option)]))) == len(option))
-        keep = keep & some
-    return held.where(keep).select("doc_id")
+    found = F.lit(0)
+    for k, rule in enumerate(rules):
+        query = trigram_query(rule.pattern)
+        if not query:
+            continue
+        all_ = F.lit(True)
+        for group in query:
+            some = F.lit(False)
+            for needed in sorted(group, key=sorted):
+                some = some | option(needed)
+            all_ = all_ & some
+        found = found + F.when(all_, F.lit(1 << k)).otherwise(F.lit(0))
+    return index.groupBy("row").agg(*bits).select("row", found.alias("rules")).where("rules <> 0")
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -226,20 +220,20 @@ def match_spans(text: Column, rule: Rule, kind: int) -> Column:
     return F.aggregate(parts, begin, step, lambda state: state["found"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with ``_spans``: the places of all secrets, by start and then kind; kind is the rule's number."""
-    trigrams = vocabulary(rules)
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    words = bitmaps(whole, trigrams)
-    marked = docs.withColumns({f"_postings{i}": w for i, w in enumerate(words)})
-    names = [F.col(f"_postings{i}") for i in range(len(words))]
+    work = Workspace(docs.sparkSession, "secret-scan")
+    index = work.write(postings(docs, rules), "postings")
+    found = work.write(candidates(index, rules).withColumnsRenamed({"row": _KEY, "rules": "_rules"}), "candidates")
+    work.drop("postings")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(_SPAN)
-    found = []
+    spans = []
     for kind, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        candidate = holds(query, trigrams, names) if query else F.lit(True)
-        found.append(F.when(candidate & whole.rlike(rule.pattern), match_spans(whole, rule, kind)).otherwise(none))
-    return marked.withColumn("_spans", F.array_sort(F.concat(*found))).drop(*[f"_postings{i}" for i in range(len(words))])
+        candidate = F.col("_rules").bitwiseAND(F.lit(1 << kind)) != 0 if trigram_query(rule.pattern) else F.lit(True)
+        spans.append(F.when(candidate & whole.rlike(rule.pattern), match_spans(whole, rule, kind)).otherwise(none))
+    marked = docs.withColumn(_KEY, row_key()).join(found, _KEY, "left").withColumn("_rules", F.coalesce("_rules", F.lit(0)))
+    return marked.withColumn("_spans", F.array_sort(F.concat(*spans))).drop(_KEY, "_rules")
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
@@ -264,7 +258,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """docs with each secret in text replaced by a mark; overlapping ones by one mark. Null text stays null."""
     columns = docs.columns
-    found = scan(docs)
+    found = scan(docs.withColumnsRenamed({c: f"in_{c}" for c in columns if c in ("_spans", "_rules", _KEY)}))
+    found = found.withColumnsRenamed({"_spans": "found_", **{f"in_{c}": c for c in columns if c in ("_spans", "_rules", _KEY)}})
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(state: Column, span: Column) -> Column:
@@ -275,5 +270,5 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     def finish(state: Column) -> Column:
         return F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
 
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", begin, step, finish)).otherwise(F.col("text"))
+    text = F.when(F.size("found_") > 0, F.aggregate("found_", begin, step, finish)).otherwise(F.col("text"))
     return found.withColumn("text", text).select(*columns)

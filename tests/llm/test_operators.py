@@ -334,23 +334,39 @@ def test_secret_spans(spark, text):
 
 
 def test_trigram_queries(docs, rows):
-    index = secret_scan.postings(docs).cache()
-    for rule in secret_scan.RULES:
+    key = {r.k: r.doc_id for r in docs.select(secret_scan.row_key().alias("k"), "doc_id").collect()}
+    found = {}
+    for r in secret_scan.candidates(secret_scan.postings(docs)).collect():
+        found[key[r.row]] = found.get(key[r.row], 0) | r.rules
+    for k, rule in enumerate(secret_scan.RULES):
         query = secret_scan.trigram_query(rule.pattern)
-        hits = {i for i, t in rows if i is not None and re.search(rule.pattern, t or "")}
+        hits = {i for i, t in rows if re.search(rule.pattern, t or "")}
+        listed = {i for i, m in found.items() if m >> k & 1}
         if query:
-            found = {r.doc_id for r in secret_scan.candidates(index, rule).collect()}
-            assert hits <= found
-            for text in (t for _, t in rows if t):  # the query must hold wherever the rule matches
-                if re.search(rule.pattern, text):
-                    assert all(any(all(x in text.lower() for x in option) for option in group) for group in query)
+            # the postings name just the texts in which the query holds, and it holds wherever the rule matches
+            assert hits <= listed == {i for i, t in rows if t and all(any(all(x in t.lower() for x in option) for option in group) for group in query)}
         else:
-            with pytest.raises(ValueError):
-                secret_scan.candidates(index, rule)
+            assert not listed
     assert secret_scan.trigram_query("[0-9a-f]{24,}") == () and secret_scan.trigram_query("x?y*ab") == ()
     assert secret_scan.trigram_query("abc(de|fg)+h") == (frozenset({frozenset({"abc"})}),)
 
 
+def test_secret_scan_reads_the_index(spark, monkeypatch):
+    """What the postings do not name is not verified, so the index decides; null text and ids, ties and repeated rows."""
+    rows = [(1, "token=abcdefgh"), (1, "token=abcdefgh"), (1, None), (None, "token=abcdefgh"), (None, None), (2, "token=abcdefgh " + "0123456789abcdef" * 2), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS _spans", "1 AS _rules", "2 AS _row_key")
+    got = multiset(secret_scan.secret_scan(df), "doc_id", "n_assign", "n_hex", "spans")
+    one = "assign:0:14"
+    assert got == sorted([(1, 1, 0, one), (1, 1, 0, one), (1, 0, 0, ""), (None, 1, 0, one), (None, 0, 0, ""), (2, 1, 1, one + ",hex:15:47"), (3, 0, 0, "")], key=repr)
+    clean = secret_scan.redact(df)
+    assert clean.columns == df.columns
+    assert multiset(clean, "doc_id", "text", "_spans", "_rules") == sorted([(i, t if t is None else t.replace("token=abcdefgh", "<secret>").replace("0123456789abcdef" * 2, "<secret>"), "x", 1) for i, t in rows], key=repr)
+    real = secret_scan.postings
+    monkeypatch.setattr(secret_scan, "postings", lambda docs, rules: real(docs, rules).limit(0))
+    assert {r.n_assign for r in secret_scan.secret_scan(df).collect()} == {0}
+    assert {r.n_hex for r in secret_scan.secret_scan(df).collect()} == {0, 1}
+
+
 def test_toxicity_edges(docs, rows, labels, empty):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == len(rows)
