@@ -4,9 +4,11 @@ Texts are cut into sentences, at line ends too but not where a known sentence is
 wrapped over lines, with or without comment marks; each is normalised (lower case, letters and
 digits only) and looked up in a table of known licence sentences, which gives
 its identifier. The identifiers of a document, in order, with a mark for
-unknown sentences between them, are matched against ordered rules: a licence is
-recognised where the identifiers of its rule follow each other with at most
-``GAP`` unknown sentences between two of them.
+unknown sentences between them, are matched against ordered rules from left to
+right: at each identifier the rules are tried in their order, and the first
+whose identifiers follow each other, with at most ``GAP`` unknown sentences
+between two of them, gives its licence and consumes them. A rule that another
+one begins with stands after it, so a three-clause text is not two-clause too.
 
 Only documents with one of a few anchor words are cut up; the words are derived
 from the table so that every known sentence has one. One pass over the text,
@@ -54,27 +56,99 @@ SENTENCES = {
     "cc-by-sa-4.0/work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "mpl-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense/domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense/anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "apache-2.0/header-4": "See the License for the specific language governing permissions and limitations under the License.",
+    "mit/warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "mit/liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mit/style": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT.",
+    "mit-0/grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.',
+    "json/good": "The Software shall be used for Good, not Evil.",
+    "0bsd/grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc/warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "bsd/advertise": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd/disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd/style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "gpl/only-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl/details": "See the GNU General Public License for more details.",
+    "gpl/copy": "You should have received a copy of the GNU General Public License along with this program.",
+    "lgpl/grant-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl/grant-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl/hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl/details": "See the GNU Lesser General Public License for more details.",
+    "agpl/grant-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl/details": "See the GNU Affero General Public License for more details.",
+    "mpl-2.0/copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-1.1/notice": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.',
+    "epl-1.0/notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl-2.0/notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "zlib/warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib/liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib/grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib/origin": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "zlib/altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "zlib/notice": "This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0/notice": "Distributed under the Boost Software License, Version 1.0.",
+    "cc0-1.0/dedication": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-1.0/copy": "You should have received a copy of the CC0 Public Domain Dedication along with this software.",
+    "cc-by-nd-4.0/work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0/work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0/work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-3.0/work": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "cc-by-sa-3.0/work": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "ofl-1.1/notice": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "gfdl-1.3/grant": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation.",
+    "perl/notice": "This is free software; you can redistribute it and/or modify it under the same terms as the Perl 5 programming language system itself.",
+    "ms-pl/notice": "This source code is subject to terms and conditions of the Microsoft Public License.",
 }
-# The ordered sentences that make up each licence, by SPDX identifier.
+# The ordered sentences that make up each licence, by SPDX identifier; the first rule that matches counts.
 RULES = (
     ("Apache-2.0", ("apache-2.0/notice",)),
+    ("Apache-2.0", ("apache-2.0/header-1", "apache-2.0/header-2", "apache-2.0/header-3", "apache-2.0/header-4")),
     ("Apache-2.0", ("apache-2.0/header-1", "apache-2.0/header-2", "apache-2.0/header-3")),
+    ("JSON", ("mit/grant", "mit/condition", "json/good")),
+    ("MIT", ("mit/grant", "mit/condition", "mit/warranty", "mit/liability")),
+    ("MIT", ("mit/grant", "mit/condition")),
+    ("MIT-0", ("mit-0/grant",)),
     ("MIT", ("mit/notice",)),
     ("MIT", ("mit/notice-2",)),
-    ("MIT", ("mit/grant", "mit/condition")),
+    ("MIT", ("mit/style",)),
     ("ISC", ("isc/grant",)),
-    ("BSD-2-Clause", ("bsd/grant", "bsd/source", "bsd/binary")),
+    ("0BSD", ("0bsd/grant",)),
+    ("BSD-4-Clause", ("bsd/grant", "bsd/source", "bsd/binary", "bsd/advertise", "bsd/endorse")),
     ("BSD-3-Clause", ("bsd/grant", "bsd/source", "bsd/binary", "bsd/endorse")),
+    ("BSD-2-Clause", ("bsd/grant", "bsd/source", "bsd/binary")),
+    ("BSD-3-Clause", ("bsd/style",)),
     ("GPL-3.0-only", ("gpl-3.0/notice",)),
+    ("GPL-2.0-only", ("gpl/only-2",)),
     ("GPL-2.0-or-later", ("gpl/grant-2", "gpl/hope")),
     ("GPL-3.0-or-later", ("gpl/grant-3", "gpl/hope")),
+    ("LGPL-2.1-or-later", ("lgpl/grant-2.1", "lgpl/hope")),
+    ("LGPL-3.0-or-later", ("lgpl/grant-3", "gpl/hope")),
+    ("AGPL-3.0-or-later", ("agpl/grant-3", "gpl/hope")),
+    ("MPL-2.0", ("mpl-2.0/notice", "mpl-2.0/copy")),
+    ("MPL-2.0", ("mpl-2.0/notice",)),
+    ("MPL-1.1", ("mpl-1.1/notice",)),
+    ("EPL-1.0", ("epl-1.0/notice",)),
+    ("EPL-2.0", ("epl-2.0/notice",)),
+    ("Zlib", ("zlib/warranty", "zlib/liability", "zlib/grant", "zlib/origin", "zlib/altered", "zlib/notice")),
+    ("BSL-1.0", ("bsl-1.0/notice",)),
+    ("CC0-1.0", ("cc0-1.0/dedication",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0/notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0/work",)),
     ("CC-BY-4.0", ("cc-by-4.0/notice",)),
     ("CC-BY-4.0", ("cc-by-4.0/work",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4.0/notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4.0/work",)),
-    ("MPL-2.0", ("mpl-2.0/notice",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4.0/work",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4.0/work",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4.0/work",)),
+    ("CC-BY-3.0", ("cc-by-3.0/work",)),
+    ("CC-BY-SA-3.0", ("cc-by-sa-3.0/work",)),
+    ("OFL-1.1", ("ofl-1.1/notice",)),
+    ("GFDL-1.3-or-later", ("gfdl-1.3/grant",)),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", ("perl/notice",)),
+    ("MS-PL", ("ms-pl/notice",)),
+    ("Unlicense", ("unlicense/domain", "unlicense/anyone")),
     ("Unlicense", ("unlicense/domain",)),
 )
 
@@ -136,7 +210,7 @@ def unwrapped(low: Column) -> Column:
     """
     for sentence in sorted(known(), key=lambda s: (-len(s), s)):
         first, *words = sentence.split()
-        body = first + "".join((_BEFORE_ADDRESS if w == "http" else _WITHIN) + w for w in words)
+        body = first + "".join((_BEFORE_ADDRESS if w in ("http", "https") else _WITHIN) + w for w in words)
         low = F.regexp_replace(low, r"(^|\n|[.!?;:][\x20\t\r]+)[^a-z0-9\n]*" + body + r"(?=[^a-z0-9\n]*(?:\n|$)|[^a-z0-9\n]*?[.!?;:](?:[\x20\t\r]|$))", "$1" + sentence)
     return low
 
@@ -154,8 +228,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(candidate, marked).otherwise(F.array().cast("array<string>")).alias("marks"))
     found = found.select("doc_id", F.filter("marks", lambda m: m != "-").alias("ids"), F.concat(F.lit("<"), F.array_join("marks", "><"), F.lit(">")).alias("line"))
 
-    def matches(licence: str, sequence: list[str]) -> Column:
-        return F.when(F.col("line").rlike(_pattern(sequence)), F.lit(licence))
-
-    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*[matches(licence, s) for licence, s in sequences()]))))
+    # alternatives of a pattern are tried in order and what one matches is consumed
+    matches = F.regexp_extract_all("line", F.lit("|".join(_pattern(q) for _, q in sequences())), F.lit(0))
+    licence = F.create_map(*[F.lit(x) for q, name in {"".join(f"<{i}>" for i in q): name for name, q in sequences()[::-1]}.items() for x in (q, name)])
+    licences = F.array_sort(F.array_distinct(F.transform(matches, lambda m: F.element_at(licence, F.replace(m, F.lit("<->"), F.lit(""))))))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sequence"), F.array_join(F.when(F.size("ids") > 0, licences).otherwise(F.array().cast("array<string>")), ",").alias("licenses"))

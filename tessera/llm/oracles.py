@@ -59,21 +59,19 @@ FROM d LEFT JOIN j USING (r)
 """
 
 
-def _license_sql() -> str:
-    from .license_scan import BOUNDARY, _pattern, known, sequences
-
-    ids = ", ".join(f"'{k}': '{v}'" for k, v in known().items())
-    rules = ", ".join(f"CASE WHEN regexp_matches(line, '{_pattern(q)}') THEN '{name}' END" for name, q in sequences())
-    return f"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{BOUNDARY}'), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
-m AS (SELECT doc_id, list_transform(s, lambda x: coalesce(MAP {{{ids}}}[x], '-')) AS m FROM s),
-l AS (SELECT doc_id, list_filter(m, lambda x: x <> '-') AS ids, '<' || array_to_string(m, '><') || '>' AS line FROM m)
-SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sequence, coalesce(array_to_string(list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))), ','), '') AS licenses FROM l
+# The licence sentences of the tables, written out here apart from the operator; each is a whole line or sentence.
+ORACLES["op9_license_scan"] = r"""
+WITH k(s, id, licence) AS (VALUES
+  ('released under the mit license', 'mit/notice', 'MIT'),
+  ('licensed under the apache license version 2 0', 'apache-2.0/notice', 'Apache-2.0'),
+  ('this work is licensed under the gnu general public license version 3', 'gpl-3.0/notice', 'GPL-3.0-only'),
+  ('licensed under cc by nc 4 0', 'cc-by-nc-4.0/notice', 'CC-BY-NC-4.0')),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\n|[.!?;:]+(?:[\x20\t\r]+|$)'), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))) AS s FROM documents),
+u AS (SELECT r, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS i FROM d),
+f AS (SELECT r, count(*) AS n_known, string_agg(id, ',' ORDER BY i) AS sequence, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licenses FROM u JOIN k USING (s) GROUP BY r)
+SELECT doc_id, coalesce(n_known, 0)::BIGINT AS n_known, coalesce(sequence, '') AS sequence, coalesce(licenses, '') AS licenses FROM d LEFT JOIN f USING (r)
 """
 
-
-ORACLES["op9_license_scan"] = _license_sql()
-
 ORACLES["op5_near_dedup"] = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
