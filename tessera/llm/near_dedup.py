@@ -32,7 +32,7 @@ lists, s that of its smallest partner: the shortest list that a pair shares is
 not among them. So a passage that is common to many different texts makes no
 pairs of them. Short lists are joined with themselves; what is still long is a
 crowd near the threshold and meets in blocks of bounded size, where only
-pairs that pass the filter become rows.
+links and pairs that pass the filter become rows.
 
 Filter: the similarity is estimated from the union's sketch; pairs five
 standard deviations (of a draw without replacement) below the threshold go.
@@ -60,14 +60,16 @@ from .textkernel import PLAIN_FOLDED, Block, U, as_bytes, blocks, mix
 
 SHINGLE = 2
 THRESHOLD = (80, 100)
-SKETCH = 128
+SKETCH = 512
 #: Lists that a set stands in beyond the shingles in which it can differ: two, and this share of them.
-SPARE = 0.3
+SPARE = 0.15
 #: Lists up to this length are joined with themselves; longer ones meet in blocks of BLOCK members.
 SHORT_LIST = 32
 BLOCK = 1024
-#: Buckets of retained values where blocks meet.
-BUCKETS = 2048
+#: Shared values of a block that are counted at once.
+COLUMNS = 4096
+#: Rows of three numbers that are sent to every executor at most.
+BROADCAST_ROWS = 250_000
 
 _TOP = np.uint64(2**64 - 1)
 
@@ -81,8 +83,11 @@ def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         one = np.array([_sequence(block.words[block.first[d] : block.first[d + 1]]) for d in short], U)
         doc, grams = np.concatenate([doc, short]), np.concatenate([grams, one])
-    order = np.lexsort((grams, doc))
-    doc, grams = doc[order], grams[order]
+        order = np.argsort(doc, kind="stable")
+        doc, grams = doc[order], grams[order]
+    ends = np.searchsorted(doc, np.arange(len(block.texts) + 1))
+    for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):  # small sorts of one document each are the fastest way
+        grams[a:z].sort()
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])
     doc, grams = doc[fresh], grams[fresh]
@@ -205,7 +210,9 @@ def list_keys(grams: np.ndarray, at: np.ndarray, threshold: tuple[int, int]) ->
                 more.append(np.sort(_name(np.zeros(len(empty), U), empty, np.full(len(empty), level[r])))[: lists[r] - used[r]])
             own, key = np.concatenate([own, np.repeat(lacks, [len(m) for m in more])]), np.concatenate([key, *more])
             held = np.concatenate([held, np.zeros(len(own) - len(held), held.dtype)])
-        order = np.lexsort((key, -held, own))
+        # by set, then most values first, then name: one sort of packed numbers
+        packed = (own.astype(U) << U(44)) | ((U(255) - np.minimum(held, 255).astype(U)) << U(36)) | (key >> U(28))
+        order = np.argsort(packed)
         own, key = own[order], key[order]
         rank = np.arange(len(own)) - np.searchsorted(own, own, "left")
         keep = rank < lists[own]
@@ -316,37 +323,58 @@ def _likely(sketch: int, threshold: float):
     return work
 
 
-def _meet(sketch: int, threshold: float):
-    """Likely pairs of two blocks of a list, or of one block with itself, between different components."""
+def _meet(sketch: int, threshold: tuple[int, int]):
+    """Pairs of two blocks of a list, or of one block with itself, that may reach the threshold, between different components.
+
+    Retained values that both hold are counted for all pairs at once, by products of matrices. Sets that are
+    retained whole are decided by that, and of them one link from a set to a component is enough; of others
+    go the pairs that pass the filter.
+    """
+    part, of = threshold
 
     def work(table: pa.Table) -> pa.Table:
         i, j = (table.column(x)[0].as_py() for x in ("i", "j"))
         table = table.combine_chunks()
         own, comp, c, n = (table.column(x).to_numpy() for x in ("own", "comp", "c", "n"))
-        values = _matrix(table.column("sketch").to_pylist(), sketch)
+        packed = table.column("sketch").to_pylist()
+        held = np.array([len(v) // 8 for v in packed], np.int64)
+        row = np.repeat(np.arange(len(c)), held)
+        value, number, times = np.unique(np.frombuffer(b"".join(packed), U), return_inverse=True, return_counts=True)
+        common_ = np.flatnonzero(times > 1)
+        place = np.full(len(value), -1)
+        place[common_] = np.arange(len(common_))
+        row, column = row[place[number] >= 0], place[number][place[number] >= 0]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        # values counted in buckets: the product of two rows is no less than the number of values that both retain
-        held = (values != _TOP).sum(axis=1)
-        counts = np.zeros((len(c), BUCKETS), np.float32)
-        np.add.at(counts, (np.repeat(np.arange(len(c)), held), (mix(values[values != _TOP]) % U(BUCKETS)).astype(np.int64)), 1)
+        common = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, len(common_), COLUMNS):
+            here = (column >= lo) & (column < lo + COLUMNS)
+            grid = np.zeros((len(c), COLUMNS), np.float32)
+            grid[row[here], column[here] - lo] = 1
+            common += grid[left] @ grid[right].T
+        whole = held == n
         out_a, out_b = [], []
         for lo in range(0, len(left), 64):
             l = left[lo : lo + 64]
-            common = np.minimum(counts[l] @ counts[right].T, np.minimum(held[l][:, None], held[right][None]))
-            union = held[l][:, None] + held[right][None] - common
-            small, large = np.minimum(n[l][:, None], n[right][None]), np.maximum(n[l][:, None], n[right][None])
-            wanted = (comp[l][:, None] != comp[right][None]) & (small >= threshold * large - 1e-9)
-            wanted &= common >= (threshold - 5 * np.sqrt(threshold * (1 - threshold) / sketch) * (union >= sketch)) * np.minimum(union, sketch) - 1e-3
+            both = common[lo : lo + 64]
+            total = n[l][:, None] + n[right][None]
+            small = np.minimum(n[l][:, None], n[right][None])
+            wanted = (comp[l][:, None] != comp[right][None]) & (of * small >= part * (total - small))
             if i == j:
                 wanted &= c[l][:, None] < c[right][None]
-            x, y = np.nonzero(wanted)
+            sure = whole[l][:, None] & whole[right][None]
+            x, y = np.nonzero(wanted & sure & (of * both >= part * (total - both)))
+            _, one = np.unique(np.stack([x, comp[right[y]]]), axis=1, return_index=True)
+            out_a.append(c[l[x[one]]])
+            out_b.append(c[right[y[one]]])
+            union = np.minimum(held[l][:, None] + held[right][None] - both, sketch)
+            least = part / of - 5 * np.sqrt(part * (of - part)) / of / np.sqrt(sketch)
+            x, y = np.nonzero(wanted & ~sure & (both >= least * union - 1e-3))
             x, y = l[x], right[y]
-            keep = np.zeros(len(x), bool)
             for at in range(0, len(x), 4096):
-                k = slice(at, at + 4096)
-                keep[k] = _passes(values[x[k]], values[y[k]], n[x[k]], n[y[k]], sketch, threshold)
-            out_a.append(c[x[keep]])
-            out_b.append(c[y[keep]])
+                p, q = x[at : at + 4096], y[at : at + 4096]
+                keep = _passes(_matrix([packed[k] for k in p], sketch), _matrix([packed[k] for k in q], sketch), n[p], n[q], sketch, part / of)
+                out_a.append(c[p[keep]])
+                out_b.append(c[q[keep]])
         none = np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.concatenate([none, *out_a])), "b": pa.array(np.concatenate([none, *out_b]))})
 
@@ -373,7 +401,25 @@ def _confirmed(threshold: tuple[int, int]):
     return work
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspace, name: str, shingle: int, sketch: int, threshold: tuple[int, int]) -> DataFrame:
+class _Texts:
+    """Texts of the documents that stand for classes, one row for each."""
+
+    def __init__(self, docs: DataFrame, described: DataFrame, work: Workspace):
+        self.docs, self.work = docs.where("doc_id IS NOT NULL"), work
+        twins = described.where("doc_id IS NOT NULL").groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1")
+        self.repeated = not twins.isEmpty()
+
+    def of(self, classes: DataFrame, name: str) -> DataFrame:
+        """classes (c, doc_id, tag) -> (c, doc_id, text)."""
+        needed = self.work.write(classes, f"{name}-needed")
+        # the texts of all others need not be shuffled where the table of those needed is small
+        found = self.docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, ["doc_id", "tag"])
+        if self.repeated:
+            found = found.groupBy("doc_id", "tag", "c").agg(F.first("text").alias("text"))
+        return found.select("doc_id", "c", "text")
+
+
+def _verify(pairs: DataFrame, docs: _Texts, classes: DataFrame, work: Workspace, name: str, shingle: int, sketch: int, threshold: tuple[int, int]) -> DataFrame:
     """pairs (a, b) of classes -> links (u, v) between the documents that stand for them."""
     part, of = threshold
     a = classes.select(F.col("c").alias("a"), F.col("n").alias("na"))
@@ -381,8 +427,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspa
     sized = work.write(pairs.join(a, "a").join(b, "b").where(f"{of} * least(na, nb) >= {part} * greatest(na, nb)").distinct(), f"{name}-sized")
     # sets of the classes in these pairs only, one text for each
     needed = sized.select(F.col("a").alias("c")).union(sized.select("b")).distinct().join(classes.select("c", F.col("rep").alias("doc_id"), "tag"), "c")
-    texts = docs.join(needed, ["doc_id", "tag"]).groupBy("doc_id", "tag", "c").agg(F.first("text").alias("text"))
-    sets = work.write(map_texts(texts.select("doc_id", "c", "text"), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary"), f"{name}-sets")
+    sets = work.write(map_texts(docs.of(needed, name), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary"), f"{name}-sets")
     a = sets.select(F.col("c").alias("a"), F.col("sketch").alias("sa"))
     b = sets.select(F.col("c").alias("b"), F.col("sketch").alias("sb"))
     likely = work.write(map_texts(sized.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb"), _likely(sketch, part / of), "a long, b long"), f"{name}-likely")
@@ -390,7 +435,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspa
     a = sets.select(F.col("c").alias("a"), F.col("rep").alias("ra"), whole.alias("ga"))
     b = sets.select(F.col("c").alias("b"), F.col("rep").alias("rb"), whole.alias("gb"))
     links = work.write(map_texts(likely.join(a, "a").join(b, "b").select("ra", "rb", "ga", "gb"), _confirmed(threshold), "u long, v long"), f"{name}-links")
-    work.drop(f"{name}-sized", f"{name}-likely", f"{name}-sets")
+    work.drop(f"{name}-sized", f"{name}-needed", f"{name}-likely", f"{name}-sets")
     return links
 
 
@@ -416,9 +461,9 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     known = described.where("c IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("c", "d", "n").agg(F.min(F.struct("doc_id", "tag")).alias("x"))
     classes = work.write(classes.select("c", "d", "n", F.col("x.doc_id").alias("rep"), "x.tag"), "classes")
-    docs = docs.where("doc_id IS NOT NULL")
+    texts = _Texts(docs, described, work)
 
-    lists = candidates(docs, work, shingle, threshold)
+    lists = candidates(docs.where("doc_id IS NOT NULL"), work, shingle, threshold)
 
     # (1) each class and the lowest member of its lists that it meets most often
     def best(met: DataFrame) -> DataFrame:
@@ -426,7 +471,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
         met = met.groupBy("c").agg(F.max(F.struct("n", "b")).alias("x"))
         return met.select(F.least("c", "x.b").alias("a"), F.greatest("c", "x.b").alias("b")).distinct()
 
-    links = _verify(best(lists.withColumnRenamed("low", "b")), docs, classes, work, "stars", shingle, sketch, threshold)
+    links = _verify(best(lists.withColumnRenamed("low", "b")), texts, classes, work, "stars", shingle, sketch, threshold)
     stands = known.join(classes.select("c", "d", "n", "rep"), ["c", "d", "n"])
     same = stands.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     # rows that repeat a doc_id with different sets are one node
@@ -456,7 +501,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
             return comp
         return components(links.unionByName(comp.withColumnRenamed("m", "v")), work, name)
 
-    comp = joined(comp, _verify(best(met), docs, classes, work, "hub", shingle, sketch, threshold), "round-2")
+    comp = joined(comp, _verify(best(met), texts, classes, work, "hub", shingle, sketch, threshold), "round-2")
     work.drop("degree", "ranked", "hubs")
 
     # (3) all pairs of different components that share a list; of lists with the same members one is enough
@@ -489,13 +534,13 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     count = F.ceil(F.col("members") / BLOCK).cast("int")
     hot = hot.select("key", "c", "comp", F.pmod(F.xxhash64("c"), count).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     hot = hot.select("key", "c", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    needed = hot.select("c").distinct().join(classes.select("c", "n", F.col("rep").alias("doc_id"), "tag"), "c")
-    texts = docs.join(needed, ["doc_id", "tag"]).groupBy("doc_id", "tag", "c", "n").agg(F.first("text").alias("text"))
-    sketches = work.write(map_texts(texts.select("doc_id", "c", "text"), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary").select("c", "sketch").join(classes.select("c", "n"), "c"), "hot-sets")
-    many = hot.join(sketches, "c").groupBy("key", "i", "j").applyInArrow(_meet(sketch, threshold[0] / threshold[1]), "a long, b long")
+    needed = hot.select("c").distinct().join(classes.select("c", F.col("rep").alias("doc_id"), "tag"), "c")
+    sketches = map_texts(texts.of(needed, "hot"), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary").select("c", "sketch")
+    sketches = work.write(sketches.join(classes.select("c", "n"), "c"), "hot-sets")
+    many = hot.join(sketches, "c").groupBy("key", "i", "j").applyInArrow(_meet(sketch, threshold), "a long, b long")
     rest = work.write(few.unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "rest")
-    comp = joined(comp, _verify(rest, docs, classes, work, "rest", shingle, sketch, threshold), "round-3")
-    work.drop("links", "stars-links", "hub-links", "rest-links", "open-1", "open-2", "left", "may", "short", "long", "hot", "hot-sets", "rest")
+    comp = joined(comp, _verify(rest, texts, classes, work, "rest", shingle, sketch, threshold), "round-3")
+    work.drop("links", "stars-links", "hub-links", "rest-links", "open-1", "open-2", "left", "may", "short", "long", "hot", "hot-needed", "hot-sets", "rest")
 
     reach = classes.select("c", "d", "n", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("c", "d", "n", F.coalesce("m", "rep").alias("component_id"))
     out = described.select("doc_id", "n", "c", "d").join(reach, ["c", "d", "n"], "left")
