@@ -65,9 +65,9 @@ SKETCH = 512
 SPARE = 0.15
 #: Lists up to this length are joined with themselves; longer ones meet in blocks of BLOCK members.
 SHORT_LIST = 32
-BLOCK = 1024
+BLOCK = 2048
 #: Shared values of a block that are counted at once.
-COLUMNS = 4096
+COLUMNS = 2048
 #: Rows of three numbers that are sent to every executor at most.
 BROADCAST_ROWS = 250_000
 
