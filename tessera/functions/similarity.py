@@ -54,10 +54,11 @@ def word_similarity(query: str, content: str) -> float:
     wanted = set(trigram_list(query))
     if not wanted:
         return 0.0
-    return _sweep(wanted, trigram_list(content))
+    return sweep(wanted, trigram_list(content))
 
 
-def _sweep(wanted: set[str], grams: list[str]) -> float:
+def sweep(wanted: set[str], grams: list[str]) -> float:
+    """word_similarity of a query's trigrams, not empty, and a content's in order."""
     last: dict[str, int] = {}
     lower, hits, kinds, best = -1, 0, 0, 0.0
     total = len(wanted)
@@ -97,4 +98,4 @@ def similarity_udf(query: pd.Series, content: pd.Series) -> pd.Series:
     query, content = query.fillna(""), content.fillna("")
     queries = {q: set(trigram_list(q)) for q in query.unique()}
     contents = {c: trigram_list(c) for c in content.unique()}
-    return pd.Series([_sweep(queries[q], contents[c]) if queries[q] else 0.0 for q, c in zip(query, content)], dtype="float64")
+    return pd.Series([sweep(queries[q], contents[c]) if queries[q] else 0.0 for q, c in zip(query, content)], dtype="float64")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.functions.similarity import WORD_THRESHOLD, cosine, norm, similarity_udf, trigrams
+from tessera.functions.similarity import WORD_THRESHOLD, sweep, trigram_list, trigrams
 
 RRF_K, TOP_K, RERANK_INPUT = 60, 5, 20
 NO_RESULTS = "No relevant information found."
@@ -21,18 +24,87 @@ def _top(df: DataFrame, score: str, k: Column | int, keys: tuple[str, ...] = ("q
     return df.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
+#: Queries that one pass over the chunks answers; more are dealt into blocks of about this size.
+QUERY_BLOCK = 5000
+
+
+def _in_blocks(queries: DataFrame, chunks: DataFrame, columns: list[str], answer: Callable) -> DataFrame:
+    """(query_id, chunk_id, score) of a stated set of queries against all chunks, without a shuffle of chunks.
+
+    The queries of a block are sent to every executor; answer gets those of one
+    kb and a batch's chunks of it, and gives (query, chunk, score) arrays.
+    """
+    spark = chunks.sparkSession
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    of_query = to_arrow_type(queries.schema["query_id"].dataType)
+    ids = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+    out = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks)) == b) if blocks > 1 else queries
+        of: dict[object, list] = {}
+        for row in block.collect():
+            of.setdefault(row["kb_id"], []).append(row)
+        sent = spark.sparkContext.broadcast(of)
+
+        def work(batches, sent=sent):
+            for batch in batches:
+                kbs = np.array(batch.column("kb_id").to_pylist(), object)
+                for kb, asked in sent.value.items():
+                    at = np.flatnonzero(kbs == kb) if kb is not None else []
+                    if not len(at):
+                        continue
+                    q, c, score = answer(asked, batch.column(columns[-1]).take(pa.array(at)))
+                    if len(q):
+                        found = batch.column("chunk_id").take(pa.array(at[c]))
+                        yield pa.RecordBatch.from_arrays([pa.array([asked[i]["query_id"] for i in q], of_query), found, pa.array(score, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+        part = chunks.select("chunk_id", "kb_id", columns[-1]).mapInArrow(work, ids)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _best(scores: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k greatest numbers and all that equal the last of them; NaN is none."""
+    filled = np.where(np.isnan(scores), -np.inf, scores)
+    rows, columns = [], []
+    for i, n in enumerate(k):
+        n = min(int(n), filled.shape[1])
+        if n > 0:
+            least = np.partition(filled[i], filled.shape[1] - n)[filled.shape[1] - n]
+            at = np.flatnonzero((filled[i] >= least) & (filled[i] > -np.inf))
+            rows.append(np.full(len(at), i))
+            columns.append(at)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *columns])
+
+
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int | str = TOP_K) -> DataFrame:
     """Exact cosine search: (query_id, chunk_id, score, rank) of the k nearest chunks in the query's kb.
 
     queries: query_id, kb_id, embedding, a stated set, far smaller than chunks;
-    chunks: chunk_id, kb_id, embedding. The queries of a kb meet its chunks by
-    an equi-join; ranking drops all but k rows before its shuffle. k may name a
-    column of queries.
+    chunks: chunk_id, kb_id, embedding. A batch's chunks meet the queries of
+    their kb in one product of matrices, and only its k best of each query leave
+    it. Null, empty and zero vectors are not found. k may name a column of queries.
     """
-    q = queries.select("query_id", "kb_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"), *([k] if isinstance(k, str) else []))
-    c = chunks.select("chunk_id", "kb_id", "embedding", norm(F.col("embedding")).alias("nc"))
-    scored = c.join(q, "kb_id").select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q"), F.col("nc"), F.col("nq")).alias("score"), *([k] if isinstance(k, str) else []))
-    return _top(scored.where("score IS NOT NULL"), "score", F.col(k) if isinstance(k, str) else k).select("query_id", "chunk_id", "score", "rank")
+    queries = queries.select("query_id", "kb_id", "embedding", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k"))
+
+    def answer(asked: list, vectors: pa.Array):
+        dim = max(len(r["embedding"] or ()) for r in asked)
+        fits = [i for i, r in enumerate(asked) if r["embedding"] is not None and len(r["embedding"]) == dim]
+        sizes = np.diff(vectors.offsets.to_numpy()) * np.asarray(vectors.is_valid())
+        own = np.flatnonzero((sizes == dim) & (dim > 0))
+        if not len(own) or not fits:
+            return np.zeros(0, np.int64), own, own
+        a = np.array([asked[i]["embedding"] for i in fits], np.float64)
+        b = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = a @ b.T / np.sqrt((a * a).sum(axis=1))[:, None] / np.sqrt((b * b).sum(axis=1))[None]
+        scores = np.where(np.isfinite(scores), np.round(scores, 12), np.nan)
+        i, j = _best(scores, np.array([asked[f]["k"] for f in fits]))
+        return np.array(fits)[i], own[j], scores[i, j]
+
+    scored = _in_blocks(queries, chunks, ["embedding"], answer).join(F.broadcast(queries.select("query_id", "k")), "query_id")
+    return _top(scored, "score", F.col("k")).select("query_id", "chunk_id", "score", "rank")
 
 
 def trigram_index(chunks: DataFrame) -> DataFrame:
@@ -40,22 +112,74 @@ def trigram_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("kb_id", "chunk_id", F.explode(trigrams(F.col("content"))).alias("trigram"))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, threshold: float = WORD_THRESHOLD, index: DataFrame | None = None) -> DataFrame:
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, threshold: float = WORD_THRESHOLD) -> DataFrame:
     """Word-similarity search: (query_id, chunk_id, score, rank).
 
-    The index gives the chunks that hold at least threshold of the query's
-    trigrams - no other can reach it - and only those are scored.
+    A stretch of a content with h of a query's n trigrams and k different ones
+    scores h / (n + k - h). For several k, the trigrams of all queries are
+    counted in the longest stretches that end at each place and hold k different
+    ones at most; only contents where that leaves the threshold possible for a
+    query are scored for it.
     """
-    index = trigram_index(chunks) if index is None else index
-    q = queries.select("query_id", "kb_id", "query", trigrams(F.col("query")).alias("grams")).where(F.size("grams") > 0)
-    wanted = q.select("query_id", "kb_id", F.size("grams").alias("n"), F.explode("grams").alias("trigram"))
-    held = index.join(wanted, ["kb_id", "trigram"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("held"), F.first("n").alias("n"))
-    likely = held.where(F.col("held") >= F.lit(threshold) * F.col("n") - 1e-9).select("query_id", "chunk_id")
-    # few bytes but much work: as many tasks as a shuffle has, which AQE leaves as they are
-    likely = likely.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
-    text = likely.join(chunks.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "query"), "query_id")
-    scored = text.select("query_id", "chunk_id", similarity_udf("query", "content").alias("score"))
-    return _top(scored.where(F.col("score") >= F.lit(threshold) - 1e-7), "score", k).select("query_id", "chunk_id", "score", "rank")
+    queries = queries.select("query_id", "kb_id", "query")
+
+    def answer(asked: list, contents: pa.Array):
+        wanted = [set(trigram_list(r["query"] or "")) for r in asked]
+        number = {g: i for i, g in enumerate(sorted(set().union(*wanted)))}
+        n = np.array([len(w) for w in wanted])
+        has = np.zeros((len(asked), len(number)), np.float32)
+        for i, w in enumerate(wanted):
+            has[i, [number[g] for g in w]] = True
+        most = (n / threshold + 1e-9).astype(np.int64)
+        levels = [5]
+        while levels[-1] < most.max(initial=0):
+            levels.append(-(-levels[-1] * 6 // 5))
+        level = np.searchsorted(levels, most)
+        out: list[tuple[int, int, float]] = []
+        for c, text in enumerate(contents.to_pylist()):
+            grams = trigram_list(text or "")
+            ids = np.array([number.get(g, -1) for g in grams], np.int64)
+            at = np.flatnonzero(ids >= 0)
+            if not len(at):
+                continue
+            start = _reach(grams, levels)[:, at]
+            kinds, which = np.unique(ids[at], return_inverse=True)
+            last = np.full((len(kinds), len(at)), -1, np.int32)
+            last[which, np.arange(len(at))] = at
+            np.maximum.accumulate(last, axis=1, out=last)
+            held = has[:, kinds]
+            left = np.flatnonzero((n > 0) & (held.sum(axis=1) >= threshold * n - 1e-6))
+            count = lambda q, j: (held[q] @ (last >= start[j]).astype(np.float32)).max(axis=1)  # noqa: B023, E731
+            # first by the longest stretches that a query can use, then by all that are shorter
+            left = np.concatenate([left[:0], *[q[count(q, j) >= threshold * n[q] - 1e-6] for j in np.unique(level[left]) for q in [left[level[left] == j]]]])
+            fits = np.zeros(len(left), bool)
+            for j in range(level[left].max(initial=-1) + 1):
+                h = count(left, j)
+                fits |= (j <= level[left]) & (h >= threshold * (n[left] + (levels[j - 1] + 1 if j else 1) - h) - 1e-6)
+            for q in left[fits].tolist():
+                score = sweep(wanted[q], grams)
+                if score >= threshold - 1e-7:
+                    out.append((q, c, score))
+        q, c, score = (np.array(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return q, c, score
+
+    return _top(_in_blocks(queries, chunks, ["content"], answer), "score", k).select("query_id", "chunk_id", "score", "rank")
+
+
+def _reach(grams: list[str], levels: list[int]) -> np.ndarray:
+    """For each level and place the first place from which at most so many different trigrams follow up to it."""
+    recent: list[int] = []  # last places of the trigrams so far, in order
+    last: dict[str, int] = {}
+    back = [-k - 1 for k in levels]
+    out = []
+    for i, g in enumerate(grams):
+        if g in last:
+            del recent[bisect_left(recent, last[g])]
+        last[g] = i
+        recent.append(i)
+        size = len(recent)
+        out.append([recent[k] + 1 if size >= -k else 0 for k in back])
+    return np.array(out, np.int32).T.copy()
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -98,9 +222,23 @@ def assemble(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, answer: C
     return out.select("query_id", F.coalesce(context, F.lit("")).alias("context"), sources.alias("sources"), F.when(F.col("rows").isNull(), F.lit(NO_RESULTS)).otherwise(found).alias("answer"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, scorer: Callable[[Column, Column], Column] | None = None, index: DataFrame | None = None) -> DataFrame:
-    """Both searches at twice k, fused; not cut to k unless reranked."""
-    fused = fuse(vector_search(queries, chunks, 2 * k), keyword_search(queries, chunks, 2 * k, index=index))
+def rewrite(queries: DataFrame, rewriter: Callable[[Column], Column]) -> DataFrame:
+    """Queries with the rewriter's text; where that is null or blank, the text as it was."""
+    new = F.trim(rewriter(F.col("query")))
+    return queries.withColumn("query", F.when(F.length(new) > 0, new).otherwise(F.col("query")))
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, scorer: Callable[[Column, Column], Column] | None = None, rewriter: Callable[[Column], Column] | None = None, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Both searches at twice k, fused; not cut to k unless reranked.
+
+    The steps of rewriting and reranking are off without their functions. A
+    rewritten query is searched for in both ways, so it is embedded anew.
+    """
+    if rewriter is not None:
+        queries = rewrite(queries, rewriter)
+        if embedder is not None:
+            queries = queries.withColumn("embedding", embedder(F.col("query")))
+    fused = fuse(vector_search(queries, chunks, 2 * k), keyword_search(queries, chunks, 2 * k))
     return rerank(fused, chunks, queries, scorer, k)
 
 

@@ -9,6 +9,7 @@ from tessera.functions import media, text
 from tessera.functions.similarity import similarity_udf, trigrams
 from tessera.operators import chunking, images, retrieval, state
 from tessera.schema import load
+from tessera.session import spread, written
 from tessera.sources import readers
 
 from .base import micros, query
@@ -16,58 +17,39 @@ from .base import micros, query
 # Vectors
 
 
-#: The queries of SQL, and those of the queries named _due, which have none.
-FIRST, DUE = "vec_id < 10", "vec_id % 50 = 0"
+#: The vectors that are queries: each searches all chunks of its knowledge base.
+DUE = "vec_id % 50 = 0"
 
 
-def _vectors(spark: SparkSession, sf_dir: str, which: str = FIRST) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, sf_dir: str, which: str = DUE) -> tuple[DataFrame, DataFrame]:
     e = load(spark, sf_dir, "embeddings")
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("kb_id"), "embedding")
     queries = e.where(which).select(F.col("vec_id").alias("query_id"), F.col("label").alias("kb_id"), "embedding")
     return queries, chunks
 
 
-_SCORED = """s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < 10),
+_SCORED = """s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0),
 v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM s)"""
 
 
-@query(f"WITH {_SCORED} SELECT chunk_id, round(score, 6) AS score FROM v WHERE query_id = 0 AND rank < 10")
+@query(f"WITH {_SCORED} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM v WHERE rank < 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest chunks of one query in its knowledge base."""
-    queries, chunks = _vectors(spark, sf_dir)
-    return retrieval.vector_search(queries.where("query_id = 0"), chunks, 10).select("chunk_id", F.round("score", 6).alias("score"))
+    """The ten nearest chunks of each query in its knowledge base."""
+    return _rounded(retrieval.vector_search(*_vectors(spark, sf_dir), 10), 6)
 
 
 @query(f"WITH {_SCORED} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM v WHERE rank < 5 + query_id % 3")
 def vector_topk_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1, K1 for many queries, each with its own k."""
-    return _batched(spark, sf_dir, FIRST)
-
-
-@query()
-def vector_topk_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest chunks of every due query in its knowledge base."""
-    queries, chunks = _vectors(spark, sf_dir, DUE)
-    return _rounded(retrieval.vector_search(queries, chunks, 10), 6)
-
-
-@query()
-def vector_topk_batched_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vector_topk_batched for every due query."""
-    return _batched(spark, sf_dir, DUE)
+    queries, chunks = _vectors(spark, sf_dir)
+    return _rounded(retrieval.vector_search(queries.withColumn("k", 5 + F.col("query_id") % 3), chunks, "k"), 6)
 
 
 def _rounded(ranked: DataFrame, digits: int) -> DataFrame:
     return ranked.select("query_id", "chunk_id", F.round("score", digits).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _batched(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    queries, chunks = _vectors(spark, sf_dir, which)
-    found = retrieval.vector_search(queries.withColumn("k", 5 + F.col("query_id") % 3), chunks, "k")
-    return _rounded(found, 6)
-
-
-_KEYWORD = "SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, (c.vec_id * 7 + q.vec_id * 3) % 500 AS rank FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < 10 AND (c.vec_id * 7 + q.vec_id * 3) % 500 < 100"
+_KEYWORD = "SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, (c.vec_id * 7 + q.vec_id * 3) % 500 AS rank FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0 AND (c.vec_id * 7 + q.vec_id * 3) % 500 < 100"
 _FUSED = f"""{_SCORED}, k AS ({_KEYWORD}), l AS (SELECT query_id, chunk_id, rank, 0 AS side FROM v WHERE rank < 10 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM k UNION ALL SELECT query_id, chunk_id, rank, 0 FROM v WHERE rank < 2),
 f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank + 1)) AS score, min(rank) FILTER (side = 0) AS a, min(rank) FILTER (side = 1) AS b FROM l GROUP BY ALL),
 o AS (SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, a NULLS LAST, b NULLS LAST, chunk_id) - 1 AS rank FROM f)"""
@@ -79,14 +61,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.fuse(*_two_lists(spark, sf_dir)), 9)
 
 
-@query()
-def rrf_fusion_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rrf_fusion for every due query."""
-    return _rounded(retrieval.fuse(*_two_lists(spark, sf_dir, DUE)), 9)
-
-
-def _two_lists(spark: SparkSession, sf_dir: str, which: str = FIRST) -> tuple[DataFrame, DataFrame]:
-    queries, chunks = _vectors(spark, sf_dir, which)
+def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    queries, chunks = _vectors(spark, sf_dir)
     vector = retrieval.vector_search(queries, chunks, 10)
     vector = vector.unionByName(vector.where("rank < 2"))
     met = chunks.join(queries.select("query_id", "kb_id"), "kb_id")
@@ -97,56 +73,37 @@ def _two_lists(spark: SparkSession, sf_dir: str, which: str = FIRST) -> tuple[Da
 @query(f"WITH {_FUSED}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id % 17 DESC, rank) - 1 AS r FROM o WHERE rank < 20) SELECT query_id, chunk_id, score, r AS rank FROM h WHERE r < 5")
 def rerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty in another order, fused scores kept."""
-    return _reranked(spark, sf_dir, FIRST)
-
-
-@query()
-def rerank_top_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rerank_top for every due query."""
-    return _reranked(spark, sf_dir, DUE)
-
-
-def _reranked(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    vector, keyword = _two_lists(spark, sf_dir, which)
-    queries, chunks = _vectors(spark, sf_dir, which)
+    vector, keyword = _two_lists(spark, sf_dir)
+    queries, chunks = _vectors(spark, sf_dir)
     scorer = lambda _, content: content.cast("long") % 17
     out = retrieval.rerank(retrieval.fuse(vector, keyword), chunks.withColumn("content", F.col("chunk_id").cast("string")), queries.withColumn("query", F.lit("q")), scorer)
     return _rounded(out, 9)
 
 
-@query(f"WITH {_FUSED}, t AS (SELECT query_id, string_agg('[' || (rank + 1) || '] chunk ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS sources FROM o WHERE rank < 5 GROUP BY 1), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 12) SELECT query_id, coalesce(context, '') AS context, coalesce(sources, 0) AS sources, CASE WHEN context IS NULL THEN 'No relevant information found.' ELSE '' END AS answer FROM q LEFT JOIN t USING (query_id)")
+@query(f"WITH {_FUSED}, t AS (SELECT query_id, string_agg('[' || (rank + 1) || '] chunk ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS sources FROM o WHERE rank < 5 GROUP BY 1), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 < 2) SELECT query_id, coalesce(context, '') AS context, coalesce(sources, 0) AS sources, CASE WHEN context IS NULL THEN 'No relevant information found.' ELSE '' END AS answer FROM q LEFT JOIN t USING (query_id)")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context, sources and answer; two of the queries have no results."""
-    return _assembled(spark, sf_dir, FIRST, "vec_id < 12")
-
-
-@query()
-def context_assembly_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """context_assembly for every due query."""
-    return _assembled(spark, sf_dir, DUE, DUE)
-
-
-def _assembled(spark: SparkSession, sf_dir: str, which: str, asked: str) -> DataFrame:
-    ranked = retrieval.fuse(*_two_lists(spark, sf_dir, which)).where("rank < 5")
+    """Context, sources and answer; half of the queries have no results."""
+    ranked = retrieval.fuse(*_two_lists(spark, sf_dir)).where("rank < 5")
     e = load(spark, sf_dir, "embeddings")
     chunks = e.selectExpr("vec_id AS chunk_id", "label AS doc_id", "'chunk ' || vec_id AS content")
-    queries = e.where(asked).selectExpr("vec_id AS query_id", "'q' AS query")
+    queries = e.where("vec_id % 50 < 2").selectExpr("vec_id AS query_id", "'q' AS query")
     out = retrieval.assemble(queries, ranked, chunks)
     return out.select("query_id", "context", F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("sources"), "answer").withColumn("sources", F.greatest("sources", F.lit(0)))
 
 
 # Evaluation
 
-_EVAL = """r AS (SELECT item_id AS query_id, doc_id, (doc_id + 1000 - (item_id * 25) % 1000) % 1000 AS rank FROM benchmark, documents WHERE (doc_id + 1000 - (item_id * 25) % 1000) % 1000 < 12 AND doc_id < 1000),
+_EVAL = """n AS (SELECT count(*) AS n FROM documents), r AS (SELECT item_id AS query_id, k AS rank, (item_id * 25 + k) % n AS doc_id FROM benchmark, n, range(12) x(k) WHERE k < n),
 h AS (SELECT b.item_id AS query_id, b.item_id % 3 AS tier, min(r.rank) FILTER (contains(d.text, string_split(b.text, ' ')[1] || ' ')) + 1 AS hit FROM benchmark b LEFT JOIN r ON r.query_id = b.item_id LEFT JOIN documents d USING (doc_id) GROUP BY ALL)"""
 _SCORES = "count(*) AS queries, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN hit <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_3, round(avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_5, round(avg(coalesce(1.0 / hit, 0)), 6) AS mrr"
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where("doc_id < 1000").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    """First hits where each item ranks twelve of all documents: places are modulo the table's own count."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     items = load(spark, sf_dir, "benchmark")
-    start = items.select(F.col("item_id").alias("query_id"), ((F.col("item_id") * 25) % 1000).alias("first"))
-    ranked = start.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("rank"), "first").select("query_id", ((F.col("first") + F.col("rank")) % 1000).alias("chunk_id"), "rank")
+    start = items.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")).where("n > 0"))).select(F.col("item_id").alias("query_id"), "n", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("rank"))
+    ranked = start.where("rank < n").select("query_id", ((F.col("query_id") * 25 + F.col("rank")) % F.col("n")).alias("chunk_id"), "rank")
     phrases = items.select(F.col("item_id").alias("query_id"), F.array(F.lit(""), F.concat(F.get(F.split("text", " "), F.lit(0)), F.lit(" "))).alias("phrases"))
     return retrieval.first_hits(ranked, docs, phrases)
 
@@ -163,28 +120,6 @@ def eval_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.scores(_hits(spark, sf_dir).withColumn("tier", F.col("query_id") % 3), "tier")
 
 
-def _hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """_hits with ranks over all documents: places are modulo the table's own count."""
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    items = load(spark, sf_dir, "benchmark")
-    start = items.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")).where("n > 0"))).select(F.col("item_id").alias("query_id"), "n", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("rank"))
-    ranked = start.where("rank < n").select("query_id", ((F.col("query_id") * 25 + F.col("rank")) % F.col("n")).alias("chunk_id"), "rank")
-    phrases = items.select(F.col("item_id").alias("query_id"), F.array(F.lit(""), F.concat(F.get(F.split("text", " "), F.lit(0)), F.lit(" "))).alias("phrases"))
-    return retrieval.first_hits(ranked, docs, phrases)
-
-
-@query()
-def eval_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """eval_hits with ranks over all documents."""
-    return retrieval.scores(_hits_all(spark, sf_dir))
-
-
-@query()
-def eval_by_tier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """eval_by_tier with ranks over all documents."""
-    return retrieval.scores(_hits_all(spark, sf_dir).withColumn("tier", F.col("query_id") % 3), "tier")
-
-
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(median(value), 6) AS p50, round(max(value) FILTER (i = round_even(0.95 * (n - 1), 0)), 6) AS p95 FROM r GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and nearest-rank 95 % value."""
@@ -197,7 +132,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark items as queries, and the chunks of all documents as one knowledge base."""
     docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "'all' AS kb_id", "text AS content")
-    chunks = chunking.chunk_documents(docs)
+    chunks = written(chunking.chunk_documents(spread(docs)))
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("kb_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
     return items.withColumn("embedding", retrieval.embed(F.col("query"))), chunks
 
@@ -288,18 +223,13 @@ def png_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").selectExpr("event_id", f"{head} AS b").select("event_id", width.alias("width"), height.alias("height"))
 
 
-_HASH = "SELECT event_id AS id, left(md5(CAST(event_id % 300 AS VARCHAR)), 15) || substr('0123456789abcdef', (event_id % 16)::INT + 1, 1) AS phash FROM events WHERE event_id < 1200"
+_HASH = "SELECT event_id AS id, left(md5(CAST(event_id % 300 AS VARCHAR)), 15) || substr('0123456789abcdef', (event_id % 16)::INT + 1, 1) AS phash FROM events"
+_BITS = "bit_count(xor(('0x' || left(x.phash, 8))::BIGINT, ('0x' || left(y.phash, 8))::BIGINT))::INT + bit_count(xor(('0x' || right(x.phash, 8))::BIGINT, ('0x' || right(y.phash, 8))::BIGINT))::INT"
 
 
-@query(f"WITH h AS ({_HASH}) SELECT a.id AS a, b.id AS b, bit_count(xor(('0x' || left(a.phash, 8))::BIGINT, ('0x' || left(b.phash, 8))::BIGINT))::INT + bit_count(xor(('0x' || right(a.phash, 8))::BIGINT, ('0x' || right(b.phash, 8))::BIGINT))::INT AS bits FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(('0x' || left(a.phash, 8))::BIGINT, ('0x' || left(b.phash, 8))::BIGINT)) + bit_count(xor(('0x' || right(a.phash, 8))::BIGINT, ('0x' || right(b.phash, 8))::BIGINT)) <= 5")
+@query(f"WITH h AS ({_HASH}), c AS (SELECT phash, min(id) AS rep FROM h GROUP BY 1) SELECT x.rep AS a, y.rep AS b, {_BITS} AS bits FROM c x JOIN c y ON x.rep < y.rep WHERE {_BITS} <= 5 UNION ALL SELECT rep, id, 0 FROM h JOIN c USING (phash) WHERE id <> rep")
 def near_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images whose perceptual hashes differ in five bits at most, found by bands of bits."""
-    return images.near_images(_hashes(spark, sf_dir).where("id < 1200"))
-
-
-@query()
-def near_images_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T23 over all images, equal hashes as one class: pairs of representatives, and the members of each."""
+    """Images whose perceptual hashes differ in five bits at most, equal hashes as one class: pairs of representatives, and the members of each."""
     return images.near_image_classes(_hashes(spark, sf_dir))
 
 

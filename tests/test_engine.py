@@ -316,7 +316,7 @@ def test_near_images_of_all_rows(spark, tmp_path):
     spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
     hashes = {r.id: int(r.phash, 16) for r in search._hashes(spark, str(tmp_path)).collect()}
     want = {(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in hashes for b in hashes if a < b and (hashes[a] ^ hashes[b]).bit_count() <= 5}
-    rows = [tuple(r) for r in search.near_images_all(spark, str(tmp_path)).collect()]
+    rows = [tuple(r) for r in search.near_images(spark, str(tmp_path)).collect()]
     rep = {i: i for i in hashes} | {b: a for a, b, bits in rows if bits == 0}
     bits = {(a, b): n for a, b, n in rows if n}
     apart = lambda a, b: 0 if rep[a] == rep[b] else bits.get((min(rep[a], rep[b]), max(rep[a], rep[b])))
@@ -339,10 +339,10 @@ def test_due_queries(spark, tmp_path):
         if q % 50 == 0:
             near = sorted((-round(cos(e, c), 6), i) for i, c, k in rows if k == kb and any(c) and any(e))[:10]
             want += [(q, -s, r) for r, (s, _) in enumerate(near)]
-    got = search.vector_topk_due(spark, str(tmp_path)).collect()
+    got = search.vector_topk(spark, str(tmp_path)).collect()
     assert sorted((r.query_id, round(r.score, 6), r["rank"]) for r in got) == sorted(want)
     due = {0, 50, 100, 150, 200, 250, 300, 350}
-    for q in (search.vector_topk_batched_due, search.rrf_fusion_due, search.rerank_top_due, search.context_assembly_due):
+    for q in (search.vector_topk_batched, search.rrf_fusion, search.rerank_top, search.context_assembly):
         assert {r.query_id for r in q(spark, str(tmp_path)).collect()} == due
 
 
@@ -369,9 +369,9 @@ def test_evaluation_and_image_context_read_all(spark, tmp_path):
     rows = [(i, f"hit {i}" if i in (1003, 1254) else f"no {i}") for i in range(n - 1)] + [(n - 1, "x" * 700 + "y" * 901)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(40, "hit me"), (50, "hit me"), (61, "hit me")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert {r.query_id: r.hit_rank for r in search._hits_all(spark, str(tmp_path)).collect()} == {40: 4, 50: 5, 61: None}
-    row = search.eval_hits_all(spark, str(tmp_path)).first()
+    assert {r.query_id: r.hit_rank for r in search._hits(spark, str(tmp_path)).collect()} == {40: 4, 50: 5, 61: None}
+    row = search.eval_hits(spark, str(tmp_path)).first()
     assert (row.queries, row.hit_5, row.mrr) == (3, round(2 / 3, 6), round((1 / 4 + 1 / 5) / 3, 6))
-    assert sorted((r.tier, r.hit_5) for r in search.eval_by_tier_all(spark, str(tmp_path)).collect()) == [(1, 0.5), (2, 1.0)]
+    assert sorted((r.tier, r.hit_5) for r in search.eval_by_tier(spark, str(tmp_path)).collect()) == [(1, 0.5), (2, 1.0)]
     at = {r.name: r.position for r in search.image_context(spark, str(tmp_path)).where(f"doc_id = {n - 1}").collect()}
     assert at["a.png"] == len("# Top\n") + 800 + 1 and at["b.png"] > 1600
