@@ -163,9 +163,10 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The index: (trigram, row), trigram the number in ``vocabulary``, row the key of a row that holds it."""
-    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    held = F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(k)) for k, t in enumerate(vocabulary(rules))])
-    return docs.select(row_key().alias("row"), F.explode(F.array_compact(held)).alias("trigram")).select("trigram", "row")
+    # a column of its own, or the text is lowered anew for each trigram
+    lowered = docs.select(row_key().alias("row"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
+    held = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(k)) for k, t in enumerate(vocabulary(rules))])
+    return lowered.select("row", F.explode(F.array_compact(held)).alias("trigram")).select("trigram", "row")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
