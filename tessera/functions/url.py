@@ -108,6 +108,29 @@ def strip_tracking(u: Column) -> Column:
     return F.when(q == "", u).otherwise(F.concat(base, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")), tail))
 
 
+def resolve(base: Column, ref: Column) -> Column:
+    """A reference as an absolute address: of a page, against the page's own address."""
+    scheme_, rest = r"^([A-Za-z][A-Za-z0-9+.-]*):", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+    origin, own = F.regexp_extract(base, rest, 0), F.regexp_extract(base, rest + "([^?#]*)", 1)
+    target, tail = F.regexp_extract(ref, "^[^?#]*", 0), F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.regexp_replace(own, "[^/]*$", ""), F.when(own == "", F.lit("/")).otherwise(F.lit("")))
+    steps = F.split(F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(folder, target)), "/")
+    kept = F.aggregate(
+        F.slice(steps, 2, F.size(steps)),
+        F.array().cast("array<string>"),
+        lambda out, s: F.when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.concat(out, F.array(s))),
+    )
+    open_ = F.when(F.element_at(steps, -1).isin("..", "."), F.lit("/")).otherwise(F.lit(""))
+    joined = F.concat(origin, F.lit("/"), F.regexp_replace(F.concat(F.array_join(kept, "/"), open_), "^/$", ""), tail)
+    return (
+        F.when(ref.rlike(scheme_), ref)
+        .when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, scheme_, 1), F.lit(":"), ref))
+        .when(F.startswith(ref, F.lit("?")), F.concat(origin, own, ref))
+        .when(F.startswith(ref, F.lit("#")), F.concat(F.regexp_extract(base, "^[^#]*", 0), ref))
+        .otherwise(joined)
+    )
+
+
 def image_rate(h: Column) -> Column:
     out = F.lit(DEFAULT_RATE)
     for suffix, rate in reversed(IMAGE_RATES):

@@ -213,13 +213,17 @@ def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "title", text.sha256(F.col("t")).alias("text_sha"), F.length("t").alias("n"), text.block_reason(F.col("h"), F.col("title")).alias("reason"), text.needs_browser(F.col("t")).alias("needs_browser"))
 
 
-_IMAGES = "html || '<img class=\"a\" data-src=\"/i/' || CAST(page_id AS STRING) || '.png\"><IMG src=''data:x''><img alt=x src=\"https://c.example/b.jpg\"><img src=\"https://c.example/b.jpg\">'"
+_IMAGES = "html || '<img class=\"a\" data-src=\"/i/' || CAST(page_id AS STRING) || '.png\"><IMG src=''data:x''><img alt=x src=\"https://c.example/b.jpg\"><img src=\"https://c.example/b.jpg\"><img src=\"//d.example/c.gif\"><img src=\"../up.png\"><img src=\"./sub/e.png?q=1\">'"
 
 
-@query(f"""WITH x AS (SELECT page_id, regexp_extract_all({_IMAGES}, '(?i)<img[^>]+(?:data-src|src)=["'']([^"'']+)["'']', 1) AS i FROM pages), f AS (SELECT page_id, list_filter(i, lambda u: NOT starts_with(u, 'data:')) AS f FROM x) SELECT page_id, array_to_string(f[1:50], ' ') AS images, len(f)::INT AS n FROM f""")
+@query(f"""WITH x AS (SELECT page_id, url, regexp_extract_all({_IMAGES}, '(?i)<img[^>]+(?:data-src|src)=["'']([^"'']+)["'']', 1) AS i FROM pages),
+b AS (SELECT page_id, i, regexp_extract(url, '^[a-z]+:') AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') AS folder FROM x),
+f AS (SELECT page_id, list_transform(list_filter(i, lambda u: NOT starts_with(u, 'data:')), lambda u: CASE WHEN u LIKE 'http%' THEN u WHEN u LIKE '//%' THEN scheme || u WHEN u LIKE '/%' THEN origin || u
+  WHEN u LIKE '../%' THEN origin || coalesce(nullif(regexp_replace(folder, '[^/]+/$', ''), ''), '/') || u[4:] ELSE origin || coalesce(nullif(folder, ''), '/') || u[3:] END) AS f FROM b)
+SELECT page_id, array_to_string(f[1:50], ' ') AS images, len(f)::INT AS n FROM f""")
 def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image sources of pages in order."""
-    p = load(spark, sf_dir, "pages").select("page_id", text.image_sources(F.expr(_IMAGES)).alias("i"))
+    """Image sources of pages in order, relative ones made absolute."""
+    p = load(spark, sf_dir, "pages").select("page_id", text.image_sources(F.expr(_IMAGES), F.col("url")).alias("i"))
     return p.select("page_id", F.array_join("i", " ").alias("images"), F.size("i").alias("n"))
 
 

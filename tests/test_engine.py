@@ -375,3 +375,15 @@ def test_evaluation_and_image_context_read_all(spark, tmp_path):
     assert sorted((r.tier, r.hit_5) for r in search.eval_by_tier(spark, str(tmp_path)).collect()) == [(1, 0.5), (2, 1.0)]
     at = {r.name: r.position for r in search.image_context(spark, str(tmp_path)).where(f"doc_id = {n - 1}").collect()}
     assert at["a.png"] == len("# Top\n") + 800 + 1 and at["b.png"] > 1600
+
+
+def test_resolve_like_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    from tessera.functions import url
+
+    bases = ["https://a.example", "https://a.example/", "https://a.example/x", "https://a.example/x/y/z.html?q=1#f", "http://b.example:81/p/"]
+    refs = ["a.png", "/a.png", "//c.example/a", "https://d.example/b", "../a", "../../../a", "./a", "b/./c/../d", "?k=v", "#top", "a?x=../y", "..", "."]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string")
+    got = {(x.b, x.r): x.u for x in df.select("b", "r", url.resolve(F.col("b"), F.col("r")).alias("u")).collect()}
+    assert got == {(b, r): urljoin(b, r) for b in bases for r in refs}
