@@ -138,6 +138,16 @@ def test_bpe_documents(docs, rows, empty):
     assert bpe.bpe_encode(empty).count() == 0
 
 
+def test_bpe_documents_like_tiktoken(docs, rows):
+    """Whole texts of the table, very long ones too, against the library itself."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder().vocabulary.ranks, special_tokens={})
+    got = multiset(bpe.bpe_encode(docs), "doc_id", "n_tokens", "ids_sha256")
+    assert got == sorted(((i, len(ids), sha(",".join(map(str, ids)))) for i, t in rows for ids in [enc.encode_ordinary(t or "")]), key=repr)
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{x:1}</style></head><body class="ad-free-site"><header><h1>Site</h1></header>
 <nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie notice">We use cookies</div>%s<form><label>Name</label><input></form>
 <div id="comments"><p>First comment, quite a long one in fact, of a reader who liked it.</p></div><footer>&copy; me</footer><script>var a = "</p>";</script></body></html>"""
