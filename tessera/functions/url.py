@@ -180,20 +180,35 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"), number)
 
 
+def address_key(ip: Column) -> Column:
+    """Family, 4 or 6, and the address in hexadecimal digits of fixed width, which sort as addresses do; null if it is none."""
+    wide = lambda n, digits: F.lpad(F.hex(n), digits, "0")
+    dotted = r"(\d+\.\d+\.\d+\.\d+)$"
+    tail = wide(ipv4_number(F.regexp_extract(ip, dotted, 1)), 8)
+    spelt = F.when(ip.rlike(dotted), F.concat(F.regexp_replace(ip, dotted, ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(ip)
+    halves = F.split(F.upper(spelt), "::")
+    well_formed = F.forall(halves, lambda h: h.rlike(r"^([0-9A-F]{1,4}(:[0-9A-F]{1,4})*)?\z"))
+    groups = lambda k: F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    before, after = groups(0), groups(1)
+    gap = 8 - F.size(before) - F.size(after)
+    whole = F.when(F.size(halves) == 1, gap == 0).when(F.size(halves) == 2, gap > 0)
+    digits = F.transform(F.concat(before, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), after), lambda g: F.lpad(g, 4, "0"))
+    return F.when(F.contains(ip, F.lit(":")), F.when(well_formed & whole, F.concat(F.lit("6"), F.array_join(digits, "")))).otherwise(F.concat(F.lit("4"), wide(ipv4_number(ip), 8)))
+
+
 def private_ranges(spark: SparkSession) -> DataFrame:
-    """(low, high, range) of the IPv4 ranges that must not be fetched from."""
+    """(low, high, range): the ranges that must not be fetched from, by address_key."""
     import ipaddress
 
     nets = [ipaddress.ip_network(n) for n in PRIVATE_RANGES]
-    rows = [(int(n.network_address), int(n.broadcast_address), str(n)) for n in nets if n.version == 4]
-    return spark.createDataFrame(rows, "low long, high long, range string")
+    rows = [(*(f"{n.version}{int(a):0{n.max_prefixlen // 4}X}" for a in (n.network_address, n.broadcast_address)), str(n)) for n in nets]
+    return spark.createDataFrame(rows, "low string, high string, range string")
 
 
 def blocked_addresses(addresses: DataFrame, ip: str = "ip") -> DataFrame:
-    """addresses with the private IPv4 range they are in, or null: a range join with nine broadcast rows."""
+    """addresses with the private range they are in, or null: a range join with fourteen broadcast rows."""
     ranges = F.broadcast(private_ranges(addresses.sparkSession))
-    number = ipv4_number(F.col(ip))
-    return addresses.withColumn("_n", number).join(ranges, F.col("_n").between(F.col("low"), F.col("high")), "left").drop("_n", "low", "high")
+    return addresses.withColumn("_n", address_key(F.col(ip))).join(ranges, F.col("_n").between(F.col("low"), F.col("high")), "left").drop("_n", "low", "high")
 
 
 def is_private(ip: str) -> bool:

@@ -80,6 +80,13 @@ def outcome(attempts: DataFrame, indexing: bool = True, index_failed: Column | N
     )
 
 
+def known_kbs(requests: DataFrame, kbs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """requests whose knowledge base exists, and the others with the status that answers them; a null one exists nowhere."""
+    ids = kbs.select("kb_id").distinct()
+    missing = requests.join(ids, "kb_id", "left_anti").withColumns({"status_code": F.lit(404), "error": F.lit("KnowledgeBase not found")})
+    return requests.join(ids, "kb_id", "left_semi"), missing
+
+
 def upsert(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """chunks after an insert that updates on equal id: content, embedding, index and parent change, doc_id and kb_id stay."""
     changed = ["content", "embedding", "chunk_index", "parent_id"]

@@ -76,11 +76,37 @@ def grouped_alerts(alerts: DataFrame) -> DataFrame:
     return shown.groupBy("name", "severity").agg(F.count("*").alias("alerts"))
 
 
+def gauge_shares(used: DataFrame, limits: DataFrame, *by: str) -> DataFrame:
+    """The last value of each series over that of its own limit; limits of 0 don't count."""
+    both = latest(used, *by).withColumnRenamed("value", "used").join(latest(limits, *by).withColumnRenamed("value", "limit"), list(by))
+    return both.where("limit > 0").select(*by, F.try_divide("used", "limit").alias("share"))
+
+
 def instance_ratio(used: DataFrame, limits: DataFrame, most: float) -> DataFrame:
-    """Instances whose last value is over a share of their own limit; limits of 0 don't count."""
-    both = latest(used, "instance").withColumnRenamed("value", "used").join(latest(limits, "instance").withColumnRenamed("value", "limit"), "instance")
-    share = F.try_divide("used", "limit")
-    return both.where((F.col("limit") > 0) & (share > most)).select("instance", F.round(share, 6).alias("share"))
+    """Instances whose last value is over a share of their own limit."""
+    return gauge_shares(used, limits, "instance").where(F.col("share") > most).withColumn("share", F.round("share", 6))
+
+
+def gauge_sums(samples: DataFrame, series: tuple[str, ...], *by: str) -> DataFrame:
+    """The last values of all series, added up by some of their labels or none."""
+    return latest(samples, *series).groupBy(*by).agg(F.sum("value").alias("value"))
+
+
+#: A rate that a share is taken of counts as at least this many a second.
+LEAST_RATE = 0.001
+
+
+def rates(events: DataFrame, size_s: int, *by: str) -> DataFrame:
+    """(start, by..., rate): events a second in windows that do not overlap."""
+    counted = events.groupBy(F.window("ts", f"{size_s} seconds").alias("w"), *by).agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("start"), *by, F.round(F.col("n") / size_s, 6).alias("rate"))
+
+
+def rate_shares(events: DataFrame, part: Column, size_s: int, *by: str) -> DataFrame:
+    """(start, by..., share): the rate of a part of the events over the rate of all, the latter clamped from below."""
+    counted = events.groupBy(F.window("ts", f"{size_s} seconds").alias("w"), *by).agg(F.count("*").alias("n"), F.count_if(part).alias("k"))
+    share = F.col("k") / size_s / F.greatest(F.col("n") / size_s, F.lit(LEAST_RATE))
+    return counted.select(F.col("w.start").alias("start"), *by, F.round(share, 6).alias("share"))
 
 
 def budget(costs: DataFrame, cap: float) -> DataFrame:

@@ -7,6 +7,7 @@ memory. A key is one task's work: sequence is what these operators are.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text, url
+
 
 @dataclass
 class Breaker:
@@ -116,3 +119,35 @@ def fetch_outcome(attempts: DataFrame, tries: int = 3) -> DataFrame:
     seen = attempts.where(F.col("attempt") <= tries).withColumn("end", end)
     first = seen.groupBy("url_id").agg(F.min(F.when(F.col("end").isNotNull(), F.struct("attempt", "end"))).alias("x"), F.max("attempt").alias("last"))
     return first.select("url_id", F.coalesce("x.end", F.lit("failed")).alias("outcome"), F.coalesce("x.attempt", "last").alias("used"))
+
+
+# Hosts that only a browser can read.
+BROWSER_ONLY = ("threads.net", "instagram.com")
+TIERS = ("http", "impersonated", "browser")
+
+
+def fetch_tiers(attempts: DataFrame) -> DataFrame:
+    """attempts (url_id, url, tier, status, content_type, content, blocked) -> (url_id, tier, outcome).
+
+    Tiers go from plain HTTP over an impersonated client to a browser, where some
+    hosts begin. Gone pages end it at any tier, PDF bodies (for the PDF engines) at the
+    first, which ends it also with a readable page, the impersonated
+    client with any text, a browser always, 'ok' or 'empty'. Blocked pages and
+    other statuses hold no text. Where no tier ended it, tier is null and the
+    outcome 'unfinished'.
+    """
+    tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
+    h = url.host(F.col("url"))
+    browser_only = functools.reduce(lambda a, b: a | b, [url.host_is(h, s) for s in BROWSER_ONLY])
+    readable = F.col("status").between(200, 299) & ~F.coalesce("blocked", F.lit(False))
+    said = text.strip(F.when(readable, F.coalesce("content", F.lit(""))).otherwise(F.lit("")))
+    is_pdf = F.lower(F.trim(F.substring_index("content_type", ";", 1))) == "application/pdf"
+    end = (
+        F.when(F.col("status").isin(*GONE), "gone")
+        .when(F.coalesce(is_pdf, F.lit(False)) & F.col("status").between(200, 299) & (F.col("tier") == "http"), "pdf")
+        .when(F.when(F.col("tier") == "http", ~text.needs_browser(said)).otherwise(said != ""), "ok")
+        .when(F.col("tier") == "browser", "empty")
+    )
+    reached = attempts.where((tier > 0) & (~F.coalesce(browser_only, F.lit(False)) | (F.col("tier") == "browser"))).select("url_id", tier.alias("n"), "tier", end.alias("end"))
+    first = reached.where("end IS NOT NULL").groupBy("url_id").agg(F.min(F.struct("n", "end", "tier")).alias("x"))
+    return attempts.select("url_id").distinct().join(first, "url_id", "left").select("url_id", F.col("x.tier").alias("tier"), F.coalesce("x.end", F.lit("unfinished")).alias("outcome"))

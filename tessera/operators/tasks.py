@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,14 +117,52 @@ def digest(documents: DataFrame, cutoff: Column) -> dict[str, DataFrame]:
         "by_kind": recent.groupBy(source_kind(F.col("storage_key")).alias("kind")).agg(F.count("*").alias("total"), F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("failed")),
         "by_type": failed.groupBy("error_type").agg(F.count("*").alias("failed")).withColumn("error_type", F.coalesce("error_type", F.lit("unclassified"))),
         "by_engine": failed.groupBy(F.coalesce(F.nullif("parse_engine", F.lit("")), F.lit("unknown")).alias("engine")).agg(F.count("*").alias("failed")),
-        "samples": failed.orderBy(F.col("created_at").desc(), "id").limit(10).select("id", F.left("source", F.lit(80)).alias("source"), F.left("error_msg", F.lit(120)).alias("error")),
+        "samples": failed.orderBy(F.col("created_at").desc(), "id").limit(10).select(
+            "id", F.left("source", F.lit(80)).alias("source"), F.left("error_msg", F.lit(120)).alias("error"), "created_at",
+            F.coalesce("error_type", F.lit("unclassified")).alias("error_type"), F.coalesce(F.nullif("parse_engine", F.lit("")), F.lit("unknown")).alias("engine"), shortened(first_truthy(F.col("source"), F.lit("(empty)")), 80).alias("label"),
+        ),
     }
 
 
-def digest_text(total: DataFrame, by_type: DataFrame) -> DataFrame:
-    """One line of text: the number of failures and their types, most first; or that there were none."""
-    types = by_type.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("failed")).alias("n"), "error_type"))), lambda x: F.concat(x["error_type"], F.lit(" "), -x["n"])), ", ").alias("types"))
-    return total.crossJoin(types).select(F.when(F.col("failed") == 0, F.lit("no failures")).otherwise(F.format_string("%d failed: %s", "failed", "types")).alias("line"))
+# Marks of error types and labels of source kinds in the digest's text.
+TYPE_MARKS = {"parse_error": "⚠️", "empty_content": "📭", "image_only": "🖼️", "too_large": "📦", "indexing_error": "💾", "url_fetch_error": "🔗", "permanent": "🚫", "unclassified": "❓"}
+OTHER_MARK = "•"
+KIND_LABELS = {"file": "📄 文件", "url": "🔗 链接"}
+
+
+def _mark(error_type: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_MARKS.items() for x in kv]), error_type), F.lit(OTHER_MARK))
+
+
+def _listed(counts: DataFrame, name: str, out: str, shown: Callable[[Column], Column]) -> DataFrame:
+    """One row: the counts as name×n, most first; null if there are none."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("failed")).alias("n"), F.col(name).alias("name"))))
+    text = F.array_join(F.transform(rows, lambda x: F.concat(shown(x["name"]), F.lit("×"), (-x["n"]).cast("string"))), "  ")
+    return counts.agg(F.nullif(text, F.lit("")).alias(out))
+
+
+def digest_text(parts: dict[str, DataFrame], hours: int, env: str = "") -> DataFrame:
+    """(text): the digest as a message: a line for each kind of source, then, if there were failures, types, engines and samples.
+
+    Without any document since the cutoff it is one line. Every part is an aggregate of a few rows.
+    """
+    failed, total = F.col("failed"), F.col("total")
+    share = F.rint((total - failed) / total * 100).cast("long").cast("string")
+    result = F.when(failed == 0, F.lit(" 个 ✅ 全部成功")).otherwise(F.concat(F.lit(" 个（失败 "), failed.cast("string"), F.lit("，成功率 "), share, F.lit("%）")))
+    lines = [F.max(F.when(F.col("kind") == k, F.concat(F.lit(f"{label} "), total.cast("string"), result))).alias(k) for k, label in KIND_LABELS.items()]
+    kinds = parts["by_kind"].agg(F.sum("total").alias("all"), *lines)
+    types = _listed(parts["by_type"], "error_type", "types", lambda x: F.concat(_mark(x), F.lit(" "), x))
+    engines = _listed(parts["by_engine"], "engine", "engines", lambda x: x)
+    sample = F.concat(_mark(F.col("error_type")), F.lit(" ["), "engine", F.lit("] "), "label", F.lit("\n   "), F.coalesce("error", F.lit("")))
+    newest = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "id", sample.alias("s"))))
+    samples = parts["samples"].agg(F.transform(newest, lambda x: x["s"]).alias("s"))
+    head = (f"[{env}] " if env else "") + f"过去 {hours} 小时入库样本"
+    failures = F.when(
+        F.col("types").isNotNull(),
+        F.concat_ws("\n", F.lit(""), F.concat(F.lit("按类型："), "types"), F.concat(F.lit("按引擎："), "engines"), F.lit(""), F.concat(F.lit("最近 "), F.size("s").cast("string"), F.lit(" 个样本：")), F.array_join("s", "\n")),
+    )
+    one = kinds.crossJoin(types).crossJoin(engines).crossJoin(samples)
+    return one.select(F.when(F.col("all").isNull(), F.lit(f"{head}：0（无新增）")).otherwise(F.concat_ws("\n", F.lit(head), *KIND_LABELS, failures)).alias("text"))
 
 
 def dashboard(documents: DataFrame) -> dict[str, DataFrame]:

@@ -39,6 +39,14 @@ def dedup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.first_of_content(d).select("doc_id", "kb_id", "sha", "keeper", "copies")
 
 
+@query(f"WITH {DOCS_SQL}, r AS (SELECT id, CASE WHEN user_id % 10 < 9 THEN 'kb' || (user_id % 10) END AS kb_id FROM docs JOIN (SELECT 'd' || event_id AS id, user_id FROM events) USING (id)) SELECT id, kb_id, CASE WHEN kb_id IS NULL OR kb_id NOT IN (SELECT kb_id FROM docs) THEN 404 END AS status_code FROM r")
+def kb_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requests for knowledge bases that exist, and those that are answered by 404."""
+    requests = load(spark, sf_dir, "events").selectExpr("'d' || event_id AS id", "CASE WHEN user_id % 10 < 9 THEN 'kb' || (user_id % 10) END AS kb_id")
+    known, missing = ingest.known_kbs(requests, documents(spark, sf_dir))
+    return known.withColumn("status_code", F.lit(None).cast("int")).unionByName(missing.drop("error"))
+
+
 _HELD = "SELECT doc_id AS id, source AS kb_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) END AS s, md5(text) AS m, CASE doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'queued' ELSE 'completed' END AS status, doc_id % 7 AS created_at FROM documents"
 
 
@@ -182,11 +190,26 @@ n AS (SELECT *, CASE WHEN list_max(o) <= 255 THEN o[1] * 16777216 + o[2] * 65536
 SELECT event_id, ip, net AS "range" FROM n LEFT JOIN r ON v BETWEEN low AND high
 """)
 def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """addresses in ranges that must not be fetched from, by a range join with nine broadcast rows."""
+    """addresses in ranges that must not be fetched from, by a range join with fourteen broadcast rows."""
     e = load(spark, sf_dir, "events").selectExpr("event_id", f"{_IP} AS ip")
     return url.blocked_addresses(e).select("event_id", "ip", "range")
 
 
+_IP6 = "CASE event_id % 9 WHEN 0 THEN '::1' WHEN 1 THEN 'fe' || lower(hex(64 + user_id % 192)) || '::' || lower(hex(event_id)) WHEN 2 THEN 'fc' || lower(hex(16 + user_id % 240)) || ':0:0:1:2:3:4:5' WHEN 3 THEN '2001:db8::' || lower(hex(user_id)) || ':1' WHEN 4 THEN 'FF02::1' WHEN 5 THEN '::' WHEN 6 THEN '1::2::3' WHEN 7 THEN '2001:db8:0:0:0:0:1' ELSE '1:2:3:4:5:6:7::' END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {_IP6} AS ip FROM events), s AS (SELECT *, string_split(lower(ip), '::') AS s FROM e),
+g AS (SELECT event_id, ip, len(s) AS n, list_filter(string_split(s[1], ':'), lambda x: x <> '') AS a, list_filter(string_split(coalesce(s[2], ''), ':'), lambda x: x <> '') AS b FROM s),
+k AS (SELECT *, CASE WHEN (n = 1 AND len(a) = 8) OR (n = 2 AND len(a) + len(b) < 8) THEN array_to_string(list_transform(list_concat(list_concat(a, list_transform(range(8 - len(a) - len(b)), lambda i: '0')), b), lambda x: lpad(x, 4, '0')), '') END AS k FROM g)
+SELECT event_id, ip, CASE WHEN k = repeat('0', 32) THEN '::/128' WHEN k = repeat('0', 31) || '1' THEN '::1/128' WHEN left(k, 2) IN ('fc', 'fd') THEN 'fc00::/7' WHEN left(k, 3) IN ('fe8', 'fe9', 'fea', 'feb') THEN 'fe80::/10' WHEN left(k, 2) = 'ff' THEN 'ff00::/8' END AS "range" FROM k
+""")
+def private_addresses_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 for IPv6: short and full spellings and malformed ones."""
+    e = load(spark, sf_dir, "events").selectExpr("event_id", f"{_IP6} AS ip")
+    return url.blocked_addresses(e).select("event_id", "ip", "range")
+
+
 @query(f"WITH p AS (SELECT url AS u FROM pages), h AS (SELECT {HOST} AS host FROM p) SELECT host, count(*) AS pages FROM h GROUP BY host ORDER BY pages DESC, host LIMIT 10")
 def top_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 over pages: the ten hosts with most pages."""
@@ -349,14 +372,24 @@ def digest_by_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FAILED} SELECT id, left(source, 80) AS source, left(error_msg, 120) AS error FROM f ORDER BY created_at DESC, id LIMIT 10")
 def digest_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4, K9: the latest failures."""
-    return _digest(spark, sf_dir)["samples"]
+    return _digest(spark, sf_dir)["samples"].select("id", "source", "error")
+
+
+_MARK = "CASE error_type WHEN 'parse_error' THEN '⚠️' WHEN 'too_large' THEN '📦' WHEN 'indexing_error' THEN '💾' WHEN 'unclassified' THEN '❓' ELSE '•' END"
 
 
-@query(f"WITH {_FAILED}, t AS (SELECT coalesce(error_type, 'unclassified') AS error_type, count(*) AS n FROM f GROUP BY 1) SELECT CASE WHEN sum(n) IS NULL THEN 'no failures' ELSE sum(n)::BIGINT || ' failed: ' || string_agg(error_type || ' ' || n, ', ' ORDER BY n DESC, error_type) END AS line FROM t")
+@query(f"""
+WITH {_FAILED}, c AS (SELECT id, created_at, coalesce(error_type, 'unclassified') AS error_type, coalesce(NULLIF(parse_engine, ''), 'unknown') AS engine, source, error_msg FROM f),
+k AS (SELECT CASE WHEN coalesce(storage_key, '') <> '' THEN 'file' ELSE 'url' END AS kind, count(*) AS n, count(*) FILTER (status = 'failed') AS bad FROM r GROUP BY 1),
+kl AS (SELECT string_agg(CASE kind WHEN 'file' THEN '📄 文件 ' ELSE '🔗 链接 ' END || n || CASE WHEN bad = 0 THEN ' 个 ✅ 全部成功' ELSE ' 个（失败 ' || bad || '，成功率 ' || round_even((n - bad) / n * 100, 0)::INT || '%）' END, chr(10) ORDER BY kind) AS l FROM k),
+tl AS (SELECT string_agg({_MARK} || ' ' || error_type || '×' || n, '  ' ORDER BY n DESC, error_type) AS l FROM (SELECT error_type, count(*) AS n FROM c GROUP BY 1)),
+el AS (SELECT string_agg(engine || '×' || n, '  ' ORDER BY n DESC, engine) AS l FROM (SELECT engine, count(*) AS n FROM c GROUP BY 1)),
+sl AS (SELECT count(*) AS n, string_agg({_MARK} || ' [' || engine || '] ' || CASE WHEN length(source) > 80 THEN left(source, 79) || '…' ELSE source END || chr(10) || '   ' || left(error_msg, 120), chr(10) ORDER BY created_at DESC, id) AS l FROM (SELECT * FROM c ORDER BY created_at DESC, id LIMIT 10))
+SELECT CASE WHEN kl.l IS NULL THEN '过去 24 小时入库样本：0（无新增）' ELSE '过去 24 小时入库样本' || chr(10) || kl.l || CASE WHEN sl.n > 0 THEN chr(10) || chr(10) || '按类型：' || tl.l || chr(10) || '按引擎：' || el.l || chr(10) || chr(10) || '最近 ' || sl.n || ' 个样本：' || chr(10) || sl.l ELSE '' END END AS text FROM kl, tl, el, sl
+""")
 def digest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest as a line of text."""
-    d = _digest(spark, sf_dir)
-    return queue.digest_text(d["total"], d["by_type"])
+    """The digest as a message."""
+    return queue.digest_text(_digest(spark, sf_dir), 24)
 
 
 @query(f"WITH {DOCS_SQL} SELECT round(count(*) FILTER (status = 'completed') / count(*), 6) AS rate FROM docs WHERE status IN ('completed', 'failed')")
@@ -556,3 +589,35 @@ def scrape_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = e.select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), first.alias("first"), at.alias("at")).select((F.col("first") + F.col("k") * step).alias("t"), "at").where("t - at < 300000000")
     counts = spread.groupBy("t").agg(F.count("*").alias("n"))
     return points.select(F.unix_micros("t").alias("t")).join(counts, "t", "left").select("t", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start, user_id % 3 AS handler, event_type AS status, round(count(*) / 300, 6) AS rate FROM events GROUP BY ALL")
+def panel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: rates by two labels, as of requests by handler and status, or of outcomes."""
+    e = _events(spark, sf_dir).select("ts", (F.col("user_id") % 3).alias("handler"), F.col("event_type").alias("status"))
+    return metrics.rates(e, 300, "handler", "status").select(micros("start"), "handler", "status", "rate")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 60 MINUTE, ts)) AS start, user_id % 3 AS engine, round(count(*) FILTER (event_type = 'error') / 3600 / greatest(count(*) / 3600, 0.001), 6) AS share FROM events GROUP BY ALL")
+def panel_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: the share of empty parses by engine, and of errors of services; few events a second count as the least rate."""
+    e = _events(spark, sf_dir).withColumn("engine", F.col("user_id") % 3)
+    return metrics.rate_shares(e, F.col("event_type") == "error", 3600, "engine").select(micros("start"), "engine", "share")
+
+
+@query("""
+WITH l AS (SELECT user_id, event_type, arg_max(value, (ts, value)) AS value FROM events GROUP BY ALL)
+SELECT 'sum' AS panel, event_type AS label, round(sum(value), 3) AS value FROM l GROUP BY event_type UNION ALL SELECT 'total', '', round(sum(value), 3) FROM l
+UNION ALL SELECT 'ratio', CAST(u.user_id AS VARCHAR), round(u.value / m.value, 3) FROM l u JOIN l m USING (user_id) WHERE u.event_type = 'view' AND m.event_type = 'click' AND m.value > 0
+UNION ALL SELECT 'state', CAST(user_id AS VARCHAR), floor(value) % 3 FROM l WHERE event_type = 'error'
+""")
+def panel_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: sums of gauges by a label and over all, ratios to limits, the last state of each breaker (0 closed, 1 open, 2 half open)."""
+    e = _events(spark, sf_dir).withColumn("label", F.col("user_id").cast("string"))
+    series = ("user_id", "event_type")
+    shown = lambda df, panel, label, value: df.select(F.lit(panel).alias("panel"), label.alias("label"), F.round(value, 3).cast("double").alias("value"))
+    sums = shown(metrics.gauge_sums(e, series, "event_type"), "sum", F.col("event_type"), F.col("value"))
+    total = shown(metrics.gauge_sums(e, series), "total", F.lit(""), F.col("value"))
+    ratios = shown(metrics.gauge_shares(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "label"), "ratio", F.col("label"), F.col("share"))
+    states = shown(metrics.latest(e.where("event_type = 'error'"), "label"), "state", F.col("label"), F.floor("value") % 3)
+    return sums.unionByName(total).unionByName(ratios).unionByName(states)

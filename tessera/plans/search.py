@@ -237,7 +237,7 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").selectExpr("event_id AS id", "left(md5(encode(cast(event_id % 300 AS string), 'UTF-8')), 15) || substr('0123456789abcdef', cast(event_id % 16 AS int) + 1, 1) AS phash")
 
 
-@query()
+@query("SELECT user_id AS doc_id, event_id AS image_index, 'img' || (event_id % 5) || CASE row_number() OVER w WHEN 1 THEN '' ELSE '_' || (row_number() OVER w - 1) END || '.png' AS filename FROM events WINDOW w AS (PARTITION BY user_id, event_id % 5 ORDER BY event_id)")
 def unique_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image file names without repeats in a document."""
     e = load(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "event_id AS image_index", "'p/img' || (event_id % 5) || '.png?x=1' AS name")
@@ -310,14 +310,33 @@ def post_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 # State machines
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS name, event_id AS id, epoch_us(ts) / 1e6 AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+ SELECT name, id, n, 'pass' AS verdict, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS bad, 0::DOUBLE AS opened FROM e WHERE n = 1
+ UNION ALL
+ SELECT e.name, e.id, e.n, CASE WHEN held THEN 'reject' ELSE 'pass' END, CASE WHEN held THEN 'open' WHEN e.ok THEN 'closed' WHEN s.state = 'open' OR s.bad + 1 >= 2 THEN 'open' ELSE 'closed' END,
+  CASE WHEN held THEN s.bad WHEN e.ok THEN 0 ELSE s.bad + 1 END, CASE WHEN NOT held AND NOT e.ok AND (s.state = 'open' OR s.bad + 1 >= 2) THEN e.t ELSE s.opened END
+ FROM s JOIN e ON e.name = s.name AND e.n = s.n + 1, LATERAL (SELECT s.state = 'open' AND e.t - s.opened < 86400 AS held) h
+)
+SELECT name, id, verdict, state FROM s
+""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8: verdict and state for each call of a service."""
     e = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("event_type") != "error").alias("ok"), F.lit(True).alias("counted"))
     return state.breaker(e, 2, 86400.0)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS key, event_id AS id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events),
+s AS (
+ SELECT key, id, n, true AS allowed, t AS newest, NULL::DOUBLE AS before FROM e WHERE n = 1
+ UNION ALL
+ SELECT e.key, e.id, e.n, free, CASE WHEN free THEN e.t ELSE s.newest END, CASE WHEN free THEN s.newest ELSE s.before END
+ FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1, LATERAL (SELECT s.before IS NULL OR e.t - s.before >= 3600 AS free) f
+)
+SELECT key, id, allowed FROM s
+""")
 def moving_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q9: which hits a moving window lets through."""
     e = load(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
@@ -343,6 +362,29 @@ def fetch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fetch_outcome(spark.sql(f"SELECT {sql} FROM _fetch_events"))
 
 
+_TIERS = (
+    "event_id % 3 AS k",
+    "CASE (event_id * 7) % 13 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 503 ELSE 200 END AS status",
+    "CASE WHEN (event_id * 5) % 11 = 0 THEN 'application/PDF; v=1' ELSE 'text/html' END AS content_type",
+    "CASE (event_id * 3) % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'short' WHEN 2 THEN 'Just a moment ' || repeat('x', 400) ELSE repeat('word ', 90) END AS content",
+    "(event_id * 11) % 17 = 0 AS blocked",
+)
+
+
+@query(f"""
+WITH a AS (SELECT event_id // 3 AS url_id, {', '.join(_TIERS)} FROM events),
+t AS (SELECT *, (url_id % 7) = 0 AS skips, trim(CASE WHEN status = 200 AND NOT blocked THEN content ELSE '' END) AS said FROM a),
+e AS (SELECT url_id, k, CASE WHEN skips AND k < 2 THEN NULL WHEN status = 404 THEN 'gone' WHEN k = 0 AND status = 200 AND content_type LIKE 'application/PDF%' THEN 'pdf' WHEN k = 0 AND length(said) >= 300 AND NOT starts_with(said, 'Just a moment') THEN 'ok' WHEN k > 0 AND said <> '' THEN 'ok' WHEN k = 2 THEN 'empty' END AS e FROM t),
+f AS (SELECT url_id, min(k) FILTER (e IS NOT NULL) AS k FROM e GROUP BY 1)
+SELECT f.url_id, CASE f.k WHEN 0 THEN 'http' WHEN 1 THEN 'impersonated' WHEN 2 THEN 'browser' END AS tier, coalesce(e.e, 'unfinished') AS outcome FROM f LEFT JOIN e ON e.url_id = f.url_id AND e.k = f.k
+""")
+def fetch_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tier that ended each fetch, from recorded attempts."""
+    a = load(spark, sf_dir, "events").selectExpr("event_id DIV 3 AS url_id", *_TIERS)
+    host = F.when(F.col("url_id") % 7 == 0, "www.threads.net").otherwise("h.example")
+    return state.fetch_tiers(a.select("*", F.concat(F.lit("https://"), host, F.lit("/p")).alias("url"), F.get(F.array(*map(F.lit, state.TIERS)), F.col("k").cast("int")).alias("tier")))
+
+
 # Streams
 
 
@@ -358,7 +400,16 @@ def streamed_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.run_to_end(counts, f"counts_{uuid.uuid4().hex}", "complete").select(micros("start"), "total", "bad")
 
 
-# Sites with rules of their own
+# Main content, and sites with rules of their own
+
+
+@query()
+def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page as markdown."""
+    from tessera.sources.sites import extract_main
+
+    return extract_main(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
 
 _SITE_PAGES = (
     "CASE page_id % 4 WHEN 0 THEN 'xhs' WHEN 1 THEN 'baike' WHEN 2 THEN 'wechat' ELSE 'generic' END AS site, "

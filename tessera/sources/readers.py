@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import pipe_table
+from tessera.functions.text import pipe_table, strip
 
 MAX_ROWS, MAX_COLUMNS, MAX_PAGE_CHARS = 500, 50, 100_000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -78,6 +78,12 @@ def ocr_markdown(stem: Column, lines: Column) -> Column:
     return F.concat(F.lit("# "), stem, F.lit("\n\n"), F.array_join(F.filter(lines, lambda x: F.trim(x) != ""), "\n"))
 
 
+def vision_markdown(stem: Column, markdown: Column) -> Column:
+    """What a vision model said of an image, under the file's name; null if it said nothing, which sends the file to the next engine."""
+    title = F.coalesce(F.nullif(stem, F.lit("")), F.lit("image"))
+    return F.when(strip(F.coalesce(markdown, F.lit(""))) != "", F.concat(F.lit("# "), title, F.lit("\n\n"), strip(markdown), F.lit("\n")))
+
+
 _GATEWAY = "errorCode int, errorMsg string, result struct<layoutParsingResults: array<struct<markdown: struct<text: string, images: map<string,string>>>>>"
 
 
@@ -121,27 +127,94 @@ def _joined(node: ET.Element, tag: str) -> str:
     return "".join(t.text or "" for t in node.iter(tag))
 
 
+def _related(z: zipfile.ZipFile) -> dict[str, str]:
+    """Targets of a word-processing package's relations by id."""
+    rels = _xml(z, "word/_rels/document.xml.rels")
+    return {r.get("Id"): r.get("Target", "") for r in rels} if rels is not None else {}
+
+
+def _numbered(z: zipfile.ZipFile) -> set[tuple[str, str]]:
+    """(list id, level) of lists that count; the others have bullets."""
+    root = _xml(z, "word/numbering.xml")
+    if root is None:
+        return set()
+    counting = {(a.get(f"{_W}abstractNumId"), v.get(f"{_W}ilvl")) for a in root.iter(f"{_W}abstractNum") for v in a.iter(f"{_W}lvl") if (f := v.find(f"{_W}numFmt")) is not None and f.get(f"{_W}val") not in ("bullet", "none")}
+    uses = [(n.get(f"{_W}numId"), n.find(f"{_W}abstractNumId").get(f"{_W}val")) for n in root.iter(f"{_W}num") if n.find(f"{_W}abstractNumId") is not None]
+    return {(used, level) for used, kind in uses for k, level in counting if k == kind}
+
+
+def _is_on(run: ET.Element, name: str) -> bool:
+    node = run.find(f"{_W}rPr/{_W}{name}")
+    return node is not None and node.get(f"{_W}val", "1") not in ("0", "false", "none")
+
+
+def _extension(target: str) -> str:
+    name = target.rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[1].lower() if "." in name else "png"
+
+
+def _spans(node: ET.Element, targets: dict[str, str], images: list[str], plain: bool = False) -> str:
+    """A paragraph's text: bold and italic runs, links, a placeholder for each image."""
+    out = ""
+    for child in node:
+        if child.tag == f"{_W}hyperlink":
+            said, target = _spans(child, targets, images, plain), targets.get(child.get(f"{_R}id", ""), "")
+            out += f"[{said}]({target})" if said and target else said
+        elif child.tag == f"{_W}r":
+            said = "".join(t.text or "" for t in child.iter(f"{_W}t"))
+            if said.strip() and not plain:
+                marks = "**" * _is_on(child, "b") + "*" * _is_on(child, "i")
+                core = said.strip()
+                said = said.replace(core, f"{marks}{core}{marks[::-1]}", 1)
+            for blip in child.iter(f"{_A}blip"):
+                images.append(targets.get(blip.get(f"{_R}embed", ""), ""))
+                said += f"![](image_{len(images):04d}.{_extension(images[-1])})"
+            out += said
+        elif child.tag != f"{_W}pPr":
+            out += _spans(child, targets, images, plain)
+    return out
+
+
 def docx_markdown(content: bytes, stem: str = "") -> tuple[str, str, int]:
-    """(markdown, title, images) of a word-processing package: headings, paragraphs, tables, placeholders for images."""
+    """(markdown, title, images) of a word-processing package: headings, paragraphs, lists, tables, placeholders for images.
+
+    The title is the first heading of level 1, else the file's name.
+    """
+    out, images, title, in_list = [], [], "", False
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = _xml(z, "word/document.xml").find(f"{_W}body")
-    out, images, title = [], 0, ""
+        body, targets, numbered = _xml(z, "word/document.xml").find(f"{_W}body"), _related(z), _numbered(z)
     for node in body:
         if node.tag == f"{_W}tbl":
             rows = [[_joined(c, f"{_W}t") for c in r.iter(f"{_W}tc")] for r in node.iter(f"{_W}tr")]
             out.append(table_markdown(rows))
+            in_list = False
         elif node.tag == f"{_W}p":
             style = node.find(f"{_W}pPr/{_W}pStyle")
             level = re.match(r"(?i)heading\s*([1-6])$", style.get(f"{_W}val", "") if style is not None else "")
-            text = _joined(node, f"{_W}t")
-            for _ in node.iter(f"{_A}blip"):
-                images += 1
-                text += f"![](image_{images:04d}.png)"
-            if text.strip():
+            text = _spans(node, targets, images, plain=level is not None)
+            if not text.strip():
+                continue
+            item = node.find(f"{_W}pPr/{_W}numPr") if level is None else None
+            if item is not None:
+                at = {n: x.get(f"{_W}val", "0") for n in ("ilvl", "numId") if (x := item.find(f"{_W}{n}")) is not None}
+                depth = at.get("ilvl", "0")
+                line = "    " * int(depth) + ("1. " if (at.get("numId"), depth) in numbered else "- ") + text.strip()
+                out[-1:] = [f"{out[-1]}\n{line}"] if in_list else [*out[-1:], line]
+            else:
                 out.append("#" * int(level[1]) + " " + text if level else text)
                 if level and level[1] == "1" and not title:
                     title = text.strip()
-    return "\n\n".join(out), title or stem, images
+            in_list = item is not None
+    return "\n\n".join(out), title or stem, len(images)
+
+
+def docx_images(content: bytes) -> list[tuple[str, bytes | None]]:
+    """(name, bytes) of a word-processing package's images in the order and by the names of their placeholders; None if they are not in it."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        targets, held = _related(z), set(z.namelist())
+        used = [targets.get(b.get(f"{_R}embed", ""), "") for b in _xml(z, "word/document.xml").iter(f"{_A}blip")]
+        part = lambda t: t.lstrip("/") if t.startswith("/") else f"word/{t}"
+        return [(f"image_{k:04d}.{_extension(t)}", z.read(part(t)) if part(t) in held else None) for k, t in enumerate(used, 1)]
 
 
 def docx_repair(content: bytes) -> bytes:
@@ -275,12 +348,21 @@ def packages(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "filename", "content").mapInPandas(work, "doc_id long, markdown string, title string, pages int, error string")
 
 
-def external(df: DataFrame, call: Callable[[list[str]], list], column: str, out: str, batch: int = 4, tries: int = 3, kind: str = "array<float>") -> DataFrame:
-    """A column from an injected client, called with small batches in order; a failing batch is tried again.
+def passing(error: Exception) -> bool:
+    """Whether a call may be tried again: 429, server errors, and transport errors without a status."""
+    status = next((s for s in (getattr(error, a, None) for a in ("status_code", "status", "code")) if isinstance(s, int)), None)
+    return isinstance(error, OSError) if status is None else status == 429 or status >= 500
+
+
+def external(df: DataFrame, call: Callable[[list[str]], list], column: str, out: str, batch: int = 4, tries: int = 3, kind: str = "array<float>", pause: float = 1.0) -> DataFrame:
+    """A column from an injected client, called with small batches in order; a batch that fails in passing is tried again.
 
-    The boundary to models and services: the client is built on the executor.
+    Pauses double up to 10 s, each with up to half of it more, so that executors
+    do not return together. The boundary to models and services: the client is
+    built on the executor.
     """
     import time
+    from random import uniform
 
     @F.pandas_udf(kind)
     def ask(texts: pd.Series) -> pd.Series:
@@ -291,10 +373,11 @@ def external(df: DataFrame, call: Callable[[list[str]], list], column: str, out:
                 try:
                     got += call(part)
                     break
-                except (OSError, TimeoutError):
-                    if n + 1 == tries:
+                except Exception as e:
+                    if n + 1 == tries or not passing(e):
                         raise
-                    time.sleep(min(2**n, 10))
+                    wait = min(pause * 2**n, 10)
+                    time.sleep(wait + uniform(0, wait / 2))
         return pd.Series(got)
 
     return df.withColumn(out, ask(column))

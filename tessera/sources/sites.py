@@ -30,14 +30,20 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
 
-    def walk(self) -> Iterator[Node]:
-        for c in self.children:
+    def below(self) -> Iterator[Node | str]:
+        """Elements and texts below in order; nesting may have any depth."""
+        todo = self.children[::-1]
+        while todo:
+            c = todo.pop()
+            yield c
             if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+                todo += c.children[::-1]
+
+    def walk(self) -> Iterator[Node]:
+        return (c for c in self.below() if isinstance(c, Node))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(c for c in self.below() if isinstance(c, str))
 
     def has_class(self, name: str) -> bool:
         return name in self.attrs.get("class", "").split()
@@ -202,3 +208,93 @@ def extract_sites(pages: DataFrame) -> DataFrame:
 
     own = pages.where(F.col("site").isin(*SITES)).select("page_id", "site", "html")
     return own.mapInPandas(work, "page_id long, site string, title string, body string, images array<string>")
+
+
+# Main content of any page.
+
+# Class names of article containers, and the least text that makes one.
+CONTAINER_CLASSES = ("entry-content", "post-content", "article-content", "content-inner")
+CONTAINER_LEAST = 300
+#: Elements that hold no content, and those that begin a block of their own.
+_BESIDE = frozenset("nav header footer aside form button select iframe template noscript script style head title".split())
+_BLOCK = frozenset("address article blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+#: A block of prose, from which a page is taken to have content of its own.
+_PROSE = 80
+
+
+def _blocks(root: Node, beside: frozenset[str] = _BESIDE) -> list[tuple[str, str, int]]:
+    """(tag, text, characters in links) of the blocks below root in order, images as markdown; nesting of any depth."""
+    out: list[tuple[str, str, int]] = []
+    parts: list[str] = []
+    linked, tag, links = 0, "", 0
+
+    def flush() -> None:
+        nonlocal linked
+        text = " ".join("".join(parts).split())
+        if text:
+            out.append((tag, text, linked))
+        parts.clear()
+        linked = 0
+
+    todo: list = [(root, False)]
+    while todo:
+        node, leaves = todo.pop()
+        if isinstance(node, str):
+            parts.append(node)
+            linked += len(node.strip()) if links else 0
+        elif leaves:
+            links -= node.tag == "a"
+            if node.tag in _BLOCK:
+                flush()
+                tag = ""
+        elif node.tag not in beside:
+            if node.tag in _BLOCK:
+                flush()
+                tag = node.tag
+            links += node.tag == "a"
+            src = (node.attrs.get("data-src") or node.attrs.get("src") or "") if node.tag == "img" else ""
+            if src and not src.startswith("data:"):
+                parts.append(f" ![]({src}) ")
+            todo.append((node, True))
+            todo += [(c, False) for c in reversed(node.children)]
+    flush()
+    return out
+
+
+def _markdown(blocks: list[tuple[str, str, int]]) -> str:
+    mark = lambda tag: "#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else {"li": "- ", "blockquote": "> "}.get(tag, "")
+    return "\n\n".join(mark(tag) + text for tag, text, _ in blocks)
+
+
+def _is_container(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.attrs.get("itemprop") == "articleBody" or (node.tag == "div" and any(node.has_class(c) for c in CONTAINER_CLASSES))
+
+
+def main_content(html: str) -> str:
+    """The main text of a page as markdown: of three ways the first that finds some.
+
+    1. Blocks outside of menus, headers, footers and forms that are not mostly links, if one of them is prose;
+       only those of one article's container where it holds half of that text or more.
+    2. The container of an article, by its element, property or class, that holds most text, from CONTAINER_LEAST characters on.
+    3. All text of the page but scripts and styles.
+    """
+    root = parse(html)
+    containers = [n for n in root.walk() if _is_container(n)]
+    size = lambda blocks: sum(len(text) for _, text, _ in blocks)
+    said = lambda n: [b for b in _blocks(n) if 2 * b[2] < len(b[1])]
+    own, inner = said(root), max(map(said, containers), key=size, default=[])
+    if any(len(text) >= _PROSE for tag, text, _ in own if not re.fullmatch("h[1-6]", tag)):
+        return _markdown(inner if 2 * size(inner) >= size(own) else own)
+    silent = frozenset(("script", "style", "head", "title"))
+    most = max((_blocks(n, silent) for n in containers), key=size, default=[])
+    return _markdown(most if size(most) >= CONTAINER_LEAST else _blocks(root, silent))
+
+
+def extract_main(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html) -> (page_id, url, text): main_content of whole pages; a null page has no text."""
+
+    def work(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"page_id": pdf.page_id, "url": pdf.url, "text": [main_content(h or "") for h in pdf.html]})
+
+    return pages.select("page_id", "url", "html").mapInPandas(work, "page_id long, url string, text string")

@@ -387,3 +387,115 @@ def test_resolve_like_the_standard_library(spark):
     df = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string")
     got = {(x.b, x.r): x.u for x in df.select("b", "r", url.resolve(F.col("b"), F.col("r")).alias("u")).collect()}
     assert got == {(b, r): urljoin(b, r) for b in bases for r in refs}
+
+
+def test_addresses_of_both_families(spark):
+    import ipaddress
+
+    rng = random.Random(5)
+    rows = ["::", "::1", "fe80::1", "::ffff:10.0.0.1", "1:2:3:4:5:6:7::", "1::2::3", "1:2", "g::1", ":1::2", "1:2:3:4:5:6:7:8:9", "1:2:3:4::5:6:7:8", "12345::", "10.1.2.3", "256.1.1.1", "", None, "::1.2.3.999", "FF02::FB"]
+    for _ in range(200):
+        a = ipaddress.IPv6Address(rng.getrandbits(128) & ~(((1 << 16 * rng.randint(0, 6)) - 1) << 16) if rng.random() < 0.7 else rng.getrandbits(128))
+        rows += [a.compressed, a.exploded]
+    got = {r.ip: r.range for r in url.blocked_addresses(spark.createDataFrame([(i,) for i in set(rows)], "ip string")).collect()}
+
+    def expected(ip):
+        try:
+            a = ipaddress.ip_address(ip)
+        except ValueError:
+            return None
+        return next((n for n in url.PRIVATE_RANGES if a in ipaddress.ip_network(n)), None)
+
+    assert got == {i: expected(i) for i in set(rows)}
+
+
+def test_known_kbs(spark):
+    requests = spark.createDataFrame([("a", "k1"), ("b", "k2"), ("c", None)], "id string, kb_id string")
+    known, missing = ingest.known_kbs(requests, spark.createDataFrame([("k1",), ("k1",), (None,)], "kb_id string"))
+    assert [r.id for r in known.collect()] == ["a"]
+    assert sorted((r.id, r.status_code) for r in missing.collect()) == [("b", 404), ("c", 404)]
+
+
+DIGEST = "id string, source string, storage_key string, status string, error_type string, error_msg string, parse_engine string, created_at timestamp_ntz"
+
+
+def digest_message(spark, rows, **more):
+    from datetime import datetime
+
+    docs = spark.createDataFrame([(*r, datetime(2024, 1, 2, 0, k)) for k, r in enumerate(rows)], DIGEST)
+    return queue.digest_text(queue.digest(docs, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")), 24, **more).collect()[0].text
+
+
+def test_digest_messages(spark):
+    assert digest_message(spark, []) == "过去 24 小时入库样本：0（无新增）"
+    assert digest_message(spark, [("a", "u", "", "completed", None, "", "x")] * 2, env="prod") == "[prod] 过去 24 小时入库样本\n🔗 链接 2 个 ✅ 全部成功"
+    rows = [("a", "s" * 90, "k", "failed", "too_large", "m" * 130, ""), ("b", None, None, "failed", "odd", None, "paddle"), ("c", "u", "", "failed", "odd", "why", "paddle"), *[("d", "u", "", "completed", None, "", "x")] * 6]
+    assert digest_message(spark, rows).split("\n") == [
+        "过去 24 小时入库样本", "📄 文件 1 个（失败 1，成功率 0%）", "🔗 链接 8 个（失败 2，成功率 75%）", "", "按类型：• odd×2  📦 too_large×1", "按引擎：paddle×2  unknown×1", "", "最近 3 个样本：",
+        "• [paddle] u", "   why", "• [paddle] (empty)", "   ", "📦 [unknown] " + "s" * 79 + "…", "   " + "m" * 120,
+    ]
+
+
+def test_fetch_tiers(spark):
+    long = "word " * 90
+    rows = [
+        (1, "https://h/p", "http", 200, "text/html", long, False), (1, "https://h/p", "browser", 200, None, "later", False),
+        (2, "https://h/p", "http", 200, None, long, True), (2, "https://h/p", "impersonated", 200, None, "x", None),
+        (3, "https://a.instagram.com/p", "http", 404, None, long, False), (3, "https://a.instagram.com/p", "browser", 200, None, " ", False),
+        (4, "https://h/p", "http", 200, "application/pdf", None, False), (5, "https://h/p", "http", None, None, None, None), (6, None, "http", 410, None, None, None),
+    ]
+    got = {r.url_id: (r.tier, r.outcome) for r in state.fetch_tiers(spark.createDataFrame(rows, "url_id long, url string, tier string, status int, content_type string, content string, blocked boolean")).collect()}
+    assert got == {1: ("http", "ok"), 2: ("impersonated", "ok"), 3: ("browser", "empty"), 4: ("http", "pdf"), 5: (None, "unfinished"), 6: ("http", "gone")}
+
+
+def test_vision_text(spark):
+    assert one(spark, readers.vision_markdown(F.lit("pic"), F.lit(" ## Description\nA\n"))) == "# pic\n\n## Description\nA\n"
+    assert one(spark, readers.vision_markdown(F.lit(""), F.lit("x"))) == "# image\n\nx\n"
+    assert one(spark, readers.vision_markdown(F.lit("pic"), F.lit(" \n"))) is None
+
+
+def test_external_retries(spark, tmp_path):
+    class Refused(Exception):
+        def __init__(self, status_code):
+            self.status_code = status_code
+
+    for status, passes in ((429, True), (503, True), (400, False), (None, False)):
+        assert readers.passing(Refused(status)) == passes
+    assert readers.passing(TimeoutError()) and not readers.passing(ValueError())
+    seen = str(tmp_path / "seen")
+
+    def call(texts):
+        with open(seen, "a") as f:
+            f.write("x")
+        if len(open(seen).read()) < 3:
+            raise ConnectionError("once more")
+        return [[1.0] for _ in texts]
+
+    assert readers.external(spark.createDataFrame([("a",)], "t string"), call, "t", "v", pause=0.01).collect()[0].v == [1.0]
+    assert open(seen).read() == "xxx"
+
+
+def test_document_package_details():
+    number = '<w:numbering xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="7"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
+    item = lambda n, level, t: f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{n}"/></w:numPr></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    runs = '<w:p><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">bold </w:t></w:r><w:r><w:rPr><w:i/></w:rPr><w:t>it</w:t></w:r><w:hyperlink r:id="r2"><w:r><w:t>link</w:t></w:r></w:hyperlink><w:r><a:blip r:embed="r1"/></w:r></w:p>'
+    doc = f'<w:document {W}><w:body>{item(7, 0, "one")}{item(7, 0, "two")}{item(8, 1, "sub")}{runs}{item(8, 0, "dot")}</w:body></w:document>'
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="x/image" Target="media/a.JPEG"/><Relationship Id="r2" Type="x/hyperlink" Target="https://h/"/></Relationships>'
+    content = package(**{"word/document.xml": doc, "word/numbering.xml": number, "word/_rels/document.xml.rels": rels, "word/media/a.JPEG": b"bytes"})
+    assert readers.docx_markdown(content, "s") == ("1. one\n1. two\n    - sub\n\n**bold** *it*[link](https://h/)![](image_0001.jpeg)\n\n- dot", "s", 1)
+    assert readers.docx_images(content) == [("image_0001.jpeg", b"bytes")]
+
+
+def test_main_content():
+    from tessera.sources.sites import main_content
+
+    prose = "A sentence that says something. " * 6
+    page = f"<title>t</title><nav>menu</nav><h2>Head</h2><p>{prose}</p><ul><li><a href=x>all a link</a></li><li>item</li></ul><script>no()</script><img src=i.png><footer>foot</footer>"
+    assert main_content(page) == f"## Head\n\n{prose.strip()}\n\n- item\n\n![](i.png)"
+    assert main_content(f"<div>advert</div><article><p>{prose}</p></article>") == prose.strip()
+    assert main_content(f"<article><p>{prose}</p></article>" * 3).count(prose.strip()) == 3
+    linked = "".join(f"<p><a>{w} linked words</a></p>" for w in "abcdefghijklmnopqrstuvwxyz")
+    assert main_content(f"<p>side</p><div class='x entry-content'>{linked}</div>").startswith("a linked words\n\nb linked")
+    assert main_content("<style>x</style><nav>only</nav><p>short</p>") == "only\n\nshort"
+    assert main_content("") == "" and main_content("<div>" * 20_000 + "deep") == "deep"
+
