@@ -10,7 +10,7 @@ neither has seen, and their log-odds, less the prior that both contain, are
 added up for the final score.
 
 Training runs on the driver over bounded samples (``LABELLED_ROWS``,
-``UNLABELLED_ROWS``; a row is at most 2**15 numbers); all documents are scored
+``UNLABELLED_ROWS``, and ``SAMPLE_BYTES`` of features); all documents are scored
 in one pass over Arrow batches without a shuffle.
 
 Defined results: null or empty texts and null metadata are values like others;

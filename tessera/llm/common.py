@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,10 +51,17 @@ def map_texts(df: DataFrame, work: Callable[[Iterator], Iterator], schema) -> Da
 
 
 class Workspace:
-    """Tables written in the shared folder between the phases of one operator."""
+    """Tables written in the shared folder between the phases of one operator.
+
+    Results that are still read lazily need them; ``clean`` deletes those of all
+    operators of this driver when their results have been written or collected.
+    """
+
+    roots: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Workspace.roots.append(self.root)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Write df as a table and return it as read back: its lineage ends here, its shuffle files go."""
@@ -64,10 +72,19 @@ class Workspace:
 
     def drop(self, *tables: str) -> None:
         """Delete tables that no later phase reads."""
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{table}")
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> None:
+        """Delete the tables of all operators so far: lazy results of theirs can't be read any more."""
+        while cls.roots:
+            _delete(spark, cls.roots.pop())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
-from .textkernel import PLAIN_FOLDED, Block, U, as_bytes, blocks
+from .common import Workspace, map_texts
+from .textkernel import PLAIN_FOLDED, Block, U, as_bytes, blocks, mix
 
 #: Bits of a slot; words take the first half of the slots, characters the second.
 BITS = 15
@@ -161,10 +161,24 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / spread, b - a * mean / spread
 
 
-def collect_features(docs: DataFrame, sample: DataFrame, extra: str | None = None) -> tuple[np.ndarray, np.ndarray, Matrix, list]:
+#: Bytes of features that the driver takes at most; documents beyond, the last by hash of their id, are not trained on.
+SAMPLE_BYTES = 200 << 20
+
+
+def within(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
+    """Ids in the order of their mixed numbers, as many as their sizes fit the limit; the least of each label at any size."""
+    order = np.argsort(mix(ids.astype(np.int64).view(np.uint64)), kind="stable")
+    fits = np.cumsum(sizes[order]) <= limit
+    fits[np.unique(labels[order], return_index=True)[1]] = True
+    return np.sort(ids[order][fits])
+
+
+def collect_features(docs: DataFrame, sample: DataFrame, extra: str | None = None, limit: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, Matrix, list]:
     """Features of the sampled documents on the driver, by doc_id: ids, labels, matrix, and an extra column.
 
-    The sample is bounded by its parameter and each row by the number of slots.
+    The sample is bounded by its parameter, one row for a doc_id (the least of
+    its texts), and by the bytes of its features, which are written before any
+    of them is collected.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(extra) if extra else F.lit(None)).cast("string").alias("extra"))
     picked = picked.join(F.broadcast(sample), "doc_id")
@@ -175,7 +189,16 @@ def collect_features(docs: DataFrame, sample: DataFrame, extra: str | None = Non
                 rows = sparse(block)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), batch.column("extra").slice(lo, hi - lo), pa.array([s.tobytes() for s, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["doc_id", "label", "extra", "slots", "shares"])
 
-    got = map_texts(picked, work, "doc_id long, label int, extra string, slots binary, shares binary").toArrow()
+    space = Workspace(docs.sparkSession, "features")
+    made = space.write(map_texts(picked, work, "doc_id long, label int, extra string, slots binary, shares binary"), "sample")
+    columns = ("slots", "shares", "extra")
+    one = made.groupBy("doc_id", "label").agg(F.min(F.struct(*columns)).alias("r")).select("doc_id", "label", *[F.col("r")[c].alias(c) for c in columns])
+    sizes = one.select("doc_id", "label", (F.length("slots") + F.length("shares")).alias("n")).toArrow()
+    if sizes["n"].to_numpy().sum() > limit:
+        kept = within(*[sizes[c].to_numpy() for c in ("doc_id", "label", "n")], limit)
+        one = one.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in kept], "doc_id long")), "doc_id", "left_semi")
+    got = one.toArrow()
+    space.drop("sample")
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("slots", "ascending")])
     ids, labels = got["doc_id"].to_numpy(), got["label"].to_numpy()
     rows = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(got["slots"].to_pylist(), got["shares"].to_pylist())]

@@ -5,7 +5,7 @@ logistic regression over hashed word and character n-grams (words, word pairs,
 byte trigrams, by relative frequency), trained on labelled rows, calibrated on
 a fifth of them that the weights have not seen, and held against a fixed
 threshold. It is trained on the driver from a bounded sample (``TRAIN_ROWS``
-labelled rows, each at most 2**15 numbers); all documents are scored in Arrow
+labelled rows and ``SAMPLE_BYTES`` of features); all documents are scored in Arrow
 batches in one pass without a shuffle.
 
 Defined results: null or empty texts have no words and fail the base rules;

@@ -189,15 +189,19 @@ def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
     sample = docs.join(F.broadcast(picked.unionByName(rest).distinct()), "doc_id").select("doc_id", "positive", "text")
     work = Workspace(docs.sparkSession, "toxicity")
     rows = work.write(map_texts(sample, _present, "doc_id long, positive boolean, mark long, slots binary, shares binary"), "sample")
-    rows = rows.join(rows.groupBy("positive", "mark").agg(F.min("doc_id").alias("doc_id")), ["positive", "mark", "doc_id"], "left_semi")
+    alike = rows.groupBy("positive", "mark").agg(F.min(F.struct("doc_id", "slots", "shares")).alias("r")).select("positive", "mark", "r.*")
+    named = alike.groupBy("positive", "doc_id").agg(F.min(F.struct("mark", "slots", "shares")).alias("r")).select("positive", "doc_id", "r.slots", "r.shares")
+    rows = work.write(named, "chosen")  # one of near copies, and one of a repeated doc_id
     sizes = {r.positive: r.n for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    work.drop("sample")
     if len(sizes) < 2:
+        work.drop("chosen")
         return None
     support = map_texts(rows.select("positive", "slots"), _support, "slot long, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     found = support.where(F.col("p") >= LEAST_SUPPORT).toArrow()
     chosen = choose(*[found[c].to_numpy() for c in ("slot", "p", "u")], sizes[True], sizes[False])
     got = map_texts(rows.select("doc_id", "positive", "slots", "shares"), _narrowed(chosen), "doc_id long, positive boolean, slots binary, shares binary").toArrow()
-    work.drop("sample")
+    work.drop("chosen")
     got = got.sort_by([("doc_id", "ascending"), ("slots", "ascending"), ("shares", "ascending")])
     kind, pairs = np.asarray(got["positive"]), list(zip(got["slots"].to_pylist(), got["shares"].to_pylist()))
     sides = [Matrix.of([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for (s, v), k in zip(pairs, kind) if k == side], len(chosen)) for side in (True, False)]
