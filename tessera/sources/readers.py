@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import pipe_table, strip
@@ -53,16 +53,16 @@ def sheet_markdown(rows: DataFrame, max_rows: int = MAX_ROWS, max_columns: int =
     """(doc_id, sheet, row, cells) -> (doc_id, sheet, markdown).
 
     Blank rows before the first and behind the last filled one go, those between
-    stay; rows and columns past the limits are cut and a notice says so.
+    stay; rows and columns past the limits are cut and a notice says so. Rows are
+    numbered before any are gathered, so a sheet of any length gathers max_rows.
     """
-    filled = F.exists("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")
-    kept = rows.withColumn("filled", filled).groupBy("doc_id", "sheet").agg(
-        F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("r"), F.min(F.when(F.col("filled"), F.col("row"))).alias("a"), F.max(F.when(F.col("filled"), F.col("row"))).alias("z"),
-    )
-    table = F.transform(F.filter("r", lambda x: (x["row"] >= F.col("a")) & (x["row"] <= F.col("z"))), lambda x: F.slice(x["cells"], 1, max_columns))
-    out = kept.where("a IS NOT NULL").select("doc_id", "sheet", table.alias("t"))
-    notice = F.when(F.size("t") > max_rows, F.concat(F.lit("\n\n_"), F.lit(max_rows), F.lit(" of "), F.size("t"), F.lit(" rows shown_"))).otherwise(F.lit(""))
-    return out.select("doc_id", "sheet", F.concat(F.lit("## Sheet: "), "sheet", F.lit("\n\n"), pipe_table(F.slice("t", 1, max_rows)), notice).alias("markdown"))
+    sheet = Window.partitionBy("doc_id", "sheet")
+    filled = F.when(F.exists("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""), F.col("row"))
+    inner = rows.select("doc_id", "sheet", "row", "cells", F.min(filled).over(sheet).alias("a"), F.max(filled).over(sheet).alias("z")).where("row BETWEEN a AND z")
+    placed = inner.select("doc_id", "sheet", F.row_number().over(sheet.orderBy("row", "cells")).alias("k"), F.count("*").over(sheet).alias("n"), F.slice("cells", 1, max_columns).alias("c"))
+    out = placed.where(F.col("k") <= max_rows).groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("t"), F.max("n").alias("n"))
+    notice = F.when(F.col("n") > max_rows, F.concat(F.lit("\n\n_"), F.lit(max_rows), F.lit(" of "), F.col("n").cast("string"), F.lit(" rows shown_"))).otherwise(F.lit(""))
+    return out.select("doc_id", "sheet", F.concat(F.lit("## Sheet: "), "sheet", F.lit("\n\n"), pipe_table(F.transform("t", lambda x: x["c"])), notice).alias("markdown"))
 
 
 def page_markdown(pages: DataFrame, limit: int = MAX_PAGE_CHARS) -> DataFrame:

@@ -499,3 +499,9 @@ def test_main_content():
     assert main_content("<style>x</style><nav>only</nav><p>short</p>") == "only\n\nshort"
     assert main_content("") == "" and main_content("<div>" * 20_000 + "deep") == "deep"
 
+
+def test_sheet_limits(spark):
+    rows = [(1, "s", k, [c, "x", "y"]) for k, c in enumerate(["", "a", "", "b", "c", ""], 1)] + [(1, "blank", 1, [" ", None])]
+    rows = [(d, s, k, [c[0], *(["", ""] if not c[0] else c[1:])] if len(c) == 3 else c) for d, s, k, c in rows]
+    got = readers.sheet_markdown(spark.createDataFrame(rows, "doc_id long, sheet string, row int, cells array<string>"), 2, 2).collect()
+    assert [r.markdown for r in got] == ["## Sheet: s\n\n| a | x |\n| --- | --- |\n|  |  |\n\n_2 of 4 rows shown_"]
