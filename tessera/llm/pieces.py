@@ -11,8 +11,10 @@ each piece has the byte span of the original text that it stands for.
 Pieces come from byte-pair merges in order of score, equal scores from the
 left; characters that no piece holds fall back to bytes. Where no piece of the
 model has the space mark behind another character, merges can't cross the
-place before a space mark, so a text is cut there. Such segments recur; each
-task keeps a bounded cache of them. Models that have such pieces are encoded
+place before a space mark, so a text is cut there, and also between characters
+that no chain of pieces joins, such as letters and stops in most models. Such
+segments recur; each task keeps a bounded
+cache of them. Models that have such pieces are encoded
 uncut. Both ways handle byte-pair models only; others are refused.
 
 Defined results: null text is empty; an empty text has no pieces; texts of any
@@ -24,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,10 +41,14 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 MODEL = "piece_bpe_32k.model"
-#: Segments that one task keeps; when they are more it starts anew.
-CACHE_SEGMENTS = 200_000
+#: Segments of late that one task keeps, and as many of before.
+CACHE_SEGMENTS = 150_000
 #: Longer segments are encoded each time and not kept.
 CACHE_LENGTH = 64
+#: Up to so many characters the pairs of a segment are looked through for each merge; longer ones are held in order.
+SHORT, WORST = 32, float("-inf")
+#: Groups of characters that segments tell apart; smaller ones are one.
+MOST_GROUPS = 16
 #: Characters of a normalised text whose segments are held together.
 BLOCK = 1 << 20
 
@@ -130,6 +138,29 @@ class Alignment:
         return np.where(k < 0, plain, np.where(behind < 0, self.offsets[j], self.offsets[j] + self.taken[j] + behind))
 
 
+def _segments(pieces: list[str]) -> str:
+    """A pattern of segments that no merge crosses: space marks, then characters that chains of pieces join."""
+    group: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while group.setdefault(c, c) != c:
+            c = group[c]
+        return c
+
+    for p in pieces:
+        inner = p.strip(MARK)
+        for c in inner:
+            group[root(c)] = root(inner[0])
+    of: dict[str, list[str]] = {}
+    for c in group:
+        of.setdefault(root(c), []).append(c)
+    parts = sorted(map(sorted, of.values()), key=len, reverse=True)
+    parts[MOST_GROUPS:] = [sum(parts[MOST_GROUPS:], [])] if len(parts) > MOST_GROUPS else []
+    classes = [f"[{''.join(map(re.escape, chars))}]" for chars in parts]
+    all_chars = "".join(re.escape(c) for chars in parts for c in chars)
+    return "|".join([f"{MARK}*(?:{'|'.join(c + '+' for c in classes)})"] * bool(classes) + [f"{MARK}+", f"[^{all_chars}{MARK}]+"])
+
+
 class Model:
     """A byte-pair model: pieces, scores, normalisation."""
 
@@ -154,6 +185,9 @@ class Model:
         self.fallback = bool(trainer.get(35, 0))
         #: pieces that merges can make, with score and id
         self.found = {p: (s, i) for i, (p, s, k) in enumerate(zip(self.pieces, scores, self.kinds)) if k in (NORMAL, USER_DEFINED, UNUSED)}
+        self.scores = {p: s for p, (s, _) in self.found.items()}
+        self.id_of = {p: i for p, (_, i) in self.found.items()}
+        self.bytes_in = [len(p.encode()) for p in self.pieces]
         self.unused = {p for p, k in zip(self.pieces, self.kinds) if k == UNUSED}
         self.unknown = self.kinds.index(UNKNOWN)
         self.reserved = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (UNKNOWN, CONTROL, BYTE)}
@@ -163,7 +197,9 @@ class Model:
         self.own = regex.compile("|".join(map(regex.escape, own))) if own else None
         #: no merge crosses the place before a space mark
         self.cuts = self.escape and not any(MARK in p.lstrip(MARK) for p in self.found)
-        self.segment = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.segment = re.compile(_segments([p for p in self.found if len(p) > 1]))
+        #: what each id adds to a text behind its front; none for bytes
+        self.surfaces = [{BYTE: None, CONTROL: "", UNKNOWN: self.unknown_surface}.get(k, p.replace(MARK, " ")) for p, k in zip(self.pieces, self.kinds)]
         starts = "".join(sorted({bytes([b]).decode("latin-1") for b in self.map.first if b < 128}))
         high = any(b >= 128 for b in self.map.first)
         self.special = regex.compile("|".join(filter(None, [self.own and self.own.pattern, f"[{regex.escape(starts, special_only=False)}]" if starts else "", "[^\x00-\x7f]" if high else "", " "])))
@@ -247,6 +283,8 @@ class Model:
 
     def merge(self, segment: str) -> list[str]:
         """Pieces of a segment: best score first, equal ones from the left."""
+        if self.own is None and not self.unused and len(segment) <= SHORT:
+            return self._merge_short(segment)
         if self.own is None:
             parts, frozen = list(segment), [False] * len(segment)
         else:
@@ -296,16 +334,35 @@ class Model:
                 out.append(p)
         return out
 
+    def _merge_short(self, segment: str) -> list[str]:
+        """The same for a few characters, whose pairs are looked through again for each merge."""
+        parts, score = list(segment), self.scores.get
+        scores = [score(segment[i : i + 2], WORST) for i in range(len(segment) - 1)]
+        while scores:
+            best = max(scores)
+            if best == WORST:
+                break
+            i = scores.index(best)
+            new = parts[i] = parts[i] + parts.pop(i + 1)
+            del scores[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + new, WORST)
+            if i < len(scores):
+                scores[i] = score(new + parts[i + 1], WORST)
+        return parts
+
     def encode_segment(self, segment: str) -> tuple[list[int], list[int]]:
         """Ids of a segment, and the normalised bytes of each: of a character in bytes, the last one holds all."""
+        parts = self.merge(segment)
+        ids = [self.id_of.get(p) for p in parts]
+        if None not in ids:
+            return ids, [self.bytes_in[i] for i in ids]
         ids, sizes = [], []
         after_unknown = False
-        for p in self.merge(segment):
+        for p in parts:
             raw = p.encode()
-            at = self.reserved.get(p)
-            if at is None:
-                hit = self.found.get(p)
-                at = self.unknown if hit is None else hit[1]
+            hit = self.found.get(p)
+            at = hit[1] if hit is not None else self.reserved.get(p, self.unknown)
             if at != self.unknown:
                 ids.append(at)
                 sizes.append(len(raw))
@@ -415,29 +472,34 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.ids: dict[str, str] = {}
-        self.sizes: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
+        """Free the cache; executors keep their Python processes for other work."""
+        #: (ids joined by commas, sizes as bytes, text behind the front) of segments: of late, and of before
+        self.known: dict[str, tuple[str, bytes, str]] = {}
+        self.before: dict[str, tuple[str, bytes, str]] = {}
 
     def _learn(self, block: list[str]) -> None:
-        if len(self.ids) > CACHE_SEGMENTS:
-            self.forget()
-        for s in set(block).difference(self.ids):
-            ids, sizes = self.model.encode_segment(s)
-            self.ids[s] = ",".join(map(str, ids))
-            self.sizes[s] = np.array(sizes, "<u4").tobytes() if sizes else b""
-            self.texts[s] = "".join(self._plain(ids))
-
-    def _plain(self, ids: list[int]) -> Iterator[str]:
-        """What ids decode to behind the front of a text."""
-        yield self.model.decode([self.ahead, *ids])[1:]
-
-    @property
-    def ahead(self) -> int:
-        """The id of a piece of one byte and character that stands before a segment, so that it isn't at the front."""
-        if not hasattr(self, "_ahead"):
-            self._ahead = next(i for i, p in enumerate(self.model.pieces) if len(p) == 1 and p != MARK and self.model.kinds[i] == NORMAL)
-        return self._ahead
+        if len(self.known) > CACHE_SEGMENTS:
+            self.known, self.before = {}, self.known
+        known, before, surfaces = self.known, self.before, self.model.surfaces
+        for s in set(block).difference(known):
+            hit = before.get(s)
+            if hit is None:
+                ids, sizes = self.model.encode_segment(s)
+                some = [surfaces[i] for i in ids]
+                text = self._in_bytes(ids) if None in some else "".join(some)
+                hit = ",".join(map(str, ids)), array("I", sizes).tobytes(), text
+            known[s] = hit
+
+    def _in_bytes(self, ids: list[int]) -> str:
+        """What ids with bytes among them decode to behind the front of a text: a run of bytes ends with the segment."""
+        out, run = [], bytearray()
+        for i in ids:
+            if self.model.surfaces[i] is None:
+                run.append(self.model.byte_of[i])
+                continue
+            out += [_text(bytes(run)), self.model.surfaces[i]]
+            run.clear()
+        return "".join([*out, _text(bytes(run))])
 
     def encode(self, text: str, keep: bool) -> tuple[int, str, str, str, list[int] | None, np.ndarray | None]:
         """(n, digest of ids, digest of the decoded text, digest of the spans' ends, ids, places) of a text."""
@@ -453,9 +515,9 @@ class Encoder:
         all_places = [aligned.source(np.zeros(1, np.int64))]
         for block in model.segments(normal):
             self._learn(block)
-            joined = ",".join(map(self.ids.__getitem__, block))
-            sizes = np.frombuffer(b"".join(map(self.sizes.__getitem__, block)), "<u4")
-            decoded = "".join(map(self.texts.__getitem__, block))
+            ids, sizes, texts = zip(*map(self.known.__getitem__, block))
+            joined, decoded = ",".join(ids), "".join(texts)
+            sizes = np.frombuffer(b"".join(sizes), "u4")
             ends = end + np.cumsum(sizes, dtype=np.int64)
             places = aligned.source(ends)
             of_ids.update(("," + joined if n else joined).encode())
@@ -466,9 +528,8 @@ class Encoder:
             if keep:
                 all_ids += map(int, joined.split(","))
                 all_places.append(places)
-            for s in block:
-                if len(s) > CACHE_LENGTH and s in self.ids:
-                    del self.ids[s], self.sizes[s], self.texts[s]
+            for s in {s for s in block if len(s) > CACHE_LENGTH}:
+                del self.known[s]
         return n, of_ids.hexdigest(), of_text.hexdigest(), of_spans.hexdigest(), all_ids if keep else None, np.concatenate(all_places) if keep else None
 
 
