@@ -91,3 +91,37 @@ t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ',
 u AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS text FROM t)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM u
 """
+
+_CHECKSUM = "xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+ORACLES["op12_merkle"] = f"""
+WITH RECURSIVE l AS (SELECT row_number() OVER () AS r, doc_id, source, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+    CASE WHEN {_CHECKSUM} % 2 = 0 THEN sha256({_HEAD} || {_FIELD.format("replace(text, chr(10), '')")}) END AS other FROM documents),
+s AS (SELECT r, doc_id, leaf, other, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM l),
+up AS (SELECT t, 0 AS lvl, i, leaf AS h, n FROM s UNION ALL SELECT t, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY t, lvl, i // 3, n),
+sub AS (SELECT t, h, count(*) OVER () AS n FROM up WHERE n = 1),
+crown AS (SELECT 0 AS lvl, t AS i, h, n FROM sub UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM crown WHERE n > 1 GROUP BY lvl, i // 3, n),
+nodes AS (SELECT t, lvl, i, h FROM up WHERE n > 1 UNION ALL SELECT NULL, 100 + lvl, i, h FROM crown WHERE n > 1),
+places AS (SELECT s.r, s.t AS t, k.lvl, s.i // pow(3, k.lvl)::BIGINT AS i FROM s, (SELECT DISTINCT lvl FROM nodes WHERE lvl < 100) k UNION ALL SELECT s.r, -1, k.lvl, s.t // pow(3, k.lvl - 100)::BIGINT FROM s, (SELECT DISTINCT lvl FROM nodes WHERE lvl >= 100) k),
+sides AS (SELECT p.r, p.lvl, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < p.i), '') AS a, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > p.i), '') AS b FROM places p JOIN nodes u ON coalesce(u.t, -1) = p.t AND u.lvl = p.lvl AND u.i // 3 = p.i // 3 GROUP BY p.r, p.lvl),
+paths AS (SELECT r, list({{'a': a, 'b': b}} ORDER BY lvl) AS p, string_agg(a || b, '' ORDER BY lvl) AS q FROM sides GROUP BY r),
+fold AS (SELECT s.r, 0 AS k, coalesce(other, leaf) AS h, p FROM s LEFT JOIN paths USING (r) UNION ALL SELECT r, k + 1, sha256(p[k + 1].a || h || p[k + 1].b), p FROM fold WHERE k < len(p)),
+ends AS (SELECT r, h FROM fold WHERE k = coalesce(len(p), 0))
+SELECT s.doc_id, s.leaf, sub.h AS subroot, c.h AS root, sha256(coalesce(q, '')) AS proof_sha256, e.h AS folded_root, e.h = c.h AS verified
+FROM s JOIN sub ON sub.t = s.t JOIN crown c ON c.n = 1 JOIN ends e USING (r) LEFT JOIN paths USING (r)
+"""
+
+ORACLES["op13_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+u AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM u GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM u, range(1, 5) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM c, range(1, 4) r(cut) WHERE cut < k),
+y AS (SELECT x.*, h.f AS l, t.f AS r, (2000000::HUGEINT * a // (h.f + t.f))::BIGINT AS score FROM x JOIN f h ON h.lang = x.lang AND h.phrase = head JOIN f t ON t.lang = x.lang AND t.phrase = tail),
+b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+k AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 80 * b.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) JOIN n USING (lang) WHERE rank <= 2000
+"""
