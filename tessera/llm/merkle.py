@@ -5,13 +5,13 @@ doc_id; runs of three become the hash of their digests until one is left, the
 source's subroot; the subroots, in order of sources, become the root likewise.
 
 The trees are climbed and descended in supersteps over RDDs. A vertex is a
-unit of 3 ** LEVELS consecutive nodes of one level. Climbing, children message
-their unit ((tree, place // UNIT), (place, digest)); a unit that has all its
+unit of 3 ** LEVELS consecutive nodes of one level, whatever the level. Climbing, children message
+their unit ((tree, place // 81), (place, digest)); a unit that has all its
 children hashes LEVELS levels and forwards its digest to the unit above. As
 all nodes of a tree climb together, a superstep has as many messages as the
 level has nodes, and LEVELS levels cost one shuffle. Descending, a unit gets
 the siblings on the path from its top to the root, once, and sends each child
-its own; leaves fold their digest with them. A unit has 81 children at most,
+its own; leaves fold their digest with them. A unit has 81 children at most (3 ** 4),
 whatever a source holds: no task gets a group that grows with the data.
 
 Places come from sorting the leaves by source and doc_id over range
@@ -40,7 +40,6 @@ from .common import Workspace, cleanup_after, shared_dir
 
 #: Nodes of a run, and levels that a superstep climbs.
 RUN, LEVELS = 3, 4
-UNIT = RUN**LEVELS
 #: Messages of a task, at most about so many.
 MESSAGES = 100_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -57,18 +56,14 @@ def leaf(*fields: Column) -> Column:
     return F.sha2(F.concat(*named), 256)
 
 
-def _levels(digests: list[str], whole: bool) -> list[list[str]]:
-    """A unit's digests, level by level up to its top: LEVELS levels, or of a whole tree until one is left."""
+def _levels(digests: list[str], levels: int | None) -> list[list[str]]:
+    """A unit's digests, level by level up to its top: so many levels, or of a whole tree (None) until one is left."""
     out = [digests]
-    while len(out[-1]) > 1 if whole else len(out) <= LEVELS:
+    while len(out[-1]) > 1 if levels is None else len(out) <= levels:
         out.append([digest(out[-1][i : i + RUN]) for i in range(0, len(out[-1]), RUN)])
     return out
 
 
-def _above(n: int) -> int:
-    return -(-n // UNIT)
-
-
 def _tasks(n: int, least: int) -> int:
     return max(least, -(-n // MESSAGES))
 
@@ -81,29 +76,26 @@ class Tree:
     for the way down.
     """
 
-    def __init__(self, nodes: RDD, count: int, most: int):
-        self.least = nodes.context.defaultParallelism
+    def __init__(self, nodes: RDD, count: int, most: int, levels: int):
+        self.least, self.levels, self.unit = nodes.context.defaultParallelism, levels, RUN**levels
         self.units: list[RDD] = []
         self.counts: list[int] = []
-        steps = 1
-        while most > UNIT:
-            most, steps = _above(most), steps + 1
-        tops = []
-        for _ in range(steps):
-            units = self._unit(nodes, count)
+        unit, tops, more = self.unit, [], True
+        while more:
+            units = self._arrived(nodes, count)
             self.units.append(units)
             self.counts.append(count)
-            done = units.filter(lambda u: u[1][0] <= UNIT).map(lambda u: (u[0][0], _levels([d for _, d, _ in u[1][1]], True)[-1][0]))
-            tops.append(done)
-            nodes = units.filter(lambda u: u[1][0] > UNIT).map(lambda u: (u[0][0], _above(u[1][0]), u[0][1], _levels([d for _, d, _ in u[1][1]], False)[-1][0], None))
-            count = _above(count) + self.least
+            tops.append(units.filter(lambda u: u[1][0] <= unit).map(lambda u: (u[0][0], _levels([d for _, d, _ in u[1][1]], None)[-1][0])))
+            nodes = units.filter(lambda u: u[1][0] > unit).map(lambda u: (u[0][0], -(-u[1][0] // unit), u[0][1], _levels([d for _, d, _ in u[1][1]], levels)[-1][0], None))
+            more = most > unit
+            most, count = -(-most // unit), -(-count // unit) + self.least
         #: (tree, top digest)
         self.tops = nodes.context.union(tops)
 
-    def _unit(self, nodes: RDD, count: int) -> RDD:
+    def _arrived(self, nodes: RDD, count: int) -> RDD:
         """((tree, place of the unit), (n, children in order)): the messages of a level by their receiver."""
-        tasks = _tasks(count, self.least)
-        grouped = nodes.map(lambda x: ((x[0], x[2] // UNIT), (x[1], x[2], x[3], x[4]))).groupByKey(tasks)
+        unit = self.unit
+        grouped = nodes.map(lambda x: ((x[0], x[2] // unit), (x[1], x[2], x[3], x[4]))).groupByKey(_tasks(count, self.least))
 
         def arrive(messages) -> tuple[int, list]:
             got = sorted(messages, key=lambda m: m[1])
@@ -120,23 +112,22 @@ class Tree:
 
         A path is a list of (digests to the left, digests to the right) in a node's run, from the node up.
         """
-        down = None
+        down, unit, levels = None, self.unit, self.levels
         for k in range(len(self.units) - 1, -1, -1):
-            units, lowest = self.units[k], k == 0
-            arriving = units.filter(lambda u: u[1][0] <= UNIT).map(lambda u: (u[0][0], u)).join(paths, _tasks(self.counts[k] // UNIT, self.least)).map(lambda x: x[1])
+            units, lowest, tasks = self.units[k], k == 0, _tasks(self.counts[k] // unit, self.least)
+            arriving = units.filter(lambda u: u[1][0] <= unit).map(lambda u: (u[0][0], u)).join(paths, tasks).map(lambda x: x[1])
             if down is not None:
-                arriving = arriving.union(units.join(down, _tasks(self.counts[k] // UNIT, self.least)).map(lambda x: ((x[0], x[1][0]), x[1][1])))
-            down = arriving.flatMap(lambda x, lowest=lowest: _children(*x, lowest))
+                arriving = arriving.union(units.join(down, tasks).map(lambda x: ((x[0], x[1][0]), x[1][1])))
+            down = arriving.flatMap(lambda x, lowest=lowest: _children(*x, lowest, levels))
         return down
 
 
-def _children(unit: tuple, message: tuple, lowest: bool) -> Iterator[tuple]:
+def _children(unit: tuple, message: tuple, lowest: bool, levels: int) -> Iterator[tuple]:
     """A unit's messages to its children: each one's siblings on the way to the unit's top, then the unit's own path."""
     (tree, _), (n, children) = unit
     carried, path = message
-    levels = _levels([d for _, d, _ in children], n <= UNIT)
     runs = []
-    for level in levels[:-1]:
+    for level in _levels([d for _, d, _ in children], None if n <= RUN**levels else levels)[:-1]:
         runs.append([("".join(level[i - i % RUN : i]), "".join(level[i + 1 : i - i % RUN + RUN])) for i in range(len(level))])
     for i, (place, own, extra) in enumerate(children):
         own_path = [run[i // RUN**k] for k, run in enumerate(runs)] + path
@@ -164,7 +155,7 @@ def _placed(rows: DataFrame, work: Workspace, name: str, order: list[Column]) ->
     return held.join(shift, "_p").withColumn("_at", F.col("_before") + F.col("_i")).drop("_i", "_before")
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of each row.
 
     The proof is the hash of the siblings on the way to the root. For the rows
@@ -192,9 +183,9 @@ def manifest(docs: DataFrame) -> DataFrame:
     rows = nodes.select("_tree", "_n", F.col("_at") - F.col("_first"), "leaf", "doc_id", "other").rdd.map(lambda r: (r[0], r[1], r[2], r[3], (r[4], r[5])))
 
     with cleanup_after(spark):
-        forest = Tree(rows, sizes[1], sizes[2])
+        forest = Tree(rows, sizes[1], sizes[2], levels)
         tops = forest.tops.map(lambda t, n=sizes[0]: (0, n, t[0], t[1], t[0]))
-        crown = Tree(tops, sizes[0], sizes[0])
+        crown = Tree(tops, sizes[0], sizes[0], levels)
         # one message to the crown's one top, then one to each source's
         paths = crown.descend(crown.tops.map(lambda t: (t[0], (t[1], [])))).map(lambda x: (x[0], ((x[1], x[3]), x[2])))
         found = forest.descend(paths)
