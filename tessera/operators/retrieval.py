@@ -10,101 +10,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from tessera.functions.similarity import WORD_THRESHOLD, sweep, trigram_list, trigrams
+from tessera.operators import vectors
+from tessera.operators.vectors import meet, top
 
 RRF_K, TOP_K, RERANK_INPUT = 60, 5, 20
 NO_RESULTS = "No relevant information found."
 
 
-def _top(df: DataFrame, score: str, k: Column | int, keys: tuple[str, ...] = ("query_id",), tie: str = "chunk_id") -> DataFrame:
-    """The k best of each query, ranked from 0; equal scores by id."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(tie))
-    return df.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
-
-
-#: Queries that one pass over the chunks answers; more are dealt into blocks of about this size.
-QUERY_BLOCK = 5000
-
-
-def _in_blocks(queries: DataFrame, chunks: DataFrame, columns: list[str], answer: Callable) -> DataFrame:
-    """(query_id, chunk_id, score) of a stated set of queries against all chunks, without a shuffle of chunks.
-
-    The queries of a block are sent to every executor; answer gets those of one
-    kb and a batch's chunks of it, and gives (query, chunk, score) arrays.
-    """
-    spark = chunks.sparkSession
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    of_query = to_arrow_type(queries.schema["query_id"].dataType)
-    ids = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
-    out = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks)) == b) if blocks > 1 else queries
-        of: dict[object, list] = {}
-        for row in block.collect():
-            of.setdefault(row["kb_id"], []).append(row)
-        sent = spark.sparkContext.broadcast(of)
-
-        def work(batches, sent=sent):
-            for batch in batches:
-                kbs = np.array(batch.column("kb_id").to_pylist(), object)
-                for kb, asked in sent.value.items():
-                    at = np.flatnonzero(kbs == kb) if kb is not None else []
-                    if not len(at):
-                        continue
-                    q, c, score = answer(asked, batch.column(columns[-1]).take(pa.array(at)))
-                    if len(q):
-                        found = batch.column("chunk_id").take(pa.array(at[c]))
-                        yield pa.RecordBatch.from_arrays([pa.array([asked[i]["query_id"] for i in q], of_query), found, pa.array(score, pa.float64())], names=["query_id", "chunk_id", "score"])
-
-        part = chunks.select("chunk_id", "kb_id", columns[-1]).mapInArrow(work, ids)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _best(scores: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k greatest numbers and all that equal the last of them; NaN is none."""
-    filled = np.where(np.isnan(scores), -np.inf, scores)
-    rows, columns = [], []
-    for i, n in enumerate(k):
-        n = min(int(n), filled.shape[1])
-        if n > 0:
-            least = np.partition(filled[i], filled.shape[1] - n)[filled.shape[1] - n]
-            at = np.flatnonzero((filled[i] >= least) & (filled[i] > -np.inf))
-            rows.append(np.full(len(at), i))
-            columns.append(at)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *columns])
+#: Chunks of a group whose contents meet a block of queries.
+CONTENTS = 256
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int | str = TOP_K) -> DataFrame:
-    """Exact cosine search: (query_id, chunk_id, score, rank) of the k nearest chunks in the query's kb.
-
-    queries: query_id, kb_id, embedding, a stated set, far smaller than chunks;
-    chunks: chunk_id, kb_id, embedding. A batch's chunks meet the queries of
-    their kb in one product of matrices, and only its k best of each query leave
-    it. Null, empty and zero vectors are not found. k may name a column of queries.
-    """
-    queries = queries.select("query_id", "kb_id", "embedding", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k"))
-
-    def answer(asked: list, vectors: pa.Array):
-        dim = max(len(r["embedding"] or ()) for r in asked)
-        fits = [i for i, r in enumerate(asked) if r["embedding"] is not None and len(r["embedding"]) == dim]
-        sizes = np.diff(vectors.offsets.to_numpy()) * np.asarray(vectors.is_valid())
-        own = np.flatnonzero((sizes == dim) & (dim > 0))
-        if not len(own) or not fits:
-            return np.zeros(0, np.int64), own, own
-        a = np.array([asked[i]["embedding"] for i in fits], np.float64)
-        b = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = a @ b.T / np.sqrt((a * a).sum(axis=1))[:, None] / np.sqrt((b * b).sum(axis=1))[None]
-        scores = np.where(np.isfinite(scores), np.round(scores, 12), np.nan)
-        i, j = _best(scores, np.array([asked[f]["k"] for f in fits]))
-        return np.array(fits)[i], own[j], scores[i, j]
-
-    scored = _in_blocks(queries, chunks, ["embedding"], answer).join(F.broadcast(queries.select("query_id", "k")), "query_id")
-    return _top(scored, "score", F.col("k")).select("query_id", "chunk_id", "score", "rank")
+    """Exact cosine search; see vectors.vector_search."""
+    return vectors.vector_search(queries, chunks, k)
 
 
 def trigram_index(chunks: DataFrame) -> DataFrame:
@@ -122,8 +45,9 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, thresh
     query are scored for it.
     """
     queries = queries.select("query_id", "kb_id", "query")
+    schema = to_arrow_schema(T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]))
 
-    def answer(asked: list, contents: pa.Array):
+    def answer(asked: list, contents: pa.ChunkedArray):
         wanted = [set(trigram_list(r["query"] or "")) for r in asked]
         number = {g: i for i, g in enumerate(sorted(set().union(*wanted)))}
         n = np.array([len(w) for w in wanted])
@@ -160,10 +84,15 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, thresh
                 score = sweep(wanted[q], grams)
                 if score >= threshold - 1e-7:
                     out.append((q, c, score))
-        q, c, score = (np.array(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        q, c, score = (np.array(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return q, c, score
 
-    return _top(_in_blocks(queries, chunks, ["content"], answer), "score", k).select("query_id", "chunk_id", "score", "rank")
+    def work(asked: pa.Table, met: pa.Table) -> pa.Table:
+        q, c, score = answer(asked.to_pylist(), met["content"])
+        return pa.table([asked["query_id"].take(pa.array(q)), met["chunk_id"].take(pa.array(c)), pa.array(score, pa.float64())], names=schema.names).cast(schema)
+
+    found = meet(queries, chunks.select("chunk_id", "kb_id", "content"), ["kb_id"], work, from_arrow_schema(schema), shard=CONTENTS)
+    return top(found, "score", k).select("query_id", "chunk_id", "score", "rank")
 
 
 def _reach(grams: list[str], levels: list[int]) -> np.ndarray:

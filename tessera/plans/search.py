@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import media, text
 from tessera.functions.similarity import similarity_udf, trigrams
-from tessera.operators import chunking, images, retrieval, state
+from tessera.operators import chunking, images, retrieval, state, vectors
 from tessera.schema import load
 from tessera.session import spread, written
 from tessera.sources import readers
@@ -45,6 +45,27 @@ def vector_topk_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.vector_search(queries.withColumn("k", 5 + F.col("query_id") % 3), chunks, "k"), 6)
 
 
+def _by_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The approximate and the exact ten nearest chunks of each query."""
+    queries, chunks = _vectors(spark, sf_dir)
+    centroids = vectors.fit_cells(chunks)
+    index = written(vectors.build_index(chunks, centroids))
+    probes = vectors.fit_probes(chunks, index, centroids, 10)
+    return vectors.ann_search(queries, index, chunks, centroids, 10, probes), vectors.vector_search(queries, chunks, 10)
+
+
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: the ten nearest chunks of each query by the index of cells; approximate, so without SQL."""
+    return _rounded(_by_index(spark, sf_dir)[0], 6)
+
+
+@query(f"WITH {_SCORED} SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS enough FROM v WHERE rank < 10")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: whether the index finds nine in ten of the exact results, measured for all queries."""
+    return vectors.recall(*_by_index(spark, sf_dir)).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _rounded(ranked: DataFrame, digits: int) -> DataFrame:
     return ranked.select("query_id", "chunk_id", F.round("score", digits).alias("score"), F.col("rank").cast("long").alias("rank"))
 
