@@ -10,7 +10,8 @@ The index puts every vector into the cell of its nearest centroid and keeps
 what is left as bytes. A query reads the cells whose centroids are nearest, by
 a join on knowledge base and cell, and the best by these codes are scored again
 by their own vectors. Centroids are fitted on at most SAMPLE vectors, and how
-many cells a query reads on the exact results of a few.
+many cells a query reads on the exact results of a few. Only cells that hold
+vectors of a query's knowledge base count.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.similarity import cosine
 
@@ -54,7 +56,9 @@ def meet(queries: DataFrame, chunks: DataFrame, keys: list[str], work: Callable[
     left = queries.join(sizes, keys).withColumn("_block", share("query_id", "_blocks")).withColumn("_shard", copies("_shards")).drop("_blocks", "_shards")
     right = chunks.join(sizes, keys).withColumn("_shard", share("chunk_id", "_shards")).withColumn("_block", copies("_blocks")).drop("_blocks", "_shards")
     by = [*keys, "_block", "_shard"]
-    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # both may come from one table
+    # a stated number of partitions, as small rows may cost much and are not to be put together; both sides may come from one table
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 2
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(tasks, *by) for df in (left, right))
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(work, schema)
 
 
@@ -145,10 +149,7 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int | str) -> DataFr
 
 
 def _empty(schema: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    return to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
 
 
 # The index
@@ -215,21 +216,27 @@ def build_index(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
     return chunks.select("kb_id", "chunk_id", "embedding").mapInArrow(work, schema)
 
 
-def probe(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
-    """queries, a row for each of their nearest cells: with cell, and place, its place among them."""
+def probe(queries: DataFrame, index: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    """queries, a row for each of the nearest cells that hold vectors of their kb: with cell, and place, its place among them."""
     sent = queries.sparkSession.sparkContext.broadcast(centroids)
     schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("place", T.IntegerType())])
+    held = index.groupBy("kb_id").agg(F.array_sort(F.collect_set("cell")).alias("_cells"))  # MOST_CELLS numbers at most
 
     def work(batches):
         for batch in batches:
             rows, x = matrix(pa.chunked_array([batch.column("embedding")]), sent.value.shape[1])
-            if len(rows) and len(sent.value):
-                cells = nearest(x, sent.value, probes)
-                out = batch.take(pa.array(np.repeat(rows, cells.shape[1])))
-                places = np.tile(np.arange(cells.shape[1]), len(rows))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells.ravel(), pa.int32()), pa.array(places, pa.int32())], names=[*out.schema.names, "cell", "place"])
+            cells = batch.column("_cells")
+            kinds: dict[tuple, int] = {}
+            of = np.array([kinds.setdefault(tuple(c), len(kinds)) for c in cells.take(pa.array(rows)).to_pylist()], np.int64)
+            for kind in range(len(kinds)):
+                at = np.flatnonzero(of == kind)
+                own = np.array(cells[int(rows[at[0]])].as_py())
+                near = own[nearest(x[at], sent.value[own], probes)]
+                out = batch.drop_columns(["_cells"]).take(pa.array(np.repeat(rows[at], near.shape[1])))
+                places = np.tile(np.arange(near.shape[1]), len(at))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel(), pa.int32()), pa.array(places, pa.int32())], schema=to_arrow_schema(schema))
 
-    return queries.mapInArrow(work, schema)
+    return queries.join(held, "kb_id").select(*queries.columns, "_cells").mapInArrow(work, schema)
 
 
 def fit_probes(chunks: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, target: float = 0.95, sample: int = 200) -> int:
@@ -242,7 +249,7 @@ def fit_probes(chunks: DataFrame, index: DataFrame, centroids: np.ndarray, k: in
     mixed = F.xxhash64(F.col("chunk_id").cast("string"), F.lit("probe"))
     asked = chunks.where(F.size("embedding") > 0).orderBy(mixed, "chunk_id").limit(sample).select(F.col("chunk_id").alias("query_id"), "kb_id", "embedding")
     exact = vector_search(asked, chunks, k + 1).where(~F.col("query_id").eqNullSafe(F.col("chunk_id"))).select("query_id", "chunk_id")
-    places = probe(asked, centroids, len(centroids)).select("query_id", "cell", "place")
+    places = probe(asked, index, centroids, max(1, len(centroids))).select("query_id", "cell", "place")
     at = exact.join(index.select("chunk_id", "cell"), "chunk_id").join(places, ["query_id", "cell"]).groupBy("place").agg(F.count("*").alias("n"))
     n = np.zeros(max(1, len(centroids)), np.int64)
     for row in at.toLocalIterator():
@@ -272,7 +279,7 @@ def ann_search(queries: DataFrame, index: DataFrame, chunks: DataFrame, centroid
         q, c, s = k_best(wanted, asked["k"].to_numpy()[rows], _sliced(vectors, len(rows)))
         return _found(asked, met["chunk_id"], rows[q], c, s).cast(empty.schema)
 
-    near = top(meet(probe(queries, centroids, probes).drop("place"), index, ["kb_id", "cell"], work, schema), "score", F.col("k")).select("query_id", "chunk_id")
+    near = top(meet(probe(queries, index, centroids, probes).drop("place"), index, ["kb_id", "cell"], work, schema), "score", F.col("k")).select("query_id", "chunk_id")
     asked = queries.select("query_id", F.col("kb_id").alias("_kb"), F.col("embedding").alias("_wanted"))
     exact = near.join(chunks.select("chunk_id", "kb_id", "embedding"), "chunk_id").join(asked, "query_id").where(F.col("kb_id") == F.col("_kb"))
     scored = exact.select("query_id", "chunk_id", F.round(cosine(F.col("_wanted"), F.col("embedding")), 12).alias("score"))
