@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,19 +51,34 @@ BOILERPLATE = frozenset("nav footer aside form menu button dialog label".split()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-# Words in class and id names that mark boilerplate.
-_HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disclaimer|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo|related|replies|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+# Words in class and id names that mark boilerplate, those that do outside of articles, and words that may stand beside them in a name.
+HINTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+HEADER_HINTS = frozenset("header topbar".split())
+BESIDE = frozenset(
+    "a an and area article articles bar bottom box btn button buttons card cards col column container content desktop entry field fixed foot form global group head header holder home icons image info inner "
+    "international item items layer left law legal line link links list lower main media message middle mini mobile more nav new overlay page panel policy post posts primary right row section secondary sidebar site slot small spot stack "
+    "sticky stories story strip sub tab tags the thread top topics unit up upper user view wrap wrapper zone".split()
 )
-_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|site-header|page-header)(?:$|[\s_-])", re.I)
+_NAME_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<raw>{_RAW})\b(?>[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][\w:.-]*)(?P<rest>(?>[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][\w:.-]*)[^>]*>?""",
     re.S | re.I,
 )
 _SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""")
+
+
+@lru_cache(maxsize=4096)
+def _marks(name: str, in_article: bool) -> bool:
+    """Whether a class or id name marks boilerplate: it is a hint, or made of hints, numbers and words that stand beside them.
+
+    A hint beside any other word, as in has-sidebar or social-science, tells of something else.
+    """
+    parts = [re.sub(r"\d+$", "", p) for p in _NAME_PARTS.split(name) if p]
+    parts = [p.lower() for p in parts if p]
+    hints = HINTS if in_article else HINTS | HEADER_HINTS
+    return any(p in hints for p in parts) and all(p in hints or p in BESIDE for p in parts)
 
 
 def _boilerplate(name: str, rest: str, in_article: bool) -> bool:
@@ -71,7 +88,7 @@ def _boilerplate(name: str, rest: str, in_article: bool) -> bool:
         return False
     for key, *values in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and (_HINTS.search(value) or _HEADER.search(value) and not in_article):
+        if key in ("class", "id") and any(_marks(n, in_article) for n in html.unescape(value).split()):
             return True
         if key == "role" and value.lower() in BOILERPLATE_ROLES:
             return True
@@ -84,6 +101,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, weight, whether in a marked article, whether boilerplate, whether a heading) of each block of a page, in order."""
     out: list[tuple[str, int, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether inside boilerplate, article, link
+    opened: Counter[str] = Counter()  # names on the stack: one that isn't there is not looked for
     parts: list[str] = []
     linked = 0
     boiler = article = link = False
@@ -93,7 +111,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, 0 if boiler else len(text) if article else max(len(text) - linked, 0), article, boiler, any(s[0] in HEADINGS for s in stack)))
+                out.append((text, 0 if boiler else len(text) if article else max(len(text) - linked, 0), article, boiler, any(opened[h] for h in HEADINGS)))
             parts.clear()
         linked = 0
 
@@ -104,6 +122,12 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             if link:
                 linked += len(text.strip())
 
+    def close(k: int) -> None:
+        nonlocal boiler, article, link
+        opened.subtract(s[0] for s in stack[k:])
+        del stack[k:]
+        _, boiler, article, link = stack[-1] if stack else ("", False, False, False)
+
     at = 0
     for m in _TOKEN.finditer(page):
         data(page[at : m.start()])
@@ -115,20 +139,16 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if block:
             flush()
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    flush() if boiler else None
-                    del stack[k:]
-                    _, boiler, article, link = stack[-1] if stack else ("", False, False, False)
-                    break
+            if opened[name]:
+                flush() if boiler else None
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name in VOID:
             continue
-        if name in SELF_CLOSING:  # <p> inside an open <p> ends it, also over inline elements left open
+        if name in SELF_CLOSING and opened[name]:  # <p> inside an open <p> ends it, also over inline elements left open
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
-                    _, boiler, article, link = stack[-1] if stack else ("", False, False, False)
+                    close(k)
                     break
                 if stack[k][0] in BLOCKS and stack[k][0] not in SELF_CLOSING:
                     break
@@ -137,6 +157,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if inner_boiler and not boiler:
             flush()
         stack.append((name, inner_boiler, inner_article, link or name == "a"))
+        opened[name] += 1
         _, boiler, article, link = stack[-1]
     data(page[at:])
     flush()
