@@ -2,7 +2,7 @@
 
 Texts are cut into sentences, at line ends too but not where a known sentence is
 wrapped over lines, with or without comment marks; each is normalised (lower case, letters and
-digits only) and looked up in a table of known licence sentences, which gives
+digits only; the owner's name in BSD sentences is any) and looked up in a table of known licence sentences, which gives
 its identifier. The identifiers of a document, in order, with a mark for
 unknown sentences between them, are matched against ordered rules from left to
 right: at each identifier the rules are tried in their order, and the first
@@ -156,6 +156,11 @@ RULES = (
 BOUNDARY = r"\n|[.!?;:]+(?:[\x20\t\r]+|$)"
 
 
+#: Tags name a licence by itself; so do sentences made of them.
+SENTENCES |= {f"spdx/{name}": f"SPDX license identifier {name}" for name, _ in RULES if " " not in name}
+RULES += tuple((name, (f"spdx/{name}",)) for name in dict.fromkeys(name for name, _ in RULES) if " " not in name)
+
+
 def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
@@ -197,22 +202,30 @@ def _pattern(sequence: list[str]) -> str:
     return ("(?:<->){0," + str(GAP) + "}").join("<" + re.sub(r"([.+*?^$()\[\]{}|\\])", r"\\\1", i) + ">" for i in sequence)
 
 
-#: What may stand between two words of a sentence: no sentence mark and no empty line, comment marks aside.
-_WITHIN = r"(?:(?![.!?;:]+(?:\s|$))(?!\n[^a-z0-9\n]*\n)[^a-z0-9])+"
-#: The same before an address, which notices set off by an empty line.
-_BEFORE_ADDRESS = r"(?:(?![.!?;:]+(?:\s|$))[^a-z0-9])+"
+#: Marks the end of a sentence in a text that is cut up; it is white space in the text itself.
+_END = "\x01"
+#: The owner's name, which stands in one sentence of BSD texts, with what follows it.
+_OWNER = r"(?s)neither[ \n]the[ \n]names?[ \n]of[ \n].{1,160}?[ \n\x01]nor[ \n]the[ \n]names[ \n]of"
 
 
-def unwrapped(low: Column) -> Column:
-    """Lower-case text with each known sentence that is wrapped over lines on one line; other line ends stay.
+def cut(low: Column) -> Column:
+    """The normalised sentences of lower-case text in order, of those that are wrapped over lines as one.
 
-    Longer sentences first, as one can begin with another.
+    Each step is linear: words are put one character apart, that is a blank or a
+    line's end, or _END at the end of a sentence or at empty lines, but for those
+    before an address, which notices set off. From a line's begin a known
+    sentence is tried, longer ones first, whose words are one character apart
+    and which ends with a line; else the line is a sentence.
     """
-    for sentence in sorted(known(), key=lambda s: (-len(s), s)):
-        first, *words = sentence.split()
-        body = first + "".join((_BEFORE_ADDRESS if w in ("http", "https") else _WITHIN) + w for w in words)
-        low = F.regexp_replace(low, r"(^|\n|[.!?;:][\x20\t\r]+)[^a-z0-9\n]*" + body + r"(?=[^a-z0-9\n]*(?:\n|$)|[^a-z0-9\n]*?[.!?;:](?:[\x20\t\r]|$))", "$1" + sentence)
-    return low
+    text = F.regexp_replace(F.translate(low, _END, " "), r"spdx-license-identifier:[ \t]*", "spdx license identifier ")
+    text = F.regexp_replace(text, r"(?<![.!?;:])[.!?;:]++(?=\s|\z)", _END)
+    text = F.regexp_replace(text, r"[^a-z0-9\n\x01]+", " ")
+    text = F.trim(F.regexp_replace(text, r" ?([\n\x01]) ?", "$1"))
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{2,}+(?!https?(?:[ \n\x01]|\z))", _END), r"\n+", "\n")
+    text = F.regexp_replace(text, _OWNER, "neither the name of the copyright holder nor the names of")
+    wrapped = "|".join(s.replace(" ", r"[ \n]") for s in sorted(known(), key=lambda s: (-len(s), s)))
+    lines = F.regexp_extract_all(text, F.lit(rf"(?:{wrapped})(?=[\n\x01]|\z)|[^\n\x01]+"), F.lit(0))
+    return F.transform(lines, lambda s: F.trim(F.translate(s, "\n", " ")))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -223,8 +236,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     candidate = F.lit(False)
     for word in anchors():
         candidate = candidate | F.contains(low, F.lit(word))
-    sentences = F.transform(F.split(unwrapped(low), BOUNDARY, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    marked = F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("-")))
+    marked = F.transform(F.filter(cut(low), lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("-")))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(candidate, marked).otherwise(F.array().cast("array<string>")).alias("marks"))
     found = found.select("doc_id", F.filter("marks", lambda m: m != "-").alias("ids"), F.concat(F.lit("<"), F.array_join("marks", "><"), F.lit(">")).alias("line"))
 
