@@ -30,19 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows of an Arrow batch of texts. Spark's default of 10,000 makes a Python
 #: worker hold tens of MB of text several times over. tessera.session sets it.
 BATCH_ROWS = 1000
+#: Bytes of such a batch: long texts, and sets of them in pairs, come in fewer rows.
+BATCH_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
 def text_batches(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside deal texts in batches of at most BATCH_ROWS rows; the setting is put back."""
-    before = spark.conf.get(_BATCH)
-    if int(before) <= 0 or int(before) > BATCH_ROWS:
+    """Queries that run inside deal texts in batches of at most BATCH_ROWS rows and BATCH_BYTES; the settings are put back."""
+    rows, size = spark.conf.get(_BATCH), spark.conf.get(_BYTES)
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+    if int(rows) <= 0 or int(rows) > BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        spark.conf.set(_BATCH, rows)
+        spark.conf.set(_BYTES, size)
 
 
 def map_texts(df: DataFrame, work: Callable[[Iterator], Iterator], schema) -> DataFrame:
