@@ -220,12 +220,24 @@ def top_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # HTML
 
 
-_VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+def _outside(c: str, start: str, end: str) -> str:
+    """SQL of a text without what lies from each start to the end that follows; a start without an end is an element of its own."""
+    after = f"string_split_regex(s, '{end}')"
+    kept = f"CASE WHEN len({after}) = 1 THEN '<x ' || s ELSE ' ' || array_to_string(({after})[2:], '<x>') END"
+    parts = f"string_split_regex({c}, '{start}')"
+    return f"({parts})[1] || array_to_string(list_transform(({parts})[2:], lambda s: {kept}), '')"
+
+
+#: SQL of the text between elements: cut at each >, a part ends where its element begins; '<>' is no element.
+_BETWEEN = "array_to_string(list_transform((string_split(raw, '>'))[:-2], lambda s: CASE WHEN instr(s, '<') IN (0, length(s)) THEN s || '>' ELSE left(s, instr(s, '<') - 1) || ' ' END), '') || (string_split(raw, '>'))[-1]"
+_WORDS = r"array_to_string(list_filter(string_split_regex(seen, '\s+'), lambda w: w <> ''), ' ')"
 
 
 @query(rf"""
 WITH x AS (SELECT page_id, url AS u, CASE page_id % 6 WHEN 0 THEN '<html><title> </title><p>Please complete the CAPTCHA</p>' WHEN 1 THEN '<p>x</p>' WHEN 2 THEN '<title>Just a moment</title>' || html WHEN 3 THEN '<title>安全验证 - x</title>' ELSE html END AS h FROM pages),
-v AS (SELECT page_id, h, CASE WHEN regexp_matches(h, '(?i)<title[^>]*>[^<]+</title>') THEN trim(regexp_extract(h, '(?i)<title[^>]*>([^<]+)</title>', 1)) ELSE regexp_extract(u, '{_PARTS}', 2) END AS title, {_VISIBLE} AS t FROM x)
+c AS (SELECT *, {_outside("h", "<!--", "-->")} AS told FROM x), m AS (SELECT *, {_outside("told", "(?i)<script", r"(?i)</script\s*>")} AS still FROM c),
+r AS (SELECT *, {_outside("still", "(?i)<style", r"(?i)</style\s*>")} AS raw FROM m), b AS (SELECT *, {_BETWEEN} AS seen FROM r),
+v AS (SELECT page_id, h, CASE WHEN regexp_matches(h, '(?i)<title[^>]*>[^<]+</title>') THEN trim(regexp_extract(h, '(?i)<title[^>]*>([^<]+)</title>', 1)) ELSE regexp_extract(u, '{_PARTS}', 2) END AS title, {_WORDS} AS t FROM b)
 SELECT page_id, title, sha256(t) AS text_sha, length(t)::INT AS n, CASE WHEN contains(title, '安全验证') THEN 'title: 安全验证' WHEN contains(lower(left(h, 2000)), 'just a moment') THEN 'script: just a moment' WHEN length(t) < 500 AND contains(lower(t), 'captcha') THEN 'body: captcha' END AS reason,
  length(t) < 300 OR contains(lower(left(t, 2000)), 'just a moment') AS needs_browser FROM v
 """)
@@ -239,8 +251,15 @@ def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMAGES = "html || '<img class=\"a\" data-src=\"/i/' || CAST(page_id AS STRING) || '.png\"><IMG src=''data:x''><img alt=x src=\"https://c.example/b.jpg\"><img src=\"https://c.example/b.jpg\"><img src=\"//d.example/c.gif\"><img src=\"../up.png\"><img src=\"./sub/e.png?q=1\">'"
 
 
-@query(f"""WITH x AS (SELECT page_id, url, regexp_extract_all({_IMAGES}, '(?i)<img[^>]+(?:data-src|src)=["'']([^"'']+)["'']', 1) AS i FROM pages),
-b AS (SELECT page_id, i, regexp_extract(url, '^[a-z]+:') AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') AS folder FROM x),
+#: SQL of img elements, cut at their names and ends, and of the last quoted value behind src= in each.
+_ELEMENTS = f"list_transform((string_split_regex({_IMAGES}, '(?i)<img'))[2:], lambda s: (string_split(s, '>'))[1])"
+_VALUE = """string_split_regex(v[2:], '["'']')"""
+_QUOTED = f"""list_filter((string_split_regex(s, '(?i)src='))[2:], lambda v: v[1] IN ('"', '''') AND len({_VALUE}) > 1 AND ({_VALUE})[1] <> '')"""
+_SOURCES = f"list_filter(list_transform(e, lambda s: (list_transform({_QUOTED}, lambda v: ({_VALUE})[1]))[-1]), lambda u: u IS NOT NULL)"
+
+
+@query(f"""WITH x AS (SELECT page_id, url, {_ELEMENTS} AS e FROM pages), y AS (SELECT page_id, url, {_SOURCES} AS i FROM x),
+b AS (SELECT page_id, i, regexp_extract(url, '^[a-z]+:') AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') AS folder FROM y),
 f AS (SELECT page_id, list_transform(list_filter(i, lambda u: NOT starts_with(u, 'data:')), lambda u: CASE WHEN u LIKE 'http%' THEN u WHEN u LIKE '//%' THEN scheme || u WHEN u LIKE '/%' THEN origin || u
   WHEN u LIKE '../%' THEN origin || coalesce(nullif(regexp_replace(folder, '[^/]+/$', ''), ''), '/') || u[4:] ELSE origin || coalesce(nullif(folder, ''), '/') || u[3:] END) AS f FROM b)
 SELECT page_id, array_to_string(f[1:50], ' ') AS images, len(f)::INT AS n FROM f""")
