@@ -6,10 +6,11 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import media
 from tessera.functions.text import strip
 
 CONTEXT = 200
@@ -126,20 +127,48 @@ def unique_names(images: DataFrame, key: str = "doc_id", order: str = "image_ind
     return images.groupBy(key).applyInPandas(pick, schema)
 
 
-def near_images(images: DataFrame, most: int = 5) -> DataFrame:
-    """Pairs (a, b, bits) of image ids whose 64-bit hashes differ in at most ``most`` bits.
+#: Images of a wide band's value from which on it is split by the other bits.
+CROWD = 1000
 
-    Blocks: most + 1 bands of bits; hashes that differ in ``most`` bits agree in
-    one band at least, so the equi-join on bands loses no pair.
+
+def met_images(images: DataFrame, most: int = 5, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b, pa, pb), a < b, of images that may differ in ``most`` bits: all that do, some of them more than once.
+
+    Hashes are cut into so few bands that in one of them a near pair differs in
+    one bit at most; an image looks up its bands' values and all that are
+    a bit away. Values that more than ``crowd`` images have are split: what is left
+    of the bits is cut into most + 1 bands, of which a near pair has one alike.
     """
-    cut = [round(k * 64 / (most + 1)) for k in range(most + 2)]
+    wide = max(2, most // 2 + 1)
+    edges = lambda n, size: [(round(k * size / n), round((k + 1) * size / n)) for k in range(n)]
+    cut = lambda c, a, z: F.conv(F.substring(c, a + 1, z - a), 2, 10).cast("long")
     bits = F.concat(F.lpad(F.conv(F.substring("phash", 1, 8), 16, 2), 32, "0"), F.lpad(F.conv(F.substring("phash", 9, 8), 16, 2), 32, "0"))
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.substring(F.col("bits"), a + 1, z - a).alias("value")) for k, (a, z) in enumerate(zip(cut, cut[1:]))])
-    rows = images.where("phash IS NOT NULL").select("id", "phash", bits.alias("bits")).select("id", "phash", F.explode(bands).alias("x")).select("id", "phash", "x.*")
-    left, right = rows.withColumnsRenamed({"id": "a", "phash": "pa"}), rows.withColumnsRenamed({"id": "b", "phash": "pb"})
-    from tessera.functions.media import hamming
 
-    return left.join(right, ["band", "value"]).where("a < b").withColumn("bits", hamming(F.col("pa"), F.col("pb"))).where(F.col("bits") <= most).select("a", "b", "bits").distinct()
+    def band(k: int, a: int, z: int) -> Column:
+        other = F.concat(F.substring("bits", 1, a), F.substring("bits", z + 1, 64 - z))
+        return F.struct(F.lit(k).alias("band"), F.lit(z - a).alias("width"), cut("bits", a, z).alias("value"), F.array(*[cut(other, x, y) for x, y in edges(most + 1, 64 - (z - a))]).alias("rest"))
+
+    rows = images.where("phash IS NOT NULL").select("id", "phash", bits.alias("bits"))
+    held = rows.select("id", "phash", F.explode(F.array(*[band(k, *e) for k, e in enumerate(edges(wide, 64))])).alias("x")).select("id", "phash", "x.*")
+    one = F.lit(1).cast("long")
+    near = F.concat(F.array("value"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.col("value").bitwiseXOR(F.call_function("shiftleft", one, i))))
+    asked = held.withColumn("value", F.explode(near))
+    crowds = held.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("band", "value", F.lit(True).alias("crowded"))
+
+    def dealt(side: DataFrame) -> DataFrame:
+        split = F.transform("rest", lambda v, k: F.struct(k.alias("part"), v.alias("other")))
+        whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("other")))
+        both = side.join(crowds, ["band", "value"], "left")
+        return both.select("id", "phash", "band", "value", F.explode(F.when(F.col("crowded"), split).otherwise(whole)).alias("x")).select("id", "phash", "band", "value", "x.*")
+
+    left, right = dealt(asked).withColumnsRenamed({"id": "a", "phash": "pa"}), dealt(held).withColumnsRenamed({"id": "b", "phash": "pb"})
+    return left.join(right, ["band", "value", "part", "other"]).where("a < b").select("a", "b", "pa", "pb")
+
+
+def near_images(images: DataFrame, most: int = 5, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b, bits) of image ids whose 64-bit hashes differ in at most ``most`` bits; null hashes are near nothing."""
+    met = met_images(images, most, crowd)
+    return met.withColumn("bits", media.hamming(F.col("pa"), F.col("pb"))).where(F.col("bits") <= most).select("a", "b", "bits").distinct()
 
 
 def near_image_classes(images: DataFrame, most: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.places import sums_before
+
 
 def latest(samples: DataFrame, *by: str) -> DataFrame:
     """The last value of each series."""
@@ -110,7 +112,9 @@ def rate_shares(events: DataFrame, part: Column, size_s: int, *by: str) -> DataF
 
 
 def budget(costs: DataFrame, cap: float) -> DataFrame:
-    """Costs (ts, id, cost) with what was spent before on the same UTC day and whether the cap was reached; no cap from 0 down."""
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("cost").over(w), F.lit(0.0))
-    return costs.withColumn("spent", F.round(spent, 6)).withColumn("over", (F.lit(cap) > 0) & (F.col("spent") >= cap))
+    """Costs (ts, id, cost) with what was spent before on the same UTC day and whether the cap was reached; no cap from 0 down.
+
+    Sums are rounded to six decimals before they meet the cap.
+    """
+    spent = F.round("before", 6)
+    return sums_before(costs, "cost", F.to_date("ts"), "ts", "id").withColumn("spent", spent).withColumn("over", (F.lit(cap) > 0) & (spent >= cap)).drop("before")

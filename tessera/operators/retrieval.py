@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from tessera.functions.similarity import WORD_THRESHOLD, sweep, trigram_list, trigrams
 from tessera.operators import vectors
+from tessera.operators.places import joined, values_at
 from tessera.operators.vectors import meet, top
 
 RRF_K, TOP_K, RERANK_INPUT = 60, 5, 20
@@ -201,8 +202,14 @@ def scores(hits: DataFrame, *by: str) -> DataFrame:
 
 
 def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Median, and the value at the rounded 95 % place (half to even) of the sorted values."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.select(*by, value, (F.row_number().over(w) - 1).alias("_at"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
-    place = F.least(F.bround(0.95 * (F.col("_n") - 1), 0), F.col("_n") - 1)
-    return ranked.groupBy(*by).agg(F.round(F.expr(f"percentile({value}, 0.5)"), 6).alias("p50"), F.round(F.max(F.when(F.col("_at") == place, F.col(value))), 6).alias("p95"))
+    """Median, and the value at the rounded 95 % place (half to even) of the sorted values; nulls don't count."""
+    keys = list(by) or ["_all"]
+    rows = df.select(*by, value) if by else df.select(F.lit(0).alias("_all"), value)
+    n = F.col("n")
+    sizes = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    places = {"lower": F.floor((n - 1) / 2), "upper": F.ceil((n - 1) / 2), "p95": F.least(F.bround(0.95 * (n - 1), 0), n - 1)}
+    wanted = sizes.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), p.cast("long").alias("place")) for k, p in places.items()])).alias("x")).select(*keys, "n", "x.*")
+    found = values_at(rows, value, wanted, keys)
+    out = joined(wanted, found, [*keys, "place"], "left").groupBy(*keys)
+    at = lambda k: F.max(F.when(F.col("what") == k, F.col("value")))
+    return out.agg(F.round((at("lower") + at("upper")) / 2, 6).alias("p50"), F.round(at("p95"), 6).alias("p95")).select(*by, "p50", "p95")

@@ -371,16 +371,14 @@ def block_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.cooldown(v, 90000).select("host", "id", "cooled")
 
 
-_ATTEMPTS = "SELECT event_id // 3 AS url_id, event_id % 3 + 1 AS attempt, CASE (event_id * 7) % 11 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 429 ELSE 200 END AS status, (event_id * 5) % 7 = 0 AS empty, (event_id * 3) % 13 = 0 AS blocked FROM events"
+_ATTEMPT_COLUMNS = ("CAST(floor(event_id / 3) AS BIGINT) AS url_id", "event_id % 3 + 1 AS attempt", "CASE (event_id * 7) % 11 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 429 ELSE 200 END AS status", "(event_id * 5) % 7 = 0 AS empty", "(event_id * 3) % 13 = 0 AS blocked")
+_ATTEMPTS = f"SELECT {', '.join(_ATTEMPT_COLUMNS)} FROM events"
 
 
 @query(f"WITH a AS ({_ATTEMPTS}), e AS (SELECT *, CASE WHEN status IN (404, 410) THEN 'gone' WHEN blocked THEN 'blocked' WHEN status >= 500 OR status = 429 OR empty THEN NULL ELSE 'ok' END AS e FROM a), g AS (SELECT url_id, min(attempt) FILTER (e IS NOT NULL) AS f, max(attempt) AS l FROM e GROUP BY 1) SELECT g.url_id, coalesce(e.e, 'failed') AS outcome, coalesce(f, l) AS used FROM g LEFT JOIN e ON e.url_id = g.url_id AND e.attempt = g.f")
 def fetch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of fetches with up to three tries."""
-    sql = _ATTEMPTS.removeprefix("SELECT ").removesuffix(" FROM events").replace("event_id // 3", "event_id DIV 3")
-    e = load(spark, sf_dir, "events")
-    e.createOrReplaceTempView("_fetch_events")
-    return state.fetch_outcome(spark.sql(f"SELECT {sql} FROM _fetch_events"))
+    return state.fetch_outcome(load(spark, sf_dir, "events").selectExpr(*_ATTEMPT_COLUMNS))
 
 
 _TIERS = (
