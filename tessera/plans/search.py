@@ -364,7 +364,10 @@ def moving_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.limiter(e, 2, 3600.0)
 
 
-@query("WITH v AS (SELECT user_id AS host, event_id AS id, epoch(ts) AS t, event_type = 'error' AS blocked FROM events) SELECT host, id, coalesce(t - max(CASE WHEN blocked THEN t END) OVER (PARTITION BY host ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 90000, false) AS cooled FROM v")
+_COOLED = "WITH v AS (SELECT user_id AS host, event_id AS id, epoch(ts) AS t, event_type = 'error' AS blocked FROM events) SELECT host, id, coalesce(t - max(CASE WHEN blocked THEN t END) OVER (PARTITION BY host ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 90000, false) AS cooled FROM v"
+
+
+@query(_COOLED)
 def block_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q10: visits to hosts that are on cooldown."""
     v = load(spark, sf_dir, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("event_type") == "error").alias("blocked"))
@@ -419,6 +422,16 @@ def streamed_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.run_to_end(counts, f"counts_{uuid.uuid4().hex}", "complete").select(micros("start"), "total", "bad")
 
 
+@query(_COOLED)
+def streamed_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q10 as a stream: visits are folded in event time, and a host's block is forgotten by a timer."""
+    from tessera.streaming import ordered, windows
+
+    e = windows.event_stream(spark, sf_dir, files=100_000).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts", (F.col("event_type") == "error").alias("blocked"))
+    cooled = windows.run_to_table(ordered.cooldown_stream(ordered.ended(e), 90000, "0 seconds"), **ordered.STORE)
+    return cooled.select(F.col("key").cast("long").alias("host"), "id", F.col("verdict").alias("cooled"))
+
+
 # Main content, and sites with rules of their own
 
 

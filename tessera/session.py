@@ -51,19 +51,24 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder that spark.checkpoint.dir names, for results that several steps read.
+def shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share.
 
     Without that setting a session on one machine gets a temporary folder; a cluster is refused.
     """
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         at = spark.sparkContext.getCheckpointDir()
-    path = f"{at.rstrip('/')}/written-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for results that several steps read."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

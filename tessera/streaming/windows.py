@@ -6,12 +6,15 @@ hold one against the other. Event times must be timestamps with a zone.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.state import Breaker
+from tessera.session import shared
 
 
 def event_stream(spark: SparkSession, path: str, glob: str = "events.parquet", files: int = 1) -> DataFrame:
@@ -50,3 +53,19 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_table(df: DataFrame, **settings: str) -> DataFrame:
+    """All that is there now, as a table in the shared folder that executors write; the settings hold while it runs."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        q = df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
