@@ -41,6 +41,18 @@ def test_oracle(spark, duck, name):
     assert got == want
 
 
+def test_addresses_of_large_event_ids(spark, tmp_path):
+    """From 65,536 on an event's id has five digits, which the SQL reads by the first four."""
+    rows = [(i, u) for i in [*range(65530, 65560), 1048576, 1048577, 6000001, 5999998] for u in (0, 64, 75, 127, 128, 191, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["private_addresses_v6"]).fetchall()
+    got = entry.queries()["private_addresses_v6"](spark, str(tmp_path)).select("event_id", "ip", "range").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert any(ip and ip.startswith("fe8b::1") and r == "fe80::/10" for _, ip, r in want)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_entry(spark):
     df = entry.entry(spark)
