@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -13,17 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from tessera.functions.similarity import WORD_THRESHOLD, sweep, trigram_list, trigrams
-from tessera.operators import vectors
+from tessera.functions.similarity import WORD_THRESHOLD, trigrams
+from tessera.operators import keywords, vectors
 from tessera.operators.places import joined, values_at
 from tessera.operators.vectors import meet, top
+from tessera.session import written
 
 RRF_K, TOP_K, RERANK_INPUT = 60, 5, 20
 NO_RESULTS = "No relevant information found."
 
 
-#: Chunks of a group whose contents meet a block of queries.
-CONTENTS = 256
+#: Chunks of a group whose contents meet a block of queries, and of the part that is searched first.
+CONTENTS, FIRST = 1024, 8192
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int | str = TOP_K) -> DataFrame:
@@ -37,81 +37,35 @@ def trigram_index(chunks: DataFrame) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, threshold: float = WORD_THRESHOLD) -> DataFrame:
-    """Word-similarity search: (query_id, chunk_id, score, rank).
+    """Word-similarity search: (query_id, chunk_id, score, rank); see keywords.
 
-    A stretch of a content with h of a query's n trigrams and k different ones
-    scores h / (n + k - h). For several k, the trigrams of all queries are
-    counted in the longest stretches that end at each place and hold k different
-    ones at most; only contents where that leaves the threshold possible for a
-    query are scored for it.
+    Of many chunks a part of about FIRST is searched first: the last of a query's
+    k best there is its floor, below which nothing of all chunks can be among its k
+    best. All chunks are searched then, those of the part once more.
     """
     queries = queries.select("query_id", "kb_id", "query")
-    schema = to_arrow_schema(T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]))
-
-    def answer(asked: list, contents: pa.ChunkedArray):
-        wanted = [set(trigram_list(r["query"] or "")) for r in asked]
-        number = {g: i for i, g in enumerate(sorted(set().union(*wanted)))}
-        n = np.array([len(w) for w in wanted])
-        has = np.zeros((len(asked), len(number)), np.float32)
-        for i, w in enumerate(wanted):
-            has[i, [number[g] for g in w]] = True
-        most = (n / threshold + 1e-9).astype(np.int64)
-        levels = [5]
-        while levels[-1] < most.max(initial=0):
-            levels.append(-(-levels[-1] * 6 // 5))
-        level = np.searchsorted(levels, most)
-        out: list[tuple[int, int, float]] = []
-        for c, text in enumerate(contents.to_pylist()):
-            grams = trigram_list(text or "")
-            ids = np.array([number.get(g, -1) for g in grams], np.int64)
-            at = np.flatnonzero(ids >= 0)
-            if not len(at):
-                continue
-            start = _reach(grams, levels)[:, at]
-            kinds, which = np.unique(ids[at], return_inverse=True)
-            last = np.full((len(kinds), len(at)), -1, np.int32)
-            last[which, np.arange(len(at))] = at
-            np.maximum.accumulate(last, axis=1, out=last)
-            held = has[:, kinds]
-            left = np.flatnonzero((n > 0) & (held.sum(axis=1) >= threshold * n - 1e-6))
-            count = lambda q, j: (held[q] @ (last >= start[j]).astype(np.float32)).max(axis=1)  # noqa: B023, E731
-            # first by the longest stretches that a query can use, then by all that are shorter
-            left = np.concatenate([left[:0], *[q[count(q, j) >= threshold * n[q] - 1e-6] for j in np.unique(level[left]) for q in [left[level[left] == j]]]])
-            fits = np.zeros(len(left), bool)
-            for j in range(level[left].max(initial=-1) + 1):
-                h = count(left, j)
-                fits |= (j <= level[left]) & (h >= threshold * (n[left] + (levels[j - 1] + 1 if j else 1) - h) - 1e-6)
-            for q in left[fits].tolist():
-                score = sweep(wanted[q], grams)
-                if score >= threshold - 1e-7:
-                    out.append((q, c, score))
-        q, c, score = (np.array(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return q, c, score
+    chunks = chunks.select("chunk_id", "kb_id", "content")
+    kind = chunks.schema["chunk_id"].dataType
+    parts = chunks.count() // FIRST
+    if parts < 4:
+        floors = queries.select("*", F.lit(None).cast("double").alias("floor"), F.lit(None).cast(kind).alias("last"))
+    else:
+        first = chunks.where(F.pmod(F.xxhash64(F.lit(FIRST), F.col("chunk_id").cast("string")), F.lit(parts)) == 0)
+        best = keyword_search(queries, first, k, threshold).where(F.col("rank") == k - 1)
+        floors = queries.join(written(best.select("query_id", F.col("score").alias("floor"), F.col("chunk_id").alias("last"))), "query_id", "left")
+    schema = to_arrow_schema(T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", kind), T.StructField("score", T.DoubleType())]))
 
     def work(asked: pa.Table, met: pa.Table) -> pa.Table:
-        q, c, score = answer(asked.to_pylist(), met["content"])
-        return pa.table([asked["query_id"].take(pa.array(q)), met["chunk_id"].take(pa.array(c)), pa.array(score, pa.float64())], names=schema.names).cast(schema)
+        floor = [None if f is None else (f, i) for f, i in zip(asked["floor"].to_pylist(), asked["last"].to_pylist())]
+        search = keywords.Search([q or "" for q in asked["query"].to_pylist()], k, threshold, floor)
+        search.add(met["chunk_id"].to_pylist(), [t or "" for t in met["content"].to_pylist()])
+        q, c, score = search.results()
+        return pa.table([asked["query_id"].take(pa.array(q, pa.int64())), pa.array(c, schema.field("chunk_id").type), pa.array(score, pa.float64())], names=schema.names).cast(schema)
 
-    found = meet(queries, chunks.select("chunk_id", "kb_id", "content"), ["kb_id"], work, from_arrow_schema(schema), shard=CONTENTS)
+    found = meet(floors, chunks, ["kb_id"], work, from_arrow_schema(schema), shard=CONTENTS)
     return top(found, "score", k).select("query_id", "chunk_id", "score", "rank")
 
 
-def _reach(grams: list[str], levels: list[int]) -> np.ndarray:
-    """For each level and place the first place from which at most so many different trigrams follow up to it."""
-    recent: list[int] = []  # last places of the trigrams so far, in order
-    last: dict[str, int] = {}
-    back = [-k - 1 for k in levels]
-    out = []
-    for i, g in enumerate(grams):
-        if g in last:
-            del recent[bisect_left(recent, last[g])]
-        last[g] = i
-        recent.append(i)
-        size = len(recent)
-        out.append([recent[k] + 1 if size >= -k else 0 for k in back])
-    return np.array(out, np.int32).T.copy()
-
-
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: (query_id, chunk_id, score, rank); all rows of both lists stay.
 
