@@ -31,8 +31,9 @@ between those is lost. Before that each class leaves the s - 1 longest of its
 lists, s that of its smallest partner: the shortest list that a pair shares is
 not among them. So a passage that is common to many different texts makes no
 pairs of them. Short lists are joined with themselves; what is still long is a
-crowd near the threshold and meets in blocks of bounded size, where only
-links and pairs that pass the filter become rows.
+crowd near the threshold and meets in blocks of bounded size: a pair in the
+lowest of the lists that it shares, decided there on full sets, and of the links
+only as many become rows as connect what they all connect.
 
 Filter: the similarity is estimated from the union's sketch; pairs five
 standard deviations (of a draw without replacement) below the threshold go.
@@ -63,9 +64,11 @@ THRESHOLD = (80, 100)
 SKETCH = 512
 #: Lists that a set stands in beyond the shingles in which it can differ: two, and this share of them.
 SPARE = 0.15
-#: Lists up to this length are joined with themselves; longer ones meet in blocks of BLOCK members.
+#: Lists up to this length are joined with themselves; longer ones meet in blocks of BLOCK members, fewer if their sets are large.
 SHORT_LIST = 32
 BLOCK = 2048
+#: Shingles of the members of a block.
+BLOCK_SHINGLES = 4_000_000
 #: Shared values of a block that are counted at once.
 COLUMNS = 2048
 #: Rows of three numbers that are sent to every executor at most.
@@ -275,6 +278,13 @@ def _sets(shingle: int, sketch: int):
     return work
 
 
+def _packed_keys(batches):
+    """The keys of each class as bytes."""
+    for batch in batches:
+        keys = pa.array([np.array(k, np.int64).tobytes() for k in batch.column("keys").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("c", "n", "doc_id", "tag")), keys], names=["c", "n", "doc_id", "tag", "keys"])
+
+
 def estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Similarity by the bottom-k sketch of the union, and how many values it has.
 
@@ -323,78 +333,135 @@ def _likely(sketch: int, threshold: float):
     return work
 
 
+def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of links that connect all that the links x - y connect, without a circle."""
+    names, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = both[: len(x)], both[len(x) :]
+    at, kept = np.flatnonzero(x != y), [np.zeros(0, np.int64)]
+    x, y = x[at], y[at]
+    while len(at):
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((low, high))
+        first = order[np.r_[True, np.diff(high[order]) > 0]]
+        kept.append(at[first])
+        above = np.arange(len(names))
+        above[high[first]] = low[first]
+        while (above[above] != above).any():
+            above = above[above]
+        x, y = above[x], above[y]
+        go = x != y
+        x, y, at = x[go], y[go], at[go]
+    return np.concatenate(kept)
+
+
+def _together(own: np.ndarray, value: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    """How many values rows of left and right both hold, by products of matrices; own: the row of each value."""
+    _, number, times = np.unique(value, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    own, column = own[times[number] > 1], place[number[times[number] > 1]]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, [lo, lo + COLUMNS])
+        grid = np.zeros((rows, min(COLUMNS, int(column[-1]) + 1 - lo)), np.float32)
+        grid[own[a:z], column[a:z] - lo] = 1
+        out += grid[left] @ grid[right].T
+    return out
+
+
 def _meet(sketch: int, threshold: tuple[int, int]):
-    """Pairs of two blocks of a list, or of one block with itself, that may reach the threshold, between different components.
+    """Links between two blocks of a list, or of one block with itself, that connect all components which any link of theirs connects.
 
-    Retained values that both hold are counted for all pairs at once, by products of matrices. Sets that are
-    retained whole are decided by that, and of them one link from a set to a component is enough; of others
-    go the pairs that pass the filter.
+    A pair meets in the lowest list that it shares. Retained values that both hold are counted for all pairs at
+    once. Sets that are retained whole are decided by that; of others, those pairs that the count leaves possible
+    and no link so far connects are compared on full sets.
     """
     part, of = threshold
 
     def work(table: pa.Table) -> pa.Table:
-        i, j = (table.column(x)[0].as_py() for x in ("i", "j"))
+        key, i, j = (table.column(x)[0].as_py() for x in ("key", "i", "j"))
         table = table.combine_chunks()
         own, comp, c, n = (table.column(x).to_numpy() for x in ("own", "comp", "c", "n"))
-        packed = table.column("sketch").to_pylist()
-        held = np.array([len(v) // 8 for v in packed], np.int64)
-        row = np.repeat(np.arange(len(c)), held)
-        value, number, times = np.unique(np.frombuffer(b"".join(packed), U), return_inverse=True, return_counts=True)
-        common_ = np.flatnonzero(times > 1)
-        place = np.full(len(value), -1)
-        place[common_] = np.arange(len(common_))
-        row, column = row[place[number] >= 0], place[number][place[number] >= 0]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        common = np.zeros((len(left), len(right)), np.float32)
-        for lo in range(0, len(common_), COLUMNS):
-            here = (column >= lo) & (column < lo + COLUMNS)
-            grid = np.zeros((len(c), COLUMNS), np.float32)
-            grid[row[here], column[here] - lo] = 1
-            common += grid[left] @ grid[right].T
+        lists = [np.frombuffer(k, np.int64) for k in table.column("keys").to_pylist()]
+        lists = [k[k < key] for k in lists]
+        wanted = _together(np.repeat(np.arange(len(c)), [len(k) for k in lists]), np.concatenate(lists), left, right, len(c)) == 0
+        wanted &= comp[left][:, None] != comp[right][None]
+        small, large = (f(n[left][:, None], n[right][None]) for f in (np.minimum, np.maximum))
+        wanted &= of * small >= part * large
+        if i == j:
+            wanted &= c[left][:, None] < c[right][None]
+        rows, columns = wanted.any(axis=1), wanted.any(axis=0)
+        left, right, wanted = left[rows], right[columns], wanted[rows][:, columns]
+        used = np.unique(np.concatenate([left, right]))
+        packed = {k: table.column("sketch")[k].as_py() for k in used.tolist()}
+        held = np.zeros(len(c), np.int64)
+        held[used] = [len(packed[k]) // 8 for k in used.tolist()]
+        common = _together(np.repeat(used, held[used]), np.frombuffer(b"".join(packed.values()), U), left, right, len(c))
         whole = held == n
-        out_a, out_b = [], []
+        sure, maybe = [], []
+        least = part / of - 5 * np.sqrt(part * (of - part)) / of / np.sqrt(sketch)
         for lo in range(0, len(left), 64):
-            l = left[lo : lo + 64]
-            both = common[lo : lo + 64]
+            l, both = left[lo : lo + 64], common[lo : lo + 64]
             total = n[l][:, None] + n[right][None]
-            small = np.minimum(n[l][:, None], n[right][None])
-            wanted = (comp[l][:, None] != comp[right][None]) & (of * small >= part * (total - small))
-            if i == j:
-                wanted &= c[l][:, None] < c[right][None]
-            sure = whole[l][:, None] & whole[right][None]
-            x, y = np.nonzero(wanted & sure & (of * both >= part * (total - both)))
-            _, one = np.unique(np.stack([x, comp[right[y]]]), axis=1, return_index=True)
-            out_a.append(c[l[x[one]]])
-            out_b.append(c[right[y[one]]])
-            union = np.minimum(held[l][:, None] + held[right][None] - both, sketch)
-            least = part / of - 5 * np.sqrt(part * (of - part)) / of / np.sqrt(sketch)
-            x, y = np.nonzero(wanted & ~sure & (both >= least * union - 1e-3))
+            exact = whole[l][:, None] & whole[right][None]
+            x, y = np.nonzero(wanted[lo : lo + 64] & exact & (of * both >= part * (total - both)))
             x, y = l[x], right[y]
-            for at in range(0, len(x), 4096):
-                p, q = x[at : at + 4096], y[at : at + 4096]
-                keep = _passes(_matrix([packed[k] for k in p], sketch), _matrix([packed[k] for k in q], sketch), n[p], n[q], sketch, part / of)
-                out_a.append(c[p[keep]])
-                out_b.append(c[q[keep]])
+            tree = _forest(comp[x], comp[y])
+            sure.append((x[tree], y[tree]))
+            union = np.minimum(held[l][:, None] + held[right][None] - both, sketch)
+            x, y = np.nonzero(wanted[lo : lo + 64] & ~exact & (both >= least * union - 1e-3))
+            maybe.append((l[x], right[y]))
         none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *out_a])), "b": pa.array(np.concatenate([none, *out_b]))})
+        x, y = (np.concatenate([none, *v]) for v in (zip(*sure) if sure else ((), ())))
+        p, q = (np.concatenate([none, *v]) for v in (zip(*maybe) if maybe else ((), ())))
+        full = {k: np.frombuffer(packed[k] + table.column("rest")[k].as_py(), U) for k in np.unique(np.concatenate([p, q])).tolist()}
+        label = _labels(comp, x, y)
+        for at in range(0, len(p), 4096):
+            apart = label[p[at : at + 4096]] != label[q[at : at + 4096]]
+            a, b = p[at : at + 4096][apart], q[at : at + 4096][apart]
+            linked = np.array([_similar(full[k], full[m], threshold) for k, m in zip(a.tolist(), b.tolist())], bool)
+            if linked.any():
+                x, y = np.concatenate([x, a[linked]]), np.concatenate([y, b[linked]])
+                label = _labels(comp, x, y)
+        tree = _forest(comp[x], comp[y])
+        return pa.table({"a": pa.array(c[x[tree]], pa.int64()), "b": pa.array(c[y[tree]], pa.int64())})
 
     return work
 
 
+def _labels(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The component of each row, as links between rows x and y join them."""
+    names, out = np.unique(comp, return_inverse=True)
+    while True:
+        above = np.arange(len(names))
+        np.minimum.at(above, np.maximum(out[x], out[y]), np.minimum(out[x], out[y]))
+        if (above[out] == out).all():
+            return out
+        while (above[above] != above).any():
+            above = above[above]
+        out = above[out]
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    part, of = threshold
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return of * common >= part * (len(both) - common)
+
+
 def _confirmed(threshold: tuple[int, int]):
     """Pairs whose full sets reach the threshold."""
-    part, of = threshold
 
     def work(batches):
         for batch in batches:
             a, b = batch.column("ga").to_pylist(), batch.column("gb").to_pylist()
             keep = np.zeros(len(a), bool)
             for i, (x, y) in enumerate(zip(a, b)):
-                n = len(x) // 8 + len(y) // 8
-                both = np.concatenate([np.frombuffer(x, U), np.frombuffer(y, U)])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = of * common >= part * (n - common)
+                keep[i] = _similar(np.frombuffer(x, U), np.frombuffer(y, U), threshold)
             keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("ra").filter(keep), batch.column("rb").filter(keep)], names=["u", "v"])
 
@@ -531,16 +598,19 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, in
     few = pairs(short.join(once(alike(short), "short"), "key"))
     long_ = left.where(F.col("members") > SHORT_LIST).drop("members")
     hot = work.write(long_.join(once(alike(long_), "long"), "key"), "hot")
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
-    hot = hot.select("key", "c", "comp", F.pmod(F.xxhash64("c"), count).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    hot = hot.select("key", "c", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    needed = hot.select("c").distinct().join(classes.select("c", F.col("rep").alias("doc_id"), "tag"), "c")
-    sketches = map_texts(texts.of(needed, "hot"), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary").select("c", "sketch")
-    sketches = work.write(sketches.join(classes.select("c", "n"), "c"), "hot-sets")
-    many = hot.join(sketches, "c").groupBy("key", "i", "j").applyInArrow(_meet(sketch, threshold), "a long, b long")
+    # blocks of a list are bounded by members and by bytes of their sets
+    sizes = hot.join(classes.select("c", "n"), "c").groupBy("key").agg(F.sum("n").alias("shingles"))
+    count = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = hot.join(sizes, "key").select("key", "c", "comp", F.pmod(F.xxhash64("c"), count).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    dealt = dealt.select("key", "c", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    mine = hot.groupBy("c").agg(F.collect_list("key").alias("keys")).join(classes.select("c", "n", F.col("rep").alias("doc_id"), "tag"), "c")
+    mine = work.write(map_texts(mine, _packed_keys, "c long, n long, doc_id long, tag long, keys binary"), "hot-keys")
+    sets = map_texts(texts.of(mine.select("c", "doc_id", "tag"), "hot"), _sets(shingle, sketch), "c long, rep long, sketch binary, rest binary").select("c", "sketch", "rest")
+    sets = work.write(sets.join(mine.select("c", "n", "keys"), "c"), "hot-sets")
+    many = dealt.join(sets, "c").groupBy("key", "i", "j").applyInArrow(_meet(sketch, threshold), "a long, b long")
     rest = work.write(few.unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "rest")
     comp = joined(comp, _verify(rest, texts, classes, work, "rest", shingle, sketch, threshold), "round-3")
-    work.drop("links", "stars-links", "hub-links", "rest-links", "open-1", "open-2", "left", "may", "short", "long", "hot", "hot-needed", "hot-sets", "rest")
+    work.drop("links", "stars-links", "hub-links", "rest-links", "open-1", "open-2", "left", "may", "short", "long", "hot", "hot-needed", "hot-keys", "hot-sets", "rest")
 
     reach = classes.select("c", "d", "n", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("c", "d", "n", F.coalesce("m", "rep").alias("component_id"))
     out = described.select("doc_id", "n", "c", "d").join(reach, ["c", "d", "n"], "left")
