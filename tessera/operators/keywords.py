@@ -18,21 +18,26 @@ from __future__ import annotations
 
 import functools
 import sys
-from bisect import insort
+from bisect import bisect_right, insort
 
 import numpy as np
 
 from tessera.functions.similarity import sweep, trigram_list
 
-#: Contents that are counted at once, numbers in a matrix, and trigrams of a stretch of blocks that is bounded exactly.
-BATCH, NUMBERS, LONG = 512, 1 << 22, 512
+#: Contents that are counted at once, their characters but for one content, and numbers in a matrix.
+BATCH, LETTERS, NUMBERS = 512, 1 << 20, 1 << 22
+NONE = -(1 << 30)
+#: Hits of a content whose pairs are counted at once.
+PAIRS = 512
+#: Places of the shortest blocks, numbers in the table of trigrams, and classes of the trigrams that no query has.
+WIDTH, TABLE, OTHERS = 64, 1 << 22, 1021
 _WIDTH, _BLANK = np.uint64(21), np.uint64(32)
 
 
 @functools.cache
 def _letters() -> np.ndarray:
     """Whether each code point belongs to words."""
-    return np.array([chr(i).isalnum() for i in range(sys.maxunicode + 1)])
+    return np.fromiter(map(str.isalnum, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
 
 
 def code(trigram: str) -> int:
@@ -54,58 +59,52 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _before(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The place where each trigram stood last in its text, -1 if it is the first one."""
-    out = np.full(len(grams), -1, np.int32)
+    """The place within its text where each trigram stood last, far below 0 if it is the first one."""
+    out = np.full(len(grams), NONE, np.int32)
     for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
         order = np.argsort(grams[a:z], kind="stable")
         own = grams[a:z][order]
         same = np.flatnonzero(own[1:] == own[:-1])
-        out[a + order[same + 1]] = a + order[same]
+        out[a + order[same + 1]] = order[same]
     return out
 
 
-def _blocks(before: np.ndarray, begin: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, text) of blocks with ``most`` different trigrams each, in order; a text's last one may have fewer."""
-    starts, owners = [], []
-    text = np.flatnonzero(begin[:-1] < begin[1:])
-    start, end = begin[text].astype(np.int32), begin[text + 1].astype(np.int32)
-    while len(text):
-        starts.append(start)
-        owners.append(text)
-        following = np.full(len(text), -1, np.int32)
-        todo, at, seen, width = np.arange(len(text)), start.copy(), np.zeros(len(text), np.int32), most + most // 2 + 8
-        while len(todo):
-            place = at[todo][:, None] + np.arange(width, dtype=np.int32)
-            fresh = (place < end[todo][:, None]) & (before[np.minimum(place, len(before) - 1)] < start[todo][:, None])
-            kinds = seen[todo][:, None] + np.cumsum(fresh, axis=1, dtype=np.int32)
-            full = kinds[:, -1] > most
-            following[todo[full]] = at[todo[full]] + (kinds[full] > most).argmax(axis=1)
-            seen[todo] = kinds[:, -1]
-            at[todo] += width
-            width = min(2 * width, max(width, 4096))
-            todo = todo[~full & (at[todo] < end[todo])]
-        go = following >= 0
-        text, start, end = text[go], following[go], end[go]
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start, text = np.concatenate(starts), np.concatenate(owners)
-    order = np.argsort(start)
-    return start[order], text[order]
-
-
-def _best(hit: np.ndarray, last: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The best score of a stretch in each row. hit: the query's places; last: where each place's trigram stood before, counted from the row's start."""
-    most = int(hit.sum(axis=1).max())
-    at = np.argsort(~hit, axis=1, kind="stable")[:, :most]
-    real = np.take_along_axis(hit, at, axis=1)
-    own = np.take_along_axis(last, at, axis=1)
-    later = np.arange(most)[:, None] <= np.arange(most)
-    hits = np.cumsum((own[:, None, :] < at[:, :, None]) & later & real[:, None, :], axis=2, dtype=np.int16)
-    place = np.arange(hit.shape[1])
-    kinds = np.cumsum((last[:, None, :] < at[:, :, None]) & (place >= at[:, :, None]), axis=2, dtype=np.int16)
-    kinds = np.take_along_axis(kinds, np.broadcast_to(at[:, None, :], hits.shape), axis=2)
-    score = hits / np.maximum(n[:, None, None] + kinds - hits, 1)
-    return np.where(later & real[:, None, :] & real[:, :, None], score, 0.0).max(axis=(1, 2))
+def _grid(row: np.ndarray, number: np.ndarray, rows: int, known: int) -> np.ndarray:
+    """1 for each known trigram that a row has; the last column is of all others."""
+    grid = np.zeros((rows, known + 1), np.float32)
+    grid.ravel()[row * (known + 1) + number] = 1
+    return grid
+
+
+def swept(hit: np.ndarray, before: np.ndarray, n: int) -> float:
+    """The same as sweep, for the places of a query's n trigrams and where each place's trigram stood before.
+
+    A stretch that scores best begins at a hit, or at places that change nothing before one, so the hits
+    and different trigrams between all pairs of hits are counted at once: a place counts for the stretches
+    that begin behind its trigram's last place.
+    """
+    upto = np.cumsum(hit)
+    m = int(upto[-1]) if len(upto) else 0
+    if not m:
+        return 0.0
+    begin = np.where(before >= 0, upto[np.maximum(before, 0)], 0)
+    on = np.flatnonzero((begin < upto) & (upto - hit < m))
+
+    def counted(on: np.ndarray) -> np.ndarray:
+        end = upto[on] - hit[on]
+        size = (m + 1) * m
+        grid = np.bincount(begin[on] * m + end, minlength=size) - np.bincount(upto[on] * m + end, minlength=size)
+        return np.cumsum(np.cumsum(grid.reshape(m + 1, m)[:m], axis=0), axis=1)
+
+    hits, kinds = counted(on[hit[on]]), counted(on)
+    score = np.ascontiguousarray((hits / (n + kinds - hits)).T)
+    lower, best = 0, 0.0
+    for i in range(m):
+        row = score[i, lower : i + 1]
+        j = int(row.argmax())
+        best = max(best, float(row[j]))
+        lower += j
+    return best
 
 
 class Search:
@@ -113,98 +112,209 @@ class Search:
 
     def __init__(self, queries: list[str], k: int, threshold: float, floors: list[tuple[float, object] | None]):
         self.k, self.threshold = k, threshold
-        self.wanted = [{code(g) for g in trigram_list(q)} for q in queries]
-        self.known = np.array(sorted(set().union(*self.wanted)), np.uint64)
+        self.wanted = [set(trigram_list(q)) for q in queries]
+        known = sorted(set().union(*self.wanted))
+        at = {g: i for i, g in enumerate(known)}
+        self.known = len(known)
         self.n = np.array([len(w) for w in self.wanted])
-        self.has = np.zeros((len(queries), len(self.known) + 1), bool)  # the last column is of trigrams that no query has
+        self.has = np.zeros((len(queries), self.known + 1), bool)  # the last column is of trigrams that no query has
         for i, w in enumerate(self.wanted):
-            self.has[i, np.searchsorted(self.known, np.array(sorted(w), np.uint64))] = True
+            self.has[i, [at[g] for g in w]] = True
+        self._letters(known)
         self.floor = np.array([max(threshold, f[0]) if f else threshold for f in floors])
         self.last = [_key(f[1]) if f and f[0] >= threshold else None for f in floors]
         self.held: list[list] = [[] for _ in queries]
 
+    def _letters(self, known: list[str]) -> None:
+        """Classes of characters: 0 stands between words, 1 is of words but in no query, each other one is a query's letter."""
+        letters = sorted(set("".join(known)) - {" "})
+        self.kind = _letters().astype(np.int32)
+        self.kind[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+        self.base = len(letters) + 2
+        kinds = {c: i for i, c in enumerate(letters, 2)} | {" ": 0}
+        self.codes = np.array([(kinds[a] * self.base + kinds[b]) * self.base + kinds[c] for a, b, c in known], np.int64)
+        self.table = None
+        if self.base**3 <= TABLE:
+            self.table = np.full(self.base**3, self.known, np.int32)
+            self.table[self.codes] = np.arange(self.known)
+        else:
+            self.order = np.argsort(self.codes)
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The known trigram that stands at each place, what tells it from others, and where each text's begin.
+
+        Trigrams that no query has are told apart by a few bits only, so two of them can pass for one.
+        """
+        low = [t.lower() + "\0" for t in texts]
+        third = self.kind[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        second = np.concatenate([[0], third[:-1]]).astype(np.int32)
+        at = np.flatnonzero(third | second)
+        begin = np.searchsorted(at, np.cumsum([0, *map(len, low)]))
+        kind = np.int32 if self.base < 1290 else np.int64
+        first = np.concatenate([[0], second[:-1]]).astype(kind)
+        second, third = second[at], third[at]
+        code = (np.where(second > 0, first[at], 0) * kind(self.base) + second) * kind(self.base) + third
+        if self.table is not None:
+            number = self.table[code]
+        else:
+            place = np.minimum(np.searchsorted(self.codes, code, sorter=self.order), self.known - 1)
+            number = np.where(self.codes[self.order[place]] == code, self.order[place], self.known).astype(np.int32)
+        apart = np.where(number < self.known, number, self.known + code % OTHERS)
+        return number, apart.astype(np.uint16 if self.known + OTHERS < 1 << 16 else np.uint32), begin
+
     def add(self, ids: list, contents: list[str]) -> None:
-        for lo in range(0, len(ids), BATCH):
-            self._add(ids[lo : lo + BATCH], contents[lo : lo + BATCH])
+        lo = size = 0
+        for i, text in enumerate(contents):
+            if i > lo and (i - lo == BATCH or size + len(text) > LETTERS):
+                self._add(ids[lo:i], contents[lo:i])
+                lo, size = i, 0
+            size += len(text)
+        self._add(ids[lo:], contents[lo:])
 
     def _add(self, ids: list, contents: list[str]) -> None:
-        grams, begin = codes(contents)
-        if not len(grams) or not len(self.known):
-            return
-        number = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        number[self.known[number] != grams] = len(self.known)
-        before = _before(grams, begin)
-        most = (self.n / self.floor + 1e-9).astype(np.int64)
-        found = []
-        level = 0
-        while level < most.max(initial=0):
-            under, level = level, level + max(4, level // 2)
-            some = np.flatnonzero((most > under) & (most <= level))
-            if len(some):
-                found += self._possible(some, number, before, begin, int(most[some].max()))
-        if not found:
+        if not self.known or not ids:
             return
-        c, q, bound = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((c, q, -bound))
-        texts: dict[int, list] = {}
-        swept = set()
-        for i in order.tolist():
+        keys = [_key(i) for i in ids]
+        number, apart, begin = self.numbers(contents)
+        c, q, bound = self._possible(number, apart, begin, keys)
+        grams: dict[int, tuple] = {}
+        for i in np.lexsort((c, q, -bound)).tolist():
             at, asked, b = int(c[i]), int(q[i]), bound[i]
-            key = _key(ids[at])
-            if b < self.floor[asked] - 1e-9 or (at, asked) in swept:
+            if b < self.floor[asked] - 1e-9:
                 continue
-            if self.last[asked] is not None and b <= self.floor[asked] and key > self.last[asked]:
+            if self.last[asked] is not None and b <= self.floor[asked] and keys[at] > self.last[asked]:
                 continue
-            swept.add((at, asked))
-            if at not in texts:
-                texts[at] = grams[begin[at] : begin[at + 1]].tolist()
-            self._hold(asked, sweep(self.wanted[asked], texts[at]), key)
-
-    def _possible(self, some: np.ndarray, number: np.ndarray, before: np.ndarray, begin: np.ndarray, most: int) -> list:
-        """(content, query, bound) of what may reach the floors of some queries, whose stretches have ``most`` different trigrams."""
-        used = np.flatnonzero(self.has[some, :-1].any(axis=0))
-        column = np.full(self.has.shape[1], -1)
-        column[used] = np.arange(len(used))
-        has = self.has[some][:, used].astype(np.float32).T
-        need = np.ceil(self.floor[some] * self.n[some] - 1e-6).astype(np.float32)
-        start, text = _blocks(before, begin, most)
-        end = np.append(start[2:], [len(before)] * 2)[: len(start)]
-        end = np.minimum(end, begin[text + 1])
-        of = column[number]
-        place = np.flatnonzero(of >= 0)
-        block = np.searchsorted(start, place, "right") - 1
-        step = max(2, NUMBERS // max(len(used), len(some)))
-        out_w, out_q = [], []
+            if at not in grams:
+                own = codes([contents[at]])
+                grams[at] = number[begin[at] : begin[at + 1]], _before(*own)
+            here, before = grams[at]
+            hit = self.has[asked, here]
+            score = swept(hit, before, int(self.n[asked])) if np.count_nonzero(hit) <= PAIRS else sweep(self.wanted[asked], trigram_list(contents[at]))
+            self._hold(asked, score, keys[at])
+
+    def _possible(self, number: np.ndarray, apart: np.ndarray, begin: np.ndarray, keys: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(content, query, bound) of what may reach the floors, each pair once."""
+        texts, need = len(begin) - 1, np.ceil(self.floor * self.n - 1e-6).astype(np.float32)
+        has = self.has.T.astype(np.float32)
+        owner = np.repeat(np.arange(texts), np.diff(begin))
+        hits = _grid(owner, number, texts, self.known) @ has
+        # by all trigrams of a content
+        order = sorted(range(texts), key=keys.__getitem__)
+        place = np.empty(texts, np.int64)
+        place[order] = np.arange(texts)
+        ordered = [keys[i] for i in order]
+        end = np.array([texts if last is None else bisect_right(ordered, last) for last in self.last])
+        may = (hits >= need) & (self.n > 0) & ((place[:, None] < end) | (hits > self.floor * self.n + 1e-9))
+        some, queries = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        if not len(some):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        keep = may.any(axis=1)[owner]
+        number, apart, sizes = number[keep], apart[keep], np.diff(begin)[some]
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        before = _before(apart, begin)
+        most = (self.n / self.floor + 1e-9).astype(np.int64)
+        found, width = [], WIDTH
+        left = queries
+        while len(left):
+            part, left = left[2 * most[left] <= width], left[2 * most[left] > width]
+            if len(part):
+                on = np.flatnonzero(may[some][:, part].any(axis=1))
+                those = np.zeros(len(some), bool)
+                those[on] = True
+                those = np.repeat(those, sizes)
+                c, q, bound = self._in_blocks(part, may[some[on]], hits[some[on]], number[those], before[those], sizes[on], width, most, need)
+                found.append((on[c], q, bound))
+            width *= 2
+        c, q, bound = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-bound, q, c))
+        c, q, bound = c[order], q[order], bound[order]
+        new = np.append(True, (c[1:] != c[:-1]) | (q[1:] != q[:-1]))[: len(c)]
+        return some[c[new]], q[new], bound[new]
+
+    def _in_blocks(self, part: np.ndarray, may: np.ndarray, hits: np.ndarray, number: np.ndarray, before: np.ndarray, sizes: np.ndarray, width: int, most: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(content, query, bound) of what may reach the floors of some queries, by stretches of blocks of ``width`` places."""
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        inside = (np.arange(len(number)) - begin[owner]).astype(np.int32)
+        # a stretch that is longer than a block and has few different trigrams: only where all its parts have few
+        lower = begin[owner] + np.maximum(np.maximum(before + 1, inside - width + 1), 0)
+        kinds = np.cumsum(np.bincount(lower, minlength=len(number))) - np.arange(len(number))
+        kinds[inside > sizes[owner] - width] = width + 1
+        least = np.minimum.reduceat(kinds, begin[:-1])
+        long = may[:, part] & (most[part] >= least[:, None])
+        c, q = np.nonzero(long)
+        q = part[q]
+        found = [(c, q, np.minimum(hits[c, q] / self.n[q], 1.0))]
+        # all others lie in two blocks that adjoin
+        rest = may[:, part] & ~long
+        blocks = -(-sizes // width)
+        first = np.concatenate([[0], np.cumsum(blocks)])
+        text = np.repeat(np.arange(len(sizes)), blocks)
+        start = begin[text] + (np.arange(len(text)) - first[text]) * width
+        end = np.minimum(start + 2 * width, begin[text + 1])
+        block = first[owner] + inside // width
+        step = max(2, NUMBERS // (self.known + 1))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        columns = [np.flatnonzero(self.has[i]) for i in part.tolist()]
+        count = np.uint8 if self.n[part].max() < 256 else np.int64
         for lo in range(0, len(start), step):
             hi = min(lo + step, len(start))
             a, z = np.searchsorted(block, [lo, hi + 1])
-            row, col = block[a:z] - lo, of[place[a:z]]
-            grid = np.zeros((hi - lo + 1, len(used)), np.float32)
-            grid[row, col] = 1
-            back = (row > 0) & (text[row + lo] == text[np.maximum(row + lo - 1, 0)])
-            grid[row[back] - 1, col[back]] = 1
-            w, q = np.nonzero(grid[: hi - lo] @ has >= need)
-            out_w.append(w + lo)
-            out_q.append(some[q])
-        w, q = np.concatenate(out_w), np.concatenate(out_q)
-        size = end[w] - start[w]
-        order = np.argsort(size, kind="stable")
-        w, q, size = w[order], q[order], size[order]
-        bound = np.ones(len(w))
-        short = int(np.searchsorted(size, LONG, "right"))
-        lo = 0
-        while lo < short:
-            hi = min(short, lo + min(256, max(1, NUMBERS // (4 * int(size[min(short, lo + 256) - 1]) ** 2))))
-            part = slice(lo, hi)
-            width = int(size[hi - 1])
-            at = start[w[part]][:, None] + np.arange(width)
-            real = np.arange(width) < size[part][:, None]
-            at = np.minimum(at, len(before) - 1)
-            hit = self.has[q[part][:, None], number[at]] & real
-            bound[part] = _best(hit, before[at] - start[w[part]][:, None], self.n[q[part]])
-            lo = hi
-        keep = bound >= self.floor[q] - 1e-9
-        return [(text[w[keep]], q[keep], bound[keep])]
+            grid = np.zeros((self.known + 1, hi - lo + 1), np.uint8)
+            grid.ravel()[number[a:z] * np.int64(hi - lo + 1) + block[a:z] - lo] = 1
+            goes_on = np.append(text[lo + 1 : hi + 1] == text[lo : min(hi, len(text) - 1)], [False])[: hi - lo].astype(np.uint8)
+            grid = grid[:, :-1] | grid[:, 1:] * goes_on
+            for j, i in enumerate(part.tolist()):
+                w = np.flatnonzero(np.add.reduce(grid[columns[j]], axis=0, dtype=count) >= need[i])
+                w = w[rest[text[w + lo], j]]
+                out.append((w + lo, np.full(len(w), i)))
+        w, q = (np.concatenate(x) for x in zip(*out))
+        places, of = self._begins(w, q, start, end, width, number, before < inside - width)
+        bound = self._from(places, q[of], end[w[of]], width, number, before, inside)
+        keep = bound >= self.floor[q[of]] - 1e-9
+        found.append((text[w[of[keep]]], q[of[keep]], bound[keep]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _begins(self, w: np.ndarray, q: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, number: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, pair) of the hits in first blocks from where hits, less the floor for each place that is none, can reach the floor's share of the query.
+
+        A place whose trigram stands within a block before is not fresh and costs nothing, as it may be no new one.
+        """
+        fresh = np.append(fresh, False).astype(np.float32)
+        number = np.append(number, self.known)
+        span = np.arange(2 * width, dtype=np.int32)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, (NUMBERS >> 3) // width)
+        for lo in range(0, len(w), step):
+            on = slice(lo, lo + step)
+            place = start[w[on]].astype(np.int32)[:, None] + span
+            np.minimum(place, len(fresh) - 1, out=place)
+            hit = self.has.ravel()[(q[on] * (self.known + 1)).astype(np.int32)[:, None] + number[place]]
+            hit &= place < end[w[on]][:, None]
+            floor = self.floor[q[on]].astype(np.float32)[:, None]
+            gain = np.where(hit, np.float32(1), -floor * fresh[place])
+            total = np.cumsum(gain, axis=1, dtype=np.float32)
+            most = np.maximum.accumulate(total[:, ::-1], axis=1)[:, : width - 1 : -1]
+            i, j = np.nonzero((most - total[:, :width] + 1 >= floor * self.n[q[on]][:, None] - 1e-3) & hit[:, :width])
+            out.append((place[i, j], i + lo))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _from(self, places: np.ndarray, q: np.ndarray, end: np.ndarray, width: int, number: np.ndarray, before: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The best score of a stretch that begins at each place and is at most a block and one place long."""
+        bound = np.zeros(len(places))
+        span = np.arange(width + 1, dtype=np.int32)
+        step = max(1, (NUMBERS >> 3) // width)
+        for lo in range(0, len(places), step):
+            on = slice(lo, lo + step)
+            place = places[on].astype(np.int32)[:, None] + span
+            real = place < end[on][:, None]
+            np.minimum(place, len(before) - 1, out=place)
+            new = (before[place] < inside[places[on]][:, None]) & real
+            hit = self.has.ravel()[(q[on] * (self.known + 1)).astype(np.int32)[:, None] + number[place]]
+            hits = np.cumsum(new & hit, axis=1, dtype=np.int32)
+            misses = np.cumsum(new & ~hit, axis=1, dtype=np.int32)
+            bound[on] = (hits / (self.n[q[on]][:, None] + misses)).max(axis=1)
+        return bound
 
     def _hold(self, asked: int, score: float, key: tuple) -> None:
         if score < self.threshold - 1e-7:

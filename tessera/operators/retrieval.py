@@ -22,8 +22,8 @@ RRF_K, TOP_K, RERANK_INPUT = 60, 5, 20
 NO_RESULTS = "No relevant information found."
 
 
-#: Chunks of a group whose contents meet a block of queries, and of the part that is searched first.
-CONTENTS, FIRST = 1024, 8192
+#: Chunks of a group whose contents meet a block of queries, if there are many, of the part that is searched first, and such a part's least share of all.
+CONTENTS, FIRST, SHARE = 2048, 4096, 8
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int | str = TOP_K) -> DataFrame:
@@ -39,18 +39,20 @@ def trigram_index(chunks: DataFrame) -> DataFrame:
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, threshold: float = WORD_THRESHOLD) -> DataFrame:
     """Word-similarity search: (query_id, chunk_id, score, rank); see keywords.
 
-    Of many chunks a part of about FIRST is searched first: the last of a query's
-    k best there is its floor, below which nothing of all chunks can be among its k
-    best. All chunks are searched then, those of the part once more.
+    Of many chunks a part is searched first, one in SHARE or about FIRST: the last
+    of a query's k best there is its floor, below which nothing of all chunks can be
+    among its k best. All chunks are searched then, those of the part once more. The
+    part itself is searched in the same way.
     """
     queries = queries.select("query_id", "kb_id", "query")
     chunks = chunks.select("chunk_id", "kb_id", "content")
     kind = chunks.schema["chunk_id"].dataType
-    parts = chunks.count() // FIRST
+    count = chunks.count()
+    parts = count // FIRST
     if parts < 4:
         floors = queries.select("*", F.lit(None).cast("double").alias("floor"), F.lit(None).cast(kind).alias("last"))
     else:
-        first = chunks.where(F.pmod(F.xxhash64(F.lit(FIRST), F.col("chunk_id").cast("string")), F.lit(parts)) == 0)
+        first = chunks.where(F.pmod(F.xxhash64(F.lit(parts), F.col("chunk_id").cast("string")), F.lit(min(parts, SHARE))) == 0)
         best = keyword_search(queries, first, k, threshold).where(F.col("rank") == k - 1)
         floors = queries.join(written(best.select("query_id", F.col("score").alias("floor"), F.col("chunk_id").alias("last"))), "query_id", "left")
     schema = to_arrow_schema(T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", kind), T.StructField("score", T.DoubleType())]))
@@ -62,7 +64,8 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, thresh
         q, c, score = search.results()
         return pa.table([asked["query_id"].take(pa.array(q, pa.int64())), pa.array(c, schema.field("chunk_id").type), pa.array(score, pa.float64())], names=schema.names).cast(schema)
 
-    found = meet(floors, chunks, ["kb_id"], work, from_arrow_schema(schema), shard=CONTENTS)
+    shard = max(CONTENTS // 8, min(CONTENTS, count // (4 * chunks.sparkSession.sparkContext.defaultParallelism)))
+    found = meet(floors, chunks, ["kb_id"], work, from_arrow_schema(schema), shard=shard)
     return top(found, "score", k).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -126,17 +129,25 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, scorer: Callab
     return rerank(fused, chunks, queries, scorer, k)
 
 
+def embedded(texts: list[str | None], dim: int) -> np.ndarray:
+    """A row for each text: its byte trigrams, in lower case and padded, counted by hash with a sign that the hash has too."""
+    padded = [f"  {(t or '').lower()} ".encode() for t in texts]
+    raw = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
+    h = (raw[:-2] * np.uint32(961) + raw[1:-1] * np.uint32(31) + raw[2:]) * np.uint32(2654435761) >> np.uint32(16)
+    sizes = np.array([len(p) for p in padded])
+    sign = np.where(h >> np.uint32(15) & np.uint32(1), 1.0, -1.0)
+    ends = np.cumsum(sizes)[:-1]
+    sign[np.concatenate([ends - 2, ends - 1])] = 0.0  # trigrams of two texts
+    at = np.repeat(np.arange(len(padded)) * dim, sizes)[: len(h)] + h % np.uint32(dim)
+    return np.bincount(at, sign, len(padded) * dim).astype(np.float32).reshape(len(padded), dim)
+
+
 def embed(text: Column, dim: int = 64) -> Column:
     """A deterministic embedding for tests, signed hashed byte trigrams. Stands in for an external model."""
 
     @F.pandas_udf("array<float>")
     def hashed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            raw = np.frombuffer(f"  {(t or '').lower()} ".encode(), np.uint8).astype(np.uint32)
-            h = (raw[:-2] * np.uint32(961) + raw[1:-1] * np.uint32(31) + raw[2:]) * np.uint32(2654435761) >> np.uint32(16)
-            out.append(np.bincount(h % dim, np.where(h >> 15 & 1, 1.0, -1.0), dim).astype(np.float32))
-        return pd.Series(out)
+        return pd.Series([v for lo in range(0, len(texts), 64) for v in embedded(texts.iloc[lo : lo + 64].tolist(), dim)])
 
     return hashed(text)
 
